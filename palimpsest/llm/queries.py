@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.common import table
+from palimpsest.llm.decontamination import contamination
 from palimpsest.llm.near_dedup import near_duplicates
 from palimpsest.llm.token_counts import count_tokens
 from palimpsest.llm.token_files import token_files
@@ -25,10 +26,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_near_duplicates": op2_near_duplicates,
     "op5_token_counts": op5_token_counts,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
