@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.common import table
 from palimpsest.llm.decontamination import contamination
+from palimpsest.llm.language_id import identify
 from palimpsest.llm.near_dedup import near_duplicates
 from palimpsest.llm.token_counts import count_tokens
 from palimpsest.llm.token_files import token_files
@@ -30,11 +31,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_near_duplicates": op2_near_duplicates,
     "op5_token_counts": op5_token_counts,
     "op9_decontamination": op9_decontamination,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
