@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.common import table
 from palimpsest.llm.decontamination import contamination
+from palimpsest.llm.fingerprints import fingerprints
 from palimpsest.llm.language_id import identify
 from palimpsest.llm.near_dedup import near_duplicates
 from palimpsest.llm.token_counts import count_tokens
@@ -23,6 +24,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,6 +43,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_near_duplicates": op2_near_duplicates,
+    "op4_fingerprints": op4_fingerprints,
     "op5_token_counts": op5_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
