@@ -14,6 +14,7 @@ from palimpsest.llm.language_id import identify
 from palimpsest.llm.near_dedup import near_duplicates
 from palimpsest.llm.token_counts import count_tokens
 from palimpsest.llm.token_files import token_files
+from palimpsest.llm.toxicity import toxicity
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op4_fingerprints": op4_fingerprints,
     "op5_token_counts": op5_token_counts,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
