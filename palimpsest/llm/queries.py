@@ -12,6 +12,7 @@ from palimpsest.llm.decontamination import contamination
 from palimpsest.llm.fingerprints import fingerprints
 from palimpsest.llm.language_id import identify
 from palimpsest.llm.near_dedup import near_duplicates
+from palimpsest.llm.substring_dedup import repeated_passages
 from palimpsest.llm.token_counts import count_tokens
 from palimpsest.llm.token_files import token_files
 from palimpsest.llm.toxicity import toxicity
@@ -25,6 +26,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_repeated_passages": op3_repeated_passages,
     "op4_fingerprints": op4_fingerprints,
     "op5_token_counts": op5_token_counts,
     "op8_toxicity": op8_toxicity,
