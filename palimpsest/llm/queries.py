@@ -11,6 +11,7 @@ from palimpsest.llm.common import table
 from palimpsest.llm.decontamination import contamination
 from palimpsest.llm.fingerprints import fingerprints
 from palimpsest.llm.language_id import identify
+from palimpsest.llm.lm_scoring import lm_scores
 from palimpsest.llm.near_dedup import near_duplicates
 from palimpsest.llm.substring_dedup import repeated_passages
 from palimpsest.llm.token_counts import count_tokens
@@ -38,6 +39,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repeated_passages": op3_repeated_passages,
     "op4_fingerprints": op4_fingerprints,
     "op5_token_counts": op5_token_counts,
+    "op6_lm_scores": op6_lm_scores,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
