@@ -12,6 +12,7 @@ from palimpsest.llm.decontamination import contamination
 from palimpsest.llm.fingerprints import fingerprints
 from palimpsest.llm.language_id import identify
 from palimpsest.llm.lm_scoring import lm_scores
+from palimpsest.llm.mixing import mixture
 from palimpsest.llm.near_dedup import near_duplicates
 from palimpsest.llm.substring_dedup import repeated_passages
 from palimpsest.llm.token_counts import count_tokens
@@ -43,6 +44,15 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+#: Shares of the tokens by language, in any domain.
+MIX = {(None, "en"): 0.4, (None, "fr"): 0.2, (None, "de"): 0.2, (None, "es"): 0.2}
+
+
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixture(table(spark, sf_dir, "documents"), MIX)
+    return found.select("doc_id", "domain", "lang", "source", "tokens", "copies", "leaf_budget")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_token_counts": op5_token_counts,
     "op6_lm_scores": op6_lm_scores,
+    "op7_mixture": op7_mixture,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
