@@ -1,20 +1,72 @@
-"""The corpus pipeline: documents through the training-data operators, one Parquet table after the other."""
+"""The corpus pipeline: documents through five of the training-data operators, one Parquet table after the other.
+
+Each stage takes all that the one before kept, and its decisions take effect: rejected rows are gone from what it
+returns. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm.common import scratch_root, staged, table
+from palimpsest.llm.decontamination import contamination
+from palimpsest.llm.language_id import identify
+from palimpsest.llm.mixing import mixture
+from palimpsest.llm.near_dedup import near_duplicates
+from palimpsest.llm.queries import MIX
+from palimpsest.llm.token_files import token_files
+
+#: A document's language must reach this mean probability, little above what a text without any hint gets.
+LEAST_SCORE = 0.3
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the rows with a doc_id of gone; rows with a null doc_id stay."""
+    return docs.join(gone.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter or without a recognisable language."""
+    found = identify(docs, keep=docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near duplicates, and one of rows that repeat an id."""
+    found = near_duplicates(docs)
+    rest = without(docs, found.where("not kept"))
+    repeated = rest.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return without(rest, repeated).unionByName(once.select(*docs.columns))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of which a twentieth or more stands in the benchmark."""
+    return without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take documents to the target weights; one that is taken in two epochs stands twice."""
+    found = mixture(docs, MIX).where("copies > 0")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the token files and return the digest of each document in them."""
+    return token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [("language ID", language), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("mixing to target weights", mix), ("token-ID output", tokens)]
 
-#: No stage can be written in SQL: learned models and a tokenizer decide.
+#: Learned models and a tokenizer decide, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written and read again before the next."""
     docs, root = table(spark, sf_dir, "documents"), scratch_root(spark)
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "_"), root)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = staged(stage(spark, docs, sf_dir), f"stage{k}", root)
     return docs
