@@ -29,15 +29,15 @@ PASSES = 6
 WIDE = 2048
 
 
-def sample(docs: DataFrame, per_label: int, label: str, share_of: int, modulus: int = 5, held: int = 0) -> DataFrame:
-    """About share_of * per_label labelled training rows for each label: those whose ids have the smallest hash."""
-    rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), modulus) != held))
+def sample(rows: DataFrame, per_label: int, label: str, share_of: int, modulus: int = 5, held: int = 0) -> DataFrame:
+    """About share_of * per_label training rows for each label, those whose ids have the smallest hash, with label and key (that hash)."""
+    rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), modulus) != held))
     key = F.xxhash64(F.col("doc_id").cast("long"))
     wanted = F.lit(False)
     for r in rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(256).collect():
         share = min(1.0, (share_of * per_label + 50) / r.n)
         wanted = wanted | ((F.col(label) == r.label) & (key <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))))
-    return rows.where(wanted).select(F.col(label).alias("label"), key.alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.where(wanted).withColumns({"label": F.col(label), "key": key})
 
 
 def training_blocks(docs: DataFrame, per_language: int, most: int = BLOCKS_OF_ROW) -> list[tuple[str, np.ndarray]]:
@@ -48,7 +48,8 @@ def training_blocks(docs: DataFrame, per_language: int, most: int = BLOCKS_OF_RO
             packed = [blocks_of(x, most).astype("<i2").tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("key"), pa.array(packed, pa.binary())], names=["label", "key", "blocks"])
 
-    some = sample(docs, per_language, "lang", 2).mapInArrow(cut, "label string, key long, blocks binary")
+    known = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
+    some = sample(known, per_language, "lang", 2).select("label", "key", "text").mapInArrow(cut, "label string, key long, blocks binary")
     out, taken = [], Counter()
     for r in some.orderBy("key", "blocks").limit(2 * per_language * 256).collect():
         if taken[r.label] < per_language:

@@ -5,13 +5,13 @@
    of a bin that a fixed random sequence of bins meets first (optimal densification).
 3. Bands of bins give bucket keys. A bucket links its members to one hub: a star, not all pairs.
 4. Every candidate pair is confirmed on full sets, built again from the two texts.
-5. A bucket whose members are still in different components is not finished: a further hub, from another component
-   than the hubs before, is compared with the members that are not of its component, round by round, until each
-   bucket has been compared through or is in one component. So a link is lost only if the two sets share no bucket.
+5. A star can miss a link between two members that are both unlike the hub. All members of buckets that still span
+   several components are therefore joined once more, exactly, by prefix filtering on their rarest shingles.
+   So a link is lost only if the two sets share no bucket.
 
-With 40 bands of 5 bins two sets of similarity 0.8 share no bucket with probability 1.2e-7. Sets of at most
-SMALL shingles can hold too few values for that estimate; two such sets of similarity 0.8 differ in one shingle at
-most, so each has further keys: the set itself and the set without each of its shingles.
+With 40 bands of 5 bins two sets of similarity 0.8 share no bucket with probability 1.2e-7. Small sets hold too few
+values for that estimate, but a similar one can only have one shingle more or less, so their keys are
+exact: the set itself, and the set without each of its shingles.
 """
 
 from __future__ import annotations
@@ -28,8 +28,11 @@ from palimpsest.llm.components import components
 from palimpsest.llm.words import mix, word_hashes
 
 BANDS, ROWS = 40, 5
-#: Sets up to this size get exact keys besides: below 10 shingles a similarity of 0.8 allows one difference.
-SMALL = 9
+#: Sets below LEAST shingles are similar to equal ones only. Up to SMALL, a similar one has one shingle more or less.
+LEAST, SMALL = 4, 8
+#: Ratio of neighbouring size classes, and bits of the table that orders shingles by rarity.
+STEP = 1.06
+ORDER_BITS = 18
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -64,18 +67,22 @@ def densified(hashes: np.ndarray, bins: int) -> np.ndarray:
     return values[source]
 
 
-def keys_of(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> np.ndarray:
+def keys_of(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """Bucket keys of a set."""
-    values = densified(hashes, bands * rows).reshape(bands, rows)
-    keys = np.arange(1, bands + 1, dtype=np.uint64) * _ODD
-    for k in range(rows):
-        keys = mix(keys ^ values[:, k])
-    if len(hashes) <= small + 1:
-        total = hashes.sum(dtype=np.uint64)
-        # the whole set for up to small shingles, and what a set of one more leaves without each
-        exact = np.concatenate([[total], total - hashes]) if len(hashes) > 1 else np.array([total])
-        keys = np.concatenate([keys, mix(exact ^ np.uint64(0xA5A5A5A5))])
-    return keys
+    n, total = len(hashes), hashes.sum(dtype=np.uint64)
+    exact = []
+    if LEAST <= n <= SMALL:
+        exact.append(np.array([total]))
+    if LEAST < n <= SMALL + 1:
+        exact.append(total - hashes)
+    keys = [mix(x ^ np.uint64(0xA5A5A5A5)) for x in exact]
+    if n >= SMALL:
+        values = densified(hashes, bands * rows).reshape(bands, rows)
+        banded = np.arange(1, bands + 1, dtype=np.uint64) * _ODD
+        for k in range(rows):
+            banded = mix(banded ^ values[:, k])
+        keys.append(banded)
+    return np.concatenate([*keys, np.zeros(0, np.uint64)])
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -126,6 +133,78 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, root:
     return staged(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), f"links_{name}", root)
 
 
+def size_class(n: float) -> int:
+    return int(np.floor(np.log(n) / np.log(STEP)))
+
+
+def prefixes(ordered: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """For each class of partner sizes: its number, the overlap needed at least and the tokens of a set (rarest first) of which a partner has one."""
+    n, share = len(ordered), percent / 100
+    out = []
+    for c in range(size_class(share * n) - 1, size_class(n / share) + 2):
+        least = max(int(np.ceil(STEP**c - 1e-9)), int(np.ceil(share * n - 1e-9)), 1)
+        if least > n / share + 1e-9 or size_class(least) > c:
+            continue
+        need = int(np.ceil(share / (1 + share) * (n + least) - 1e-9))
+        if need <= n:
+            out.append((c, need, ordered[: n - need + 1]))
+    return out
+
+
+def completed(rest: DataFrame, docs: DataFrame, width: int, percent: int, root: str) -> DataFrame:
+    """All links between different components of rest (node, component), whether their sets share a bucket or not.
+
+    Exact, by prefix filtering: with shingles in one order, rarest first, two similar sets share one within the first
+    n - need + 1 of each, where need is the overlap that their sizes ask for. The order goes by counts of hash buckets
+    of fixed number. Copies of one base with too many edits of their own have these edits in front and meet nobody.
+    """
+    spark = docs.sparkSession
+    texts = staged(docs.join(rest, F.col("doc_id") == F.col("node"), "inner").dropDuplicates(["doc_id"]).select("node", "component", "text"), "rest_texts", root)
+
+    def sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+        words, first = word_hashes(*raw(batch.column("text")))
+        return [shingles(words[a:b], width) for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in slices(batches):
+            for x in sets(batch):
+                seen += np.bincount((x >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[used])], names=["slot", "n"])
+
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
+    for r in texts.select("text").mapInArrow(tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.slot] = r.n
+    shared = spark.sparkContext.broadcast(counts)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 18):
+            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for node, component, x in zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), sets(batch), strict=True):
+                own = size_class(len(x))
+                ordered = x[np.lexsort((x, shared.value[(x >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]))]
+                for c, _, tokens in prefixes(ordered, percent):
+                    key = mix(tokens ^ np.uint64(min(own, c) * 4099 + max(own, c)))
+                    for k, v in enumerate((node, component, len(x))):
+                        columns[k].append(np.full(len(key), v, np.int64))
+                    columns[3].append(key.view(np.int64))
+                    columns[4].append(np.arange(len(key)))
+                    columns[5].append(np.full(len(key), own - c))
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["node", "component", "n", "key", "place", "side"])
+
+    tokens = staged(texts.mapInArrow(cut, "node long, component long, n long, key long, place long, side long"), "tokens", root)
+    spread = tokens.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one <> two").select("key")
+    open_tokens = staged(tokens.join(spread, "key", "left_semi"), "open_tokens", root)
+    a, b = open_tokens.alias("x"), open_tokens.alias("y")
+    need = F.ceil(F.lit(percent / (100 + percent)) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    reach = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    met = a.join(b, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.side") == -F.col("y.side")) & (reach >= need))
+    pairs = staged(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs", root)
+    return confirmed(pairs, docs, width, percent, root, "rest")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept of each row of docs.
 
@@ -146,29 +225,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # one row for each class: the class's smallest doc_id
     nodes = some.join(classes.withColumnRenamed("node", "doc_id"), own, "left_semi").dropDuplicates(["doc_id"])
     entries = staged(nodes.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")).distinct(), "entries", root)
-    links, round_no, seen = None, 0, None
-    # buckets with more than one class, and their first hub
+    # buckets with more than one class link their members to one hub
     hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    open_entries = staged(entries.join(hubs, "key").select("key", "node", "hub", F.lit(False).alias("same")), "open0", root)
-    while True:
-        pairs = open_entries.where("node <> hub and not same").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = staged(pairs, f"pairs{round_no}", root)
-        if not pairs.limit(1).count():
-            break
-        found = confirmed(pairs, docs, width, percent, root, str(round_no))
-        links = found if links is None else links.union(found)
-        seen = pairs if seen is None else seen.union(pairs)
-        labels = staged(components(links), f"components{round_no}", root)
-        # the hub is done with; what stands in other components than the next hub goes on
-        left = open_entries.where("node <> hub").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        parts = left.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two"), F.min("node").alias("hub")).where("one <> two").select("key", "hub")
-        next_entries = left.join(parts, "key").join(labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-        next_entries = next_entries.select("key", "node", "hub", (F.col("component") == F.coalesce("hub_component", "hub")).alias("same"))
-        round_no += 1
-        open_entries = staged(next_entries, f"open{round_no}", root)
-    return finished(signed, classes, components(links) if links is not None else None)
+    shared = staged(entries.join(hubs, "key").select("key", "node", "hub"), "shared", root)
+    stars = staged(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars", root)
+    links = confirmed(stars, docs, width, percent, root, "stars")
+    labels = staged(components(links), "labels", root)
+    # what stands in a bucket that still spans components
+    placed = shared.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one <> two").select("key")
+    rest = staged(placed.join(mixed, "key", "left_semi").select("node", "component").distinct(), "rest", root)
+    more = completed(rest, docs, width, percent, root)
+    return finished(signed, classes, components(links.union(more)))
 
 
 def finished(signed: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Every string of LENGTH bytes holds an anchor: the place of the least hash among its windows of GRAM bytes, which
 depends on the string alone, so equal strings have their anchors at the same offset. Only suffixes that start at
-anchors are indexed (about one in 38 bytes), ordered by the hash of their first GRAM bytes and then by that of the
+anchors are indexed (about one in 30 bytes), ordered by the hash of their first GRAM bytes and then by that of the
 whole stretch of strings that share the anchor; equality is all that is asked of the order, so hashes serve as
 well as the bytes. An anchor's record stands for a run of string starts.
 
@@ -28,12 +28,13 @@ from palimpsest.llm.common import raw, scratch_root, shards_for, ship, slices, s
 from palimpsest.llm.words import mix, prefix_hash, span_hash
 
 LENGTH = 100
-GRAM = 24
+GRAM = 40
 #: Bytes of text whose anchors a mapper sorts at once, and bytes of text for each range of hashes.
 BATCH_BYTES = 16 << 20
 RANGE_BYTES = 12 << 20
-PACKED = "range int, kind byte, head binary, whole binary, doc binary, start binary, many binary"
-RUNS = "doc_id long, start long, many int"
+PACKED = "range int, kind byte, base long, head binary, whole binary, doc binary, start binary, many binary"
+#: The open anchors' map: bits for each byte of text, most bits in all (128 MB), and the share of set bits beyond which texts are joined instead.
+MAP_SHARE, MAP_BITS, MAP_FULL = 0.125, 30, 0.05
 
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
@@ -135,9 +136,15 @@ def indexed(texts: DataFrame, ranges: int, length: int, gram: int, batch_bytes:
                 cuts = np.searchsorted(part[order], np.arange(ranges + 1))
                 full = np.flatnonzero(np.diff(cuts))
                 columns = {"range": pa.array(full, pa.int32()), "kind": pa.array(np.full(len(full), kind, np.int8))}
-                for name, code in (("head", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("many", "u1")):
-                    values = got[name][order].astype(code) if name in got else np.zeros(0, code)
-                    columns[name] = pa.array([values[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())
+                base = int(got["doc"].min()) if len(got["doc"]) else 0
+                narrow = not len(got["doc"]) or int(got["doc"].max()) - base < 1 << 32
+                values = {"start": got["start"].astype("<u4"), "many": got["many"].astype("u1"), "doc": (got["doc"] - base).astype("<u4") if narrow else got["doc"].astype("<i8")}
+                if kind:  # the range holds the upper bits of a head; equal lower ones only cost a comparison
+                    values |= {"head": got["head"].astype("<u4"), "whole": got["whole"].astype("<u8")}
+                columns["base"] = pa.array([base if narrow else None] * len(full), pa.int64())
+                for name in ("head", "whole", "doc", "start", "many"):
+                    own = values.get(name, np.zeros(len(got["doc"]), "V0"))[order]
+                    columns[name] = pa.array([own[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
 
         for batch in slices(batches, 1 << 20):
@@ -153,30 +160,35 @@ def indexed(texts: DataFrame, ranges: int, length: int, gram: int, batch_bytes:
     return texts.mapInArrow(build, PACKED)
 
 
-def matched(index: DataFrame, ranges: int) -> DataFrame:
-    """Covered runs (kind 0) and open ones (kind 1, with the gram's hash) of all families."""
+def docs_of(row: dict) -> np.ndarray:
+    """Document ids of a packed row."""
+    return np.frombuffer(row["doc"], "<i8") if row["base"] is None else np.frombuffer(row["doc"], "<u4").astype(np.int64) + row["base"]
 
-    def found(kind: int, got: dict[str, np.ndarray]) -> pa.RecordBatch:
-        head = got["head"].view(np.int64) if kind else np.zeros(len(got["doc"]), np.int64)
-        columns = [np.full(len(head), kind, np.int8), got["doc"], got["start"], got["many"].astype(np.int32), head]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "doc_id", "start", "many", "head"])
+
+def matched(index: DataFrame, ranges: int, parts: int) -> DataFrame:
+    """Covered runs (kind 0) and open ones (kind 1, with the range and the lower half of the gram's hash) of all families."""
+
+    def found(kind: int, part: int, got: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n = len(got["doc"])
+        head = got["head"].astype(np.int64) if kind else np.zeros(n, np.int64)
+        columns = [np.full(n, kind, np.int8), got["doc"], got["start"].astype(np.int64), got["many"].astype(np.int32), np.full(n, part, np.int32), head]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "doc_id", "start", "many", "range", "head"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families: dict[int, Family] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                get = lambda name, kind: np.frombuffer(row[name], kind)
-                array = {"head": get("head", "<u8"), "whole": get("whole", "<u8"), "doc": get("doc", "<i8"), "start": get("start", "<u4").astype(np.int64), "many": get("many", np.uint8).astype(np.int64)}
+                array = {"doc": docs_of(row), "start": np.frombuffer(row["start"], "<u4").astype(np.int64), "many": np.frombuffer(row["many"], "u1").astype(np.int64)}
                 if row["kind"]:
-                    families.setdefault(row["range"], Family()).add(array)
+                    families.setdefault(row["range"], Family()).add(array | {"head": np.frombuffer(row["head"], "<u4").astype(np.uint64), "whole": np.frombuffer(row["whole"], "<u8")})
                 else:
-                    yield found(0, array)
-        for family in families.values():
+                    yield found(0, 0, array)
+        for part, family in families.items():
             covered, left = family.finish()
-            yield found(0, covered)
-            yield found(1, left)
+            yield found(0, part, covered)
+            yield found(1, part, left)
 
-    return index.repartition(ranges, "range").mapInArrow(merge, "kind byte, doc_id long, start long, many int, head long")
+    return index.repartition(parts, "range").mapInArrow(merge, "kind byte, doc_id long, start long, many int, range int, head long")
 
 
 def _packed(runs: DataFrame, *more: str) -> DataFrame:
@@ -184,28 +196,156 @@ def _packed(runs: DataFrame, *more: str) -> DataFrame:
     return runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "many", *more)).alias("runs"))
 
 
-def compared(texts: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
-    """Covered runs among the open ones, string by string: those of which an earlier one with the same gram exists."""
+STRINGS = "bucket int, base long, hash binary, doc binary, start binary"
+
+
+def strings_of(held: list[tuple], buckets: int) -> tuple[pa.RecordBatch, dict[str, np.ndarray]]:
+    """Arrays of (hash, doc, start) of strings by bucket of the hash, and those that the batch itself repeats."""
+    hashes, doc, start = (np.concatenate([x[i] for x in held]) for i in range(3))
+    order = np.lexsort((start, doc, hashes))
+    hashes, doc, start = hashes[order], doc[order], start[order]
+    again = np.zeros(len(hashes), bool)
+    again[1:] = hashes[1:] == hashes[:-1]
+    late = {"doc": doc[again], "start": start[again]}
+    hashes, doc, start = hashes[~again], doc[~again], start[~again]
+    part = (hashes // np.uint64(2**64 // buckets + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(hashes), np.int64)
+    cuts = np.searchsorted(part, np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    base = int(doc.min()) if len(doc) else 0
+    narrow = not len(doc) or int(doc.max()) - base < 1 << 32
+    packed = {"hash": hashes.astype("<u8"), "doc": (doc - base).astype("<u4") if narrow else doc.astype("<i8"), "start": start.astype("<u4")}
+    columns = {"bucket": pa.array(full, pa.int32()), "base": pa.array([base if narrow else None] * len(full), pa.int64())}
+    columns |= {k: pa.array([v[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()) for k, v in packed.items()}
+    return pa.RecordBatch.from_pydict(columns), late
+
+
+def late_rows(late: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Strings that are known to be late, as rows without a hash, in runs of neighbouring starts."""
+    order = np.lexsort((late["start"], late["doc"]))
+    doc, start = late["doc"][order], late["start"][order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    at = np.flatnonzero(new)
+    many = np.diff(np.append(at, len(doc)))
+    return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(start[at], pa.int64()), pa.array(many.astype(np.int32))], names=["doc_id", "start", "many"])
+
+
+def compared(own: DataFrame, open_runs: DataFrame, length: int, gram: int, ranges: int, parts: int, map_bits: int, root: str, batch_bytes: int) -> DataFrame:
+    """Covered runs among the open ones, string by string: those of which an earlier one with the same gram exists.
+
+    Texts are scanned once more and anchors that look open by a map of bits give their strings: a bit set by chance only
+    gives more strings to compare. If the map would be too full, open runs are joined to their texts by doc_id instead.
+    """
+    spark = own.sparkSession
+    shift = 64 - map_bits
+    width = 2**64 // ranges + 1
+
+    def bit(part: np.ndarray, head: np.ndarray) -> np.ndarray:
+        # of a head its range and lower half are known
+        return (mix(head.astype(np.uint64) * np.uint64(ranges) + part.astype(np.uint64)) >> np.uint64(shift)).astype(np.int64)
+
+    def strings(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, many: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.repeat(np.arange(len(start)), many)
+        at = start[n] + np.arange(len(n)) - np.repeat(np.cumsum(many) - many, many)
+        return mix(span_hash(prefix, at, at + length) ^ (head[n].astype(np.uint32).astype(np.uint64) * _SALT)), at
+
+    def emit(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for hashes, doc, start in pieces:
+            held.append((hashes, doc, start))
+            size += len(hashes)
+            if size >= batch_bytes // 8:
+                yield from both(held)
+                held, size = [], 0
+        if size:
+            yield from both(held)
+
+    def both(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        packed, late = strings_of(held, parts)
+        yield packed
+        if len(late["doc"]):  # a row of its own bucket carries what is known already
+            key = (late["doc"] % parts).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            cuts = np.searchsorted(key[order], np.arange(parts + 1))
+            full = np.flatnonzero(np.diff(cuts))
+            doc, start = late["doc"][order].astype("<i8"), late["start"][order].astype("<u4")
+            columns = {"bucket": pa.array(full, pa.int32()), "base": pa.nulls(len(full), pa.int64()), "hash": pa.nulls(len(full), pa.binary())}
+            columns |= {k: pa.array([v[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()) for k, v in (("doc", doc), ("start", start))}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    n_open = open_runs.count()
+    if n_open <= MAP_FULL * (1 << map_bits):
+
+        def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = np.unique(bit(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+                where = np.unique(bits >> 16)
+                for k in where.tolist():
+                    row = np.zeros(1 << 16, np.uint8)
+                    row[bits[bits >> 16 == k] & 0xFFFF] = 1
+                    yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(row).tobytes()], pa.binary())})
+
+        def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    pieces[k] = pieces.get(k, 0) | np.frombuffer(x, np.uint8)
+            if pieces:
+                yield pa.RecordBatch.from_pydict({"piece": pa.array(list(pieces), pa.int32()), "bits": pa.array([x.tobytes() for x in pieces.values()], pa.binary())})
+
+        bits = np.zeros(max(1 << map_bits, 1 << 16) // 8, np.uint8)
+        sent = open_runs.select("range", "head").repartition(parts, F.shiftrightunsigned(F.col("head"), 0)).mapInArrow(segment, "piece int, bits binary")
+        for r in sent.repartition(parts, "piece").mapInArrow(union, "piece int, bits binary").toLocalIterator():
+            bits[r.piece * 8192 : (r.piece + 1) * 8192] |= np.frombuffer(r.bits, np.uint8)
+        shared = spark.sparkContext.broadcast(bits)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            looks = shared.value
+
+            def pieces() -> Iterator[tuple]:
+                for batch in slices(batches, 1 << 20):
+                    data, offsets = raw(batch.column("text"))
+                    text, first, many, head, _ = anchors(data, offsets, length, gram)
+                    at = bit((head // np.uint64(width)).astype(np.int64), head.astype(np.uint32))
+                    ok = looks[at >> 3] & (128 >> (at & 7)).astype(np.uint8) > 0
+                    text, first, many, head = text[ok], first[ok], many[ok], head[ok]
+                    hashes, start = strings(data, prefix_hash(data), first, many, head)
+                    owner = np.repeat(text, many)
+                    yield hashes, batch.column("doc_id").to_numpy(zero_copy_only=False)[owner], start - offsets[:-1][owner]
+
+            yield from emit(pieces())
+
+        made = own.mapInArrow(scan, STRINGS)
+    else:
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def pieces() -> Iterator[tuple]:
+                for batch in slices(batches, 1 << 20):
+                    data, offsets = raw(batch.column("text"))
+                    runs = batch.column("runs").to_pylist()
+                    owner = np.repeat(np.arange(batch.num_rows), [len(x) for x in runs])
+                    start, many, head = (np.array([r[k] for x in runs for r in x], np.int64) for k in ("start", "many", "head"))
+                    hashes, at = strings(data, prefix_hash(data), start + offsets[:-1][owner], many, head)
+                    each = np.repeat(owner, many)
+                    yield hashes, batch.column("doc_id").to_numpy(zero_copy_only=False)[each], at - offsets[:-1][each]
+
+            yield from emit(pieces())
+
+        made = own.join(_packed(open_runs, "head"), "doc_id").select("doc_id", "text", "runs").mapInArrow(joined, STRINGS)
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                doc, start = docs_of(row), np.frombuffer(row["start"], "<u4").astype(np.int64)
+                if row["hash"] is None:
+                    yield late_rows({"doc": doc, "start": start}, parts)
+                else:
+                    held.setdefault(row["bucket"], []).append((np.frombuffer(row["hash"], "<u8"), doc, start))
+        for rows in held.values():
+            yield late_rows(strings_of(rows, 1)[1], parts)
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1 << 20):
-            data, offsets = raw(batch.column("text"))
-            prefix = prefix_hash(data)
-            runs = batch.column("runs")
-            flat = runs.flatten()
-            per = np.diff(np.asarray(runs.offsets)) if hasattr(runs, "offsets") else None
-            start, many, head = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            owner = np.repeat(np.arange(batch.num_rows), per)
-            n = np.repeat(np.arange(len(start)), many)
-            at = offsets[:-1][owner[n]] + start[n] + np.arange(len(n)) - np.repeat(np.cumsum(many) - many, many)
-            hashes = mix(span_hash(prefix, at, at + length) ^ (head[n].view(np.uint64) * _SALT))
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[owner[n]]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(doc), pa.array(at - offsets[:-1][owner[n]])], names=["hash", "doc_id", "start"])
-
-    found = texts.join(_packed(open_runs, "head"), "doc_id").select("doc_id", "text", "runs").mapInArrow(strings, "hash long, doc_id long, start long")
-    first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "first")
-    later = found.join(first, "hash").where(F.struct("doc_id", "start") > F.col("first"))
-    return later.select("doc_id", "start", F.lit(1).alias("many"))
+    return made.repartition(parts, "bucket").mapInArrow(later, "doc_id long, start long, many int")
 
 
 def cut(texts: DataFrame, length: int) -> DataFrame:
@@ -254,10 +394,13 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     keyed = narrow.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
     first = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     copies = staged(keyed.join(first.where("n > 1").select("digest", F.col("doc_id").alias("first")), "digest").where("doc_id <> first").select("doc_id").distinct(), "copies", root)
-    texts = staged(narrow.join(copies.withColumn("whole", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole")), "texts", root)
-    own = texts.where("not whole").select("doc_id", "text")
-    runs = staged(matched(indexed(own, ranges, length, gram, batch_bytes), ranges), "runs", root)
-    late = compared(own, runs.where("kind = 1").select("doc_id", "start", "many", "head"), length)
-    covered = runs.where("kind = 0").select("doc_id", "start", "many").union(late)
-    done = cut(texts.join(_packed(covered), "doc_id", "left").select("doc_id", "text", "whole", "runs"), length)
+    map_bits = min(MAP_BITS, max(16, int(size * MAP_SHARE).bit_length()))
+    own = narrow.join(copies, "doc_id", "left_anti")
+    runs = staged(matched(indexed(own, 4 * ranges, length, gram, batch_bytes), 4 * ranges, ranges), "runs", root)
+    late = compared(own, runs.where("kind = 1"), length, gram, 4 * ranges, ranges, map_bits, root, batch_bytes)
+    # a row for each document that loses something: with null for runs all of it goes
+    lost = _packed(runs.where("kind = 0").select("doc_id", "start", "many").union(late)).withColumn("whole", F.lit(False))
+    lost = lost.union(copies.select("doc_id", F.lit(None).cast(lost.schema["runs"].dataType).alias("runs"), F.lit(True).alias("whole")))
+    texts = narrow.join(lost, "doc_id", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
+    done = cut(texts, length)
     return done.withColumn("doc_id", F.when(F.col("doc_id") == null_id, None).otherwise(F.col("doc_id")))

@@ -179,8 +179,9 @@ def trained(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, passes:
     """A network trained on up to about per_label documents of each label; None without both labels."""
     spark = docs.sparkSession
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
-    some = sample(labelled, per_label, "toxic", 1).persist()
+    # the sample is drawn from the labels, so it is small when it meets the texts
+    ids = sample(known, per_label, "toxic", 1).select("doc_id", "label", "key").orderBy("key").limit(4 * per_label + 400)
+    some = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "key", "text").persist()
     try:
         table = odds(some)
         shared = spark.sparkContext.broadcast(table)
