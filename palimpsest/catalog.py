@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from palimpsest.plans import aggregates, changes, noise, relations, retrieval, scalars, sequences, streams  # noqa: F401 (they register)
+from palimpsest.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
 FLAGSHIP = "ret01_search"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}

@@ -19,13 +19,13 @@ def form_statistics(messages: DataFrame) -> DataFrame:
 
 def word_statistics(texts: DataFrame, text: str = "text") -> DataFrame:
     """Per word its occurrences and the rows it stands in; counted per row first, so common words shuffle once a task."""
-    each = texts.select(F.monotonically_increasing_id().alias("_row"), F.explode(words(F.col(text))).alias("word"))
+    each = texts.select(F.monotonically_increasing_id().alias("_row"), text).select("_row", F.explode(words(F.col(text))).alias("word"))
     return each.groupBy("_row", "word").agg(F.count(F.lit(1)).alias("c")).groupBy("word").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
 def candidates(forms: DataFrame, seeds: DataFrame, most: int = 256) -> DataFrame:
     """Forms within one edit of a seed, met through shared deletion signatures; at most `most` a form, and whether that cut any."""
-    sign = lambda df, name: df.select(F.col("form").alias(name), F.explode(F.array_union(F.array("form"), deletions(F.col("form")))).alias("signature"))
+    sign = lambda df, name: df.select("form").withColumn("signature", F.explode(F.array_union(F.array("form"), deletions(F.col("form"))))).withColumnRenamed("form", name)
     met = sign(forms, "form").join(sign(seeds, "seed"), "signature").select("form", "seed").distinct()
     edits = met.withColumn("edit", one_edit(F.col("seed"), F.col("form"))).where("edit is not null and edit <> 'exact'")
     order = W.partitionBy("form").orderBy("edit", "seed")
@@ -52,8 +52,8 @@ def decisions(statistics: DataFrame, seeds: DataFrame, candidate: DataFrame) ->
 
 def precision(cases: DataFrame) -> DataFrame:
     """Precision, recall and false-positive rate of predicted against label (0/1), null where nothing is to divide by."""
-    tp, fp = F.count_if("predicted = 1 and label = 1"), F.count_if("predicted = 1 and label = 0")
-    fn, tn = F.count_if("predicted = 0 and label = 1"), F.count_if("predicted = 0 and label = 0")
+    tp, fp = F.count_if(F.expr("predicted = 1 and label = 1")), F.count_if(F.expr("predicted = 1 and label = 0"))
+    fn, tn = F.count_if(F.expr("predicted = 0 and label = 1")), F.count_if(F.expr("predicted = 0 and label = 0"))
     rate = lambda a, b: F.round(a / F.nullif(a + b, F.lit(0)), 6)
     return cases.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), rate(tp, fp).alias("precision"), rate(tp, fn).alias("recall"), rate(fp, tn).alias("fpr"))
 
@@ -65,7 +65,7 @@ def ranking(results: DataFrame, k: int = 10) -> DataFrame:
     ideal = (F.pow(2.0, F.col("grade")) - 1) / F.log2(F.col("best") + 1.0)
     hit = (F.col("grade") > 0) & (F.col("rank") <= k)
     per = results.withColumn("best", best).groupBy("query").agg(
-        F.count_if(hit).alias("found"), F.count_if("grade > 0").alias("relevant"), F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias("dcg"), F.sum(F.when(F.col("best") <= k, ideal).otherwise(0.0)).alias("idcg")
+        F.count_if(hit).alias("found"), F.count_if(F.expr("grade > 0")).alias("relevant"), F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias("dcg"), F.sum(F.when(F.col("best") <= k, ideal).otherwise(0.0)).alias("idcg")
     )
     zero = F.lit(0)
     return per.select("query", F.round(F.col("found") / F.nullif("relevant", zero), 6).alias("recall"), F.round(F.col("dcg") / F.when(F.col("idcg") > 0, F.col("idcg")), 6).alias("ndcg"))

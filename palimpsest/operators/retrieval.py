@@ -22,7 +22,8 @@ def lengths(texts: DataFrame, text: str = "text") -> DataFrame:
 def matches(texts: DataFrame, terms: Sequence[str], text: str = "text") -> DataFrame:
     """texts with their length in words and, in tf0, tf1 and so on, how often each distinct term stands in them. One scan, no shuffle."""
     found = texts.withColumn("_words", words(F.col(text)))
-    counts = {f"tf{i}": F.size(F.filter("_words", lambda x, t=t: x == t)) for i, t in enumerate(dict.fromkeys(terms))}
+    count = lambda t: F.size(F.filter("_words", lambda x: x == t))
+    counts = {f"tf{i}": count(t) for i, t in enumerate(dict.fromkeys(terms))}
     return found.withColumns({"dl": F.size("_words")} | counts).drop("_words")
 
 
