@@ -31,8 +31,14 @@ def forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 FORMS_SQL = f"forms AS (SELECT DISTINCT unnest({words_sql('text')}) AS form FROM benchmark), seeds AS (SELECT form AS seed FROM forms WHERE starts_with(form, 't'))"
-EDITS_SQL = """edits AS (SELECT form, seed, CASE WHEN levenshtein(form, seed) = 1 AND length(form) = length(seed) THEN 'substitution' WHEN levenshtein(form, seed) = 1 AND length(form) > length(seed) THEN 'insertion'
-  WHEN levenshtein(form, seed) = 1 THEN 'deletion' WHEN length(form) = length(seed) AND damerau_levenshtein(form, seed) = 1 THEN 'transposition' END AS edit FROM forms, seeds WHERE form <> seed)"""
+#: DuckDB's levenshtein counts bytes, so single edits of characters are spelled out.
+_LEFT_OUT = "list_transform(range(1, length({0}) + 1), lambda i: concat({0}[1:i - 1], {0}[i + 1:length({0})]))"
+EDITS_SQL = f"""edits AS (SELECT form, seed, CASE
+  WHEN length(form) = length(seed) AND len(list_filter(range(1, length(form) + 1), lambda i: form[i] <> seed[i])) = 1 THEN 'substitution'
+  WHEN length(form) = length(seed) + 1 AND list_contains({_LEFT_OUT.format("form")}, seed) THEN 'insertion'
+  WHEN length(seed) = length(form) + 1 AND list_contains({_LEFT_OUT.format("seed")}, form) THEN 'deletion'
+  WHEN length(form) = length(seed) AND list_contains(list_transform(range(1, length(seed)), lambda i: concat(seed[1:i - 1], seed[i + 1], seed[i], seed[i + 2:length(seed)])), form) THEN 'transposition'
+  END AS edit FROM forms, seeds WHERE form <> seed)"""
 
 
 @query(f"WITH {FORMS_SQL}, {EDITS_SQL} SELECT form, seed, edit, false AS incomplete FROM edits WHERE edit IS NOT NULL")
