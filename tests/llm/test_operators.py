@@ -199,15 +199,20 @@ def test_mixture(docs):
         assert taken >= min(most, 2 * sum(r.tokens for r in own)) - 1 and taken - max(r.tokens for r in own) <= most
 
 
-def test_classifiers_on_held_out_rows(spark):
-    folder = "/root/testdata/sf0.01"
-    given, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+def test_language_of_held_out_rows(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     named = identify(given).where("held_out").join(given.select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'").collect()
     assert np.mean([r.lang == r.lang_pred for r in named]) > 0.9
-    judged = toxicity(given, labels).where("held_out").join(labels, "doc_id").collect()
-    good = [r.score for r in judged if r.toxic == 0]
-    bad = [r.score for r in judged if r.toxic == 1]
-    assert np.mean([b > g for b in bad for g in good]) > 0.75
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """At sf0.1, with some 350 toxic rows to learn from and 97 held out; sf0.01 has 45 and 6 (see the README)."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    judged = toxicity(spark.read.parquet(f"{folder}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").collect()
+    good, bad = (np.array([r.score for r in judged if r.toxic == x]) for x in (0, 1))
+    assert (bad[:, None] > good[None, :]).mean() > 0.9
+    assert (bad >= 0.5).mean() > 0.8 and (good >= 0.5).mean() < 0.05
     assert all(r.predicted == (r.score >= 0.5) for r in judged)
 
 
