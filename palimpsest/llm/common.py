@@ -71,6 +71,21 @@ def shards_for(size: int, target: int, least: int = 1) -> int:
     return max(least, -(-size // target))
 
 
+def numbered(docs: DataFrame, root: str, nulls_first: bool, range_bytes: int = 16 << 20) -> DataFrame:
+    """docs with row, a number of each row's own in the order of doc_id (a long) and text (null doc_ids all first or all last).
+
+    Where no doc_id stands twice it is the number itself. Else the rows are dealt by ranges, sorted, numbered and written with
+    their texts. Ranges go by the beginning of a text, as the driver holds a sample of what they go by.
+    """
+    null_id = F.lit(-(2**63) if nulls_first else 2**63 - 1)
+    own = F.coalesce("doc_id", null_id)
+    if docs.groupBy(own.alias("row")).count().where("count > 1").limit(1).count() == 0:
+        return docs.withColumn("row", own)
+    first = F.col("doc_id").asc_nulls_first() if nulls_first else F.col("doc_id").asc_nulls_last()
+    ranged = docs.repartitionByRange(shards_for(text_bytes(docs)[1], range_bytes, 8), first, F.substring("text", 1, 40).asc())
+    return staged(ranged.sortWithinPartitions(first, F.col("text").asc()).withColumn("row", F.monotonically_increasing_id()), "numbered", root)
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo modulus."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import raw, scratch_root, shards_for, ship, slices, staged, text_bytes
+from palimpsest.llm.common import numbered, raw, scratch_root, shards_for, ship, slices, staged, text_bytes
 from palimpsest.llm.words import mix, prefix_hash, span_hash
 
 LENGTH = 100
@@ -150,7 +150,7 @@ def indexed(texts: DataFrame, ranges: int, length: int, gram: int, batch_bytes:
         for batch in slices(batches, 1 << 20):
             data, offsets = raw(batch.column("text"))
             text, first, many, head, whole = anchors(data, offsets, length, gram)
-            held.append((batch.column("doc_id").to_numpy(zero_copy_only=False)[text], first - offsets[:-1][text], many, head, whole))
+            held.append((batch.column("row").to_numpy(zero_copy_only=False)[text], first - offsets[:-1][text], many, head, whole))
             size += len(data)
             if size >= batch_bytes:
                 yield from arrays()
@@ -161,7 +161,7 @@ def indexed(texts: DataFrame, ranges: int, length: int, gram: int, batch_bytes:
 
 
 def docs_of(row: dict) -> np.ndarray:
-    """Document ids of a packed row."""
+    """Numbers of the rows in a packed record."""
     return np.frombuffer(row["doc"], "<i8") if row["base"] is None else np.frombuffer(row["doc"], "<u4").astype(np.int64) + row["base"]
 
 
@@ -172,7 +172,7 @@ def matched(index: DataFrame, ranges: int, parts: int) -> DataFrame:
         n = len(got["doc"])
         head = got["head"].astype(np.int64) if kind else np.zeros(n, np.int64)
         columns = [np.full(n, kind, np.int8), got["doc"], got["start"].astype(np.int64), got["many"].astype(np.int32), np.full(n, part, np.int32), head]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "doc_id", "start", "many", "range", "head"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "row", "start", "many", "range", "head"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families: dict[int, Family] = {}
@@ -188,12 +188,12 @@ def matched(index: DataFrame, ranges: int, parts: int) -> DataFrame:
             yield found(0, part, covered)
             yield found(1, part, left)
 
-    return index.repartition(parts, "range").mapInArrow(merge, "kind byte, doc_id long, start long, many int, range int, head long")
+    return index.repartition(parts, "range").mapInArrow(merge, "kind byte, row long, start long, many int, range int, head long")
 
 
 def _packed(runs: DataFrame, *more: str) -> DataFrame:
-    """A row for each document with its runs as arrays."""
-    return runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "many", *more)).alias("runs"))
+    """A record for each row with its runs as arrays."""
+    return runs.groupBy("row").agg(F.collect_list(F.struct("start", "many", *more)).alias("runs"))
 
 
 STRINGS = "bucket int, base long, hash binary, doc binary, start binary"
@@ -227,14 +227,14 @@ def late_rows(late: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
     new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
     at = np.flatnonzero(new)
     many = np.diff(np.append(at, len(doc)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(start[at], pa.int64()), pa.array(many.astype(np.int32))], names=["doc_id", "start", "many"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(start[at], pa.int64()), pa.array(many.astype(np.int32))], names=["row", "start", "many"])
 
 
 def compared(own: DataFrame, open_runs: DataFrame, length: int, gram: int, ranges: int, parts: int, map_bits: int, root: str, batch_bytes: int) -> DataFrame:
     """Covered runs among the open ones, string by string: those of which an earlier one with the same gram exists.
 
     Texts are scanned once more and anchors that look open by a map of bits give their strings: a bit set by chance only
-    gives more strings to compare. If the map would be too full, open runs are joined to their texts by doc_id instead.
+    gives more strings to compare. If the map would be too full, open runs are joined to their texts by row instead.
     """
     spark = own.sparkSession
     shift = 64 - map_bits
@@ -311,7 +311,7 @@ def compared(own: DataFrame, open_runs: DataFrame, length: int, gram: int, range
                     text, first, many, head = text[ok], first[ok], many[ok], head[ok]
                     hashes, start = strings(data, prefix_hash(data), first, many, head)
                     owner = np.repeat(text, many)
-                    yield hashes, batch.column("doc_id").to_numpy(zero_copy_only=False)[owner], start - offsets[:-1][owner]
+                    yield hashes, batch.column("row").to_numpy(zero_copy_only=False)[owner], start - offsets[:-1][owner]
 
             yield from emit(pieces())
 
@@ -327,11 +327,11 @@ def compared(own: DataFrame, open_runs: DataFrame, length: int, gram: int, range
                     start, many, head = (np.array([r[k] for x in runs for r in x], np.int64) for k in ("start", "many", "head"))
                     hashes, at = strings(data, prefix_hash(data), start + offsets[:-1][owner], many, head)
                     each = np.repeat(owner, many)
-                    yield hashes, batch.column("doc_id").to_numpy(zero_copy_only=False)[each], at - offsets[:-1][each]
+                    yield hashes, batch.column("row").to_numpy(zero_copy_only=False)[each], at - offsets[:-1][each]
 
             yield from emit(pieces())
 
-        made = own.join(_packed(open_runs, "head"), "doc_id").select("doc_id", "text", "runs").mapInArrow(joined, STRINGS)
+        made = own.join(_packed(open_runs, "head"), "row").select("row", "text", "runs").mapInArrow(joined, STRINGS)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -345,7 +345,7 @@ def compared(own: DataFrame, open_runs: DataFrame, length: int, gram: int, range
         for rows in held.values():
             yield late_rows(strings_of(rows, 1)[1], parts)
 
-    return made.repartition(parts, "bucket").mapInArrow(later, "doc_id long, start long, many int")
+    return made.repartition(parts, "bucket").mapInArrow(later, "row long, start long, many int")
 
 
 def cut(texts: DataFrame, length: int) -> DataFrame:
@@ -378,29 +378,28 @@ def cut(texts: DataFrame, length: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs.
 
-    Each byte covered by a string of length bytes that also starts earlier (in a document of smaller doc_id, or earlier in the same one)
-    goes; strings are judged on the input and don't cross documents. A null text is empty; texts shorter than length
-    lose nothing. Rows that share a doc_id count as one document for the order: of equal texts among them one stays. A null
-    doc_id comes before all others. An empty table gives no rows; other columns are ignored.
+    Each byte covered by a string of length bytes that also starts earlier (in a row before it, or earlier in the same one)
+    goes; strings are judged on the input and don't cross rows. Rows stand in the order of doc_id, null before all others,
+    and rows that share a doc_id in that of their texts; each is a text of its own, and of equal ones the first stays.
+    A null text is empty; texts shorter than length lose nothing. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     root = scratch_root(spark)
-    null_id = F.lit(-(2**63))
-    narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), null_id).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    narrow = numbered(given, root, nulls_first=True)
     _, size = text_bytes(narrow)
     ranges = shards_for(size, range_bytes, 12)
     # the first of each group of equal texts stands for it; a digest travels, not the text
-    keyed = narrow.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
-    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
-    copies = staged(keyed.join(first.where("n > 1").select("digest", F.col("doc_id").alias("first")), "digest").where("doc_id <> first").select("doc_id").distinct(), "copies", root)
+    keyed = narrow.select("row", F.unhex(F.sha2("text", 256)).alias("digest"))
+    first = keyed.groupBy("digest").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    copies = staged(keyed.join(first.where("n > 1").select("digest", F.col("row").alias("first")), "digest").where("row <> first").select("row"), "copies", root)
     map_bits = min(MAP_BITS, max(16, int(size * MAP_SHARE).bit_length()))
-    own = narrow.join(copies, "doc_id", "left_anti")
+    own = narrow.select("row", "text").join(copies, "row", "left_anti")
     runs = staged(matched(indexed(own, 4 * ranges, length, gram, batch_bytes), 4 * ranges, ranges), "runs", root)
     late = compared(own, runs.where("kind = 1"), length, gram, 4 * ranges, ranges, map_bits, root, batch_bytes)
-    # a row for each document that loses something: with null for runs all of it goes
-    lost = _packed(runs.where("kind = 0").select("doc_id", "start", "many").union(late)).withColumn("whole", F.lit(False))
-    lost = lost.union(copies.select("doc_id", F.lit(None).cast(lost.schema["runs"].dataType).alias("runs"), F.lit(True).alias("whole")))
-    texts = narrow.join(lost, "doc_id", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
-    done = cut(texts, length)
-    return done.withColumn("doc_id", F.when(F.col("doc_id") == null_id, None).otherwise(F.col("doc_id")))
+    # a record for each row that loses something: with null for runs all of it goes
+    lost = _packed(runs.where("kind = 0").select("row", "start", "many").union(late)).withColumn("whole", F.lit(False))
+    lost = lost.union(copies.select("row", F.lit(None).cast(lost.schema["runs"].dataType).alias("runs"), F.lit(True).alias("whole")))
+    texts = narrow.join(lost, "row", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
+    return cut(texts, length)

@@ -119,6 +119,26 @@ def test_repeated_passages_over_many_arrays(docs):
     assert {tuple(r) for r in repeated_passages(docs, batch_bytes=4000, range_bytes=9000).collect()} == whole
 
 
+def test_repeated_passages_of_rows_that_share_an_id(spark):
+    """Repeated rows, null ids and differing texts above 100 bytes: each row is judged by itself, in the order of doc_id (null first) and text."""
+    rng = np.random.default_rng(11)
+    say = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 9000, n))
+    passage, short, long = say(40), say(30), say(900)
+    rows = [(5, short), (5, short), (5, short), (None, long), (None, long), (None, "a" + short), (None, passage + long[:50]), (-(2**63), say(25) + passage)]
+    rows += [(6, say(400) + passage), (6, say(30)), (6, long), (7, passage), (7, passage), (8, "tiny"), (8, "tiny"), (8, None), (9, say(60)), (2, say(20) + short + say(20))]
+    expected, seen = [], set()
+    for i, t in sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode())):
+        data = t.encode()
+        gone = np.zeros(len(data), bool)
+        for k in range(len(data) - 99):
+            gone[k : k + 100] |= data[k : k + 100] in seen
+            seen.add(data[k : k + 100])
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        expected.append((i, len(data), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(data, np.uint8)[~gone])).hexdigest()))
+    found = [tuple(r) for r in repeated_passages(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+
+
 def test_token_counts(docs):
     library = Tokenizer.from_file(public_tokenizers.path(BYTE_BPE))
     found = by_id(count_tokens(docs, public_tokenizers.path(BYTE_BPE)))
