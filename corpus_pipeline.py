@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import scratch_root, staged, table
+from palimpsest.llm.common import numbered, scratch_root, staged, table
 from palimpsest.llm.decontamination import contamination
 from palimpsest.llm.language_id import identify
 from palimpsest.llm.mixing import mixture
@@ -23,8 +23,15 @@ LEAST_SCORE = 0.3
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the rows with a doc_id of gone; rows with a null doc_id stay."""
-    return docs.join(gone.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs but for the rows whose number is a doc_id of gone. docs: what by_row gives."""
+    rest = docs.join(gone.select(F.col("doc_id").alias("row")), "row", "left_anti")
+    return rest.select(*(f"given.{c}" for c in rest.select("given.*").columns))
+
+
+def by_row(docs: DataFrame) -> DataFrame:
+    """Each row with a number of its own as row (in the order of doc_id, null last, and text), its text, and all of it as given."""
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("given"))
+    return numbered(whole, scratch_root(docs.sparkSession), nulls_first=False)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,17 +41,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates, and one of rows that repeat an id."""
-    found = near_duplicates(docs)
-    rest = without(docs, found.where("not kept"))
-    repeated = rest.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without(rest, repeated).unionByName(once.select(*docs.columns))
+    """Keep the row with the smallest id (of equal ids the smallest text; null comes last) of each group of near duplicates. Rows that share an id are compared like any others."""
+    own = by_row(docs)
+    return without(own, near_duplicates(own.select(F.col("row").alias("doc_id"), "text")).where("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth or more stands in the benchmark."""
-    return without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Drop rows of which a twentieth or more stands in the benchmark."""
+    own = by_row(docs)
+    return without(own, contamination(own.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
