@@ -5,8 +5,8 @@ For a text of code points c the prefix array holds P[i] = sum of (c[k] + 1) * b*
 equal if the differences are, once brought to the same power; a longest common extension is found by binary search.
 
 A fingerprint keeps a text's length, its two full hashes and the prefix values at multiples of a stride, the
-smallest power of two that leaves at most POINTS of them. Two fingerprints are compared at the coarser stride:
-binary search finds the longest common prefix that both know of; their likeness is its share of the longer text, and 1 if length and full hashes are equal.
+smallest power of two that leaves at most POINTS of them: it tells texts apart. The likeness of two texts comes from the whole prefix
+arrays: a character counts if it stands in the common beginning, in the common end, or in a span of SPAN characters that occurs anywhere in the other text.
 """
 
 from __future__ import annotations
@@ -25,26 +25,29 @@ from palimpsest.llm.common import scratch_root, shards_for, ship, staged, text_b
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 754_974_721)
 POINTS = 32
+#: Characters of the shortest span that counts between the common beginning and the common end.
+SPAN = 32
 RANGE_BYTES = 16 << 20
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-_POWERS: list[np.ndarray] = []
+_POWERS: dict[tuple[int, ...], list[np.ndarray]] = {}
+_INVERSES = tuple(pow(b, -1, PRIME) for b in BASES)
 
 
-def _powers(n: int) -> list[np.ndarray]:
+def _powers(n: int, bases: tuple[int, ...] = BASES) -> list[np.ndarray]:
     """b**k modulo PRIME for k < n at least, for each base."""
-    if not _POWERS or len(_POWERS[0]) < n:
+    if bases not in _POWERS or len(_POWERS[bases][0]) < n:
         size = 1 << max(14, (n - 1).bit_length())
-        _POWERS.clear()
-        for base in BASES:
+        _POWERS[bases] = []
+        for base in bases:
             out = np.ones(size, np.uint64)
             have = 1
             while have < size:
                 step = np.uint64(pow(base, have, PRIME))
                 out[have : 2 * have] = out[:have] * step % np.uint64(PRIME)
                 have *= 2
-            _POWERS.append(out)
-    return _POWERS
+            _POWERS[bases].append(out)
+    return _POWERS[bases]
 
 
 def code_points(text: str) -> np.ndarray:
@@ -71,6 +74,14 @@ class Prefixes:
         """Prefix values of both bases at places, as one 62-bit integer each."""
         return self.arrays[0][places] << np.uint64(31) | self.arrays[1][places]
 
+    def spans(self, length: int) -> np.ndarray:
+        """Hashes of all spans of length characters, each as if it stood at 0, in one 62-bit integer."""
+        if self.n < length:
+            return np.zeros(0, np.uint64)
+        prime = np.uint64(PRIME)
+        one, two = ((p[length:] + prime - p[:-length]) % prime * back[: self.n - length + 1] % prime for p, back in zip(self.arrays, _powers(self.n + 1, _INVERSES), strict=True))
+        return one << np.uint64(31) | two
+
 
 def equal_spans(a: Prefixes, i: int, b: Prefixes, j: int, length: int) -> bool:
     top = max(i, j)
@@ -89,6 +100,18 @@ def common_extension(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
     return low
 
 
+def common_end(a: Prefixes, b: Prefixes, most: int) -> int:
+    """Length of the longest common suffix of a and b, most at most."""
+    low, high = 0, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        if equal_spans(a, a.n - middle, b, b.n - middle, middle):
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def stride_of(n: int, points: int = POINTS) -> int:
     stride = 1
     while n // stride > points:
@@ -107,26 +130,26 @@ def written(found: tuple[int, int, int, np.ndarray]) -> str:
     return f"{n:x}.{whole:016x}." + values.astype(">u4").tobytes().hex()
 
 
-def parsed(fingerprint: str) -> tuple[int, int, int, np.ndarray]:
-    n, whole, values = fingerprint.split(".")
-    return int(n, 16), int(whole, 16), stride_of(int(n, 16)), np.frombuffer(bytes.fromhex(values), ">u4").astype(np.uint64)
-
-
-def likeness(a: tuple[int, int, int, np.ndarray], b: tuple[int, int, int, np.ndarray]) -> float:
-    """0 to 1, from two fingerprints alone."""
-    if a[:2] == b[:2]:
+def likeness(a: Prefixes, b: Prefixes) -> float:
+    """0 to 1: the share of the longer text that both have, as spans at any place; 1 for equal texts only."""
+    longer, shorter = max(a.n, b.n), min(a.n, b.n)
+    front = common_extension(a, 0, b, 0)
+    if front == longer:
         return 1.0
-    longer = max(a[0], b[0])
-    stride = max(a[2], b[2])
-    x, y = a[3][stride // a[2] - 1 :: stride // a[2]], b[3][stride // b[2] - 1 :: stride // b[2]]
-    low, high = 0, min(len(x), len(y))
-    while low < high:  # prefixes agree up to a place and nowhere beyond
-        middle = (low + high + 1) // 2
-        if x[middle - 1] == y[middle - 1]:
-            low = middle
-        else:
-            high = middle - 1
-    return low * stride / longer if longer else 1.0
+    back = common_end(a, b, shorter - front)
+    spans = a.spans(SPAN), b.spans(SPAN)
+    least = shorter
+    for own, x, y in ((a, *spans), (b, *spans[::-1])):
+        mark = np.zeros(own.n + 1, np.int32)
+        hit = np.flatnonzero(np.isin(x, y))
+        mark[hit] += 1
+        mark[hit + SPAN] -= 1
+        shared = np.cumsum(mark)[:-1] > 0
+        shared[:front] = True
+        shared[own.n - back :] = True
+        least = min(least, int(shared.sum()))
+    # texts of the same spans in another order aren't equal
+    return min(least, longer - 1) / longer
 
 
 def edited(own: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -135,11 +158,11 @@ def edited(own: np.ndarray, following: np.ndarray) -> np.ndarray:
     return np.concatenate([own[: len(own) - cut], following[:cut]])
 
 
-def compared(own: np.ndarray, own_sketch: tuple, following: np.ndarray, next_sketch: tuple) -> tuple:
+def compared(own: np.ndarray, own_prefixes: Prefixes, following: np.ndarray, next_prefixes: Prefixes) -> tuple:
     changed = edited(own, following)
-    changed_sketch = sketch(Prefixes(changed))
+    changed_prefixes = Prefixes(changed)
     digest = hashlib.sha256(changed.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest()
-    return len(own), digest, written(own_sketch), written(changed_sketch), likeness(own_sketch, changed_sketch), likeness(own_sketch, next_sketch)
+    return len(own), digest, written(sketch(own_prefixes)), written(sketch(changed_prefixes)), likeness(own_prefixes, changed_prefixes), likeness(own_prefixes, next_prefixes)
 
 
 def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -168,7 +191,7 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 points = code_points(text)
-                here = (doc_id, text, points, sketch(Prefixes(points)))
+                here = (doc_id, text, points, Prefixes(points))
                 if held is None:
                     first = text
                 else:
@@ -193,7 +216,7 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
             rows = []
             for doc_id, text, following in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 own, after = code_points(text), code_points(following)
-                rows.append((doc_id, *compared(own, sketch(Prefixes(own)), after, sketch(Prefixes(after)))))
+                rows.append((doc_id, *compared(own, Prefixes(own), after, Prefixes(after))))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in COLUMNS.split(", ")])
 

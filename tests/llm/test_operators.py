@@ -14,7 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from palimpsest.llm.decontamination import contamination
-from palimpsest.llm.fingerprints import fingerprints
+from palimpsest.llm.fingerprints import SPAN, Prefixes, code_points, common_end, common_extension, equal_spans, fingerprints
 from palimpsest.llm.language_id import identify
 from palimpsest.llm.lm_scoring import lm_scores
 from palimpsest.llm.mixing import budgets, mixture
@@ -170,6 +170,50 @@ def test_fingerprints(docs):
         assert 0 <= found[i].near_edited <= 1 and 0 <= found[i].near_next <= 1
 
 
+def test_spans_at_free_places():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        s, t = ("".join(rng.choice(list("abé\U0001f600"), n)) for n in rng.integers(5, 60, 2))
+        t = t[: len(t) // 2] + s[2:30] + t[len(t) // 2 :]
+        a, b = Prefixes(code_points(s)), Prefixes(code_points(t))
+        i, j = int(rng.integers(0, len(s) + 1)), int(rng.integers(0, len(t) + 1))
+        same = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))  # noqa: E731, B905
+        assert common_extension(a, i, b, j) == same(s[i:], t[j:])
+        assert common_end(a, b, min(len(s), len(t))) == same(s[::-1], t[::-1])
+        n = int(rng.integers(0, min(len(s) - i, len(t) - j) + 1))
+        assert equal_spans(a, i, b, j, n) == (s[i : i + n] == t[j : j + n])
+        mine, other = ([x[k : k + 5] for k in range(len(x) - 4)] for x in (s, t))
+        assert [[p == q for q in b.spans(5)] for p in a.spans(5)] == [[p == q for q in other] for p in mine]
+
+
+def test_likeness_of_near_copies(spark):
+    """Copies with an early edit, a shared middle, a shared end and swapped halves are near; near_next is as brute force has it."""
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 90000, n))
+    base, other = say(900), say(800)
+    half = len(base) // 2
+    texts = [base, "X" + base, base[:9] + "#" + base[10:], say(100) + base[500:] + say(90), base[half:] + base[:half], other, say(700), base[:50], "", "ab", "ab", base * 2]
+    found = by_id(fingerprints(spark.createDataFrame([(-k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)))
+
+    def share(s, t):
+        front = next((k for k in range(min(len(s), len(t))) if s[k] != t[k]), min(len(s), len(t)))
+        back = next((k for k in range(min(len(s), len(t)) - front) if s[-1 - k] != t[-1 - k]), min(len(s), len(t)) - front)
+        n = []
+        for x, y in ((s, t), (t, s)):
+            have = {y[k : k + SPAN] for k in range(len(y) - SPAN + 1)}
+            at = {*range(front), *range(len(x) - back, len(x))}
+            for k in range(len(x) - SPAN + 1):
+                if x[k : k + SPAN] in have:
+                    at.update(range(k, k + SPAN))
+            n.append(len(at))
+        longer = max(len(s), len(t))
+        return 1.0 if s == t else min(*n, longer - 1) / longer
+
+    for k, t in enumerate(texts):
+        assert found[-k].near_next == pytest.approx(share(t, texts[(k + 1) % len(texts)])), k
+    assert min(found[-k].near_next for k in range(4)) > 0.75 and found[-5].near_next < 0.1 and found[0].near_next > 0.99
+
+
 def test_contamination(spark, docs):
     rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: rx.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
