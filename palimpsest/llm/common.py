@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -55,10 +57,11 @@ def staged(df: DataFrame, name: str, root: str | None = None, by: list[str] | No
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unstage(spark: SparkSession, root: str, name: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def unstage(spark: SparkSession, root: str, *names: str) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for name in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
@@ -132,6 +135,22 @@ def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def trimmed(work: Callable) -> Callable:
+    """work, after whose end a worker gives the memory it freed back to the system: workers outlive their tasks."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def fixed_workers() -> None:
     """One thread for each Python worker: Spark has one for each core already."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import scratch_root, shards_for, ship, staged, text_bytes
+from palimpsest.llm.common import scratch_root, shards_for, ship, staged, text_bytes, trimmed
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 754_974_721)
@@ -183,6 +183,7 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
     ranged = narrow.repartitionByRange(shards_for(size, range_bytes, 8), order[0]).sortWithinPartitions(*order)
 
+    @trimmed
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [x.split()[0] for x in COLUMNS.split(", ")]
         schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in columns[2:5]), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("first_text", pa.string()), ("last_text", pa.string())])
@@ -211,6 +212,7 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     head = F.first("first_text").over(round_about.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     joined = ends.select("doc_id", "last_text", F.coalesce(F.lead("first_text").over(round_about), head).alias("next_text"))
 
+    @trimmed
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import raw, remainder, ship, slices
+from palimpsest.llm.common import raw, remainder, ship, slices, trimmed
 from palimpsest.llm.gru import Adam, backward, new_layer, run
 
 BLOCK = 64
@@ -190,6 +190,7 @@ def identify(docs: DataFrame, training: DataFrame | None = None, per_language: i
     model = spark.sparkContext.broadcast(network)
     more = [c for c in (keep or []) if c not in ("doc_id", "text")]
 
+    @trimmed
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in slices(batches):

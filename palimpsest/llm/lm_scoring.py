@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import raw, remainder, scratch_root, shards_for, ship, slices, staged, text_bytes
-from palimpsest.llm.words import bounds, lowered, mix, prefix_hash, span_hash
+from palimpsest.llm.common import raw, remainder, scratch_root, shards_for, ship, slices, staged, text_bytes, trimmed
+from palimpsest.llm.words import bounds, lowered, mix, span_hashes
 
 BATCH_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
@@ -56,6 +56,7 @@ def shape_of(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 def batches_of(docs: DataFrame, buckets: int) -> DataFrame:
     """docs: doc_id, held, text. A row of kind 0 for each batch, one of kind 1 for each of its ranges of words."""
 
+    @trimmed
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_rows: list[tuple] = []
         size = 0
@@ -91,7 +92,7 @@ def batches_of(docs: DataFrame, buckets: int) -> DataFrame:
             many = np.diff(first) + 1
             at = np.arange(len(starts)) + np.repeat(np.arange(len(many)), many - 1)
             hashes, shapes = np.full(len(starts) + len(many), END), np.zeros(len(starts) + len(many), np.uint8)
-            hashes[at] = span_hash(prefix_hash(low), starts, ends)
+            hashes[at] = span_hashes(low, starts, ends)
             shapes[at] = shape_of(low, starts, ends) if len(starts) else 0
             ids = batch.column("doc_id")
             held_rows.append((ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), batch.column("held").to_numpy(zero_copy_only=False), many, hashes, shapes))
@@ -107,6 +108,7 @@ def batches_of(docs: DataFrame, buckets: int) -> DataFrame:
 def counted(batches: DataFrame, buckets: int) -> DataFrame:
     """For each range: every batch's counts over the corpus (kind 1), totals by shape (2) and its most frequent words (3)."""
 
+    @trimmed
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
         for part in parts:
@@ -240,6 +242,7 @@ def trained(streams: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(table)
 
+        @trimmed
         def learn(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, squares, seen = shared.value.copy(), np.zeros((1 << BITS, CLASSES), np.float32), 0
             for part in parts:
@@ -293,6 +296,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     model = spark.sparkContext.broadcast(trained(streams))
     tokens = totals.tokens
 
+    @trimmed
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
         for part in parts:

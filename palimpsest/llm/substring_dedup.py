@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import numbered, raw, scratch_root, shards_for, ship, slices, staged, text_bytes
+from palimpsest.llm.common import numbered, raw, scratch_root, shards_for, ship, slices, staged, text_bytes, trimmed
 from palimpsest.llm.words import mix, prefix_hash, span_hash
 
 LENGTH = 100
@@ -118,6 +118,7 @@ class Family:
 def indexed(texts: DataFrame, ranges: int, length: int, gram: int, batch_bytes: int) -> DataFrame:
     """Sorted arrays of each batch of documents, cut by ranges of the gram's hash."""
 
+    @trimmed
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -174,6 +175,7 @@ def matched(index: DataFrame, ranges: int, parts: int) -> DataFrame:
         columns = [np.full(n, kind, np.int8), got["doc"], got["start"].astype(np.int64), got["many"].astype(np.int32), np.full(n, part, np.int32), head]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "row", "start", "many", "range", "head"])
 
+    @trimmed
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families: dict[int, Family] = {}
         for batch in batches:
@@ -299,6 +301,7 @@ def compared(own: DataFrame, open_runs: DataFrame, length: int, gram: int, range
             bits[r.piece * 8192 : (r.piece + 1) * 8192] |= np.frombuffer(r.bits, np.uint8)
         shared = spark.sparkContext.broadcast(bits)
 
+        @trimmed
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             looks = shared.value
 
@@ -318,6 +321,7 @@ def compared(own: DataFrame, open_runs: DataFrame, length: int, gram: int, range
         made = own.mapInArrow(scan, STRINGS)
     else:
 
+        @trimmed
         def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def pieces() -> Iterator[tuple]:
                 for batch in slices(batches, 1 << 20):
@@ -333,6 +337,7 @@ def compared(own: DataFrame, open_runs: DataFrame, length: int, gram: int, range
 
         made = own.join(_packed(open_runs, "head"), "row").select("row", "text", "runs").mapInArrow(joined, STRINGS)
 
+    @trimmed
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
@@ -351,6 +356,7 @@ def compared(own: DataFrame, open_runs: DataFrame, length: int, gram: int, range
 def cut(texts: DataFrame, length: int) -> DataFrame:
     """The digest of each document once its covered strings' bytes are gone. texts: doc_id, text, whole (all is covered), runs."""
 
+    @trimmed
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
             data, offsets = raw(batch.column("text"))

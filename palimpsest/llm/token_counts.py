@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import fixed_workers, lengths, raw, ship, slices
-from palimpsest.llm.words import HashTable, prefix_hash, span_hash
+from palimpsest.llm.words import HashTable, span_hashes
 
 #: Documents of which the broadcast table is made; it changes the speed, never a count.
 WARM_DOCS = 2000
@@ -111,7 +111,7 @@ class PieceCounter:
             blob = data.tobytes()
             return np.array([self.whole(blob[a:b].decode()) if b > a else 0 for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
         starts, ends, first = self.pieces(data, offsets)
-        hashes = span_hash(prefix_hash(data), starts, ends)
+        hashes = span_hashes(data, starts, ends)
         heads = first[:-1][np.diff(offsets) > 0]  # a text's first piece has no space before it
         found = self.frequent.get(hashes)
         rest = np.flatnonzero(found < 0)
@@ -158,7 +158,7 @@ def frequent_pieces(docs: DataFrame, path: str, warm_docs: int = WARM_DOCS, tabl
         for batch in slices(batches, 1 << 20):
             data, offsets = raw(batch.column(0))
             starts, ends, _ = own.pieces(data, offsets)
-            hashes, at, counts = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_counts=True)
+            hashes, at, counts = np.unique(span_hashes(data, starts, ends), return_index=True, return_counts=True)
             short = np.flatnonzero(ends[at] - starts[at] <= LONGEST)
             for h, i, n in zip(hashes[short].tolist(), at[short].tolist(), counts[short].tolist(), strict=True):
                 if h in seen:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import raw, remainder, ship, slices
+from palimpsest.llm.common import raw, remainder, ship, slices, trimmed
 from palimpsest.llm.gru import Adam, backward, new_layer, run
 from palimpsest.llm.language_id import sample
 from palimpsest.llm.words import NOT_ALNUM, bounds, lowered, prefix_hash, span_hash
@@ -222,6 +222,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Dat
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = spark.sparkContext.broadcast(trained(narrow, labels, per_label))
 
+    @trimmed
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in slices(batches):

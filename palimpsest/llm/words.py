@@ -14,6 +14,11 @@ NOT_ALNUM = np.ones(256, bool)
 NOT_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Entries of a table of powers.
+BITS = 16
+BLOCK = 1 << BITS
+#: Bytes whose prefix array is held at once where spans of many bytes are hashed.
+STRETCH = 1 << 20
 _TABLES: dict[str, np.ndarray] = {}
 
 
@@ -33,30 +38,65 @@ def _byte_codes() -> np.ndarray:
     return _TABLES["codes"]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """factor**i and factor**-i modulo 2**64 for i < n at least."""
-    if "up" not in _TABLES or len(_TABLES["up"]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        inverse = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
-        for name, base in (("up", _FACTOR), ("down", inverse)):
-            steps = np.full(size, base, np.uint64)
+def _powers() -> tuple[np.ndarray, ...]:
+    """factor**i, factor**-i, and both for multiples of BLOCK: tables of a fixed size whose products give any power of a place below BLOCK**2."""
+    if "up" not in _TABLES:
+        inverse = pow(int(_FACTOR), -1, 1 << 64)
+        bases = {"up": int(_FACTOR), "down": inverse, "far_up": pow(int(_FACTOR), BLOCK, 1 << 64), "far_down": pow(inverse, BLOCK, 1 << 64)}
+        for name, base in bases.items():
+            steps = np.full(BLOCK, base, np.uint64)
             steps[0] = 1
             _TABLES[name] = np.multiply.accumulate(steps)
-    return _TABLES["up"], _TABLES["down"]
+    return tuple(_TABLES[x] for x in ("up", "down", "far_up", "far_down"))
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] the polynomial of data[i:j], scaled by factor**i; modulo 2**64."""
-    up, _ = powers(len(data) + 1)
+    """P with P[j] - P[i] the polynomial of data[i:j], scaled by factor**i; modulo 2**64. Made in blocks, so that little but the result is held."""
+    up, _, far, _ = _powers()
+    codes = _byte_codes()
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_codes()[data] * up[: len(data)], out=out[1:])
+    for k, i in enumerate(range(0, len(data), BLOCK)):
+        terms = codes[data[i : i + BLOCK]]
+        terms *= up[: len(terms)]
+        terms *= far[k]
+        terms[:1] += out[i : i + 1]
+        np.cumsum(terms, out=out[i + 1 : i + 1 + len(terms)])
     return out
 
 
+def whole_hash(data: np.ndarray) -> np.ndarray:
+    """What span_hash gives for all of data, in one entry and without its prefix array."""
+    up, _, far, _ = _powers()
+    codes, total = _byte_codes(), np.zeros(1, np.uint64)
+    for k, i in enumerate(range(0, len(data), BLOCK)):
+        terms = codes[data[i : i + BLOCK]]
+        terms *= up[: len(terms)]
+        total += terms.sum(dtype=np.uint64, keepdims=True) * far[k]
+    return mix(total + np.uint64(len(data)))
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end]: equal for equal bytes, wherever they stand."""
-    _, down = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+    _, down, _, far = _powers()
+    back = down[start & (BLOCK - 1)]
+    if len(prefix) > BLOCK:
+        back *= far[start >> BITS]
+    return mix((prefix[end] - prefix[start]) * back + (end - start).astype(np.uint64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hash of ascending spans that don't overlap, with prefix arrays of STRETCH bytes at most, whatever the length of data."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + STRETCH, side="right")))
+        if ends[i] - base > STRETCH:
+            out[i:j] = whole_hash(data[base : ends[i]])
+        else:
+            out[i:j] = span_hash(prefix_hash(data[base : ends[j - 1]]), starts[i:j] - base, ends[i:j] - base)
+        i = j
+    return out
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -80,7 +120,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = BLAN
     """Hash of each lower-cased word, and the number of words before each text."""
     low = lowered(data)
     starts, ends, first = bounds(low, offsets, breaks)
-    return span_hash(prefix_hash(low), starts, ends), first
+    return span_hashes(low, starts, ends), first
 
 
 class HashTable:
