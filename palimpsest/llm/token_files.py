@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import fixed_workers, raw, scratch_root, shards_for, ship, slices, text_bytes
-from palimpsest.llm.words import HashTable, bounds, prefix_hash, span_hash
+from palimpsest.llm.common import fixed_workers, raw, scratch_root, shards_for, ship, slices, text_bytes, trimmed
+from palimpsest.llm.words import HashTable, bounds, span_hashes
 
 #: Bytes of text of a range partition, and tokens of a shard (a longer document is a shard by itself).
 RANGE_BYTES = 16 << 20
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 18
 #: Words whose ids a worker keeps; beyond, it starts anew.
 CACHE_SIZE = 1_000_000
 #: Re-Pair: rounds, least occurrences of a pair that becomes a rule, most rules a round.
@@ -105,7 +105,7 @@ class WordEncoder:
             ids = [np.array(self.tokenizer.encode(blob[a:b].decode(), add_special_tokens=False).ids, np.uint32) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.array([len(x) for x in ids], np.int64)
         starts, ends, first = bounds(data, offsets)
-        hashes = span_hash(prefix_hash(data), starts, ends)
+        hashes = span_hashes(data, starts, ends)
         found = self.table.get(hashes)
         rest = np.flatnonzero(found < 0)
         if len(rest):
@@ -235,6 +235,7 @@ def write_files(docs: DataFrame, path: str, out: str, end_id: int = 2, range_byt
     _, size = text_bytes(narrow)
     ranged = narrow.repartitionByRange(shards_for(size, range_bytes, 8), "doc_id").sortWithinPartitions("doc_id", "text")
 
+    @trimmed
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, cache_size)
         end = np.array([end_id], np.uint32)
@@ -254,7 +255,7 @@ def write_files(docs: DataFrame, path: str, out: str, end_id: int = 2, range_byt
             held, ids, part, total = [], [], part + 1, 0
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("first_doc_id", pa.int64()), ("part", pa.int64()), *((k, pa.binary()) for k in ("docs", "lengths", "places", "sequence", "left", "right", "expansion")), ("base", pa.int64()), ("n_ids", pa.int64())]))
 
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             tokens, sizes = own.encode(*raw(batch.column(1)))
             stops = np.cumsum(sizes).tolist()
             for doc_id, a, b in zip(batch.column(0).to_pylist(), [0, *stops[:-1]], stops, strict=True):
@@ -280,9 +281,11 @@ def digests(files: DataFrame) -> DataFrame:
     before = files.select("first_doc_id", "part", "n_ids").select("first_doc_id", "part", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
     joined = files.join(before, files.first_doc_id.eqNullSafe(before.first_doc_id) & (files.part == before.part)).drop(before.first_doc_id).drop(before.part)
 
+    @trimmed
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 arrays = [np.frombuffer(row[x], "<u4") for x in ("sequence", "left", "right", "expansion")]
                 ids = expand(arrays[0], row["base"], *arrays[1:]).astype("<u4")
                 keys, sizes = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["lengths"], "<i8")
