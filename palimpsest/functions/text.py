@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import uuid
 
@@ -11,9 +12,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
-#: Stop words of queries; negations are kept on purpose.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+#: Function words of Russian and English queries; negations, numbers and names are kept on purpose.
+STOP_WORDS = tuple(
+    """
+    а б будем будет будут будь будьте бы был была были было быть
+    в вам вами вас ваш ваша ваше ваши во вот все всего вы
+    где да для до его ее ей ему если есть же за зачем здесь
+    и из или им ими их к как ко когда кто ли либо
+    мне мной мы на над надо нам нами нас наш наша наше наши
+    но ну о об обо от перед по под при про
+    с со так также там те тем то того той только том ту ты
+    у уж уже чем чего что чтобы эта эти это этот я
+    a about above after again against all also am an and any are as at
+    be because been before being below between both but by
+    can could did do does doing down during each either else
+    for from had has have having he her here hers herself him himself his how
+    i if in into is it its itself just me more most my myself
+    of on once only or other our ours ourselves out over own
+    same she should so some such than that the their theirs them themselves
+    then there these they this those through to too under until up us very
+    was we were what when where which while who whom whose why will with would
+    you your yours yourself yourselves
+    i'm you're he's she's it's we're they're that's there's here's
+    what's who's where's when's why's how's let's
+    i've you've we've they've i'll you'll he'll she'll it'll we'll they'll
+    i'd you'd he'd she'd we'd they'd
+    """.split()
+)
 WORD = r"[\p{L}\p{N}]+"
+#: Words joined by apostrophes, for stop words; by hyphens too, for whole words.
+TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
+COMPOUND = r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*"
+#: Characters that may enclose a whole word, and those that may enclose a phrase.
+ENCLOSING = ' \t\n\r.,!?…:;"«»“”()[]'
+EDGE = " \t.,!;:()[]{}«»\"'“”„…"
+#: Laughing is made of these two letters; seeds in the order in which they are tried.
+LAUGHTER = "ах"
+LAUGHTER_SEEDS = ("хаха", "ахаха", "ахах", "хах")
 
 
 def normal(text: str | None) -> str | None:
@@ -35,20 +70,26 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
 
 
+def query_words(query: str, most: int = 100) -> list[str]:
+    """Words of a query in order, repeated ones kept."""
+    return [x for token in query_tokens(query) for x in re.split("['’]", token)][:most]
+
+
+def query_tokens(query: str) -> list[str]:
+    """Words of a query, those joined by an apostrophe as one."""
+    return re.findall(r"[^\W_]+(?:['’][^\W_]+)*", normal(query))
+
+
 def query_terms(query: str, most: int = 100) -> list[str]:
-    """Words of a query without stop words, in order, repeated ones kept."""
-    found, word = [], ""
-    for c in normal(query) + " ":
-        if unicodedata.category(c)[0] in "LN":
-            word += c
-        elif word:
-            found.append(word)
-            word = ""
-    return [x for x in found if x not in STOP_WORDS][:most]
+    """Words of a query without stop words, in order, repeated ones kept. A contraction that is a stop word goes as a whole."""
+    kept = [x for x in query_tokens(query) if x.replace("’", "'") not in STOP_WORDS]
+    return [x for token in kept for x in re.split("['’]", token)][:most]
 
 
-def without_stop_words(tokens: Column) -> Column:
-    return F.filter(tokens, lambda x: ~x.isin(*STOP_WORDS))
+def keyword_terms(text: Column) -> Column:
+    """query_terms as a column."""
+    kept = F.filter(F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0)), lambda x: ~F.replace(x, F.lit("’"), F.lit("'")).isin(*STOP_WORDS))
+    return F.flatten(F.transform(kept, lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0))))
 
 
 def grams(text: Column) -> Column:
@@ -66,18 +107,62 @@ def run_key(form: Column) -> Column:
     return F.regexp_replace(form, r"(.)\1+", "$1")
 
 
+def run_list(form: Column) -> Column:
+    """The runs of equal letters of a form."""
+    return F.regexp_extract_all(form, F.lit(r"(.)\1*"), F.lit(0))
+
+
+def is_lengthening(observed: Column, original: Column) -> Column:
+    """Whether observed is another form than original, with the same runs of letters, none shorter."""
+    longer = F.zip_with(run_list(observed), run_list(original), lambda a, b: F.coalesce((F.substring(a, 1, 1) == F.substring(b, 1, 1)) & (F.length(a) >= F.length(b)), F.lit(False)))
+    return (observed != original) & F.forall(longer, lambda x: x)
+
+
 def whole_word(text: Column) -> Column:
-    """The single word of a text once the punctuation around it is gone, else null."""
-    bare = F.regexp_replace(folded(text), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return F.when(bare.rlike(rf"^{WORD}$"), bare)
+    """The single word (hyphens and apostrophes may join its parts) of a text once the punctuation around it is gone, else null."""
+    bare = F.btrim(folded(text), F.lit(ENCLOSING))
+    return F.when(bare.rlike(rf"^{COMPOUND}$"), bare)
+
+
+def phrase_of(text: Column) -> Column:
+    """A text with its white space single."""
+    return F.btrim(F.regexp_replace(folded(text), r"\s+", " "))
 
 
 def message_form(text: Column) -> Column:
-    """A short message as a phrase: at most 512 characters, 1 to 32 words, fewer than five different, no link."""
-    found = words(text)
-    phrase = F.array_join(found, " ")
-    fits = (F.length(text) <= 512) & F.size(found).between(1, 32) & (F.size(F.array_distinct(found)) < 5) & (F.length(phrase) <= 256) & ~F.lower(text).contains("http")
-    return F.when(fits, phrase)
+    """A short message as a form: its whole word (64 characters at most), or its phrase: at most 512 characters before and 256 after
+    white space is single, 1 to 32 words, fewer than five different, no link, no control character; one word only as a /command."""
+    single, value = whole_word(text), phrase_of(text)
+    found = F.regexp_extract_all(value, F.lit(COMPOUND), F.lit(0))
+    fits = F.length(value).between(1, 256) & F.size(found).between(1, 32) & (F.size(F.array_distinct(found)) < 5) & ~value.contains("://") & ~value.startswith("www.") & ~value.rlike(r"[\x00-\x1f]")
+    phrase = F.when(fits & ((F.size(found) > 1) | value.startswith("/")), value)
+    return F.when(F.length(text) <= 512, F.when(single.isNotNull(), F.when(F.length(single) <= 64, single)).otherwise(phrase))
+
+
+def punctuation_key(form: Column) -> Column:
+    """A form without the punctuation at its edges, if what is left is a form."""
+    key = F.btrim(form, F.lit(EDGE))
+    return F.when(message_form(key) == key, key).otherwise(form)
+
+
+def laughter_seed(form: Column, confirmed: tuple[str, ...] = LAUGHTER_SEEDS) -> Column:
+    """The first confirmed seed for a form of four or more letters that laughs: only these two letters, no two equal ones in a row."""
+    seed = next((x for x in LAUGHTER_SEEDS if x in confirmed), None)
+    return F.when((F.length(form) >= 4) & form.rlike(f"^[{LAUGHTER}]+$") & ~form.rlike(r"(.)\1"), F.lit(seed))
+
+
+def structural_flags(text: Column, form: Column) -> Column:
+    """What a form looks like: uppercase, titlecase, number or alphanumeric, mixed_scripts."""
+    letters = F.size(F.regexp_extract_all(text, F.lit(r"\p{L}"), F.lit(0)))
+    cased = text.rlike(r"\p{Lu}")
+    flags = (
+        ("uppercase", cased & ~text.rlike(r"\p{Ll}") & (letters >= 2)),
+        ("titlecase", cased & ~text.rlike(r"(^|[^\p{L}])\p{Ll}|\p{L}\p{Lu}")),
+        ("number", form.rlike(r"^\p{Nd}+$")),
+        ("alphanumeric", form.rlike(r"\p{Nd}") & ~form.rlike(r"^\p{Nd}+$")),
+        ("mixed_scripts", form.rlike(r"\p{IsLatin}") & form.rlike(r"\p{IsCyrillic}")),
+    )
+    return F.array_compact(F.array(*(F.when(test, name) for name, test in flags)))
 
 
 def deletions(form: Column) -> Column:
@@ -123,21 +208,25 @@ def chat_id(scope: pd.Series, external: pd.Series) -> pd.Series:
 def substring_edits(pattern: str, text: str, most: int) -> int | None:
     """Least edits (an adjacent swap counts as one) between pattern and any substring of text, None beyond most.
 
-    One row of the distance table at a time, with the row before it for swaps; the first row is free, so a match may begin anywhere.
+    Bit vectors hold one column of the distance table: where it rises and falls, and where a letter swaps with the one before.
     """
     if not pattern:
         return 0
-    two, one = None, list(range(len(pattern) + 1))
-    best = one[-1]
-    for j, c in enumerate(text):
-        row = [0]
-        for i, p in enumerate(pattern, 1):
-            cost = min(one[i] + 1, row[i - 1] + 1, one[i - 1] + (p != c))
-            if two is not None and i > 1 and p == text[j - 1] and pattern[i - 2] == c:
-                cost = min(cost, two[i - 2] + 1)
-            row.append(cost)
-        two, one = one, row
-        best = min(best, row[-1])
+    n = len(pattern)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    where: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        where[c] = where.get(c, 0) | 1 << i
+    rises, falls, diagonal, before, score, best = full, 0, full, 0, n, n
+    for c in text:
+        here = where.get(c, 0)
+        swap = ((~diagonal & here) << 1) & before
+        diagonal = ((((here & rises) + rises) ^ rises) | here | falls | swap) & full
+        up, down = falls | ~(diagonal | rises) & full, diagonal & rises
+        score += bool(up & top) - bool(down & top)
+        best = min(best, score)
+        up, down = (up << 1) & full, (down << 1) & full
+        rises, falls, before = down | ~(diagonal | up) & full, diagonal & up, here
     return best if best <= most else None
 
 

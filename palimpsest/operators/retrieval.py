@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import folded, grams, query_terms, substring_distance, words
+from palimpsest.functions.text import folded, grams, normal, query_terms, query_words, substring_distance, words
 from palimpsest.functions.vectors import cosine_distances
 from palimpsest.plans.spec import SearchSpec, after
 
@@ -51,11 +51,13 @@ def bm25(texts: DataFrame, query: str, text: str = "text", k1: float = 1.2, b: f
 
 def phrase(texts: DataFrame, query: str, text: str = "text") -> DataFrame:
     """Rows in which the words of query follow one another, with how often; the literal text must stand there too."""
-    terms = query_terms(query)
+    terms = query_words(query)
     n = len(terms)
+    if not n:
+        return texts.limit(0).withColumn("tf", F.lit(0))
     found = texts.withColumn("_words", words(F.col(text)))
     start = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_words") - n + 1, F.lit(1))), lambda i: F.slice("_words", i, n) == F.array(*map(F.lit, terms)))
-    return found.where(folded(F.col(text)).contains(" ".join(terms))).withColumn("tf", F.size(start)).where("tf > 0").drop("_words")
+    return found.where(folded(F.col(text)).contains(normal(query).strip())).withColumn("tf", F.size(start)).where("tf > 0").drop("_words")
 
 
 def ocr_words(texts: DataFrame, query: str, key: str, text: str = "text", limit: int = 100) -> DataFrame:

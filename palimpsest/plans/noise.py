@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import noise as N
-from palimpsest.plans.registry import WITH, day_sql, folded_sql, query, words_sql
-from palimpsest.plans.scalars import FORM_SQL
+from palimpsest.plans.registry import WITH, day_sql, form_sql, query, single_sql, words_sql
+
 from palimpsest.sources.views import messages, table
 
 
-@query(f"""{WITH}, f AS (SELECT {FORM_SQL} AS form, deleted = 0 AND has_photo = 0 AS eligible, regexp_matches({folded_sql("text")}, '^[^\\p{{L}}\\p{{N}}]*[\\p{{L}}\\p{{N}}]+[^\\p{{L}}\\p{{N}}]*$') AS single,
+@query(f"""{WITH}, f AS (SELECT {form_sql("text")} AS form, deleted = 0 AND has_photo = 0 AS eligible, ({single_sql("text")}) IS NOT NULL AS single,
  {day_sql("timestamp")} AS day, author_id FROM messages)
 SELECT form, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (eligible) AS BIGINT) AS n_eligible, CAST(count(*) FILTER (single) AS BIGINT) AS n_whole, CAST(count(DISTINCT day) AS BIGINT) AS n_days, CAST(count(DISTINCT author_id) AS BIGINT) AS n_authors
 FROM f WHERE form IS NOT NULL GROUP BY form""")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.functions.text import COMPOUND, ENCLOSING, STOP_WORDS, TOKEN, WORD
 from palimpsest.sources.views import MESSAGES_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,38 @@ def words_sql(text: str) -> str:
     return f"regexp_extract_all({folded_sql(text)}, '[\\p{{L}}\\p{{N}}]+')"
 
 
+#: The stop words, for SQL.
+STOPS = ", ".join("'" + x.replace("'", "''") + "'" for x in STOP_WORDS)
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def keywords_sql(text: str) -> str:
+    kept = f"list_filter(regexp_extract_all({folded_sql(text)}, {quoted(TOKEN)}), lambda x: replace(x, '’', chr(39)) NOT IN ({STOPS}))"
+    return f"flatten(list_transform({kept}, lambda x: regexp_extract_all(x, '{WORD}')))"
+
+
+def single_sql(text: str) -> str:
+    """The whole word of a text, or null."""
+    bare = f"trim({folded_sql(text)}, {quoted(ENCLOSING)})"
+    return f"CASE WHEN regexp_full_match({bare}, {quoted(COMPOUND)}) THEN {bare} END"
+
+
+def phrase_sql(text: str) -> str:
+    return f"trim(regexp_replace({folded_sql(text)}, '\\s+', ' ', 'g'), ' ')"
+
+
+def form_sql(text: str) -> str:
+    """The form of a short message, or null."""
+    single, value = single_sql(text), phrase_sql(text)
+    found = f"regexp_extract_all({value}, {quoted(COMPOUND)})"
+    fits = f"length({value}) BETWEEN 1 AND 256 AND len({found}) BETWEEN 1 AND 32 AND len(list_distinct({found})) < 5 AND NOT contains({value}, '://') AND NOT starts_with({value}, 'www.') AND NOT regexp_matches({value}, '[\\x00-\\x1f]')"
+    return f"""CASE WHEN length({text}) > 512 THEN NULL WHEN ({single}) IS NOT NULL THEN CASE WHEN length({single}) <= 64 THEN {single} END
+ WHEN {fits} AND (len({found}) > 1 OR starts_with({value}, '/')) THEN {value} END"""
+
+
 def day_sql(seconds: str) -> str:
     return f"strftime(make_timestamp(CAST({seconds} AS BIGINT) * 1000000), '%Y-%m-%d')"
 

@@ -11,8 +11,8 @@ from palimpsest.plans.registry import WITH, bm25_sql, folded_sql, query, words_s
 from palimpsest.plans.spec import SearchSpec
 from palimpsest.sources.views import EPOCH, messages, table
 
-SPEC = SearchSpec(query="de le", author_ids=("user", "assistant"), date_from=EPOCH, date_to=EPOCH + 365 * 86400)
-LIVE = SearchSpec(query="de le de", content_type="text", exclude_deleted=True)
+SPEC = SearchSpec(query="er th", author_ids=("user", "assistant"), date_from=EPOCH, date_to=EPOCH + 365 * 86400)
+LIVE = SearchSpec(query="er th er", content_type="text", exclude_deleted=True)
 #: SPEC and LIVE's conditions, for SQL.
 SPEC_SQL = f"author_id IN ('user', 'assistant') AND timestamp >= {EPOCH} AND timestamp < {EPOCH + 365 * 86400}"
 LIVE_SQL = "kind = 'message' AND text <> '' AND deleted = 0"
@@ -33,7 +33,7 @@ NEIGHBOURS_SQL = f"""away AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS chat
   1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), {GOAL_SQL}) AS distance FROM embeddings WHERE label % 2 = 0)"""
 
 
-@query(f"""{WITH}, {bm25_sql(["de", "le"], keys="chat_id, message_id")},
+@query(f"""{WITH}, {bm25_sql(["er", "th"], keys="chat_id, message_id")},
 top AS (SELECT s.* FROM scored s JOIN messages m USING (chat_id, message_id) WHERE {SPEC_SQL} ORDER BY score, timestamp, message_id, chat_id LIMIT 20),
 placed AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY timestamp, message_id) AS rn FROM messages)
 SELECT a.chat_id, a.message_id AS anchor_id, p.message_id, CAST(p.rn - a.rn AS BIGINT) AS position, round(t.score, 6) AS score
@@ -47,22 +47,22 @@ def ret01_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return around.join(hits.select("chat_id", F.col("message_id").alias("anchor_id"), "score"), ["chat_id", "anchor_id"]).select("chat_id", "anchor_id", "message_id", F.col("offset").alias("position"), F.round("score", 6).alias("score"))
 
 
-@query(f"{WITH}, {bm25_sql(['de', 'le', 'de'])} SELECT chat_id, message_id, round(score, 6) AS score FROM scored")
+@query(f"{WITH}, {bm25_sql(['er', 'th', 'er'])} SELECT chat_id, message_id, round(score, 6) AS score FROM scored")
 def ret02_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all matches over the statistics of the whole archive; a repeated term counts twice."""
-    return R.bm25(messages(spark, sf_dir), "de le de").select(*KEY, F.round("score", 6).alias("score"))
+    return R.bm25(messages(spark, sf_dir), "er th er").select(*KEY, F.round("score", 6).alias("score"))
 
 
-@query(f"{WITH}, {bm25_sql(['de', 'le', 'de'])} SELECT s.chat_id, s.message_id, round(s.score, 6) AS score FROM scored s JOIN messages m USING (chat_id, message_id) WHERE {LIVE_SQL} ORDER BY s.score, s.timestamp, s.message_id, s.chat_id LIMIT 100")
+@query(f"{WITH}, {bm25_sql(['er', 'th', 'er'])} SELECT s.chat_id, s.message_id, round(s.score, 6) AS score FROM scored s JOIN messages m USING (chat_id, message_id) WHERE {LIVE_SQL} ORDER BY s.score, s.timestamp, s.message_id, s.chat_id LIMIT 100")
 def topk01_lexical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search(messages(spark, sf_dir), LIVE, 100).select(*KEY, F.round("score", 6).alias("score"))
 
 
 @query(f"""{WITH}, w AS (SELECT chat_id, message_id, {words_sql("text")} AS w, {folded_sql("text")} AS f FROM messages)
-SELECT chat_id, message_id, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = 'de' AND w[i + 1] = 'la')) AS BIGINT) AS tf
-FROM w WHERE contains(f, 'de la') AND len(list_filter(range(1, len(w)), lambda i: w[i] = 'de' AND w[i + 1] = 'la')) > 0""")
+SELECT chat_id, message_id, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS BIGINT) AS tf
+FROM w WHERE contains(f, 'of the') AND len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0""")
 def ret03_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.phrase(messages(spark, sf_dir), "de la").select(*KEY, F.col("tf").cast("long").alias("tf"))
+    return R.phrase(messages(spark, sf_dir), "of the").select(*KEY, F.col("tf").cast("long").alias("tf"))
 
 
 @query()
@@ -76,22 +76,22 @@ def ret05_exact_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark, sf_dir, 50).select("id", F.round("distance", 6).alias("distance"))
 
 
-@query(f"""{WITH}, {bm25_sql(["de", "le"])}, {NEIGHBOURS_SQL},
+@query(f"""{WITH}, {bm25_sql(["er", "th"])}, {NEIGHBOURS_SQL},
 a AS (SELECT chat_id, row_number() OVER (ORDER BY score, chat_id) AS rank FROM (SELECT chat_id, min(score) AS score FROM scored GROUP BY chat_id ORDER BY score, chat_id LIMIT 50)),
 b AS (SELECT chat_id, row_number() OVER (ORDER BY distance, chat_id) AS rank FROM (SELECT chat_id, min(distance) AS distance FROM away GROUP BY chat_id)),
 v AS (SELECT chat_id, 1.0::DOUBLE / (60 + rank) AS vote, 'words' AS branch FROM a UNION ALL SELECT chat_id, 0.5::DOUBLE / (60 + rank), 'meaning' FROM b)
 SELECT chat_id, round(sum(vote), 9) AS score, string_agg(branch, ',' ORDER BY branch) AS matched_by FROM v GROUP BY chat_id""")
 def ret09_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted reciprocal-rank fusion of the word and the vector branch by chat."""
-    words = R.bm25(messages(spark, sf_dir), "de le").groupBy("chat_id").agg(F.min("score").alias("score")).orderBy("score", "chat_id").limit(50)
+    words = R.bm25(messages(spark, sf_dir), "er th").groupBy("chat_id").agg(F.min("score").alias("score")).orderBy("score", "chat_id").limit(50)
     near = neighbours(spark, sf_dir, 1 << 30).groupBy("chat_id").agg(F.min("distance").alias("distance"))
     branches = {"words": (R.ranked(words, F.col("score"), F.col("chat_id")), 1.0), "meaning": (R.ranked(near, F.col("distance"), F.col("chat_id")), 0.5)}
     return R.fused(branches, ["chat_id"]).withColumn("score", F.round("score", 9))
 
 
-@query(f"""{WITH}, {bm25_sql(["de"])} SELECT chat_id, arg_min(message_id, (score, message_id)) AS message_id, round(min(score), 6) AS score FROM scored GROUP BY chat_id""")
+@query(f"""{WITH}, {bm25_sql(["er"])} SELECT chat_id, arg_min(message_id, (score, message_id)) AS message_id, round(min(score), 6) AS score FROM scored GROUP BY chat_id""")
 def win05_best_of_each_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.bm25(messages(spark, sf_dir), "de")
+    found = R.bm25(messages(spark, sf_dir), "er")
     return found.groupBy("chat_id").agg(F.min_by("message_id", F.struct("score", "message_id")).alias("message_id"), F.round(F.min("score"), 6).alias("score"))
 
 
@@ -126,7 +126,7 @@ def win01_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.context(m, m.where("has_photo = 1"), 3, 3).select("chat_id", "anchor_id", "message_id", F.col("offset").alias("position"), SPEC.filters().alias("matches_filters"))
 
 
-CURSOR = (EPOCH + 40 * 86400, 40, 3)
+CURSOR = (EPOCH + 12 * 86400, 2, 17)
 
 
 @query(f"""{WITH} SELECT timestamp, chat_id, message_id FROM messages WHERE {LIVE_SQL}

@@ -1,7 +1,8 @@
 """The archive's tables as views over the given Parquet tables, the same in Spark and in SQL.
 
-conversations plays the messages (one chat for each conversation, one message a minute), events the change feed,
-documents the recognised texts and embeddings the vectors.
+conversations plays the messages: five conversations are a chat, a turn a minute, with pauses and a midnight in between. Every
+29 turns some texts are replaced by short forms, commands, links and empty texts, so that each rule of the archive has cases.
+events is the change feed, documents the recognised texts, embeddings the vectors, pages the stored files.
 """
 
 from __future__ import annotations
@@ -10,38 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH = 1704067200
+#: Texts by slot: forms that the archive's rules tell apart.
+SPECIAL = ("LOL", "lool!", "да", "https://host.example/a b", "/start", "", "Good morning team", "good mornign team", "O'Reilly can't wait", "x2y", "хахаха", "Why is it so?", "gg", "gg gg", "/stop now", "12345", "Лол", "good morning team!")
+SLOTS = 29
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PLACE = "(conv_id * 13 + turn * 7) % 29"
+_WHEN = f"{EPOCH} + conv_id * 86400 + turn * 60 + CASE WHEN turn >= 4 THEN 5400 ELSE 0 END + CASE WHEN turn >= 6 THEN 86400 ELSE 0 END"
+_TEXT = f"CASE {_PLACE} " + " ".join(f"WHEN {k} THEN '" + x.replace("'", "''") + "'" for k, x in enumerate(SPECIAL)) + " ELSE coalesce(text, '') END"
+#: Columns of a message, in words that both dialects have.
+_COLUMNS = {
+    "chat_id": "CAST(floor(conv_id / 5) AS BIGINT)",
+    "message_id": "(conv_id % 5) * 8 + turn",
+    "author_id": "CASE WHEN (conv_id + turn) % 13 <> 5 THEN role END",
+    "author": "concat(role, CASE WHEN conv_id % 2 = 0 THEN '' ELSE ' II' END)",
+    "kind": "CASE WHEN role = 'system' OR (conv_id + 3 * turn) % 17 = 4 THEN 'service' ELSE 'message' END",
+    "text": _TEXT,
+    "timestamp": _WHEN,
+    "edited": f"CASE WHEN turn % 2 = 0 THEN {_WHEN} + 10 END",
+    "has_photo": "CAST((conv_id + turn) % 5 = 0 AS INT)",
+    "protected": "CAST((conv_id + 2 * turn) % 9 = 0 AS INT)",
+    "bot_command": f"CAST({_PLACE} = 4 AS INT)",
+    "deleted": "CAST((conv_id * 7 + turn) % 11 = 0 AS INT)",
+    "reply_to": "CASE WHEN turn % 3 = 2 OR (turn % 3 = 1 AND conv_id % 2 = 0) THEN (conv_id % 5) * 8 + turn - 1 WHEN turn = 0 AND conv_id % 5 = 3 THEN 8 END",
+    "forwarded_from": "CASE WHEN conv_id % 4 = 1 THEN concat('Feed ', CAST(conv_id % 3 AS STRING)) END",
+}
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chat_id, message_id, author_id, kind, text, timestamp, has_photo, deleted, reply_to, forwarded_from."""
-    c = table(spark, sf_dir, "conversations")
-    return c.select(
-        F.col("conv_id").alias("chat_id"),
-        F.col("turn").alias("message_id"),
-        F.col("role").alias("author_id"),
-        F.when(F.col("role") == "system", "service").otherwise("message").alias("kind"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        (F.lit(EPOCH) + F.col("conv_id") * 86400 + F.col("turn") * 60).alias("timestamp"),
-        ((F.col("conv_id") + F.col("turn")) % 5 == 0).cast("int").alias("has_photo"),
-        ((F.col("conv_id") * 7 + F.col("turn")) % 11 == 0).cast("int").alias("deleted"),
-        F.when(F.col("turn") % 3 == 2, F.col("turn") - 1).alias("reply_to"),
-        F.when(F.col("conv_id") % 4 == 1, F.concat(F.lit("Feed "), (F.col("conv_id") % 3).cast("string"))).alias("forwarded_from"),
-    )
+    """chat_id, message_id, author_id, author, kind, text, timestamp, edited, has_photo, protected, bot_command, deleted, reply_to, forwarded_from."""
+    return table(spark, sf_dir, "conversations").select(*(F.expr(x).alias(name) for name, x in _COLUMNS.items()))
 
 
 #: The same view for SQL: put before a query.
-MESSAGES_SQL = f"""messages AS (
-  SELECT conv_id AS chat_id, turn AS message_id, role AS author_id,
-         CASE WHEN role = 'system' THEN 'service' ELSE 'message' END AS kind, coalesce(text, '') AS text,
-         {EPOCH} + conv_id * 86400 + turn * 60 AS timestamp,
-         CAST((conv_id + turn) % 5 = 0 AS INT) AS has_photo, CAST((conv_id * 7 + turn) % 11 = 0 AS INT) AS deleted,
-         CASE WHEN turn % 3 = 2 THEN turn - 1 END AS reply_to,
-         CASE WHEN conv_id % 4 = 1 THEN 'Feed ' || CAST(conv_id % 3 AS VARCHAR) END AS forwarded_from
-  FROM conversations)"""
+MESSAGES_SQL = "messages AS (SELECT " + ", ".join(f"{x} AS {name}" for name, x in _COLUMNS.items()) + " FROM conversations)"
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
