@@ -86,12 +86,13 @@ def ranked(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
 
 
 def fused(branches: dict[str, tuple[DataFrame, float]], key: Sequence[str], k: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion: the sum of weight / (k + rank), and the branches that matched. A branch has key and rank."""
+    """Reciprocal-rank fusion: the sum of weight / (k + rank), and the branches that matched, in their order. A branch has key and rank."""
     union = None
-    for name, (rows, weight) in sorted(branches.items()):
-        own = rows.select(*key, (F.lit(weight) / (k + F.col("rank"))).alias("vote"), F.lit(name).alias("branch"))
+    for place, (name, (rows, weight)) in enumerate(branches.items()):
+        own = rows.select(*key, (F.lit(weight) / (k + F.col("rank"))).alias("vote"), F.struct(F.lit(place).alias("place"), F.lit(name).alias("name")).alias("branch"))
         union = own if union is None else union.union(own)
-    return union.groupBy(*key).agg(F.sum("vote").alias("score"), F.array_join(F.array_sort(F.collect_set("branch")), ",").alias("matched_by"))
+    matched = F.transform(F.array_sort(F.collect_set("branch")), lambda x: x["name"])
+    return union.groupBy(*key).agg(F.sum("vote").alias("score"), F.array_join(matched, ",").alias("matched_by"))
 
 
 def context(messages: DataFrame, anchors: DataFrame, before: int, after_: int) -> DataFrame:

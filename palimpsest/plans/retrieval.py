@@ -80,7 +80,7 @@ def ret05_exact_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 a AS (SELECT chat_id, row_number() OVER (ORDER BY score, chat_id) AS rank FROM (SELECT chat_id, min(score) AS score FROM scored GROUP BY chat_id ORDER BY score, chat_id LIMIT 50)),
 b AS (SELECT chat_id, row_number() OVER (ORDER BY distance, chat_id) AS rank FROM (SELECT chat_id, min(distance) AS distance FROM away GROUP BY chat_id)),
 v AS (SELECT chat_id, 1.0::DOUBLE / (60 + rank) AS vote, 'words' AS branch FROM a UNION ALL SELECT chat_id, 0.5::DOUBLE / (60 + rank), 'meaning' FROM b)
-SELECT chat_id, round(sum(vote), 9) AS score, string_agg(branch, ',' ORDER BY branch) AS matched_by FROM v GROUP BY chat_id""")
+SELECT chat_id, round(sum(vote), 9) AS score, string_agg(branch, ',' ORDER BY branch DESC) AS matched_by FROM v GROUP BY chat_id""")
 def ret09_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted reciprocal-rank fusion of the word and the vector branch by chat."""
     words = R.bm25(messages(spark, sf_dir), "er th").groupBy("chat_id").agg(F.min("score").alias("score")).orderBy("score", "chat_id").limit(50)

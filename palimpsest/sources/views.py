@@ -59,3 +59,45 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FEED_SQL = """feed AS (
   SELECT user_id AS chat_id, event_id AS message_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type AS kind, value, props FROM events)"""
+
+
+#: The day of a time in epoch seconds, in words of each dialect.
+_DAY = {"spark": "date_format(timestamp_seconds({0}), 'yyyy-MM-dd')", "sql": "strftime(make_timestamp(CAST({0} AS BIGINT) * 1000000), '%Y-%m-%d')"}
+
+#: Further views as steps over messages, by name: each reads the ones before it. {day} is the day of timestamp.
+_DERIVED = {
+    # three messages of a chat's day are a chunk; what its first message replies to is borrowed
+    "placed": """SELECT chat_id, message_id, text, reply_to, {day} AS day, row_number() OVER (PARTITION BY chat_id, {day} ORDER BY timestamp, message_id) - 1 AS place
+        FROM messages WHERE kind = 'message'""",
+    "owned": """SELECT concat(CAST(chat_id AS STRING), ':', day, ':', CAST(CAST(floor(place / 3) AS BIGINT) AS STRING)) AS chunk_id, chat_id, day, CAST(floor(place / 3) AS BIGINT) AS number,
+        message_id, CAST(place % 3 AS BIGINT) AS ordinal, CASE WHEN message_id % 5 = 2 THEN 'support' ELSE 'core' END AS role, length(text) AS chars, reply_to FROM placed""",
+    "parts": """SELECT chunk_id, chat_id, day, number, message_id, ordinal, role, chars FROM owned
+        UNION ALL SELECT chunk_id, chat_id, day, number, reply_to, CAST(-1 AS BIGINT), 'borrowed_context', 0 FROM owned WHERE ordinal = 0 AND reply_to IS NOT NULL""",
+    "segments": """SELECT DISTINCT chat_id, day, 1 + chat_id % 2 AS target_generation, 1 + chat_id % 2 AS chunk_generation,
+        1 + chat_id % 2 - CASE WHEN (chat_id + CAST(substr(day, 9, 2) AS INT)) % 7 = 3 THEN 1 ELSE 0 END AS dense_generation FROM owned""",
+    "chunks": """SELECT chunk_id, chat_id, day, number, 1 + chat_id % 2 - CASE WHEN number % 3 = 1 THEN 1 ELSE 0 END AS generation, 'space' AS space_id,
+        CAST(count(*) * 7 + sum(chars) % 50 AS BIGINT) AS n_tokens, (chat_id * 31 + number * 7 + CAST(substr(day, 9, 2) AS INT)) % 500 AS vec_id FROM owned GROUP BY chunk_id, chat_id, day, number""",
+    "work": """SELECT chat_id, day, target_generation AS generation, CASE (chat_id + CAST(substr(day, 9, 2) AS INT)) % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'done' END AS state,
+        CASE WHEN (chat_id + CAST(substr(day, 9, 2) AS INT)) % 2 = 0 THEN 'building' ELSE 'embedding' END AS stage FROM segments""",
+    # photos refer to recognised texts
+    "refs": """SELECT chat_id, message_id, chat_id * 7 + message_id * 3 AS blob_id, CASE WHEN message_id % 4 = 1 THEN 'file' ELSE 'photo' END AS ref_kind,
+        CASE WHEN (chat_id + message_id) % 6 = 0 THEN 'missing' ELSE 'ready' END AS status, chat_id * 100 + message_id AS ref_id FROM messages WHERE has_photo = 1""",
+}
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the further views: placed, owned, parts, segments, chunks, work or refs."""
+    frames = {"messages": messages(spark, sf_dir)}
+    for step, text in _DERIVED.items():
+        body = text.replace("{day}", _DAY["spark"].format("timestamp"))
+        used = {x: f for x, f in frames.items() if f" {x}" in body}
+        for x in used:
+            body = body.replace(f"FROM {x}", f"FROM {{{x}}}")
+        frames[step] = spark.sql(body, **used)
+        if step == name:
+            return frames[step]
+    raise KeyError(name)
+
+
+#: messages and all further views, for SQL.
+ARCHIVE_SQL = ",\n".join([MESSAGES_SQL, *(f"{name} AS ({text.replace('{day}', _DAY['sql'].format('timestamp'))})" for name, text in _DERIVED.items())])
