@@ -6,8 +6,8 @@ length of every rule and where each document starts in the sequence and in the t
 symbol of its own, so one can be decoded without the rest of its shard.
 
 Rounds of Re-Pair replace many frequent pairs at once instead of one: all pairs that occur often enough become
-rules in order of frequency, and occurrences that overlap within a run of equal symbols alternate. The grammar is
-a little larger than the one of pair-by-pair replacement; decoding is exact either way.
+rules in order of frequency, and occurrences that overlap within a run of equal symbols alternate. Rounds go on until no pair
+occurs often enough. Decoding is exact.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,16 +29,17 @@ from palimpsest.llm.words import HashTable, bounds, span_hashes
 #: Bytes of text of a range partition, and tokens of a shard (a longer document is a shard by itself).
 RANGE_BYTES = 16 << 20
 SHARD_TOKENS = 1 << 18
+#: Shards whose places travel to the files: 24 MB.
+FEW = 1_000_000
 #: Words whose ids a worker keeps; beyond, it starts anew.
 CACHE_SIZE = 1_000_000
-#: Re-Pair: rounds, least occurrences of a pair that becomes a rule, most rules a round.
-ROUNDS = 4
+#: Re-Pair: least occurrences of a pair that becomes a rule, most rules of a round (there are as many rounds as it takes).
 LEAST = 8
 RULES = 4096
 #: Bits of the hash that bins pairs in a round.
-BINS = 20
+BINS = 18
 
-FILE = "first_doc_id long, part long, docs binary, lengths binary, places binary, sequence binary, left binary, right binary, expansion binary, base long, n_ids long"
+FILE = "shard_range long, part long, docs binary, nulls binary, lengths binary, places binary, sequence binary, left binary, right binary, expansion binary, base long, n_ids long"
 
 #: A word whose parts for the tokenizer are plain to see: letters that stay single when lower-cased and composed, then stops.
 SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,;:!?]*)")
@@ -139,35 +141,36 @@ def encoder(path: str, size: int) -> WordEncoder:
     return _workers[path, size]
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, least: int = LEAST, rules: int = RULES) -> dict[str, np.ndarray]:
-    """Re-Pair over one shard; no rule spans one of starts. Symbols below base are ids, base + i is rule i."""
+def frequent_pairs(seq: np.ndarray, code: np.ndarray, least: int, rules: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent pairs that occur least times, where they stand, and their rank there. code: each place's pair, -1 where none may be replaced.
+
+    Pairs are counted exactly, but only at places whose bin of a hash holds least of them.
+    """
+    bins = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BINS)).astype(np.int64)
+    free = code >= 0
+    own = np.flatnonzero(free & (np.bincount(bins[free], minlength=1 << BINS) >= least)[bins])
+    pairs, back, counts = np.unique(code[own], return_inverse=True, return_counts=True)
+    order = np.lexsort((pairs, -counts))[: int((counts >= least).sum())][:rules]
+    rule_of = np.full(len(pairs), -1, np.int32)
+    rule_of[order] = np.arange(len(order), dtype=np.int32)
+    rank = rule_of[back]
+    return pairs[order], own[rank >= 0], rank[rank >= 0]
+
+
+def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST, rules: int = RULES) -> dict[str, np.ndarray]:
+    """Re-Pair over one shard, until no pair occurs least times; no rule spans one of starts. Symbols below base are ids, base + i is rule i. rules: most in a round."""
     base = int(ids.max()) + 1 if len(ids) else 1
     seq, first = ids.astype(np.uint32), np.zeros(len(ids) + 1, bool)
     first[starts] = True
     first = first[: len(ids)]
     left, right = [], []
     top = base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        bins = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BINS)).astype(np.int64)
+    while len(seq) > 1:
         code = seq[:-1].astype(np.int64) << 32 | seq[1:]
         code[first[1:]] = -1
-        # one pair stands for each bin; its occurrences are counted exactly, pairs behind it wait for a later round
-        pair_of = np.full(1 << BINS, -1, np.int64)
-        pair_of[bins] = code
-        own = np.flatnonzero((pair_of[bins] == code) & (code >= 0))
-        counts = np.bincount(bins[own], minlength=1 << BINS)
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+        chosen, hit, rank = frequent_pairs(seq, code, least, rules)
+        if not len(chosen):
             break
-        slot = often[np.lexsort((pair_of[often], -counts[often]))][:rules]
-        chosen = pair_of[slot]
-        rule_of = np.full(1 << BINS, -1, np.int32)
-        rule_of[slot] = np.arange(len(slot), dtype=np.int32)
-        rank = rule_of[bins[own]]
-        hit = own[rank >= 0]
-        rank = rank[rank >= 0]
         # of two neighbouring hits the better-ranked stays; equal neighbours alternate from the start of their run
         for _ in range(64):
             near = np.flatnonzero(np.diff(hit) == 1)
@@ -183,7 +186,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, least: i
                 index = np.arange(len(hit))
                 run = index - np.maximum.accumulate(np.where(same, -1, index))
                 lose |= same & (run % 2 == 1)
-            # a hit beaten by one that goes too may return in the next pass over what is left
+            # a hit beaten by one that goes too may return in the next round
             hit, rank = hit[~lose], rank[~lose]
         seq[hit] = (top + rank).astype(np.uint32)
         keep = np.ones(len(seq), bool)
@@ -242,18 +245,19 @@ def write_files(docs: DataFrame, path: str, out: str, end_id: int = 2, range_byt
         held: list[np.ndarray] = []
         ids: list[int | None] = []
         part = total = 0
+        number = TaskContext.get().partitionId()  # ranges of doc_id in ascending order
 
         def record() -> pa.RecordBatch:
             nonlocal held, ids, part, total
             sizes = np.array([len(x) + 1 for x in held[::2]], np.int64)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
             packed = compress(np.concatenate(held), starts)
-            known = pa.array(ids, pa.int64())
-            keys = np.array([np.iinfo(np.int64).min if x is None else x for x in ids], "<i8")
-            row = {"first_doc_id": known[:1], "part": [part], "docs": [keys.tobytes()], "lengths": [sizes.astype("<i8").tobytes()]}
+            keys = np.array([0 if x is None else x for x in ids], "<i8")
+            nulls = np.array([x is None for x in ids], "u1")
+            row = {"shard_range": [number], "part": [part], "docs": [keys.tobytes()], "nulls": [nulls.tobytes()], "lengths": [sizes.astype("<i8").tobytes()]}
             row |= {k: [packed[k].tobytes()] for k in ("places", "sequence", "left", "right", "expansion")} | {"base": [packed["base"]], "n_ids": [int(sizes.sum())]}
             held, ids, part, total = [], [], part + 1, 0
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("first_doc_id", pa.int64()), ("part", pa.int64()), *((k, pa.binary()) for k in ("docs", "lengths", "places", "sequence", "left", "right", "expansion")), ("base", pa.int64()), ("n_ids", pa.int64())]))
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard_range", pa.int64()), ("part", pa.int64()), *((k, pa.binary()) for k in ("docs", "nulls", "lengths", "places", "sequence", "left", "right", "expansion")), ("base", pa.int64()), ("n_ids", pa.int64())]))
 
         for batch in slices(batches, 1 << 20):
             tokens, sizes = own.encode(*raw(batch.column(1)))
@@ -274,12 +278,17 @@ def write_files(docs: DataFrame, path: str, out: str, end_id: int = 2, range_byt
 def digests(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the shard records alone.
 
-    start needs the ids in all shards before: a running sum over one small row per shard.
+    start needs the ids in all shards before: those of the ranges before (a running sum over a row a range) and of the shards before in the
+    same range. The sums travel to the files while they are few, else both sides are shuffled.
     """
     ship(files.sparkSession)
-    order = W.orderBy(F.col("first_doc_id").asc_nulls_first(), "part").rowsBetween(W.unboundedPreceding, -1)
-    before = files.select("first_doc_id", "part", "n_ids").select("first_doc_id", "part", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
-    joined = files.join(before, files.first_doc_id.eqNullSafe(before.first_doc_id) & (files.part == before.part)).drop(before.first_doc_id).drop(before.part)
+    sizes = files.select("shard_range", "part", "n_ids")
+    ahead = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.groupBy("shard_range").agg(F.sum("n_ids").alias("n_ids")).select("shard_range", ahead(W.orderBy("shard_range")).alias("_ranges"))
+    inner = sizes.select("shard_range", "part", ahead(W.partitionBy("shard_range").orderBy("part")).alias("_shards"))
+    before = inner.join(ranges, "shard_range").select("shard_range", "part", (F.col("_ranges") + F.col("_shards")).alias("before"))
+    few = sizes.limit(FEW + 1).count() <= FEW
+    joined = files.join(F.broadcast(before) if few else before, ["shard_range", "part"])
 
     @trimmed
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,12 +302,12 @@ def digests(files: DataFrame) -> DataFrame:
                 starts = ends - sizes
                 view = memoryview(ids).cast("B")
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                null = keys == np.iinfo(np.int64).min
+                null = np.frombuffer(row["nulls"], "u1") > 0
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, mask=null), pa.array(starts + row["before"]), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    columns = ["sequence", "left", "right", "expansion", "base", "docs", "lengths", "before"]
+    columns = ["sequence", "left", "right", "expansion", "base", "docs", "nulls", "lengths", "before"]
     return joined.select(*columns).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
