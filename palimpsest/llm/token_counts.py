@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import fixed_workers, lengths, raw, ship, slices
+from palimpsest.llm.common import fixed_workers, lengths, raw, ship, slices, trimmed
 from palimpsest.llm.words import HashTable, span_hashes
 
 #: Documents of which the broadcast table is made; it changes the speed, never a count.
@@ -149,10 +149,11 @@ def counter(path: str, frequent: tuple[np.ndarray, np.ndarray], bits: int) -> Pi
 
 
 def frequent_pieces(docs: DataFrame, path: str, warm_docs: int = WARM_DOCS, table_size: int = TABLE_SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and token counts of the most frequent pieces of warm_docs documents."""
+    """Hashes and token counts of the most frequent pieces of about warm_docs documents, drawn over the whole table by a hash of doc_id where it is scanned."""
 
+    @trimmed
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = PieceCounter(path), {}
+        own, seen = PieceCounter(path, bits=4), {}
         if own.marks is None:
             return
         for batch in slices(batches, 1 << 20):
@@ -165,12 +166,18 @@ def frequent_pieces(docs: DataFrame, path: str, warm_docs: int = WARM_DOCS, tabl
                     seen[h][0] += n
                 else:
                     seen[h] = [n, data[starts[i] : ends[i]].tobytes().decode()]
-        best = sorted(seen.items(), key=lambda x: (-x[1][0], x[0]))[:table_size]
-        best = [(h, own.whole(x if x[0] == "\n" else " " + x)) for h, (_, x) in best]
-        yield pa.RecordBatch.from_pydict({"hash": pa.array([np.uint64(h).astype(np.int64) for h, _ in best], pa.int64()), "n": pa.array([n for _, n in best], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"hash": pa.array([np.uint64(h).astype(np.int64) for h in seen], pa.int64()), "uses": pa.array([n for n, _ in seen.values()], pa.int64()), "piece": pa.array([x for _, x in seen.values()])})
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).limit(warm_docs).mapInArrow(top, "hash long, n int").limit(table_size).collect()
-    return np.array([r.hash for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int32)
+    share = min(1.0, warm_docs / max(1, docs.count()))
+    drawn = docs.where(F.xxhash64("doc_id") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))).select(F.col("text").cast("string").alias("text"))
+    pieces = drawn.mapInArrow(top, "hash long, uses long, piece string").groupBy("hash").agg(F.sum("uses").alias("uses"), F.min("piece").alias("piece"))
+    rows = pieces.orderBy(F.desc("uses"), "hash").limit(table_size).collect()
+    own = PieceCounter(path, bits=4) if rows else None
+    counts = np.zeros(len(rows), np.int32)
+    for kind in (0, 1):
+        at = [i for i, r in enumerate(rows) if (r.piece[0] == "\n") == bool(kind)]
+        counts[at] = [own.whole(rows[i].piece if kind else " " + rows[i].piece) for i in at]
+    return np.array([r.hash for r in rows], np.int64).view(np.uint64), counts
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, warm_docs: int = WARM_DOCS, table_size: int = TABLE_SIZE, cache_bits: int = CACHE_BITS) -> DataFrame:
@@ -181,11 +188,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, warm_docs: int =
     """
     spark = docs.sparkSession
     ship(spark)
-    table = spark.sparkContext.broadcast(frequent_pieces(docs, path, warm_docs, table_size))
+    table = spark.sparkContext.broadcast(frequent_pieces(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, warm_docs, table_size))
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path, table.value, cache_bits)
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             tokens = own.count(*raw(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(lengths(batch.column(1))), pa.array(tokens), pa.array(tokens > limit)],
