@@ -7,12 +7,12 @@ The network is trained by backpropagation through time in numpy, on the driver,
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import raw, remainder, ship, slices, trimmed
@@ -30,18 +30,17 @@ WIDE = 2048
 
 
 def sample(rows: DataFrame, per_label: int, label: str, share_of: int, modulus: int = 5, held: int = 0) -> DataFrame:
-    """About share_of * per_label training rows for each label, those whose ids have the smallest hash, with label and key (that hash)."""
+    """About share_of * per_label training rows for each label, whatever their number, those whose ids have the smallest hash, with label and key (that hash)."""
     rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), modulus) != held))
-    key = F.xxhash64(F.col("doc_id").cast("long"))
-    wanted = F.lit(False)
-    for r in rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(256).collect():
-        share = min(1.0, (share_of * per_label + 50) / r.n)
-        wanted = wanted | ((F.col(label) == r.label) & (key <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))))
-    return rows.where(wanted).withColumns({"label": F.col(label), "key": key})
+    rows = rows.withColumns({"label": F.col(label), "key": F.xxhash64(F.col("doc_id").cast("long"))})
+    many = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.least(F.lit(1.0), (share_of * per_label + 50) / F.col("_n"))
+    # keys are spread evenly over all longs
+    return rows.join(many, "label").where((F.col("key") / F.lit(2.0**64) + 0.5) <= share).drop("_n")
 
 
 def training_blocks(docs: DataFrame, per_language: int, most: int = BLOCKS_OF_ROW) -> list[tuple[str, np.ndarray]]:
-    """Language and evenly spaced blocks of up to per_language training rows of each language."""
+    """Language and evenly spaced blocks of up to per_language training rows of each language: the bounded sample that the network is fitted on."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -50,12 +49,9 @@ def training_blocks(docs: DataFrame, per_language: int, most: int = BLOCKS_OF_RO
 
     known = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     some = sample(known, per_language, "lang", 2).select("label", "key", "text").mapInArrow(cut, "label string, key long, blocks binary")
-    out, taken = [], Counter()
-    for r in some.orderBy("key", "blocks").limit(2 * per_language * 256).collect():
-        if taken[r.label] < per_language:
-            taken[r.label] += 1
-            out.append((r.label, np.frombuffer(r.blocks, "<i2").reshape(-1, BLOCK).astype(np.int64)))
-    return out
+    place = F.row_number().over(W.partitionBy("label").orderBy("key", "blocks"))
+    rows = some.withColumn("_place", place).where(F.col("_place") <= per_language).select("label", "key", "blocks").collect()
+    return [(r.label, np.frombuffer(r.blocks, "<i2").reshape(-1, BLOCK).astype(np.int64)) for r in sorted(rows, key=lambda r: (r.key, r.label, r.blocks))]
 
 
 class Network:
@@ -181,7 +177,8 @@ def identify(docs: DataFrame, training: DataFrame | None = None, per_language: i
 
     A text that is null or has no letter gets `und` with score 0; so does every text if no row of training (docs
     itself if not given) is labelled. Labels come only from rows whose crc32(doc_id as text) mod 5 isn't 0; a null
-    doc_id is never held out and never trained on. Ties go to the language that sorts first. keep names further
+    doc_id is never held out and never trained on. The network is fitted on up to per_language rows of each language (those whose ids have
+    the smallest hash), four blocks of 64 bytes of each; there may be any number of languages. Ties go to the language that sorts first. keep names further
     columns of docs to carry along. An empty table gives no rows.
     """
     spark = docs.sparkSession
