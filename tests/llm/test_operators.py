@@ -234,6 +234,116 @@ def test_contamination(spark, docs):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(names), digest, bool(hit) and 20 * len(hit) >= len(w)), i
 
 
+def brute_contamination(rows, items, window=13):
+    rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: rx.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for i, t in rows:
+        w, hit, names = split(t), set(), set()
+        for item, text in items:
+            need = split(text)
+            n = min(window, len(need))
+            for k in range(len(need) - n + 1 if n else 0):
+                for at in range(len(w) - n + 1):
+                    if w[at : at + n] == need[k : k + n]:
+                        hit.update(range(at, at + n))
+                        names.add(item)
+        digest = hashlib.sha256(",".join(sorted(str(x) for x in names if x is not None)).encode()).hexdigest()
+        out.append((i, len(w), len(hit), len(names), digest, bool(hit) and 20 * len(hit) >= len(w)))
+    return Counter(out)
+
+
+def test_contamination_over_blocks_and_segments(spark):
+    """Equal segments, several blocks, items with null or shared ids: the same rows as brute force, whatever the sizes."""
+    rng = np.random.default_rng(9)
+    say = lambda n: " ".join(f"k{x}" for x in rng.integers(0, 40, n))
+    items = [(1, say(30)), (1, say(3)), (2, say(14)), (None, say(20)), (None, say(2)), (3, None), (4, "!"), (5, say(13))]
+    texts = [f"{say(20)} {t} {say(9)}" for _, t in items[:4]] + [say(300), say(5), "", None, items[3][1], items[1][1]]
+    rows = [(k % 4 if k % 5 else None, t) for k, t in enumerate(texts)] * 3
+    given, asked = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    expected = brute_contamination(rows, items)
+    for sizes in ({}, {"block_bytes": 40}, {"segment_bytes": 100}, {"block_bytes": 60, "segment_bytes": 300}):
+        assert Counter(map(tuple, contamination(given, asked, **sizes).collect())) == expected, sizes
+
+
+def test_proximity(spark):
+    """Any order within a span around the rarest word of a window."""
+    items = [(1, "alpha beta gamma delta")]
+    rows = [(1, "x alpha x gamma x beta x delta x"), (2, "alpha x x x x x x x beta gamma delta"), (3, "delta gamma beta alpha"), (4, "alpha beta gamma")]
+    found = by_id(contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), span=6))
+    assert {i: r.n_items for i, r in found.items()} == {1: 1, 2: 0, 3: 1, 4: 0}
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    """Each row is compared by its own text; a component takes the smallest id, null last."""
+    rng = np.random.default_rng(21)
+    say = lambda n: " ".join(f"n{x}" for x in rng.integers(0, 9000, n))
+    a, b, c = say(80), say(80), say(80)
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(2, a), (2, b), (3, near(b)), (3, c), (None, near(a)), (None, say(50)), (5, near(c)), (5, None), (None, c)]
+    found = Counter((r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=2).collect())
+    assert found == Counter([(2, 2, True), (2, 2, True), (3, 2, False), (3, 3, True), (None, 2, False), (None, None, False), (5, 3, False), (5, 5, True), (None, 3, False)])
+
+
+def test_links_between_members_unlike_the_hub(spark):
+    """Many variants of one base, of which some are alike: no link is lost, however the shingles are dealt."""
+    import palimpsest.llm.near_dedup as nd
+
+    rng = np.random.default_rng(33)
+    base = [f"b{x}" for x in rng.integers(0, 9000, 90)]
+    texts = []
+    for k in range(60):
+        copy = list(base)
+        for at in rng.choice(90, 12, replace=False):
+            copy[at] = f"e{k}x{at}"
+        texts.append(" ".join(copy))
+        if k % 3 == 0:
+            texts.append(" ".join([*copy[:-2], "tail", str(k)]))
+    sets = [{tuple(t.split()[k : k + 2]) for k in range(len(t.split()) - 1)} for t in texts]
+    label = list(range(len(texts)))
+    for _ in range(6):
+        for x in range(len(texts)):
+            for y in range(len(texts)):
+                if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                    label[x] = label[y] = min(label[x], label[y])
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    was = nd.HOT
+    try:
+        for hot in (was, 2):
+            nd.HOT = hot
+            assert {r.doc_id: r.component_id for r in near_duplicates(given, width=2).collect()} == dict(enumerate(label)), hot
+    finally:
+        nd.HOT = was
+
+
+def test_token_files_over_many_shards(spark, docs):
+    """Small ranges and shards: the same digests, ids in file order, every document by random access, and shorter sequences where texts repeat."""
+    from palimpsest.llm import token_files as TF
+
+    library = Tokenizer.from_file(public_tokenizers.path(WORD_BPE))
+    rows = [(i % 7 - 3 if i % 5 else None, t) for i, t in enumerate(TEXTS)] + [(-(2**63), "first of all"), (None, "null")]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    root = TF.scratch_root(spark)
+    files = TF.write_files(given, public_tokenizers.path(WORD_BPE), f"{root}/many", range_bytes=3000, shard_tokens=200)
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    expected, start = [], 0
+    for i, t in order:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    found = [tuple(r) for r in TF.digests(files).collect()]
+    assert sorted(found, key=lambda r: r[1]) == expected
+    records = files.orderBy("shard_range", "part").collect()
+    assert len(records) > 5
+    read = [TF.decode_document(r, k).tolist() for r in records for k in range(len(r.docs) // 8)]
+    assert read == [[*library.encode(t, add_special_tokens=False).ids, 2] for _, t in order]
+    ids = np.tile(np.arange(50), 400)
+    packed = TF.compress(ids, np.arange(0, len(ids), 5000))
+    assert len(packed["sequence"]) < len(ids) / 20 and (TF.expand(*(packed[k] for k in ("sequence", "base", "left", "right", "expansion"))) == ids).all()
+    pairs = Counter(zip(packed["sequence"][:-1].tolist(), packed["sequence"][1:].tolist(), strict=True))
+    assert max(pairs.values()) < 2 * TF.LEAST
+
+
 def test_lm_scores(docs):
     tokens = {i: [*words(t), None] for i, t in each()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
@@ -247,20 +357,78 @@ def test_lm_scores(docs):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score <= 0
 
 
-def test_budgets_pass_shortages_to_siblings_first():
-    supply = {("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 100}
-    found = budgets(supply, 120, lambda path: 1.0)
-    assert found == pytest.approx({("a", "x"): 10, ("a", "y"): 50, ("b", "x"): 60})
+def fair(want: float, supply: dict, weights: dict) -> dict:
+    """Deal want among siblings by weight, none above its supply; what full ones leave goes to the others."""
+    given, left = dict.fromkeys(supply, 0.0), min(want, sum(v for k, v in supply.items() if weights[k] > 0))
+    open_ = {k for k in supply if weights[k] > 0 and supply[k] > 0}
+    while open_ and left > 1e-9:
+        unit = left / sum(weights[k] for k in open_)
+        full = {k for k in open_ if supply[k] - given[k] <= unit * weights[k] + 1e-12} or open_
+        for k in full:
+            more = min(supply[k] - given[k], unit * weights[k])
+            given[k] += more
+            left -= more
+        open_ = {k for k in open_ - full}
+    return given
+
+
+def fair_tree(supply: dict[tuple, float], want: float, weight) -> dict[tuple, float]:
+    usable = {p: v if all(weight(p[:k]) > 0 for k in range(1, 4)) else 0.0 for p, v in supply.items()}
+
+    def deal(node: tuple, tokens: float) -> dict:
+        if len(node) == 3:
+            return {node: tokens}
+        own = {p[: len(node) + 1] for p in supply if p[: len(node)] == node}
+        under = {x: sum(v for p, v in usable.items() if p[: len(x)] == x) for x in own}
+        return {k: v for x, t in fair(tokens, under, {x: weight(x) for x in own}).items() for k, v in deal(x, t).items()}
+
+    return deal((), min(want, sum(usable.values())))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_budgets_are_those_of_brute_force(spark, seed):
+    """Random trees with null keys, zero weights and scarce nodes."""
+    rng = np.random.default_rng(seed)
+    keys = [None, "a", "b", "c"]
+    supply = {tuple(keys[k] for k in rng.integers(0, 4, 3)): float(rng.integers(0, 2000)) for _ in range(25)}
+    weights = {("a",): 3.0, ("b",): 0.0, (None, "a"): 0.5, ("c", "a"): 2.0, (None, None, "b"): 4.0, ("a", None, "c"): 0.0, (None, "c", "c"): 0.25}
+
+    def weight(path):
+        fits = [(sum(k is None for k in p), w) for p, w in weights.items() if len(p) == len(path) and all(k is None or k == x for k, x in zip(p, path, strict=True))]
+        return min(fits, key=lambda x: x[0])[1] if fits else 1.0
+
+    leaves = spark.createDataFrame([(*p, v) for p, v in supply.items()], "domain string, language string, source string, supply double")
+    for want in (0.0, 900.0, 5000.0, 1e9):
+        found = {(r.domain, r.language, r.source): r.leaf_budget for r in budgets(leaves, want, weights).collect()}
+        assert found == pytest.approx(fair_tree(supply, want, weight), abs=1e-6)
+
+
+def test_budgets_pass_shortages_to_siblings_first(spark):
+    rows = [("a", "x", "s", 10.0), ("a", "y", "s", 100.0), ("b", "x", "s", 100.0)]
+    found = budgets(spark.createDataFrame(rows, "domain string, language string, source string, supply double"), 120, {}).collect()
+    assert {(r.domain, r.language): r.leaf_budget for r in found} == pytest.approx({("a", "x"): 10, ("a", "y"): 50, ("b", "x"): 60})
 
 
 def test_mixture(docs):
-    found = mixture(docs, {(None, "en"): 0.7, (None, "fr"): 0.3}).collect()
-    assert len(found) == len(TEXTS) and all(0 <= r.copies <= 2 for r in found)
-    budget = {(r.domain, r.lang, r.source): r.leaf_budget for r in found}
-    for leaf, most in budget.items():
-        own = [r for r in found if (r.domain, r.lang, r.source) == leaf]
-        taken = sum(r.tokens * r.copies for r in own)
-        assert taken >= min(most, 2 * sum(r.tokens for r in own)) - 1 and taken - max(r.tokens for r in own) <= most
+    """Every leaf takes the first documents of its epochs until its budget is reached, the order by a hash as the operator has it."""
+    from pyspark.sql import functions as F
+
+    weights = {(None, "en"): 0.7, (None, "fr"): 0.3, ("src", None, "src1"): 2.0, ("src", None, "src2"): 0.5}
+    found = mixture(docs, weights, share=0.6).withColumns({f"h{e}": F.expr(f"shiftrightunsigned(xxhash64(17, {e}, cast(doc_id as string), coalesce(text, '')), 1)") for e in (0, 1)}).collect()
+    assert len(found) == len(TEXTS)
+    leaves = {}
+    for r in found:
+        leaves.setdefault((r.domain, r.lang, r.source), []).append(r)
+    for rows in leaves.values():
+        want, supply = rows[0].leaf_budget, sum(r.tokens for r in rows)
+        taken = Counter()
+        for e in (0, 1):
+            own, sums = max(0.0, min(want - e * supply, supply)), 0
+            for r in sorted(rows, key=lambda r: r[f"h{e}"]):
+                if (own > 0 and sums < own) or (want > 0 and own >= supply):
+                    taken[r.doc_id] += 1
+                sums += r.tokens
+        assert {r.doc_id: r.copies for r in rows} == {r.doc_id: taken[r.doc_id] for r in rows}
 
 
 def test_language_of_held_out_rows(spark):
