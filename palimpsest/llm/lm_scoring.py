@@ -1,23 +1,26 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax (operator 6).
 
-P(word | context) = P(class | context) * P(word | class). The class factor is a maximum-entropy model: hashed n-gram and skip
-features of the words before add rows of a weight table, and a softmax over CLASSES classes follows. The second
-factor has the bias feature alone, whose best weights are the counts themselves: (c + 1) / (N + V + 1) over the
-class's words and one unknown word. Frequent words are classes of their own; all others are classed by their last letters.
+P(word | context) = P(class | context) * P(cell | class, context) * P(word | cell). The first two factors are maximum-entropy models:
+hashed n-gram and skip features of the words before add rows of a weight table, and a softmax over CLASSES classes, then over
+the CELLS cells of the word's class, follows; both begin at the shares of counts. Frequent words are classes of their own; all others are classed by their last letters, and
+a class's words are dealt to cells by a hash. The last factor has counts alone: (c + 1) / (N + V + 1) over the cell's words and one
+unknown word. The second table's rows grow with the corpus, up to a broadcast of fixed size.
 
 Counts of all training words come from all texts, without a row per word: a batch of documents becomes one array of
 word numbers and, for each range of word hashes, one array of its distinct words. Ranges are counted, and the
 batch gets its words' counts back as arrays. Training visits every training token once, in ROUNDS parts: in each,
-every task takes gradient steps on its own batches from the shared weights, and the weighted mean of the results is the next table.
+learners take gradient steps on batches that a hash deals to them, in the order of the batches' numbers, and the weighted mean of the
+results is the next table. Batches are numbered by partition and place, and means are sums of rounded weights, exact in any order:
+the same rows in the same files give the same scores.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +32,19 @@ RANGE_BYTES = 16 << 20
 #: Classes: frequent words and, behind them, shapes.
 FREQUENT, SHAPES = 24, 40
 CLASSES = FREQUENT + SHAPES
-#: Rows of the weight table, and features of a token.
+#: Cells of a class, whose place in the hash is apart from what deals words to ranges.
+CELLS = 32
+#: Rows of the table for classes; those of the table for cells grow with the text, one for each BYTES_OF_ROW, from 2**LEAST_BITS to 2**MOST_BITS (32 MB).
 BITS = 14
-FEATURES = 6
+LEAST_BITS, MOST_BITS, BYTES_OF_ROW = 12, 18, 1 << 14
 ROUNDS = 2
 #: Tokens of a gradient step and its rate.
 STEP = 8192
 RATE = 0.4
+#: Weights are rounded to this share of one before they are summed.
+GRAIN = 1 << 14
+#: Batches of a learner in a round, at least.
+BATCHES_OF_LEARNER = 2
 #: The end of a text as a word: no word has this hash but by chance.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Numbers of a weight block that travels as one row.
@@ -43,7 +52,7 @@ BLOCK = 1 << 16
 
 BATCHES = "batch long, kind byte, bucket int, hashes binary, counts binary, shapes binary, doc_id binary, null binary, held binary, first binary, words binary"
 KNOWN = "batch long, kind byte, bucket int, counts binary, hash long, count long, shape int, n array<long>, v array<long>"
-CODED = "batch long, doc_id binary, null binary, held binary, first binary, classes binary, hashed binary, base binary, inner binary, known binary"
+CODED = "batch long, doc_id binary, null binary, held binary, first binary, classes binary, cells binary, hashed binary, base binary, inner binary, known binary"
 
 
 def shape_of(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -53,6 +62,10 @@ def shape_of(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return (mix(last << np.uint64(8) | fore) % np.uint64(SHAPES)).astype(np.uint8)
 
 
+def cell_of(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(20)) % np.uint64(CELLS)).astype(np.int64)
+
+
 def batches_of(docs: DataFrame, buckets: int) -> DataFrame:
     """docs: doc_id, held, text. A row of kind 0 for each batch, one of kind 1 for each of its ranges of words."""
 
@@ -60,9 +73,10 @@ def batches_of(docs: DataFrame, buckets: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_rows: list[tuple] = []
         size = 0
+        number = TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            nonlocal held_rows, size
+            nonlocal held_rows, size, number
             ids, null, held, many, hashes, shapes = (np.concatenate([x[i] for x in held_rows]) for i in range(6))
             held_rows, size = [], 0
             words, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -71,7 +85,7 @@ def batches_of(docs: DataFrame, buckets: int) -> DataFrame:
             part = (words // np.uint64(2**64 // buckets + 1)).astype(np.int64)
             cuts = np.searchsorted(part, np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts))
-            batch = int.from_bytes(os.urandom(8), "big") >> 1
+            batch, number = number, number + 1
             n = len(full) + 1
             first = np.concatenate([[0], np.cumsum(many)])
 
@@ -120,13 +134,13 @@ def counted(batches: DataFrame, buckets: int) -> DataFrame:
             hashes, counts, shapes = (np.concatenate([x[i] for x in rows]) for i in (1, 2, 3))
             words, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
             total = np.bincount(inverse, weights=counts, minlength=len(words)).astype(np.int64)
-            shape = shapes[where]
+            shape = shapes[where].astype(np.int64) * CELLS + cell_of(words)
             out, at = [], 0
             for batch, own, _, _ in rows:
                 out.append((batch, 1, bucket, total[inverse[at : at + len(own)]].astype("<u8").tobytes(), None, None, None, None, None))
                 at += len(own)
-            n = np.bincount(shape, weights=total, minlength=SHAPES).astype(np.int64).tolist()
-            v = np.bincount(shape, weights=total > 0, minlength=SHAPES).astype(np.int64).tolist()
+            n = np.bincount(shape, weights=total, minlength=SHAPES * CELLS).astype(np.int64).tolist()
+            v = np.bincount(shape, weights=total > 0, minlength=SHAPES * CELLS).astype(np.int64).tolist()
             out.append((0, 2, bucket, None, None, None, None, n, v))
             for i in np.lexsort((words, -total))[:FREQUENT].tolist():
                 if total[i]:
@@ -138,20 +152,24 @@ def counted(batches: DataFrame, buckets: int) -> DataFrame:
 
 
 class Totals:
-    """Corpus totals: tokens, distinct words, and both for each class; the frequent words."""
+    """Corpus totals: tokens and distinct words, in all and for each cell of each shape; the frequent words."""
 
     def __init__(self, known: DataFrame):
-        self.n, self.v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        sums = known.where("kind = 2").select(F.posexplode(F.arrays_zip("n", "v")).alias("shape", "x")).groupBy("shape").agg(F.sum("x.n").alias("n"), F.sum("x.v").alias("v"))
+        self.n, self.v = np.zeros(SHAPES * CELLS, np.int64), np.zeros(SHAPES * CELLS, np.int64)
+        sums = known.where("kind = 2").select(F.posexplode(F.arrays_zip("n", "v")).alias("place", "x")).groupBy("place").agg(F.sum("x.n").alias("n"), F.sum("x.v").alias("v"))
         for r in sums.collect():
-            self.n[FREQUENT + r.shape], self.v[FREQUENT + r.shape] = r.n, r.v
+            self.n[r.place], self.v[r.place] = r.n, r.v
+        self.tokens, self.words = int(self.n.sum()), int(self.v.sum())
         top = known.where("kind = 3").orderBy(F.desc("count"), "hash").limit(FREQUENT).collect()
-        for i, r in enumerate(top):
-            self.n[i], self.v[i] = r["count"], 1
-            self.n[FREQUENT + r.shape] -= r["count"]
-            self.v[FREQUENT + r.shape] -= 1
+        for r in top:  # a class of its own
+            self.n[r.shape] -= r["count"]
+            self.v[r.shape] -= 1
+        # where training begins: the shares that counts alone give
+        cells = np.log(self.n + self.v + 1.0).reshape(SHAPES, CELLS)
+        self.inner = np.concatenate([np.zeros((FREQUENT, CELLS)), cells]).astype(np.float32)
+        known = np.array([r["count"] for r in top] + [0] * (FREQUENT - len(top)))
+        self.outer = np.log(np.concatenate([known, self.n.reshape(SHAPES, CELLS).sum(1)]) + 1.0).astype(np.float32)
         self.top = np.array([r.hash for r in top], np.int64).view(np.uint64)
-        self.tokens, self.words = int(self.n.sum()), int(self.v.sum())
 
     def classes(self, hashes: np.ndarray, shapes: np.ndarray) -> np.ndarray:
         out = shapes.astype(np.int64) + FREQUENT
@@ -175,10 +193,12 @@ def coded(batches: DataFrame, known: DataFrame, totals: Totals) -> DataFrame:
             words, first = np.frombuffer(r["words"], "<u4"), np.frombuffer(r["first"], "<i8")
             kind = totals.classes(hashes, shapes)
             base = np.log10((counts + 1) / (totals.tokens + totals.words + 1))
-            inner = np.log10((counts + 1) / (totals.n[kind] + totals.v[kind] + 1))
+            cell = cell_of(hashes)
+            place = shapes.astype(np.int64) * CELLS + cell
+            inner = np.log10((counts + 1) / (totals.n[place] + totals.v[place] + 1))
             inner[kind < FREQUENT] = 0.0  # such a class has one word
             sums = [np.add.reduceat(x[words], first[:-1]) for x in (base, inner, (counts > 0).astype(np.int64))]
-            stream = [kind.astype("u1")[words], (mix(hashes.copy()) >> np.uint64(48)).astype("<u2")[words]]
+            stream = [kind.astype("u1")[words], cell.astype("u1")[words], (mix(hashes.copy()) >> np.uint64(48)).astype("<u2")[words]]
             rows.append((r["batch"], r["doc_id"], r["null"], r["held"], r["first"], *(x.tobytes() for x in (*stream, *sums))))
         names = [x.split()[0] for x in CODED.split(", ")]
         return pa.table([pa.array(x, pa.int64() if i == 0 else pa.binary()) for i, x in enumerate(zip(*rows, strict=True))] if rows else [pa.array([], pa.int64() if i == 0 else pa.binary()) for i in range(len(names))], names=names)
@@ -188,8 +208,12 @@ def coded(batches: DataFrame, known: DataFrame, totals: Totals) -> DataFrame:
     return own.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(join, CODED)
 
 
-def features(classes: np.ndarray, hashed: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(FEATURES, tokens) rows of the weight table: bias, the word before, the class before that, both classes, a skip, and both sides of a skip."""
+def features(classes: np.ndarray, hashed: np.ndarray, first: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of both weight tables for each token, a line a feature.
+
+    Of the classes': bias, the word before, the class before that, both classes, a skip, and both sides of a skip. Of the cells', all
+    with the word's own class: bias, the word before, the word before that (a skip), and both classes before.
+    """
     n = len(classes)
     place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
 
@@ -200,16 +224,18 @@ def features(classes: np.ndarray, hashed: np.ndarray, first: np.ndarray) -> np.n
         return out
 
     c1, c2, c3 = (back(classes, k, CLASSES) for k in (1, 2, 3))
-    w1 = back(hashed, 1, 1 << 16)
-    mask = (1 << BITS) - 1
-    raws = (np.zeros(n, np.int64), w1, c2, c1 * 128 + c2, c3, c1 * 128 + c3)
-    return np.stack([((x * 8 + k + 1) * 0x9E3779B1 >> 7) & mask for k, x in enumerate(raws)])
+    w1, w2 = (back(hashed, k, 1 << 16) for k in (1, 2))
+    row = lambda x, k, size: ((x * 8 + k + 1) * 0x9E3779B1 >> 7) & ((1 << size) - 1)
+    outer = (np.zeros(n, np.int64), w1, c2, c1 * 128 + c2, c3, c1 * 128 + c3)
+    inner = (np.zeros(n, np.int64), w1, w2, c1 * 128 + c2)
+    return np.stack([row(x, k, BITS) for k, x in enumerate(outer)]), np.stack([row(x * CLASSES + classes, k, bits) for k, x in enumerate(inner)])
 
 
-def logits(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = table[rows[0]]
+def logits(table: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """start: what stands before the rows are added, for all tokens or for each."""
+    out = table[rows[0]] + start
     for r in rows[1:]:
-        out = out + table[r]
+        out += table[r]
     return out
 
 
@@ -220,9 +246,9 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def descend(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
+def descend(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, start: np.ndarray, target: np.ndarray) -> None:
     """One adaptive gradient step on the mean loss of some tokens, in place."""
-    error = softmax(logits(table, rows))
+    error = softmax(logits(table, rows, start))
     error[np.arange(len(target)), target] -= 1
     for r in rows:
         order = np.argsort(r, kind="stable")
@@ -235,44 +261,66 @@ def descend(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np
         table[used] -= RATE * grad / np.sqrt(squares[used] + 1.0)
 
 
-def trained(streams: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """The weight table after one pass over the training tokens of all batches."""
+def log_share(table: np.ndarray, rows: np.ndarray, start: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log of the probability that the softmax gives each token's target."""
+    x = logits(table, rows, start).astype(np.float64)
+    top = x.max(1)
+    return x[np.arange(len(x)), target] - top - np.log(np.exp(x - top[:, None]).sum(1))
+
+
+def opened(r: dict, bits: int) -> tuple[np.ndarray, ...]:
+    """A batch's first tokens, classes, cells and feature rows."""
+    first, classes, cells = np.frombuffer(r["first"], "<i8"), np.frombuffer(r["classes"], "u1").astype(np.int64), np.frombuffer(r["cells"], "u1").astype(np.int64)
+    return first, classes, cells, *features(classes, np.frombuffer(r["hashed"], "<u2"), first, bits)
+
+
+def trained(streams: DataFrame, totals: Totals, bits: int, learners: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The weight tables of classes and cells after one pass over the training tokens of all batches."""
     spark = streams.sparkSession
-    table = np.zeros((1 << BITS, CLASSES), np.float32)
+    sizes = (1 << BITS) * CLASSES, (1 << bits) * CELLS
+    flat = np.zeros(sum(sizes), np.float32)
+    tables = lambda x: (x[: sizes[0]].reshape(-1, CLASSES), x[sizes[0] :].reshape(-1, CELLS))
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast(table)
+        shared = spark.sparkContext.broadcast(flat)
 
         @trimmed
         def learn(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, squares, seen = shared.value.copy(), np.zeros((1 << BITS, CLASSES), np.float32), 0
+            own, squares, seen = shared.value.copy(), np.zeros(sum(sizes), np.float32), 0
+            (outer, inner), (outer2, inner2) = tables(own), tables(squares)
             for part in parts:
-                for r in part.to_pylist():
-                    first, classes = np.frombuffer(r["first"], "<i8"), np.frombuffer(r["classes"], "u1").astype(np.int64)
-                    rows = features(classes, np.frombuffer(r["hashed"], "<u2"), first)
+                for i in range(part.num_rows):
+                    r = part.slice(i, 1).to_pylist()[0]
+                    first, classes, cells, rows, more = opened(r, bits)
                     use = np.flatnonzero(np.repeat(np.frombuffer(r["held"], "u1") == 0, np.diff(first)))
-                    for i in range(0, len(use), STEP):
-                        some = use[i : i + STEP]
-                        descend(own, squares, rows[:, some], classes[some])
+                    for j in range(0, len(use), STEP):
+                        some = use[j : j + STEP]
+                        descend(outer, outer2, rows[:, some], totals.outer, classes[some])
+                        some = some[classes[some] >= FREQUENT]
+                        if len(some):
+                            descend(inner, inner2, more[:, some], totals.inner[classes[some]], cells[some])
                     seen += len(use)
             if seen:
-                flat = (own.ravel() * np.float32(seen)).astype(np.float32)
-                yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(flat) // BLOCK), pa.int32()), "n": pa.array([seen] * (len(flat) // BLOCK), pa.int64()), "sums": pa.array([flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)], pa.binary())})
+                grains = np.round(own * GRAIN).astype("<i4")
+                blocks = [grains[i : i + BLOCK].tobytes() for i in range(0, len(grains), BLOCK)]
+                yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(blocks)), pa.int32()), "n": pa.array([seen] * len(blocks), pa.int64()), "sums": pa.array(blocks, pa.binary())})
 
         def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
             for part in parts:
                 for block, n, values in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    got = sums.setdefault(block, [0, np.zeros(BLOCK, np.float64)])
+                    got = sums.setdefault(block, [0, 0.0])
                     got[0] += n
-                    got[1] += np.frombuffer(values, np.float32)
+                    got[1] = got[1] + np.frombuffer(values, "<i4").astype(np.float64) * n
             if sums:
-                yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "n": pa.array([x[0] for x in sums.values()], pa.int64()), "sums": pa.array([(x[1] / x[0]).astype(np.float32).tobytes() for x in sums.values()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "sums": pa.array([(x[1] / x[0] / GRAIN).astype(np.float32).tobytes() for x in sums.values()], pa.binary())})
 
-        part = streams.where(F.pmod(F.xxhash64("batch"), F.lit(rounds)) == k).select("held", "first", "classes", "hashed")
-        blocks = part.mapInArrow(learn, "block int, n long, sums binary").repartition((1 << BITS) * CLASSES // BLOCK, "block")
-        for r in blocks.mapInArrow(add, "block int, n long, sums binary").toLocalIterator():
-            table.reshape(-1)[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, np.float32)
-    return table
+        part = streams.where(F.pmod(F.xxhash64("batch"), F.lit(rounds)) == k).select("batch", "held", "first", "classes", "cells", "hashed")
+        dealt = part.repartition(learners, "batch").sortWithinPartitions("batch")
+        blocks = dealt.mapInArrow(learn, "block int, n long, sums binary").repartition(-(-len(flat) // BLOCK), "block")
+        for r in blocks.mapInArrow(add, "block int, sums binary").toLocalIterator():
+            values = np.frombuffer(r.sums, np.float32)
+            flat[r.block * BLOCK : r.block * BLOCK + len(values)] = values
+    return tables(flat)
 
 
 def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
@@ -280,7 +328,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
 
     Words are parted by ASCII white space and lower-cased in A-Z; each text, null and empty ones too, ends in one more token. Rows whose
     crc32(doc_id as text) mod modulus is held are scored but not learnt from (a null doc_id is learnt from). base_score is the
-    add-one unigram's log10 probability, score the model's. Without training rows the model is uniform over classes. Rows that
+    add-one unigram's log10 probability, score the model's. Without training rows the model is uniform over classes and cells. Rows that
     share a doc_id each count and each give a row; an empty table gives none; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -288,28 +336,31 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     root = scratch_root(spark)
     out = F.coalesce(remainder(F.col("doc_id"), modulus) == held, F.lit(False)).alias("held")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out, F.col("text").cast("string").alias("text"))
-    buckets = shards_for(text_bytes(narrow)[1], RANGE_BYTES, 8)
+    size = text_bytes(narrow)[1]
+    buckets, learners = shards_for(size, RANGE_BYTES, 8), shards_for(size, ROUNDS * BATCHES_OF_LEARNER * BATCH_BYTES, 4)
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_OF_ROW).bit_length()))
     batches = staged(batches_of(narrow, buckets), "batches", root)
     known = staged(counted(batches, buckets), "known", root)
     totals = Totals(known)
     streams = staged(coded(batches, known, totals), "streams", root)
-    model = spark.sparkContext.broadcast(trained(streams))
+    model = spark.sparkContext.broadcast(trained(streams, totals, bits, learners))
     tokens = totals.tokens
 
     @trimmed
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.value
+        outer, inner = model.value
         for part in parts:
-            for r in part.to_pylist():
-                first, classes = np.frombuffer(r["first"], "<i8"), np.frombuffer(r["classes"], "u1").astype(np.int64)
-                rows = features(classes, np.frombuffer(r["hashed"], "<u2"), first)
-                outer = np.zeros(len(classes))
+            for k in range(part.num_rows):
+                r = part.slice(k, 1).to_pylist()[0]
+                first, classes, cells, rows, more = opened(r, bits)
+                logs = np.zeros(len(classes))
                 for i in range(0, len(classes), STEP):
-                    x = logits(table, rows[:, i : i + STEP]).astype(np.float64)
-                    top = x.max(1)
-                    own = x[np.arange(len(x)), classes[i : i + STEP]]
-                    outer[i : i + STEP] = own - top - np.log(np.exp(x - top[:, None]).sum(1))
-                total = np.add.reduceat(outer, first[:-1]) / np.log(10) + np.frombuffer(r["inner"], np.float64)
+                    logs[i : i + STEP] = log_share(outer, rows[:, i : i + STEP], totals.outer, classes[i : i + STEP])
+                rest = np.flatnonzero(classes >= FREQUENT)
+                for i in range(0, len(rest), STEP):
+                    some = rest[i : i + STEP]
+                    logs[some] += log_share(inner, more[:, some], totals.inner[classes[some]], cells[some])
+                total = np.add.reduceat(logs, first[:-1]) / np.log(10) + np.frombuffer(r["inner"], np.float64)
                 ids, n = np.frombuffer(r["doc_id"], "<i8"), len(first) - 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, mask=np.frombuffer(r["null"], "u1") > 0), pa.array(np.frombuffer(r["held"], "u1") > 0), pa.array(np.diff(first)), pa.array(np.frombuffer(r["known"], np.int64)), pa.array(np.full(n, tokens, np.int64)), pa.array(np.frombuffer(r["base"], np.float64)), pa.array(total)],
