@@ -1,53 +1,242 @@
-"""Corpus noise: form statistics, candidate joins by shared signatures, decisions; evaluation metrics."""
+"""Corpus noise: observations of short messages, candidate joins by shared signatures, decisions, families, policies; evaluation metrics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import deletions, message_form, one_edit, run_key, utc_day, whole_word, words
+from palimpsest.functions.text import COMPOUND, deletions, folded, is_lengthening, laughter_seed, message_form, one_edit, punctuation_key, repeated_seed, run_key, structural_flags, utc_day, whole_word, words
 
+KEY = ["chat_id", "message_id"]
+#: Answers that are kept whatever family they are in.
+KEPT = ("да", "нет", "ага")
+COMMAND = r"^/[a-z][a-z0-9_]{0,63}(@[a-z0-9_]{1,64})?$"
+MOST_TEXT, MOST_WORDS, MOST_CANDIDATES, SHOWN = 16384, 4, 256, 16
+
+
+def source_rows(messages: DataFrame) -> DataFrame:
+    """Live messages with what the analysis asks of them: their text cut off beyond MOST_TEXT, and whether they answer a question."""
+    parents = messages.where("deleted = 0").select("chat_id", F.col("message_id").alias("reply_to"), F.col("text").contains("?").alias("_question"))
+    joined = messages.where("kind = 'message' and deleted = 0").join(parents, ["chat_id", "reply_to"], "left")
+    limited = F.length("text") > MOST_TEXT
+    return joined.select(*KEY, F.when(~limited, F.col("text")).alias("text"), limited.alias("limited"), "has_photo", "protected", "bot_command", F.coalesce("_question", F.lit(False)).alias("parent_question"), "author_id", utc_day(F.col("timestamp")).alias("day"))
+
+
+def observations(rows: DataFrame, seeds: tuple[str, ...], salt: str = "") -> DataFrame:
+    """Forms of messages with fewer than five different words, with what protects each, and a salted key of the author.
+
+    rows: what source_rows gives. Approved seeds are not protected by their looks.
+    """
+    distinct = F.size(F.array_distinct(F.regexp_extract_all(folded(F.col("text")), F.lit(COMPOUND), F.lit(0))))
+    short = rows.where(~F.col("limited") & (distinct <= MOST_WORDS)).withColumns({"form": message_form(F.col("text")), "is_word": whole_word(F.col("text")).isNotNull()}).where("form is not null")
+    looks = F.concat(structural_flags(F.col("text"), F.col("form")), F.array_compact(F.array(F.when(F.col("form").rlike("[-'’]"), "compound_term"))))
+    looks = F.when(F.col("is_word") & ~F.col("form").isin(*seeds), looks).otherwise(F.array().cast("array<string>"))
+    flags = F.array_compact(F.array(F.when(F.col("has_photo") == 1, "attachment"), F.when(F.col("protected") == 1, "structured_entity"), F.when(F.col("parent_question"), "question_reply")))
+    found = short.withColumns({"protections": F.concat(flags, looks), "author_key": F.sha2(F.concat(F.lit(salt + "\0"), F.coalesce("author_id", F.lit(""))), 256)})
+    return found.select(*KEY, "form", "is_word", (F.size("protections") == 0).alias("eligible"), "protections", "day", "author_key", (F.col("bot_command") == 1).alias("bot"))
 
-def form_statistics(messages: DataFrame) -> DataFrame:
-    """Per short form: messages, eligible ones (live, no photo), whole-word ones, distinct days and authors."""
-    found = messages.withColumns({"form": message_form(F.col("text")), "eligible": (F.col("deleted") == 0) & (F.col("has_photo") == 0), "single": whole_word(F.col("text")).isNotNull(), "day": utc_day(F.col("timestamp"))})
-    return found.where("form is not null").groupBy("form").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("eligible").alias("n_eligible"), F.count_if("single").alias("n_whole"), F.countDistinct("day").alias("n_days"), F.countDistinct("author_id").alias("n_authors")
-    )
+
+def form_statistics(seen: DataFrame) -> DataFrame:
+    """Per form: uses, eligible ones, days, eligible days, authors and bot commands."""
+    return seen.groupBy("form").agg(
+        F.first("is_word").alias("is_word"), F.count(F.lit(1)).alias("n"), F.count_if("eligible").alias("n_eligible"), F.countDistinct("day").alias("n_days"),
+        F.countDistinct(F.when(F.col("eligible"), F.col("day"))).alias("n_eligible_days"), F.countDistinct("author_key").alias("n_authors"), F.count_if("bot").alias("n_bot"),
+    )
+
+
+def protections(seen: DataFrame) -> DataFrame:
+    """Per form and kind of protection how often it holds."""
+    return seen.select("form", F.explode("protections").alias("protection")).groupBy("form", "protection").agg(F.count(F.lit(1)).alias("n"))
+
+
+def phrase_words(rows: DataFrame) -> DataFrame:
+    """Words of short messages of several words, with their uses."""
+    found = F.regexp_extract_all(folded(F.col("text")), F.lit(COMPOUND), F.lit(0))
+    short = rows.where(~F.col("limited") & (F.col("protected") == 0) & F.btrim("text").rlike(r"\s") & whole_word(F.col("text")).isNull() & (F.size(F.array_distinct(found)) <= MOST_WORDS))
+    return short.select(F.explode(found).alias("word")).where(F.length("word") <= 64).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def word_statistics(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Per word its occurrences and the rows it stands in; counted per row first, so common words shuffle once a task."""
-    each = texts.select(F.monotonically_increasing_id().alias("_row"), text).select("_row", F.explode(words(F.col(text))).alias("word"))
-    return each.groupBy("_row", "word").agg(F.count(F.lit(1)).alias("c")).groupBy("word").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+    """Per word its occurrences and the rows it stands in. A row's words are counted within the row, so one shuffle by word is all."""
+    sorted_words = F.array_sort(words(F.col(text)))
+    # of a sorted array each first occurrence begins its word's run: the distance to the next one is the count
+    starts = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: (i == 1) | (F.element_at("_w", i) != F.element_at("_w", F.greatest(i - 1, F.lit(1)))))
+    each = texts.select(sorted_words.alias("_w")).where(F.size("_w") > 0).select("_w", starts.alias("_s"))
+    counted = F.zip_with(F.col("_s"), F.concat(F.slice("_s", 2, F.size("_s")), F.array(F.size("_w") + 1)), lambda a, b: F.struct(F.element_at("_w", a).alias("word"), (b - a).alias("c")))
+    return each.select(F.explode(counted).alias("x")).groupBy("x.word").agg(F.sum("x.c").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+
 
+def signatures(forms: DataFrame, name: str) -> DataFrame:
+    """Each form under itself, itself without each letter, and its run key."""
+    keys = F.array_union(F.array(F.concat(F.lit("="), "form")), F.array_union(F.transform(F.when(F.length("form") > 0, deletions(F.col("form"))), lambda x: F.concat(F.lit("="), x)), F.array(F.concat(F.lit("~"), run_key(F.col("form"))))))
+    return forms.select("form", F.explode(keys).alias("signature")).withColumnRenamed("form", name)
 
-def candidates(forms: DataFrame, seeds: DataFrame, most: int = 256) -> DataFrame:
-    """Forms within one edit of a seed, met through shared deletion signatures; at most `most` a form, and whether that cut any."""
-    sign = lambda df, name: df.select("form").withColumn("signature", F.explode(F.array_union(F.array("form"), deletions(F.col("form"))))).withColumnRenamed("form", name)
-    met = sign(forms, "form").join(sign(seeds, "seed"), "signature").select("form", "seed").distinct()
-    edits = met.withColumn("edit", one_edit(F.col("seed"), F.col("form"))).where("edit is not null and edit <> 'exact'")
-    order = W.partitionBy("form").orderBy("edit", "seed")
-    cut = edits.withColumns({"_rn": F.row_number().over(order), "incomplete": F.count(F.lit(1)).over(W.partitionBy("form")) > most})
-    return cut.where(F.col("_rn") <= most).drop("_rn")
+
+def met(forms: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Pairs of a form and a seed that share a signature."""
+    own = signatures(forms.select("form").distinct(), "form").where("form is not null")
+    return own.join(signatures(seeds.select("form").distinct(), "seed"), "signature").select("form", "seed").distinct()
+
+
+def candidates(forms: DataFrame, seeds: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
+    """For each form the seeds one edit away (or equal to it, or lengthened by it), with the edit, and whether more than most seeds shared a signature with it."""
+    pool = met(forms, seeds)
+    placed = pool.withColumns({"_rn": F.row_number().over(W.partitionBy("form").orderBy("seed")), "incomplete": F.count(F.lit(1)).over(W.partitionBy("form")) > most})
+    edit = F.coalesce(one_edit(F.col("seed"), F.col("form")), F.when(is_lengthening(F.col("form"), F.col("seed")), "lengthening"))
+    return placed.where(F.col("_rn") <= most).withColumn("edit", edit).where("edit is not null").select("form", "seed", "edit", "incomplete")
 
 
 def lengthened(forms: DataFrame, seeds: DataFrame) -> DataFrame:
     """Forms that are a seed with letters repeated."""
     a = forms.select("form", run_key(F.col("form")).alias("k"))
     b = seeds.select(F.col("form").alias("seed"), run_key(F.col("form")).alias("k"))
-    return a.join(b, "k").where("form <> seed and length(form) > length(seed)").select("form", "seed")
+    return a.join(b, "k").where(is_lengthening(F.col("form"), F.col("seed"))).select("form", "seed")
+
+
+def hypotheses(forms: DataFrame, seeds: tuple[str, ...], most: int = MOST_CANDIDATES) -> DataFrame:
+    """What noise a form may stand for: seeds by edit, by repetition of a block and by laughing."""
+    spark = forms.sparkSession
+    listed = spark.createDataFrame([(x,) for x in seeds], "form string")
+    near = candidates(forms, listed, most)
+    block, laugh = repeated_seed(F.col("form")), laughter_seed(F.col("form"), seeds)
+    other = forms.select("form", F.explode(F.array_compact(F.array(F.when(block.isin(*seeds), F.struct(block.alias("seed"), F.lit("repeated_block").alias("edit"))), F.when(laugh.isNotNull(), F.struct(laugh.alias("seed"), F.lit("laughter_pattern").alias("edit")))))).alias("x")).select("form", "x.*")
+    fresh = other.dropDuplicates(["form", "seed"]).join(near, ["form", "seed"], "left_anti").withColumn("incomplete", F.lit(False))
+    return near.unionByName(fresh)
+
+
+def decisions(statistics: DataFrame, seeds: tuple[str, ...], lexicon: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
+    """omit, review or keep for each whole word, with the reason, the best seed and the margin by which its score beats what else the form may be.
+
+    statistics: form, n and n_eligible, over forms of single words and their corpus frequencies. Scores are log1p of a form's frequency.
+    lexicon: useful words (form).
+    """
+    frequency = statistics.select(F.col("form").alias("seed"), F.col("n").alias("_n"))
+    scored = lambda df: df.join(frequency, "seed", "left").withColumn("score", F.log1p(F.coalesce("_n", F.lit(0))))
+    noise = scored(hypotheses(statistics.select("form"), seeds, most)).groupBy("form").agg(F.min_by("seed", F.struct((-F.col("score")).alias("a"), F.col("seed").alias("b"))).alias("best_seed"), F.max("score").alias("noise_score"), F.count(F.lit(1)).alias("n_noise"), F.max("incomplete").alias("_cut"))
+    useful = scored(candidates(statistics.select("form"), lexicon, most)).groupBy("form").agg(F.max("score").alias("useful_score"), F.max("incomplete").alias("_cut2"), F.max(F.col("edit") == "exact").alias("known"))
+    both = statistics.join(noise, "form", "left").join(useful, "form", "left")
+    cut = F.coalesce("_cut", F.lit(False)) | F.coalesce("_cut2", F.lit(False))
+    reason = (
+        F.when(F.col("n_eligible") == 0, "protected_only").when(F.col("form").isin(*seeds), "approved_seed").when(F.coalesce("known", F.lit(False)), "lexicon_form").when(F.length("form") < 3, "short_new_form")
+        .when(cut, "candidate_limit").when(F.col("n_noise").isNull(), "no_noise_hypothesis").otherwise("uncalibrated")
+    )
+    decision = F.when(reason == "approved_seed", "omit").when(reason.isin("candidate_limit", "uncalibrated"), "review").otherwise("keep")
+    margin = F.col("noise_score") - F.greatest(F.log1p("n"), F.coalesce("useful_score", F.lit(0.0)))
+    return both.select("form", "n", decision.alias("decision"), reason.alias("reason"), "best_seed", F.round(margin, 6).alias("margin"))
+
+
+def leaders(statistics: DataFrame, least: int = 3, most: int = 2000) -> DataFrame:
+    """The most frequent phrases, with at least least uses: other phrases may be variants of these."""
+    return statistics.where(~F.col("is_word") & (F.col("n") >= least)).orderBy(F.col("n").desc(), "form").limit(most)
+
+
+def families(statistics: DataFrame, approved: tuple[str, ...] = (), ratio: int = 3) -> DataFrame:
+    """form, seed and operation of every phrase: the leader it is a variant of.
+
+    A leader fits by one edit, by longer runs or by punctuation at its edges, and counts if it is the form itself, approved, the same
+    but for punctuation, or ratio times as frequent. Approved ones come first, then the anchor of those that differ in punctuation
+    alone (the bare form, else the most frequent), then by frequency.
+    """
+    spark = statistics.sparkSession
+    phrases = statistics.where(~F.col("is_word")).select("form", "n")
+    known = spark.createDataFrame([(x, 0) for x in approved], "form string, n long")
+    lead = leaders(statistics).select("form", "n").join(known.select("form"), "form", "left_anti").union(known)
+    lead = lead.withColumn("p", punctuation_key(F.col("form")))
+    frequent = statistics.select(F.col("form").alias("seed"), F.col("n").alias("_f"))
+    own = phrases.withColumn("p", punctuation_key(F.col("form")))
+    by_punctuation = own.join(lead.select(F.col("form").alias("seed"), "p"), "p").select("form", "seed")
+    pool = met(phrases, lead).union(by_punctuation).distinct()
+    sides = pool.join(own, "form").join(lead.select(F.col("form").alias("seed"), F.col("n").alias("_n"), F.col("p").alias("_p")), "seed").join(frequent, "seed", "left")
+    same = F.col("p") == F.col("_p")
+    edit = F.coalesce(one_edit(F.col("seed"), F.col("form")), F.when(is_lengthening(F.col("form"), F.col("seed")), "lengthening"), F.when(same, "edge_punctuation"))
+    fits = (F.col("seed") == F.col("form")) | F.col("seed").isin(*approved) | same | (F.col("_n") >= ratio * F.col("n"))
+    found = sides.withColumn("operation", edit).where(F.col("operation").isNotNull() & fits)
+    group = lead.groupBy("p").agg(F.min_by("form", F.struct((F.col("form") != F.col("p")).alias("a"), (-F.col("n")).alias("b"), F.col("form").alias("c"))).alias("anchor"), F.count(F.lit(1)).alias("_size"))
+    found = found.join(group, "p", "left").withColumn("anchor", F.when((F.col("_size") > 1) | (F.col("p") != F.col("form")), F.col("anchor")))
+    order = F.struct((~F.col("seed").isin(*approved)).alias("a"), F.coalesce(F.col("seed") != F.col("anchor"), F.lit(True)).alias("b"), (-F.coalesce("_f", F.lit(0))).alias("c"), F.col("seed").alias("d"))
+    return found.groupBy("form").agg(F.min_by(F.struct("seed", "operation"), order).alias("x")).select("form", "x.*")
+
+
+def automatic(statistics: DataFrame, family: DataFrame, approved: tuple[str, ...], lexicon: DataFrame) -> DataFrame:
+    """The conservative reason to omit each phrase without being asked, or null.
+
+    approved_message_seed: approved as it is. confirmed_message_family: a transposition or lengthening within one long word of an
+    approved phrase, unknown to the lexicon, used three times on two days. structured_bot_command: always a command entity, used ten times on two days.
+    """
+    pieces = lambda c: F.split(c, " ")
+    changed = F.filter(F.zip_with(pieces(F.col("form")), pieces(F.col("seed")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] != x["b"])
+    both = statistics.where(~F.col("is_word")).join(family, "form", "left").withColumn("_changed", changed)
+    both = both.withColumn("_word", F.get("_changed", F.lit(0))["a"]).join(lexicon.select(F.col("form").alias("_word"), F.lit(True).alias("_useful")).distinct(), "_word", "left")
+    letters = lambda c: c.rlike(r"^\p{L}{4,}$")
+    a, b = F.get("_changed", F.lit(0))["a"], F.get("_changed", F.lit(0))["b"]
+    edges = (F.substring(a, 1, 1) == F.substring(b, 1, 1)) & (F.substring(a, -1, 1) == F.substring(b, -1, 1))
+    typo = (F.size(pieces(F.col("form"))) == F.size(pieces(F.col("seed")))) & (F.size("_changed") == 1) & letters(a) & letters(b) & edges & F.col("_useful").isNull() & F.col("operation").isin("transposition", "lengthening")
+    confirmed = F.col("seed").isin(*approved) & typo & (F.col("n_eligible") >= 3) & (F.col("n_eligible_days") >= 2)
+    command = F.col("form").rlike(COMMAND) & (F.col("n_eligible") >= 10) & (F.col("n_eligible_days") >= 2) & (F.col("n_bot") == F.col("n"))
+    reason = F.when(F.col("n_eligible") <= 0, None).when(F.col("form").isin(*approved), "approved_message_seed").when(F.coalesce(confirmed, F.lit(False)), "confirmed_message_family").when(command, "structured_bot_command")
+    return both.select("form", "n", "n_eligible", "seed", "operation", reason.alias("reason"))
+
+
+def family_default(form: Column, seed: Column) -> Column:
+    """keep for a family of plain answers, else omit; null without a family."""
+    kept = run_key(punctuation_key(form)).isin(*KEPT) | run_key(punctuation_key(seed)).isin(*KEPT)
+    return F.when(seed.isNotNull(), F.when(kept, "keep").otherwise("omit"))
+
+
+def roll_up(found: DataFrame) -> DataFrame:
+    """By seed: forms, uses, eligible uses, and uses by decision. found: form, seed, n, n_eligible, decision."""
+    by = lambda d: F.coalesce(F.sum(F.when(F.col("decision") == d, F.col("n"))), F.lit(0)).alias(d)
+    return found.where("seed is not null").groupBy("seed").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("observed"), F.sum("n_eligible").alias("eligible"), by("omit"), by("review"), by("keep"))
+
+
+def page(rows: DataFrame, *order: Column, offset: int = 0, limit: int = 20) -> DataFrame:
+    """One page of rows with has_more: whether rows follow it. One row more than the page is read."""
+    some = rows.orderBy(*order).offset(offset).limit(limit + 1)
+    more = some.agg((F.count(F.lit(1)) > limit).alias("has_more"))
+    return some.orderBy(*order).limit(limit).join(F.broadcast(more), F.lit(True))
+
+
+def compiled(statistics: DataFrame, explicit: DataFrame, inherited: DataFrame, family: DataFrame, analysis: DataFrame) -> DataFrame:
+    """The decision for each form and where it comes from: what was said of the form itself, then of an earlier policy, of its family, of the analysis.
+
+    explicit, inherited and analysis: form and decision; family: form and decision of its family. A review is no decision: such forms stay.
+    """
+    out = statistics.select("form")
+    for name, rows in (("explicit", explicit), ("inherited", inherited), ("family", family), ("analysis", analysis)):
+        out = out.join(rows.select("form", F.col("decision").alias(name)), "form", "left")
+    settled = [F.when(F.col(x).isin("omit", "keep"), F.struct(F.col(x).alias("decision"), F.lit(x).alias("source"))) for x in ("explicit", "inherited", "family", "analysis")]
+    return out.withColumn("x", F.coalesce(*settled, F.struct(F.lit("keep").alias("decision"), F.lit("default").alias("source")))).select("form", "x.*")
+
+
+def leaks(cases: DataFrame, group: str, split: str) -> DataFrame:
+    """Groups that stand in more than one split."""
+    return cases.groupBy(group).agg(F.countDistinct(split).alias("splits"), F.count(F.lit(1)).alias("n")).where("splits > 1")
+
+
+def fence(state: DataFrame, *columns: str) -> Column:
+    """What a report rests on, in one value: it is stale once this differs."""
+    return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+
+
+def single_words(messages: DataFrame) -> DataFrame:
+    """Per whole-word form of an archive (a message counts once, however often it was exported): uses, replies and photos."""
+    one = messages.dropDuplicates(KEY).withColumn("form", whole_word(F.col("text"))).where("form is not null and kind = 'message'")
+    return one.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.count("reply_to").alias("n_replies"), F.sum("has_photo").alias("n_photos"))
+
+
+def chunk_metrics(chunks: DataFrame, size: int = 32) -> DataFrame:
+    """By day: chunks, tokens, batches of size in order, the slots they are padded to and how many of these are padding."""
+    order = W.partitionBy("chat_id", "day").orderBy("number")
+    batched = chunks.withColumn("_batch", F.floor((F.row_number().over(order) - 1) / size)).groupBy("chat_id", "day", "_batch").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("most"))
+    sums = batched.groupBy("chat_id", "day").agg(F.sum("n").alias("chunks"), F.sum("t").alias("tokens"), F.count(F.lit(1)).alias("batches"), F.sum(F.col("n") * F.col("most")).alias("slots"))
+    return sums.withColumn("padding", F.col("slots") - F.col("tokens"))
 
 
-def decisions(statistics: DataFrame, seeds: DataFrame, candidate: DataFrame) -> DataFrame:
-    """omit, review or keep for each form, with the reason and a score on a log scale."""
-    near = candidate.groupBy("form").agg(F.count(F.lit(1)).alias("n_seeds"))
-    seed = seeds.select("form", F.lit(True).alias("is_seed")).distinct()
-    joined = statistics.join(seed, "form", "left").join(near, "form", "left")
-    reason = F.when(F.col("n_eligible") == 0, "protected_only").when(F.col("is_seed"), "approved_seed").when(F.col("n_seeds") > 0, "near_seed").when(F.length("form") <= 3, "short_new_form").otherwise("no_hypothesis")
-    decision = F.when(reason == "approved_seed", "omit").when(reason.isin("near_seed", "short_new_form"), "review").otherwise("keep")
-    return joined.select("form", "n", decision.alias("decision"), reason.alias("reason"), F.round(F.log1p("n_eligible"), 6).alias("score"))
+def both_differences(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
+    """Rows of a that b lacks and rows of b that a lacks, with which."""
+    keys = a.columns
+    return a.distinct().join(b, keys, "left_anti").withColumn("change", F.lit(left)).union(b.select(*keys).distinct().join(a, keys, "left_anti").withColumn("change", F.lit(right)))
 
 
 def precision(cases: DataFrame) -> DataFrame:

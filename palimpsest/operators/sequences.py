@@ -1,16 +1,12 @@
-"""Ordered-sequence operators: sessions, as-of and interval joins, interval unions, decayed quantiles, chunk packing."""
+"""Ordered-sequence operators: sessions, as-of and interval joins, interval unions and decayed quantiles."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import serialize, utc_day
+from palimpsest.functions.text import utc_day
 
 
 def episodes(messages: DataFrame, gap: int = 3600) -> DataFrame:
@@ -21,15 +17,6 @@ def episodes(messages: DataFrame, gap: int = 3600) -> DataFrame:
     return messages.withColumn("_new", new.cast("int")).withColumn("episode", F.sum("_new").over(order)).drop("_new")
 
 
-def prior(messages: DataFrame, tolerance: int = 120) -> DataFrame:
-    """For each message the latest live, non-empty one before it in its chat, if at most tolerance seconds older."""
-    order = W.partitionBy("chat_id").orderBy("timestamp", "message_id").rowsBetween(W.unboundedPreceding, -1)
-    live = (F.col("deleted") == 0) & (F.col("text") != "") & (F.col("kind") == "message")
-    last = F.last(F.when(live, F.struct("message_id", "timestamp")), ignorenulls=True).over(order)
-    found = messages.withColumn("_last", last)
-    return found.withColumn("prior_id", F.when(F.col("timestamp") - F.col("_last.timestamp") <= tolerance, F.col("_last.message_id"))).drop("_last")
-
-
 def ancestors(messages: DataFrame, age: int = 30 * 86400) -> DataFrame:
     """Parent and grandparent of each reply, no older than age; a message isn't its own ancestor."""
     reply = messages.select("chat_id", "message_id", "timestamp", "reply_to")
@@ -66,73 +53,3 @@ def decayed_quantile(samples: DataFrame, keys: list[str], value: str, time: str,
     rising = W.partitionBy(*keys).orderBy(value, id_)
     placed = weighed.withColumns({"_cum": F.sum("_w").over(rising.rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_w").over(W.partitionBy(*keys))})
     return placed.where(F.col("_cum") >= share * F.col("_all") - 1e-12).groupBy(*keys).agg(F.min(value).alias("quantile"))
-
-
-def split_text(text: str, budget: int, count: Callable[[str], int]) -> list[tuple[int, int]]:
-    """Half-open pieces of a long text within budget tokens, cut at a paragraph, sentence, word or character, whichever comes last in the second half."""
-    out, start = [], 0
-    while start < len(text):
-        low, high = start + 1, len(text)
-        while low < high:  # the longest prefix within the budget
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if count(text[start:middle]) <= budget else (low, middle - 1)
-        end = low
-        if end < len(text):
-            half = start + (end - start) // 2
-            for mark in ("\n\n", ". ", " "):
-                at = text.rfind(mark, half, end)
-                if at >= half:
-                    end = at + len(mark)
-                    break
-        out.append((start, end))
-        start = end
-    return out
-
-
-def chunks(messages: DataFrame, most: int = 8, overlap: int = 4, budget: int = 480, gap: int = 3600, count: Callable[[str], int] | None = None) -> DataFrame:
-    """Windows of up to most messages and budget tokens within an episode, overlapping by at most overlap messages.
-
-    Packing is sequential, so it runs once for each episode; episodes are short by their gap and their day, and their sort is Spark's.
-    """
-    counter = count or (lambda x: len(x.split()))
-    placed = episodes(messages, gap).where("kind = 'message' and text <> '' and deleted = 0")
-
-    def pack(batch: pd.DataFrame) -> pd.DataFrame:
-        rows = list(batch.sort_values(["timestamp", "message_id"])[["message_id", "text"]].itertuples(index=False))
-        units = [(m, a, b, counter(t[a:b])) for m, t in rows for a, b in (split_text(t, budget, counter) if counter(t) > budget else [(0, len(t))])]
-        out, held = [], []
-
-        def close() -> None:
-            ids = [u[:3] for u in held]
-            key = hashlib.sha256(serialize([int(batch["chat_id"].iloc[0]), int(batch["episode"].iloc[0]), [[int(x) for x in u] for u in ids]]).encode()).hexdigest()
-            out.append((int(batch["chat_id"].iloc[0]), int(batch["episode"].iloc[0]), len(out), key, len(held), sum(u[3] for u in held), [int(u[0]) for u in held]))
-
-        fresh = 0
-        for unit in units:
-            if held and (len(held) == most or sum(u[3] for u in held) + unit[3] > budget):
-                close()
-                held, fresh = held[-overlap:] if overlap else [], 0
-                while held and (len(held) + 1 > most or sum(u[3] for u in held) + unit[3] > budget):
-                    held = held[1:]
-            held.append(unit)
-            fresh += 1
-        if fresh:
-            close()
-        return pd.DataFrame(out, columns=["chat_id", "episode", "ordinal", "chunk_id", "n_messages", "n_tokens", "message_ids"])
-
-    return placed.groupBy("chat_id", "episode").applyInPandas(pack, "chat_id long, episode long, ordinal long, chunk_id string, n_messages long, n_tokens long, message_ids array<long>")
-
-
-def roles(messages: DataFrame, filler: tuple[str, ...]) -> DataFrame:
-    """The part each message plays in a chunk: service, attachment, filler, support (a reply or fewer than three words) or core."""
-    n = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    role = F.when(F.col("kind") == "service", "service").when((F.col("text") == "") & (F.col("has_photo") == 1), "attachment").when(F.lower("text").isin(*filler), "filler").when((n < 3) | F.col("reply_to").isNotNull(), "support").otherwise("core")
-    return messages.withColumns({"role": role, "n_words": n.cast("long")})
-
-
-def replay(batches: Iterator[DataFrame]) -> DataFrame:
-    """All batches as one."""
-    out = next(batches)
-    for more in batches:
-        out = out.unionByName(more)
-    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators import chunking as C
 from palimpsest.operators import sequences as S
 from palimpsest.plans.registry import WITH, query
 from palimpsest.sources.views import EPOCH, FEED_SQL, feed, messages, table
@@ -53,7 +54,8 @@ def join06_reply_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{WITH} SELECT m.chat_id, m.message_id, (SELECT p.message_id FROM messages p WHERE p.chat_id = m.chat_id AND (p.timestamp < m.timestamp OR (p.timestamp = m.timestamp AND p.message_id < m.message_id))
  AND p.deleted = 0 AND p.text <> '' AND p.kind = 'message' AND p.timestamp >= m.timestamp - 120 ORDER BY p.timestamp DESC, p.message_id DESC LIMIT 1) AS prior_id FROM messages m""")
 def join07_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.prior(messages(spark, sf_dir)).select(*KEY, "prior_id")
+    m = messages(spark, sf_dir).withColumn("content_hash", F.lit(None).cast("string"))
+    return C.prior(m).select(*KEY, F.col("prior.message_id").alias("prior_id"))
 
 
 RANGES_SQL = f"SELECT DISTINCT user_id AS chat_id, {EPOCH} + (user_id % 20) * 86400 AS a, {EPOCH} + (user_id % 20) * 86400 + 180000 AS b FROM events"
@@ -86,15 +88,6 @@ def join11_single_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(F.broadcast(d.agg(F.avg("n_chars").alias("mean"))), F.lit(True)).select("doc_id", F.round(F.col("n_chars") / F.col("mean"), 6).alias("share"))
 
 
-@query("""WITH l AS (SELECT doc_id, n_chars FROM documents), r AS (SELECT doc_id, CASE WHEN toxic = 1 THEN -1 ELSE quality END AS q FROM labels)
-SELECT CASE WHEN r.doc_id IS NULL THEN 'unavailable' WHEN q = 1 THEN 'matched' WHEN q = 0 THEN 'edited' ELSE 'mismatch' END AS outcome, CAST(count(*) AS BIGINT) AS n FROM l LEFT JOIN r USING (doc_id) GROUP BY 1""")
-def join13_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, -1).otherwise(F.col("quality")).alias("q"), F.lit(True).alias("there"))
-    both = table(spark, sf_dir, "documents").select("doc_id").join(r, "doc_id", "left")
-    outcome = F.when(F.col("there").isNull(), "unavailable").when(F.col("q") == 1, "matched").when(F.col("q") == 0, "edited").otherwise("mismatch")
-    return both.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
-
-
 CHATS = {"photo": "has_photo = 1", "removed": "deleted = 1"}
 
 

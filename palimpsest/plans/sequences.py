@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators import chunking as C
 from palimpsest.operators import sequences as S
 from palimpsest.plans.registry import WITH, day_sql, query
 from palimpsest.sources.views import FEED_SQL, feed, messages, table
 
 KEY = ["chat_id", "message_id"]
-FILLER = ("ok", "yes", "no")
 
 
 @query(f"""WITH {FEED_SQL}, l AS (SELECT chat_id, message_id, ts, lag(ts) OVER (PARTITION BY chat_id ORDER BY ts, message_id) AS was FROM feed)
@@ -40,17 +40,12 @@ def agg19_covered_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.covered_time(spans, ["chat_id"], "a", "b")
 
 
-@query(f"""{WITH}, n AS (SELECT *, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS n FROM messages)
-SELECT chat_id, message_id, CASE WHEN kind = 'service' THEN 'service' WHEN text = '' AND has_photo = 1 THEN 'attachment' WHEN lower(text) IN {FILLER} THEN 'filler'
- WHEN n < 3 OR reply_to IS NOT NULL THEN 'support' ELSE 'core' END AS role, CAST(n AS BIGINT) AS n_words FROM n""")
-def chk01_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.roles(messages(spark, sf_dir), FILLER).select(*KEY, "role", "n_words")
-
-
 @query()
-def chk02_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of each episode, packed to the token budget."""
-    return S.chunks(messages(spark, sf_dir)).withColumn("message_ids", F.array_join(F.col("message_ids").cast("array<string>"), ","))
+def chk03_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the whole archive, packed to the message and token budgets with borrowed context."""
+    m = messages(spark, sf_dir).withColumn("content_hash", F.md5(F.col("text").cast("binary")))
+    found = C.chunks(m)
+    return found.select("chunk_id", "chat_id", "day", "ordinal", "n_tokens", F.transform("parts", lambda x: x["message_id"]).cast("string").alias("messages"))
 
 
 @query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CAST((l_linenumber - 1) // 3 AS BIGINT) AS batch FROM lineitem")

@@ -1,7 +1,7 @@
 """The archive's tables as views over the given Parquet tables, the same in Spark and in SQL.
 
 conversations plays the messages: five conversations are a chat, a turn a minute, with pauses and a midnight in between. Every
-29 turns some texts are replaced by short forms, commands, links and empty texts, so that each rule of the archive has cases.
+41 turns some texts are replaced by short forms, commands, links and empty texts, so that each rule of the archive has cases.
 events is the change feed, documents the recognised texts, embeddings the vectors, pages the stored files.
 """
 
@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 
 EPOCH = 1704067200
 #: Texts by slot: forms that the archive's rules tell apart.
-SPECIAL = ("LOL", "lool!", "да", "https://host.example/a b", "/start", "", "Good morning team", "good mornign team", "O'Reilly can't wait", "x2y", "хахаха", "Why is it so?", "gg", "gg gg", "/stop now", "12345", "Лол", "good morning team!")
-SLOTS = 29
+SPECIAL = (
+    "LOL", "lool!", "да", "https://host.example/a b", "/start", "", "Good morning team", "good mornign team", "O'Reilly can't wait", "x2y", "хахаха", "Why is it so?", "gg", "gg gg", "/stop now", "12345", "Лол", "good morning team!",
+    "/start", "/start", "Good morning team", "good  morning team", "Good morning team", "zzyzx", "with", "lol", "Good morning team", "хохма",
+)
+SLOTS = 41
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_PLACE = "(conv_id * 13 + turn * 7) % 29"
+_PLACE = f"(conv_id * 13 + turn * 7) % {SLOTS}"
 _WHEN = f"{EPOCH} + conv_id * 86400 + turn * 60 + CASE WHEN turn >= 4 THEN 5400 ELSE 0 END + CASE WHEN turn >= 6 THEN 86400 ELSE 0 END"
 _TEXT = f"CASE {_PLACE} " + " ".join(f"WHEN {k} THEN '" + x.replace("'", "''") + "'" for k, x in enumerate(SPECIAL)) + " ELSE coalesce(text, '') END"
 #: Columns of a message, in words that both dialects have.
@@ -35,7 +38,7 @@ _COLUMNS = {
     "edited": f"CASE WHEN turn % 2 = 0 THEN {_WHEN} + 10 END",
     "has_photo": "CAST((conv_id + turn) % 5 = 0 AS INT)",
     "protected": "CAST((conv_id + 2 * turn) % 9 = 0 AS INT)",
-    "bot_command": f"CAST({_PLACE} = 4 AS INT)",
+    "bot_command": f"CAST({_PLACE} IN (4, 18, 19) AS INT)",
     "deleted": "CAST((conv_id * 7 + turn) % 11 = 0 AS INT)",
     "reply_to": "CASE WHEN turn % 3 = 2 OR (turn % 3 = 1 AND conv_id % 2 = 0) THEN (conv_id % 5) * 8 + turn - 1 WHEN turn = 0 AND conv_id % 5 = 3 THEN 8 END",
     "forwarded_from": "CASE WHEN conv_id % 4 = 1 THEN concat('Feed ', CAST(conv_id % 3 AS STRING)) END",
