@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import aggregates, changes, media, noise, relations, retrieval, scalars, segments, sequences, streams  # noqa: F401 (they register)
+from palimpsest.plans import aggregates, changes, forecasts, media, noise, relations, retrieval, scalars, segments, sequences, streams  # noqa: F401 (they register)
 from palimpsest.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
