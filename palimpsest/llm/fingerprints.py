@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -130,6 +131,19 @@ def written(found: tuple[int, int, int, np.ndarray]) -> str:
     return f"{n:x}.{whole:016x}." + values.astype(">u4").tobytes().hex()
 
 
+def occurs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places in x of hashes that y has too. Tables of bits of the hashes leave few to compare."""
+    mask = np.uint64((1 << max(10, 3 + max(len(x), len(y)).bit_length())) - 1)
+    seen = np.zeros(int(mask) + 1, bool)
+    seen[y & mask] = True
+    hit = np.flatnonzero(seen[x & mask])
+    if not len(hit):
+        return hit
+    seen[y & mask] = False
+    seen[x[hit] & mask] = True
+    return hit[np.isin(x[hit], y[seen[y & mask]])]
+
+
 def likeness(a: Prefixes, b: Prefixes) -> float:
     """0 to 1: the share of the longer text that both have, as spans at any place; 1 for equal texts only."""
     longer, shorter = max(a.n, b.n), min(a.n, b.n)
@@ -141,7 +155,8 @@ def likeness(a: Prefixes, b: Prefixes) -> float:
     least = shorter
     for own, x, y in ((a, *spans), (b, *spans[::-1])):
         mark = np.zeros(own.n + 1, np.int32)
-        hit = np.flatnonzero(np.isin(x, y))
+        low, high = max(0, front - SPAN + 1), min(len(x), own.n - back)  # spans inside the common beginning or end add nothing
+        hit = low + occurs(x[low:high], y) if high > low else np.zeros(0, np.int64)
         mark[hit] += 1
         mark[hit + SPAN] -= 1
         shared = np.cumsum(mark)[:-1] > 0
@@ -186,7 +201,7 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     @trimmed
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [x.split()[0] for x in COLUMNS.split(", ")]
-        schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in columns[2:5]), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("first_text", pa.string()), ("last_text", pa.string())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in columns[2:5]), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("first_text", pa.string()), ("last_text", pa.string()), ("part", pa.int32())])
         held, first = None, None
         rows: list[tuple] = []
         for batch in batches:
@@ -196,21 +211,23 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                 if held is None:
                     first = text
                 else:
-                    rows.append((held[0], *compared(held[2], held[3], points, here[3]), None, None))
+                    rows.append((held[0], *compared(held[2], held[3], points, here[3]), None, None, None))
                 held = here
                 if len(rows) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []
         if held is not None:
-            rows.append((held[0], len(held[2]), None, None, None, None, None, first, held[1]))
+            rows.append((held[0], len(held[2]), None, None, None, None, None, first, held[1], TaskContext.get().partitionId()))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    done = staged(ranged.mapInArrow(walk, f"{COLUMNS}, first_text string, last_text string"), "fingerprints", scratch_root(spark))
-    # a row for each partition: its last row, and the first text of the partition behind it
-    ends = done.where(F.col("last_text").isNotNull())
-    round_about = W.orderBy(F.col("doc_id").desc_nulls_last(), F.col("last_text").desc())
-    head = F.first("first_text").over(round_about.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    joined = ends.select("doc_id", "last_text", F.coalesce(F.lead("first_text").over(round_about), head).alias("next_text"))
+    done = staged(ranged.mapInArrow(walk, f"{COLUMNS}, first_text string, last_text string, part int"), "fingerprints", scratch_root(spark))
+    # a row for each partition that has any: its last row, and the first text of the next one; their order is found by numbers alone
+    ends = done.where(F.col("last_text").isNotNull()).select("part", "doc_id", "first_text", "last_text")
+    every = W.orderBy("part")
+    head = F.first("part").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    order = ends.select("part", F.coalesce(F.lead("part").over(every), head).alias("next"))
+    firsts = ends.select(F.col("part").alias("next"), F.col("first_text").alias("next_text"))
+    joined = ends.join(order, "part").join(firsts, "next").select("doc_id", "last_text", "next_text")
 
     @trimmed
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
