@@ -8,17 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import folded, grams, normal, query_terms, query_words, substring_distance, words
+from palimpsest.functions.text import folded, normal, query_terms, query_words, words
 from palimpsest.functions.vectors import cosine_distances
 from palimpsest.plans.spec import SearchSpec, after
 
 KEY = ["chat_id", "message_id"]
 
 
-def lengths(texts: DataFrame, text: str = "text") -> DataFrame:
-    return texts.withColumn("dl", F.size(words(F.col(text))))
-
-
 def matches(texts: DataFrame, terms: Sequence[str], text: str = "text") -> DataFrame:
     """texts with their length in words and, in tf0, tf1 and so on, how often each distinct term stands in them. One scan, no shuffle."""
     found = texts.withColumn("_words", words(F.col(text)))
@@ -60,21 +56,6 @@ def phrase(texts: DataFrame, query: str, text: str = "text") -> DataFrame:
     return found.where(folded(F.col(text)).contains(normal(query).strip())).withColumn("tf", F.size(start)).where("tf > 0").drop("_words")
 
 
-def ocr_words(texts: DataFrame, query: str, key: str, text: str = "text", limit: int = 100) -> DataFrame:
-    """Three tiers: exact words, literal substrings by shared grams, and typos by shared grams with their edits; best tier first."""
-    needle = " ".join(query_terms(query))
-    most = 2 if len(needle) >= 8 else 1
-    pairs = [needle[i : i + 2] for i in range(len(needle) - 1) if " " not in needle[i : i + 2]]
-    hexed = [x.encode().hex().upper() for x in dict.fromkeys(pairs)]
-    found = texts.withColumns({"_words": words(F.col(text)), "_grams": grams(F.col(text)), "_text": folded(F.col(text))})
-    exact = F.arrays_overlap("_words", F.array(F.lit(needle)))
-    literal = F.col("_text").contains(needle)
-    shares = F.arrays_overlap("_grams", F.array(*map(F.lit, hexed)))
-    near = found.where(shares).withColumn("edits", F.when(literal, 0).otherwise(substring_distance(F.lit(needle), F.col("_text"), F.lit(most)))).where("edits is not null")
-    tier = F.when(exact, 0).when(literal, 1).otherwise(2)
-    return near.withColumn("tier", tier).select(key, "tier", "edits").orderBy("tier", "edits", key).limit(limit)
-
-
 def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "id", vector: str = "vector") -> DataFrame:
     """Exact cosine top k among rows that already passed every filter; ties go to the larger id."""
     return cosine_distances(vectors, query, vector).orderBy("distance", F.col(key).desc()).limit(k)

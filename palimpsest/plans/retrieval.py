@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.vectors import dot
+from palimpsest.operators import postings as P
 from palimpsest.operators import retrieval as R
+from palimpsest.operators.store import Store
 from palimpsest.plans.registry import WITH, bm25_sql, folded_sql, query, words_sql
 from palimpsest.plans.spec import SearchSpec
+from palimpsest.sources.exports import scratch, staged
 from palimpsest.sources.views import EPOCH, messages, table
 
 SPEC = SearchSpec(query="er th", author_ids=("user", "assistant"), date_from=EPOCH, date_to=EPOCH + 365 * 86400)
@@ -26,11 +29,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return R.nearest(vectors(spark, sf_dir).where("chat_id % 2 = 0"), GOAL, k)
+    return R.nearest(vectors(spark, sf_dir), GOAL, k)
 
 
 NEIGHBOURS_SQL = f"""away AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS chat_id,
-  1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), {GOAL_SQL}) AS distance FROM embeddings WHERE label % 2 = 0)"""
+  1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), {GOAL_SQL}) AS distance FROM embeddings)"""
 
 
 @query(f"""{WITH}, {bm25_sql(["er", "th"], keys="chat_id, message_id")},
@@ -42,8 +45,9 @@ JOIN placed p ON p.chat_id = a.chat_id AND p.rn BETWEEN a.rn - 2 AND a.rn + 1"""
 def ret01_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two words by BM25 under author and date filters, with the messages around each hit."""
     m = messages(spark, sf_dir)
-    hits = R.search(m, SPEC).select(*KEY, "score")
-    around = R.context(m, hits, 2, 1)
+    # a page of results, used twice; only its chats are put in order
+    hits = staged(R.search(m, SPEC).select(*KEY, "score"), "hits")
+    around = R.context(m.join(F.broadcast(hits.select("chat_id").distinct()), "chat_id", "left_semi"), hits, 2, 1)
     return around.join(hits.select("chat_id", F.col("message_id").alias("anchor_id"), "score"), ["chat_id", "anchor_id"]).select("chat_id", "anchor_id", "message_id", F.col("offset").alias("position"), F.round("score", 6).alias("score"))
 
 
@@ -65,10 +69,49 @@ def ret03_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.phrase(messages(spark, sf_dir), "of the").select(*KEY, F.col("tf").cast("long").alias("tf"))
 
 
-@query()
-def ret04_ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact, substring and typo tiers over recognised texts."""
-    return R.ocr_words(table(spark, sf_dir, "documents"), "thernt", "doc_id")
+def word_index(spark: SparkSession, sf_dir: str) -> P.WordIndex:
+    root = scratch(spark, "words")
+    return P.WordIndex(Store(spark, f"{root}/postings"), Store(spark, f"{root}/sizes"), KEY)
+
+
+@query(f"{WITH}, {bm25_sql(['er', 'th', 'er'])} SELECT chat_id, message_id, round(score, 6) AS score FROM scored")
+def ret01_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from a stored index of words."""
+    found = word_index(spark, sf_dir).build(messages(spark, sf_dir)).bm25("er th er")
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(f"""{WITH}, later AS (SELECT * REPLACE (CASE WHEN message_id % 5 = 1 THEN text || ' er th' ELSE text END AS text) FROM messages WHERE message_id % 7 <> 3), {bm25_sql(['er', 'th'], "later")} SELECT chat_id, message_id, round(score, 6) AS score FROM scored""")
+def ret01_updated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same once some texts have changed and others are gone: only these are indexed anew."""
+    m = messages(spark, sf_dir)
+    index = word_index(spark, sf_dir).build(m)
+    changed = m.where("message_id % 5 = 1 and message_id % 7 <> 3").withColumn("text", F.concat("text", F.lit(" er th")))
+    return index.update(changed, m.where("message_id % 7 = 3")).bm25("er th").withColumn("score", F.round("score", 6))
+
+
+@query(f"""{WITH}, w AS (SELECT chat_id, message_id, {words_sql("text")} AS w FROM messages)
+SELECT chat_id, message_id, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS BIGINT) AS tf FROM w WHERE len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0""")
+def ret03_index_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases by the places of their words in the index."""
+    found = word_index(spark, sf_dir).build(messages(spark, sf_dir)).phrase("of the")
+    return found.withColumn("tf", F.col("tf").cast("long"))
+
+
+TIERS = "thernt erth"
+
+
+def prefix_edits_sql(term: str) -> str:
+    """Whether a text holds term with one typo: a letter more, fewer, other or swapped with the next."""
+    wild = [f"{term[:i]}.{term[i:]}" for i in range(1, len(term))] + [term[:i] + term[i + 1 :] for i in range(len(term))] + [f"{term[:i]}.{term[i + 1:]}" for i in range(len(term))] + [term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(len(term) - 1)]
+    return "(?s)" + "|".join(dict.fromkeys(wild))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {folded_sql("text")} AS t, {words_sql("text")} AS w FROM documents), d AS (SELECT *, {", ".join(f"CASE WHEN contains(t, '{x}') THEN 0 WHEN regexp_matches(t, '{prefix_edits_sql(x)}') THEN 1 END AS d{i}" for i, x in enumerate(TIERS.split()))} FROM t)
+SELECT doc_id, CASE WHEN {" AND ".join(f"list_contains(w, '{x}')" for x in TIERS.split())} THEN 'exact' WHEN d0 + d1 = 0 THEN 'substring' ELSE 'fuzzy' END AS kind, d0 + d1 AS edits FROM d WHERE d0 + d1 IS NOT NULL""")
+def ret04_word_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with two words: as they are, within others, or with one typo each."""
+    return P.word_tiers(table(spark, sf_dir, "documents"), TIERS, "doc_id", most=1 << 30)
 
 
 @query(f"WITH {NEIGHBOURS_SQL} SELECT id, round(distance, 6) AS distance FROM away ORDER BY away.distance, id DESC LIMIT 50")
@@ -76,15 +119,23 @@ def ret05_exact_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark, sf_dir, 50).select("id", F.round("distance", 6).alias("distance"))
 
 
+@query(f"WITH {NEIGHBOURS_SQL.replace('FROM embeddings)', 'FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1))')} SELECT id, round(distance, 6) AS distance FROM away ORDER BY away.distance, id DESC LIMIT 20")
+def ret05_eligible_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of those that meet a condition, which holds before ranking."""
+    fit = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    found = R.nearest(vectors(spark, sf_dir).join(fit, "id", "left_semi"), GOAL, 20)
+    return found.select("id", F.round("distance", 6).alias("distance"))
+
+
 @query(f"""{WITH}, {bm25_sql(["er", "th"])}, {NEIGHBOURS_SQL},
 a AS (SELECT chat_id, row_number() OVER (ORDER BY score, chat_id) AS rank FROM (SELECT chat_id, min(score) AS score FROM scored GROUP BY chat_id ORDER BY score, chat_id LIMIT 50)),
-b AS (SELECT chat_id, row_number() OVER (ORDER BY distance, chat_id) AS rank FROM (SELECT chat_id, min(distance) AS distance FROM away GROUP BY chat_id)),
+b AS (SELECT chat_id, row_number() OVER (ORDER BY distance, chat_id) AS rank FROM (SELECT chat_id, min(distance) AS distance FROM away GROUP BY chat_id ORDER BY distance, chat_id LIMIT 50)),
 v AS (SELECT chat_id, 1.0::DOUBLE / (60 + rank) AS vote, 'words' AS branch FROM a UNION ALL SELECT chat_id, 0.5::DOUBLE / (60 + rank), 'meaning' FROM b)
 SELECT chat_id, round(sum(vote), 9) AS score, string_agg(branch, ',' ORDER BY branch DESC) AS matched_by FROM v GROUP BY chat_id""")
 def ret09_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted reciprocal-rank fusion of the word and the vector branch by chat."""
     words = R.bm25(messages(spark, sf_dir), "er th").groupBy("chat_id").agg(F.min("score").alias("score")).orderBy("score", "chat_id").limit(50)
-    near = neighbours(spark, sf_dir, 1 << 30).groupBy("chat_id").agg(F.min("distance").alias("distance"))
+    near = R.cosine_distances(vectors(spark, sf_dir), GOAL).groupBy("chat_id").agg(F.min("distance").alias("distance")).orderBy("distance", "chat_id").limit(50)
     branches = {"words": (R.ranked(words, F.col("score"), F.col("chat_id")), 1.0), "meaning": (R.ranked(near, F.col("distance"), F.col("chat_id")), 0.5)}
     return R.fused(branches, ["chat_id"]).withColumn("score", F.round("score", 9))
 
@@ -162,6 +213,6 @@ def fil12_source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {NEIGHBOURS_SQL} SELECT id, chat_id, round(distance, 6) AS distance FROM away QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY distance, id) <= 5""")
 def ret14_best_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of each scope."""
-    found = neighbours(spark, sf_dir, 1 << 30)
+    found = R.cosine_distances(vectors(spark, sf_dir), GOAL)
     order = R.W.partitionBy("chat_id").orderBy("distance", "id")
     return found.withColumn("rn", F.row_number().over(order)).where("rn <= 5").select("id", "chat_id", F.round("distance", 6).alias("distance"))

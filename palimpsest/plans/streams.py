@@ -3,12 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from palimpsest.operators.encode import encoded
 from palimpsest.plans.registry import query
-from palimpsest.streaming.feed import latest_by_key
+from palimpsest.sources.views import table
+from palimpsest.streaming.feed import latest_by_key, received
 
+LAST_SQL = "last AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, CASE WHEN arg_max(event_type, (ts, event_id)) = 'error' THEN 'delete' ELSE 'upsert' END AS op, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id)"
 
-@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id")
+
+@query(f"WITH {LAST_SQL} SELECT user_id, event_id, ts, n FROM last")
 def str01_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last change of every key, from micro-batches that are merged one by one."""
-    return latest_by_key(spark, sf_dir)
+    return latest_by_key(spark, sf_dir).select("user_id", "event_id", "ts", "n")
+
+
+@query(f"WITH {LAST_SQL} SELECT user_id, event_id, ts, n FROM last WHERE op = 'upsert'")
+def str04_live_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys whose last change isn't a deletion."""
+    return latest_by_key(spark, sf_dir).where("op = 'upsert'").select("user_id", "event_id", "ts", "n")
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op FROM events")
+def src07_received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return received(table(spark, sf_dir, "events")).select("event_id", "user_id", "op")
+
+
+@query("SELECT vec_id, CASE WHEN label = 3 THEN NULL ELSE round(list_aggregate(embedding, 'sum'), 3) END AS encoded, CASE WHEN label = 3 THEN 'no encoder for this label' END AS failure FROM embeddings")
+def str11_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage that encodes whole batches: rows that fail carry why, and don't stop the others."""
+    def total(vectors: list, labels: list) -> list:
+        if 3 in labels:
+            raise ValueError("no encoder for this label")
+        return [float(sum(v)) for v in vectors]
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return encoded(rows, ["embedding", "label"], total, "encoded", "double").select("vec_id", F.round("encoded", 3).alias("encoded"), "failure")

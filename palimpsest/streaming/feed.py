@@ -1,50 +1,56 @@
-"""The change feed as a stream: micro-batches are folded, merged into versions of a table and published by a pointer."""
+"""The change feed as a stream: micro-batches are folded and merged into versions of a table, each named by its batch."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from palimpsest.operators.store import Store
+from palimpsest.sources.exports import scratch
+
 
+def op_of(kind: Column) -> Column:
+    """What a kind of event does: some delete, all others write."""
+    return F.when(kind == "error", "delete").otherwise("upsert")
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only a local session without that setting gets a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}/palimpsest-streams"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+def received(events: DataFrame) -> DataFrame:
+    """Changes from events: user_id, event_id, ts, op (upsert or delete) and n, the events each stands for."""
+    return events.select("user_id", "event_id", "ts", op_of(F.col("event_type")).alias("op"), F.lit(1).cast("long").alias("n"))
 
 
 def folded(changes: DataFrame) -> DataFrame:
     """The last change of each key and how many there were."""
-    last = F.max(F.struct("ts", "event_id")).alias("last")
-    return changes.groupBy("user_id").agg(last, F.sum("n").alias("n")).select("user_id", "last.event_id", "last.ts", "n")
+    last = F.max(F.struct("ts", "event_id", "op")).alias("last")
+    return changes.groupBy("user_id").agg(last, F.sum("n").alias("n")).select("user_id", "last.event_id", "last.ts", "last.op", "n")
 
 
-def latest_by_key(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
-    """user_id, event_id and ts of the last change, and n changes.
+def run(spark: SparkSession, source: str, schema: StructType, root: str, files_per_batch: int = 1) -> Store:
+    """Merge all events below source (a path or glob) that were not yet merged into the table below root; returns the table.
 
-    A batch writes version k of the state from version k - 1; a repeated batch writes the same version again, so each
-    change counts once. The state is a table, so its size is not bounded by memory.
+    Offsets are the stream's checkpoint, the state is the table: both lie below root, so a run goes on where the one before ended. A version
+    carries the number of its batch, and a batch that is run again after its version was named changes nothing: each event counts once.
     """
-    root = scratch(spark)
+    store = Store(spark, f"{root}/state")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+
+    def merge(batch: DataFrame, k: int) -> None:
+        at = store.current()
+        if at is not None and at[0] >= k:
+            return
+        fresh = folded(received(batch))
+        store.publish(folded(store.read().unionByName(fresh)) if at else fresh, k)
+        store.clean()
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return store
+
+
+def latest_by_key(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
+    """user_id, event_id, ts and op of the last change, and n changes, after all events."""
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
     # a file source reads folders: the glob also fits a table of one file
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/events.parque[t]")
-    written: dict[int, DataFrame] = {}
-
-    def merge(batch: DataFrame, k: int) -> None:
-        fresh = folded(batch.select("user_id", "event_id", "ts", F.lit(1).cast("long").alias("n")))
-        both = folded(written[k - 1].unionByName(fresh)) if k - 1 in written else fresh
-        path = f"{root}/state/{k}"
-        both.write.mode("overwrite").parquet(path)
-        written[k] = spark.read.schema(both.schema).parquet(path)
-
-    run = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return written[max(written)] if written else folded(spark.createDataFrame([], schema).select("user_id", "event_id", "ts", F.lit(1).cast("long").alias("n")))
+    store = run(spark, f"{sf_dir}/events.parque[t]", schema, root or scratch(spark, "streams"))
+    return store.read() if store.current() else folded(received(spark.createDataFrame([], schema)))
