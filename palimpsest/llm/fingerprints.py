@@ -61,6 +61,7 @@ class Prefixes:
     def __init__(self, points: np.ndarray):
         self.n = len(points)
         self.arrays = []
+        self._spans: dict[int, np.ndarray] = {}
         for power in _powers(self.n + 1):
             terms = (points.astype(np.uint64) + np.uint64(1)) * power[: self.n]
             # below 2**52: folded once they are below 2**32, so that sums of 2**32 terms still fit in 64 bits
@@ -79,9 +80,12 @@ class Prefixes:
         """Hashes of all spans of length characters, each as if it stood at 0, in one 62-bit integer."""
         if self.n < length:
             return np.zeros(0, np.uint64)
+        if length in self._spans:
+            return self._spans[length]
         prime = np.uint64(PRIME)
         one, two = ((p[length:] + prime - p[:-length]) % prime * back[: self.n - length + 1] % prime for p, back in zip(self.arrays, _powers(self.n + 1, _INVERSES), strict=True))
-        return one << np.uint64(31) | two
+        self._spans[length] = one << np.uint64(31) | two
+        return self._spans[length]
 
 
 def equal_spans(a: Prefixes, i: int, b: Prefixes, j: int, length: int) -> bool:
