@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ def cosine_distances(vectors: DataFrame, query: list[float], vector: str = "vect
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(vector)
-            fits = np.array([x is not None and len(x) == len(goal) for x in column], bool) if column.null_count else np.diff(np.asarray(column.offsets)) == len(goal)
-            rows = batch.filter(pa.array(fits))
+            fits = pc.fill_null(pc.equal(pc.list_value_length(column), len(goal)), False)
+            rows = batch.filter(fits)
             matrix = rows.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(goal))
             size = np.linalg.norm(matrix, axis=1)
             with np.errstate(divide="ignore", invalid="ignore"):
