@@ -11,8 +11,8 @@ from palimpsest.catalog import QUERIES
 from palimpsest.session import session
 
 HEADLINE = (
-    "ret01_search", "ret02_bm25", "ret03_phrase", "ret05_exact_vectors", "ret09_fusion", "topk06_browse_page", "win01_context", "win03_sessions",
-    "join07_as_of", "join08_interval", "agg00_pricing_summary", "agg13_word_statistics", "agg16_ranking_metrics", "agg18_decayed_median", "ing01_classify", "noi03_form_statistics",
+    "ret01_search", "ret01_index", "ret02_bm25", "ret03_phrase", "ret04_word_tiers", "ret05_exact_vectors", "ret09_fusion", "ret13_hybrid", "topk06_browse_page", "win01_context", "win03_sessions", "join07_as_of", "join08_interval",
+    "agg00_pricing_summary", "agg13_word_statistics", "agg16_ranking_metrics", "agg18_decayed_median", "chk03_chunks", "ing01_classify", "noi03_form_statistics", "noi05_decisions",
 )
 
 

@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -118,10 +119,14 @@ def is_lengthening(observed: Column, original: Column) -> Column:
     return (observed != original) & F.forall(longer, lambda x: x)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of value, which is evaluated once however often then names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def whole_word(text: Column) -> Column:
     """The single word (hyphens and apostrophes may join its parts) of a text once the punctuation around it is gone, else null."""
-    bare = F.btrim(folded(text), F.lit(ENCLOSING))
-    return F.when(bare.rlike(rf"^{COMPOUND}$"), bare)
+    return let(F.btrim(folded(text), F.lit(ENCLOSING)), lambda bare: F.when(bare.rlike(rf"^{COMPOUND}$"), bare))
 
 
 def phrase_of(text: Column) -> Column:
@@ -132,17 +137,19 @@ def phrase_of(text: Column) -> Column:
 def message_form(text: Column) -> Column:
     """A short message as a form: its whole word (64 characters at most), or its phrase: at most 512 characters before and 256 after
     white space is single, 1 to 32 words, fewer than five different, no link, no control character; one word only as a /command."""
-    single, value = whole_word(text), phrase_of(text)
-    found = F.regexp_extract_all(value, F.lit(COMPOUND), F.lit(0))
-    fits = F.length(value).between(1, 256) & F.size(found).between(1, 32) & (F.size(F.array_distinct(found)) < 5) & ~value.contains("://") & ~value.startswith("www.") & ~value.rlike(r"[\x00-\x1f]")
-    phrase = F.when(fits & ((F.size(found) > 1) | value.startswith("/")), value)
-    return F.when(F.length(text) <= 512, F.when(single.isNotNull(), F.when(F.length(single) <= 64, single)).otherwise(phrase))
+
+    def phrase(value: Column) -> Column:
+        plain = F.length(value).between(1, 256) & ~value.contains("://") & ~value.startswith("www.") & ~value.rlike(r"[\x00-\x1f]")
+        counts = lambda found: F.size(found).between(1, 32) & (F.size(F.array_distinct(found)) < 5) & ((F.size(found) > 1) | value.startswith("/"))
+        return F.when(plain & let(F.regexp_extract_all(value, F.lit(COMPOUND), F.lit(0)), counts), value)
+
+    form = let(whole_word(text), lambda single: F.when(single.isNotNull(), F.when(F.length(single) <= 64, single)).otherwise(let(phrase_of(text), phrase)))
+    return F.when(F.length(text) <= 512, form)
 
 
 def punctuation_key(form: Column) -> Column:
     """A form without the punctuation at its edges, if what is left is a form."""
-    key = F.btrim(form, F.lit(EDGE))
-    return F.when(message_form(key) == key, key).otherwise(form)
+    return let(F.btrim(form, F.lit(EDGE)), lambda key: F.when(message_form(key) == key, key).otherwise(form))
 
 
 def laughter_seed(form: Column, confirmed: tuple[str, ...] = LAUGHTER_SEEDS) -> Column:

@@ -47,9 +47,13 @@ def keep_last(rows: DataFrame, keys: list[str], order: list[Column], n: int) ->
 
 
 def decayed_quantile(samples: DataFrame, keys: list[str], value: str, time: str, id_: str, share: float, half: int = 6) -> DataFrame:
-    """The weighted quantile of a value by key, the weight halving every half samples back from the newest."""
+    """The weighted quantile of a value by key, the weight halving every half samples back from the newest.
+
+    Beyond 40 halvings a sample weighs nothing, so only the newest 40 * half are kept before anything is ordered by value.
+    """
     newest = W.partitionBy(*keys).orderBy(F.col(time).desc(), F.col(id_).desc())
-    weighed = samples.withColumn("_w", F.pow(F.lit(0.5), (F.row_number().over(newest) - 1) / F.lit(float(half))))
+    last = samples.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= 40 * half)
+    weighed = last.withColumn("_w", F.pow(F.lit(0.5), (F.col("_rn") - 1) / F.lit(float(half))))
     rising = W.partitionBy(*keys).orderBy(value, id_)
     placed = weighed.withColumns({"_cum": F.sum("_w").over(rising.rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_w").over(W.partitionBy(*keys))})
     return placed.where(F.col("_cum") >= share * F.col("_all") - 1e-12).groupBy(*keys).agg(F.min(value).alias("quantile"))

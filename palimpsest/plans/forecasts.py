@@ -15,8 +15,8 @@ from palimpsest.plans.retrieval import GOAL, GOAL_SQL, KEY
 from palimpsest.sources.exports import scratch, staged
 from palimpsest.sources.views import ARCHIVE_SQL, FEED_SQL, derived, feed, messages, table
 
-#: Samples of work: each change is one, its lane is its kind; now is the feed's end.
-SAMPLES_SQL = f"""{FEED_SQL}, samples AS (SELECT kind AS lane, message_id AS sample_id, CAST(ts AS DOUBLE) AS observed_at, 1.0 + message_id % 5 AS work, value + 0.01 AS seconds FROM feed), clock AS (SELECT max(observed_at) AS now FROM samples)"""
+#: Samples of work: each change is one, its lane is its kind, its time a thousandth of the feed's; now is the feed's end.
+SAMPLES_SQL = f"""{FEED_SQL}, samples AS (SELECT kind AS lane, message_id AS sample_id, ts / 1000.0::DOUBLE AS observed_at, 1.0 + message_id % 5 AS work, value + 0.01 AS seconds FROM feed), clock AS (SELECT max(observed_at) AS now FROM samples)"""
 RECENT_SQL = """last AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY observed_at DESC, sample_id DESC) AS rn FROM samples, clock WHERE work > 0 AND seconds > 0 AND now - observed_at BETWEEN 0 AND 3600 QUALIFY rn <= 24),
 middle AS (SELECT lane, quantile_cont(seconds, 0.5) AS m FROM last GROUP BY lane), recent AS (SELECT l.* FROM last l JOIN middle USING (lane) WHERE now - observed_at <= least(3600, greatest(60, m * 10)))"""
 LANES_SQL = """rates AS (SELECT lane, seconds / work AS rate, work * pow(0.5, (row_number() OVER (PARTITION BY lane ORDER BY observed_at DESC, sample_id DESC) - 1) / 6.0) AS weight FROM recent),
@@ -28,7 +28,7 @@ forecasts AS (SELECT lane, samples, CASE WHEN samples >= 3 THEN r END AS rate, C
 
 
 def samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
-    s = feed(spark, sf_dir).select(F.col("kind").alias("lane"), F.col("message_id").alias("sample_id"), F.col("ts").cast("double").alias("observed_at"), (1.0 + F.col("message_id") % 5).alias("work"), (F.col("value") + 0.01).alias("seconds"))
+    s = feed(spark, sf_dir).select(F.col("kind").alias("lane"), F.col("message_id").alias("sample_id"), (F.col("ts") / 1000.0).alias("observed_at"), (1.0 + F.col("message_id") % 5).alias("work"), (F.col("value") + 0.01).alias("seconds"))
     return s, s.agg(F.max("observed_at")).first()[0] or 0.0
 
 

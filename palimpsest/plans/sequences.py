@@ -20,6 +20,13 @@ def win03_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.episodes(f).select(*KEY, "episode")
 
 
+@query(f"""{WITH}, l AS (SELECT chat_id, message_id, timestamp, deleted, lag(timestamp) OVER (PARTITION BY chat_id ORDER BY timestamp, message_id) AS was, lag(deleted) OVER (PARTITION BY chat_id ORDER BY timestamp, message_id) AS was_deleted FROM messages)
+SELECT chat_id, message_id, CAST(sum(CASE WHEN was IS NULL OR {day_sql("timestamp")} <> {day_sql("was")} OR deleted <> was_deleted OR timestamp - was > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY chat_id ORDER BY timestamp, message_id) AS BIGINT) AS episode FROM l""")
+def win03_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes of messages, ended by a midnight, a gap or a change between live and deleted ones; service rows move the clock."""
+    return S.episodes(messages(spark, sf_dir)).select(*KEY, "episode")
+
+
 @query(f"WITH {FEED_SQL} SELECT chat_id, message_id FROM feed QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY ts DESC, message_id DESC) <= 24")
 def win08_last_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.keep_last(feed(spark, sf_dir), ["chat_id"], [F.col("ts").desc(), F.col("message_id").desc()], 24).select(*KEY)

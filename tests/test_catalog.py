@@ -20,11 +20,11 @@ REACHED = {
     "noi11_policy": ("source", {"explicit", "inherited", "analysis", "family"}),
     "src19_probe": ("status", {"unsafe", "missing", "corrupt", "unverified", "ready", "changed"}),
     "str03_late_data": ("fate", {"accepted", "repeated", "late", "rejected"}),
-    "join06_reply_ancestors": ("grandparent_id", {9}),
+    "join06_reply_ancestors": ("grandparent_id", {0, None}),
     "fn14_whole_word": ("word", {"lol", "да", "x2y", "with"}),
     "fn15_message_form": ("form", {"/start", "good morning team", "gg gg", "lool", None}),
     "fn18_laughter": ("seed", {"хаха", None}),
-    "agg03_source_facet": ("forwarded_from", set()),
+    "fil11_bounds": ("n", set()),  # several chats: no chat_id
 }
 
 
