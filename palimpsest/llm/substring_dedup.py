@@ -36,6 +36,9 @@ PACKED = "range int, kind byte, base long, head binary, whole binary, doc binary
 #: The open anchors' map: bits for each byte of text, most bits in all (128 MB), and the share of set bits beyond which texts are joined instead.
 MAP_SHARE, MAP_BITS, MAP_FULL = 0.125, 30, 0.05
 
+#: Ids of rows that travel to the texts; of more, both sides are shuffled.
+FEW = 1_000_000
+
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -406,6 +409,13 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     late = compared(own, runs.where("kind = 1"), length, gram, 4 * ranges, ranges, map_bits, root, batch_bytes)
     # a record for each row that loses something: with null for runs all of it goes
     lost = _packed(runs.where("kind = 0").select("row", "start", "many").union(late)).withColumn("whole", F.lit(False))
-    lost = lost.union(copies.select("row", F.lit(None).cast(lost.schema["runs"].dataType).alias("runs"), F.lit(True).alias("whole")))
-    texts = narrow.join(lost, "row", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
+    lost = staged(lost.union(copies.select("row", F.lit(None).cast(lost.schema["runs"].dataType).alias("runs"), F.lit(True).alias("whole"))), "lost", root)
+    none = F.lit(None).cast(lost.schema["runs"].dataType)
+    if lost.limit(FEW + 1).count() <= FEW:
+        # the ids of these rows travel to the texts, so that only their texts are shuffled
+        ids = F.broadcast(lost.select("row"))
+        hit = narrow.join(ids, "row", "left_semi").join(lost, "row").select("doc_id", "text", "whole", "runs")
+        texts = hit.union(narrow.join(ids, "row", "left_anti").select("doc_id", "text", F.lit(False).alias("whole"), none.alias("runs")))
+    else:
+        texts = narrow.join(lost, "row", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
     return cut(texts, length)
