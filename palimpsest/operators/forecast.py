@@ -26,7 +26,7 @@ def weighted(rows: DataFrame, keys: list[str], value: str, weight: str, share: f
     return placed.where(F.col("_cum") >= F.col("_all") * share - 1e-12).groupBy(*keys).agg(F.min(value).alias(name))
 
 
-def lanes(samples: DataFrame, keys: list[str], now: Column, remaining: float, projection: float = 0.0) -> DataFrame:
+def lanes(samples: DataFrame, keys: list[str], now: Column, remaining: float, projection: float = 0.0, digits: int = 1) -> DataFrame:
     """For each lane its rate (seconds for a unit of work) and the seconds that remaining units take, with bounds; null below MIN_SAMPLES samples.
 
     Recent samples weigh by their work and half as much every HALF samples back. A sample counts within a factor of two of the median
@@ -40,15 +40,15 @@ def lanes(samples: DataFrame, keys: list[str], now: Column, remaining: float, pr
     both = mean.join(weighted(bounded, keys, "bounded", "weight", 0.2, "_low"), keys).join(weighted(bounded, keys, "bounded", "weight", 0.8, "_high"), keys)
     doubt = min(1.0, max(0.0, projection)) * 0.5
     ok = F.col("samples") >= MIN_SAMPLES
-    seconds = lambda c: F.when(ok, F.round(remaining * c, 1))
+    seconds = lambda c: F.when(ok, F.round(remaining * c, digits))
     low, high = F.least(F.col("rate") * 0.8, F.col("_low")), F.greatest(F.col("rate") * 1.2, F.col("_high"))
     return both.select(*keys, "samples", F.when(ok, F.col("rate")).alias("rate"), seconds(F.col("rate")).alias("seconds"), seconds(low * (1 - doubt)).alias("lower"), seconds(high * (1 + doubt)).alias("upper"))
 
 
-def combined(forecasts: DataFrame, keys: list[str]) -> DataFrame:
+def combined(forecasts: DataFrame, keys: list[str], digits: int = 1) -> DataFrame:
     """Lanes that work side by side, as one: times add as resistances in parallel do; null if one lane has no rate."""
     known = F.count_if(F.col("rate").isNull()) == 0
-    together = lambda c: F.when(known, F.round(1 / F.sum(1 / F.col(c)), 1)).alias(c)
+    together = lambda c: F.when(known, F.round(1 / F.sum(1 / F.col(c)), digits)).alias(c)
     return forecasts.groupBy(*keys).agg(F.sum("samples").alias("samples"), F.when(known, 1 / F.sum(1 / F.col("rate"))).alias("rate"), *(together(c) for c in ("seconds", "lower", "upper")))
 
 

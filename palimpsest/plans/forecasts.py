@@ -24,7 +24,7 @@ c AS (SELECT lane, min(rate) AS centre FROM (SELECT *, sum(weight) OVER (PARTITI
 b AS (SELECT lane, weight, least(centre * 2, greatest(centre / 2, rate)) AS bounded FROM rates JOIN c USING (lane)),
 q AS (SELECT *, sum(weight) OVER (PARTITION BY lane ORDER BY bounded, weight ROWS UNBOUNDED PRECEDING) AS cum, sum(weight) OVER (PARTITION BY lane) AS total FROM b),
 lanes AS (SELECT lane, CAST(count(*) AS BIGINT) AS samples, sum(bounded * weight) / sum(weight) AS r, min(bounded) FILTER (cum >= 0.2 * total - 1e-12) AS low, min(bounded) FILTER (cum >= 0.8 * total - 1e-12) AS high FROM q GROUP BY lane),
-forecasts AS (SELECT lane, samples, CASE WHEN samples >= 3 THEN r END AS rate, CASE WHEN samples >= 3 THEN round(500 * r, 1) END AS seconds, CASE WHEN samples >= 3 THEN round(500 * least(r * 0.8, low) * 0.9, 1) END AS lower, CASE WHEN samples >= 3 THEN round(500 * greatest(r * 1.2, high) * 1.1, 1) END AS upper FROM lanes)"""
+forecasts AS (SELECT lane, samples, CASE WHEN samples >= 3 THEN r END AS rate, CASE WHEN samples >= 3 THEN round(500 * r, 4) END AS seconds, CASE WHEN samples >= 3 THEN round(500 * least(r * 0.8, low) * 0.9, 4) END AS lower, CASE WHEN samples >= 3 THEN round(500 * greatest(r * 1.2, high) * 1.1, 4) END AS upper FROM lanes)"""
 
 
 def samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
@@ -36,14 +36,14 @@ def samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
 def for01_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds that 500 units take in each lane, a fifth of them guessed."""
     rows, now = samples(spark, sf_dir)
-    return P.lanes(rows, ["lane"], F.lit(now), 500, 0.2).withColumn("rate", F.round("rate", 6))
+    return P.lanes(rows, ["lane"], F.lit(now), 500, 0.2, 4).withColumn("rate", F.round("rate", 6))
 
 
-@query(f"WITH {SAMPLES_SQL}, {RECENT_SQL}, {LANES_SQL} SELECT CAST(sum(samples) AS BIGINT) AS samples, CASE WHEN count(*) = count(rate) THEN round(1 / sum(1 / rate), 6) END AS rate, CASE WHEN count(*) = count(rate) THEN round(1 / sum(1 / seconds), 1) END AS seconds FROM forecasts HAVING count(*) > 0")
+@query(f"WITH {SAMPLES_SQL}, {RECENT_SQL}, {LANES_SQL} SELECT CAST(sum(samples) AS BIGINT) AS samples, CASE WHEN count(*) = count(rate) THEN round(1 / sum(1 / rate), 6) END AS rate, CASE WHEN count(*) = count(rate) THEN round(1 / sum(1 / seconds), 4) END AS seconds FROM forecasts HAVING count(*) > 0")
 def agg20_combined_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lanes side by side."""
     rows, now = samples(spark, sf_dir)
-    both = P.combined(P.lanes(rows, ["lane"], F.lit(now), 500, 0.2).withColumn("all", F.lit(1)), ["all"])
+    both = P.combined(P.lanes(rows, ["lane"], F.lit(now), 500, 0.2, 4).withColumn("all", F.lit(1)), ["all"], 4)
     return both.select("samples", F.round("rate", 6).alias("rate"), "seconds")
 
 
