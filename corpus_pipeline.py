@@ -1,7 +1,10 @@
 """The corpus pipeline: documents through five of the training-data operators, one Parquet table after the other.
 
 Each stage takes all that the one before kept, and its decisions take effect: rejected rows are gone from what it
-returns. All but the last return the columns of documents.
+returns. All but the last return the columns of documents, with their values as they came.
+
+Every stage decides row by row: rows that share a doc_id, and rows without one, are judged each by its own text. An empty table
+gives an empty table. Columns beside those of documents pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,31 +38,31 @@ def by_row(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter or without a recognisable language."""
+    """Drop documents without a letter (null and empty texts too) or without a recognisable language. A null or repeated doc_id is no reason to drop a row; without a labelled row nothing is recognised, and all go."""
     found = identify(docs, keep=docs.columns)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row with the smallest id (of equal ids the smallest text; null comes last) of each group of near duplicates. Rows that share an id are compared like any others."""
+    """Keep the row with the smallest id (of equal ids the smallest text; null comes last) of each group of near duplicates, however large. Rows that share an id are compared like any others; texts without words are like nothing and stay."""
     own = by_row(docs)
     return without(own, near_duplicates(own.select(F.col("row").alias("doc_id"), "text")).where("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop rows of which a twentieth or more stands in the benchmark."""
+    """Drop rows of which a twentieth or more stands in the benchmark. Null and empty texts hold nothing of it and stay; without items all stay."""
     own = by_row(docs)
     return without(own, contamination(own.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take documents to the target weights; one that is taken in two epochs stands twice."""
+    """Take documents to the target weights; one that is taken in two epochs stands twice. A null language or source is a leaf of its own; equal rows are taken together."""
     found = mixture(docs, MIX).where("copies > 0")
     return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token files and return the digest of each document in them."""
+    """Write the token files, in ascending doc_id order (null first, equal ids by text), and return the digest of each document in them. A null text is an empty one."""
     return token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
