@@ -77,28 +77,52 @@ class WordEncoder:
     def reset(self) -> None:
         self.table, self.pool, self.used = HashTable(20), np.zeros(1 << 16, np.uint32), 0
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.units: dict[str, int] = {}
+        self.unit_ids, self.unit_size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word. Words of letters only are encoded many at a time, in lower case, without the normalizer; a word's last id is marked by the vocabulary."""
-        units, cut = [], []
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, and how many each has.
+
+        Words of letters and stops are taken apart; their parts, in lower case, are encoded once each and many at a time, without the
+        normalizer: a part's last id is marked by the vocabulary. Other words are encoded as they are.
+        """
+        fit, places, units = SIMPLE.fullmatch, self.units, []
+        first, second = [], []
         for x in words:
-            found = SIMPLE.fullmatch(x)
-            cut.append(len(units))
+            found = fit(x)
             if found:
-                units += [u for u in found.groups() if u]
-        cut.append(len(units))
-        ids, ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
-        base = 0
-        for k in range(0, len(units), 512):
-            some = units[k : k + 512]
-            got = np.array(self.fast.encode(" ".join(some).lower(), add_special_tokens=False).ids, np.uint32)
+                letters, stops = found.groups()
+                if letters:
+                    first.append(letters.lower())
+                    second.append(stops)
+                else:
+                    first.append(stops)
+                    second.append("")
+            else:
+                first.append(None)
+                second.append("")
+        fresh = [u for u in dict.fromkeys(first + second) if u and u not in places]
+        for k in range(0, len(fresh), 512):
+            some = fresh[k : k + 512]
+            got = np.array(self.fast.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.final[got]) + 1
             assert len(stops) == len(some)
-            ids.append(got)
-            ends.append(base + stops)
-            base += len(got)
-        flat, at = np.concatenate(ids), np.concatenate(ends)
-        return [flat[at[a] : at[b]] if b > a else np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x, a, b in zip(words, cut, cut[1:])]
+            units.append((got, np.diff(stops, prepend=0)))
+        places.update(zip(fresh, range(len(self.unit_size), len(self.unit_size) + len(fresh)), strict=True))
+        at = len(self.unit_size) + len(fresh)
+        odd = [i for i, u in enumerate(first) if u is None]
+        for e in self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False):
+            units.append((np.array(e.ids, np.uint32), np.array([len(e.ids)])))
+        self.unit_ids = np.concatenate([self.unit_ids, *(x for x, _ in units)])
+        self.unit_size = np.concatenate([self.unit_size, *(n for _, n in units)]).astype(np.int64)
+        one = np.array([places[u] if u is not None else -1 for u in first], np.int64)
+        one[odd] = at + np.arange(len(odd))
+        both = np.stack([one, np.array([places[u] if u else -1 for u in second], np.int64)], axis=1).ravel()
+        ends = np.cumsum(self.unit_size)
+        sizes = np.where(both >= 0, self.unit_size[both], 0)
+        total = np.cumsum(sizes)
+        source = np.repeat(ends[both] - self.unit_size[both] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
+        return self.unit_ids[source], sizes.reshape(-1, 2).sum(1)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each text has."""
@@ -111,14 +135,12 @@ class WordEncoder:
         found = self.table.get(hashes)
         rest = np.flatnonzero(found < 0)
         if len(rest):
-            if len(self.at) + len(rest) > self.limit:
+            if len(self.at) + len(rest) > self.limit or len(self.unit_size) > self.limit // 2:
                 self.reset()
                 rest, found = np.arange(len(hashes)), found
             fresh, where, back = np.unique(hashes[rest], return_index=True, return_inverse=True)
             at, blob = rest[where], data.tobytes()
-            ids = self.encode_words([blob[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            sizes = np.array([len(x) for x in ids], np.int64)
-            flat = np.concatenate(ids)
+            flat, sizes = self.encode_words([blob[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
             self.pool[self.used : self.used + len(flat)] = flat
