@@ -234,6 +234,16 @@ def test_contamination(spark, docs):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(names), digest, bool(hit) and 20 * len(hit) >= len(w)), i
 
 
+def test_lm_scores_gain_and_repeat(spark):
+    """Held-out texts score better than by the unigram, and a second run gives the same scores."""
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)
+    first, second = (by_id(lm_scores(given)) for _ in range(2))
+    assert {i: r.score for i, r in first.items()} == {i: r.score for i, r in second.items()}
+    held = [r for r in first.values() if r.held_out]
+    tokens = sum(r.n_tokens for r in held)
+    assert sum(r.score for r in held) / tokens > sum(r.base_score for r in held) / tokens + 0.1
+
+
 def brute_contamination(rows, items, window=13):
     rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: rx.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
