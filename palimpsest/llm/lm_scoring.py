@@ -9,7 +9,7 @@ unknown word. The second table's rows grow with the corpus, up to a broadcast of
 Counts of all training words come from all texts, without a row per word: a batch of documents becomes one array of
 word numbers and, for each range of word hashes, one array of its distinct words. Ranges are counted, and the
 batch gets its words' counts back as arrays. Training visits every training token once, in ROUNDS parts: in each,
-learners take gradient steps on batches that a hash deals to them, in the order of the batches' numbers, and the weighted mean of the
+learners take gradient steps on the batches they read, in the order of the batches' numbers, and the weighted mean of the
 results is the next table. Batches are numbered by partition and place, and means are sums of rounded weights, exact in any order:
 the same rows in the same files give the same scores.
 """
@@ -32,8 +32,8 @@ RANGE_BYTES = 16 << 20
 #: Classes: frequent words and, behind them, shapes.
 FREQUENT, SHAPES = 24, 40
 CLASSES = FREQUENT + SHAPES
-#: Cells of a class, whose place in the hash is apart from what deals words to ranges.
-CELLS = 32
+#: Cells of a class: by the lowest bits of a word's 16-bit hash.
+CELLS = 16
 #: Rows of the table for classes; those of the table for cells grow with the text, one for each BYTES_OF_ROW, from 2**LEAST_BITS to 2**MOST_BITS (32 MB).
 BITS = 14
 LEAST_BITS, MOST_BITS, BYTES_OF_ROW = 12, 18, 1 << 14
@@ -52,7 +52,7 @@ BLOCK = 1 << 16
 
 BATCHES = "batch long, kind byte, bucket int, hashes binary, counts binary, shapes binary, doc_id binary, null binary, held binary, first binary, words binary"
 KNOWN = "batch long, kind byte, bucket int, counts binary, hash long, count long, shape int, n array<long>, v array<long>"
-CODED = "batch long, doc_id binary, null binary, held binary, first binary, classes binary, cells binary, hashed binary, base binary, inner binary, known binary"
+CODED = "batch long, doc_id binary, null binary, held binary, first binary, classes binary, hashed binary, base binary, inner binary, known binary"
 
 
 def shape_of(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -62,8 +62,13 @@ def shape_of(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return (mix(last << np.uint64(8) | fore) % np.uint64(SHAPES)).astype(np.uint8)
 
 
+def short_hash(hashes: np.ndarray) -> np.ndarray:
+    """16 bits of a word's hash: what its neighbours see of it."""
+    return (mix(hashes.copy()) >> np.uint64(48)).astype("<u2")
+
+
 def cell_of(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(CELLS)).astype(np.int64)
+    return short_hash(hashes).astype(np.int64) % CELLS
 
 
 def batches_of(docs: DataFrame, buckets: int) -> DataFrame:
@@ -198,7 +203,7 @@ def coded(batches: DataFrame, known: DataFrame, totals: Totals) -> DataFrame:
             inner = np.log10((counts + 1) / (totals.n[place] + totals.v[place] + 1))
             inner[kind < FREQUENT] = 0.0  # such a class has one word
             sums = [np.add.reduceat(x[words], first[:-1]) for x in (base, inner, (counts > 0).astype(np.int64))]
-            stream = [kind.astype("u1")[words], cell.astype("u1")[words], (mix(hashes.copy()) >> np.uint64(48)).astype("<u2")[words]]
+            stream = [kind.astype("u1")[words], short_hash(hashes)[words]]
             rows.append((r["batch"], r["doc_id"], r["null"], r["held"], r["first"], *(x.tobytes() for x in (*stream, *sums))))
         names = [x.split()[0] for x in CODED.split(", ")]
         return pa.table([pa.array(x, pa.int64() if i == 0 else pa.binary()) for i, x in enumerate(zip(*rows, strict=True))] if rows else [pa.array([], pa.int64() if i == 0 else pa.binary()) for i in range(len(names))], names=names)
@@ -212,7 +217,7 @@ def features(classes: np.ndarray, hashed: np.ndarray, first: np.ndarray, bits: i
     """Rows of both weight tables for each token, a line a feature.
 
     Of the classes': bias, the word before, the class before that, both classes, a skip, and both sides of a skip. Of the cells', all
-    with the word's own class: bias, the word before, the word before that (a skip), and both classes before.
+    with the word's own class: bias, the word before, and the word before that (a skip).
     """
     n = len(classes)
     place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
@@ -227,7 +232,7 @@ def features(classes: np.ndarray, hashed: np.ndarray, first: np.ndarray, bits: i
     w1, w2 = (back(hashed, k, 1 << 16) for k in (1, 2))
     row = lambda x, k, size: ((x * 8 + k + 1) * 0x9E3779B1 >> 7) & ((1 << size) - 1)
     outer = (np.zeros(n, np.int64), w1, c2, c1 * 128 + c2, c3, c1 * 128 + c3)
-    inner = (np.zeros(n, np.int64), w1, w2, c1 * 128 + c2)
+    inner = (np.zeros(n, np.int64), w1, w2)
     return np.stack([row(x, k, BITS) for k, x in enumerate(outer)]), np.stack([row(x * CLASSES + classes, k, bits) for k, x in enumerate(inner)])
 
 
@@ -263,15 +268,16 @@ def descend(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, start: np.
 
 def log_share(table: np.ndarray, rows: np.ndarray, start: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log of the probability that the softmax gives each token's target."""
-    x = logits(table, rows, start).astype(np.float64)
-    top = x.max(1)
-    return x[np.arange(len(x)), target] - top - np.log(np.exp(x - top[:, None]).sum(1))
+    x = logits(table, rows, start)
+    x -= x[np.arange(len(x)), target][:, None]
+    top = np.maximum(x.max(1), 0)
+    return -(top + np.log(np.exp(x - top[:, None]).sum(1, dtype=np.float64)))
 
 
 def opened(r: dict, bits: int) -> tuple[np.ndarray, ...]:
     """A batch's first tokens, classes, cells and feature rows."""
-    first, classes, cells = np.frombuffer(r["first"], "<i8"), np.frombuffer(r["classes"], "u1").astype(np.int64), np.frombuffer(r["cells"], "u1").astype(np.int64)
-    return first, classes, cells, *features(classes, np.frombuffer(r["hashed"], "<u2"), first, bits)
+    first, classes, hashed = np.frombuffer(r["first"], "<i8"), np.frombuffer(r["classes"], "u1").astype(np.int64), np.frombuffer(r["hashed"], "<u2")
+    return first, classes, hashed.astype(np.int64) % CELLS, *features(classes, hashed, first, bits)
 
 
 def trained(streams: DataFrame, totals: Totals, bits: int, learners: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -314,8 +320,9 @@ def trained(streams: DataFrame, totals: Totals, bits: int, learners: int, rounds
             if sums:
                 yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "sums": pa.array([(x[1] / x[0] / GRAIN).astype(np.float32).tobytes() for x in sums.values()], pa.binary())})
 
-        part = streams.where(F.pmod(F.xxhash64("batch"), F.lit(rounds)) == k).select("batch", "held", "first", "classes", "cells", "hashed")
-        dealt = part.repartition(learners, "batch").sortWithinPartitions("batch")
+        part = streams.where(F.pmod(F.xxhash64("batch"), F.lit(rounds)) == k).select("batch", "held", "first", "classes", "hashed")
+        # batches stay where they are read: files of the same sizes are dealt alike
+        dealt = part.coalesce(learners).sortWithinPartitions("batch")
         blocks = dealt.mapInArrow(learn, "block int, n long, sums binary").repartition(-(-len(flat) // BLOCK), "block")
         for r in blocks.mapInArrow(add, "block int, sums binary").toLocalIterator():
             values = np.frombuffer(r.sums, np.float32)
