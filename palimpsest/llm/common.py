@@ -135,6 +135,23 @@ def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def raw_bytes(array: pa.Array) -> np.ndarray:
+    """The bytes of all values of a binary column end to end."""
+    return raw(array)[0]
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
+    """A record batch as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: pa.Buffer) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
 def trimmed(work: Callable) -> Callable:
     """work, after whose end a worker gives the memory it freed back to the system: workers outlive their tasks."""
 
