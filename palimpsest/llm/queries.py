@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.collocations import collocations
 from palimpsest.llm.common import table
 from palimpsest.llm.decontamination import contamination
 from palimpsest.llm.fingerprints import fingerprints
@@ -66,6 +67,37 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+piece AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+said AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+run AS MATERIALIZED (SELECT lang, w, len(w) AS m FROM said WHERE len(w) > 0),
+total AS (SELECT lang, sum(m)::BIGINT AS n FROM run GROUP BY lang),
+size AS (SELECT unnest(range(1, 6)) AS k),
+said_at AS (SELECT lang, k, w, unnest(range(1, m - k + 2)) AS i FROM run JOIN size ON k <= m),
+f AS MATERIALIZED (SELECT lang, p, len(p) AS k, count(*) AS n FROM (SELECT lang, w[i:i + k - 1] AS p FROM said_at) GROUP BY lang, p HAVING count(*) >= 100),
+cand AS MATERIALIZED (SELECT lang, p, k, n AS a FROM f WHERE k >= 2),
+longer AS (SELECT lang, a, k, p, unnest(range(2, k)) AS j FROM cand WHERE k > 2),
+inside AS (SELECT lang, a, p[i:i + j - 1] AS q FROM (SELECT lang, a, p, j, unnest(range(1, k - j + 2)) AS i FROM longer)),
+dropped AS (SELECT DISTINCT c.lang, c.p FROM cand c JOIN inside x ON x.lang = c.lang AND x.q = c.p AND 100 * x.a >= 100 * c.a),
+cut AS (SELECT lang, p, a, k, unnest(range(1, k)) AS c FROM cand),
+scored AS (
+  SELECT cut.lang, cut.p, a, c, l.n AS l, r.n AS r, total.n AS n, (1000::HUGEINT * a * total.n) // (l.n::HUGEINT * r.n) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.p = cut.p[1:c] JOIN f r ON r.lang = cut.lang AND r.p = cut.p[c + 1:] JOIN total ON total.lang = cut.lang
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1),
+ranked AS (
+  SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, n, score::BIGINT AS score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.p, ' ')) AS rank
+  FROM best b ANTI JOIN dropped x ON x.lang = b.lang AND x.p = b.p
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -91,9 +123,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op12_collocations": op12_collocations,
     "op13_near_vectors": op13_near_vectors,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_collocations": OP12_SQL,
     "op13_near_vectors": OP13_SQL,
 }
