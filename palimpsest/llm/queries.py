@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm.collocations import collocations
 from palimpsest.llm.common import table
 from palimpsest.llm.decontamination import contamination
+from palimpsest.llm.divergence import source_divergence
 from palimpsest.llm.fingerprints import fingerprints
 from palimpsest.llm.language_id import identify
 from palimpsest.llm.lm_scoring import lm_scores
@@ -67,6 +68,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+said AS (SELECT row_number() OVER () AS doc, lang, source, regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM d),
+t AS MATERIALIZED (SELECT doc, lang, source, unnest(w) AS term FROM said),
+kept AS MATERIALIZED (SELECT lang, term, count(*)::BIGINT AS nl FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+c AS MATERIALIZED (SELECT lang, source, term, count(*)::BIGINT AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+size AS (SELECT g.lang, g.source, coalesce((SELECT count(*) FROM kept k WHERE k.lang = g.lang), 0)::BIGINT AS v, coalesce((SELECT sum(nl) FROM kept k WHERE k.lang = g.lang), 0)::BIGINT AS tl, coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0)::BIGINT AS tg FROM g),
+p AS MATERIALIZED (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.tg + s.v) AS p, 1 + (1000000000::HUGEINT * (k.nl + 1)) // (s.tl + s.v) AS q FROM size s JOIN kept k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, b.source AS item, coalesce(pair.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+term AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM every
+  UNION ALL
+  SELECT lang, source, 'term', item, value::BIGINT, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM term QUALIFY rank <= 200
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked
+"""
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -123,11 +149,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_source_divergence": op11_source_divergence,
     "op12_collocations": op12_collocations,
     "op13_near_vectors": op13_near_vectors,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_source_divergence": OP11_SQL,
     "op12_collocations": OP12_SQL,
     "op13_near_vectors": OP13_SQL,
 }
