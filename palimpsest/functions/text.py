@@ -47,6 +47,8 @@ COMPOUND = r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*"
 #: Characters that may enclose a whole word, and those that may enclose a phrase.
 ENCLOSING = ' \t\n\r.,!?…:;"«»“”()[]'
 EDGE = " \t.,!;:()[]{}«»\"'“”„…"
+#: Texts of these characters are in NFKC, and lower-casing folds them: ASCII, most of Latin-1, Latin Extended-A's first half, Cyrillic, dashes and quotation marks.
+STABLE = r"^[\x00-\x7F«»¿-ÞÀ-Þà-\u012F\u0400-\u0482\u048A-\u052F–—‘-„]*$"
 #: Laughing is made of these two letters; seeds in the order in which they are tried.
 LAUGHTER = "ах"
 LAUGHTER_SEEDS = ("хаха", "ахаха", "ахах", "хах")
@@ -57,14 +59,12 @@ def normal(text: str | None) -> str | None:
     return None if text is None else unicodedata.normalize("NFKC", text).casefold().replace("ё", "е")
 
 
-@F.pandas_udf(StringType())
-def normalize_text(text: pd.Series) -> pd.Series:
-    return text.map(normal)
-
-
 def folded(text: Column) -> Column:
-    """The native form of normalize_text, for texts that are stable under NFKC and have no special case folds."""
-    return F.translate(F.lower(text), "ё", "е")
+    """normal as a column, in the JVM: lower case where that is all there is to it, else ICU's compatibility composition and full case folding."""
+    simple = F.lower(text)
+    composed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    full = F.call_function("java_method", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
+    return F.translate(F.when(text.rlike(STABLE), simple).when(text.isNotNull(), full), "ё", "е")
 
 
 def words(text: Column) -> Column:

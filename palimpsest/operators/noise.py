@@ -58,13 +58,11 @@ def phrase_words(rows: DataFrame) -> DataFrame:
 
 
 def word_statistics(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Per word its occurrences and the rows it stands in. A row's words are counted within the row, so one shuffle by word is all."""
-    sorted_words = F.array_sort(words(F.col(text)))
-    # of a sorted array each first occurrence begins its word's run: the distance to the next one is the count
-    starts = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: (i == 1) | (F.element_at("_w", i) != F.element_at("_w", F.greatest(i - 1, F.lit(1)))))
-    each = texts.select(sorted_words.alias("_w")).where(F.size("_w") > 0).select("_w", starts.alias("_s"))
-    counted = F.zip_with(F.col("_s"), F.concat(F.slice("_s", 2, F.size("_s")), F.array(F.size("_w") + 1)), lambda a, b: F.struct(F.element_at("_w", a).alias("word"), (b - a).alias("c")))
-    return each.select(F.explode(counted).alias("x")).groupBy("x.word").agg(F.sum("x.c").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+    """Per word its occurrences and the rows it stands in: words of all rows and distinct words of each row, in one scan and one shuffle."""
+    each = texts.select(words(F.col(text)).alias("_w"))
+    marked = lambda found, n, docs: F.transform(found, lambda x: F.struct(x.alias("word"), F.lit(n).alias("n"), F.lit(docs).alias("n_docs")))
+    both = each.select(F.explode(F.concat(marked(F.col("_w"), 1, 0), marked(F.array_distinct("_w"), 0, 1))).alias("x"))
+    return both.groupBy("x.word").agg(F.sum("x.n").cast("long").alias("n"), F.sum("x.n_docs").cast("long").alias("n_docs"))
 
 
 def signatures(forms: DataFrame, name: str) -> DataFrame:
@@ -80,11 +78,12 @@ def met(forms: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def candidates(forms: DataFrame, seeds: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
-    """For each form the seeds one edit away (or equal to it, or lengthened by it), with the edit, and whether more than most seeds shared a signature with it."""
-    pool = met(forms, seeds)
-    placed = pool.withColumns({"_rn": F.row_number().over(W.partitionBy("form").orderBy("seed")), "incomplete": F.count(F.lit(1)).over(W.partitionBy("form")) > most})
+    """For each form the seeds one edit away (or equal to it, or lengthened by it), with the edit: the first most in the order of seeds, and whether there were more."""
     edit = F.coalesce(one_edit(F.col("seed"), F.col("form")), F.when(is_lengthening(F.col("form"), F.col("seed")), "lengthening"))
-    return placed.where(F.col("_rn") <= most).withColumn("edit", edit).where("edit is not null").select("form", "seed", "edit", "incomplete")
+    fits = met(forms, seeds).withColumn("edit", edit).where("edit is not null")
+    # tested first, then numbered: what shares a signature and is no edit takes nobody's place
+    placed = fits.withColumns({"_rn": F.row_number().over(W.partitionBy("form").orderBy("seed")), "incomplete": F.count(F.lit(1)).over(W.partitionBy("form")) > most})
+    return placed.where(F.col("_rn") <= most).select("form", "seed", "edit", "incomplete")
 
 
 def lengthened(forms: DataFrame, seeds: DataFrame) -> DataFrame:

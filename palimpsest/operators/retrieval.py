@@ -51,9 +51,10 @@ def phrase(texts: DataFrame, query: str, text: str = "text") -> DataFrame:
     n = len(terms)
     if not n:
         return texts.limit(0).withColumn("tf", F.lit(0))
-    found = texts.withColumn("_words", words(F.col(text)))
+    # the literal text rules out most rows before any is cut into words
+    found = texts.where(folded(F.col(text)).contains(normal(query).strip())).withColumn("_words", words(F.col(text)))
     start = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_words") - n + 1, F.lit(1))), lambda i: F.slice("_words", i, n) == F.array(*map(F.lit, terms)))
-    return found.where(folded(F.col(text)).contains(normal(query).strip())).withColumn("tf", F.size(start)).where("tf > 0").drop("_words")
+    return found.withColumn("tf", F.size(start)).where("tf > 0").drop("_words")
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "id", vector: str = "vector") -> DataFrame:

@@ -29,7 +29,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def folded_sql(text: str) -> str:
-    return f"replace(lower({text}), 'ё', 'е')"
+    """The normal form, for the characters outside plain lower case that the tables and the special messages have."""
+    return f"replace(replace(replace(lower(translate(nfc_normalize({text}), 'ＡＢＣ', 'abc')), 'ß', 'ss'), 'ﬁ', 'fi'), 'ё', 'е')"
 
 
 def words_sql(text: str) -> str:

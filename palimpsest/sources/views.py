@@ -1,7 +1,7 @@
 """The archive's tables as views over the given Parquet tables, the same in Spark and in SQL.
 
-conversations plays the messages: five conversations are a chat, a turn a minute, with pauses and a midnight in between. Every
-41 turns some texts are replaced by short forms, commands, links and empty texts, so that each rule of the archive has cases.
+conversations plays the messages: five conversations are a chat, a turn a minute, with pauses and a midnight in between. Every message keeps its
+text. Most turns have a further message half a minute later, a short form, command, link, empty text or one outside plain lower case, so that each rule of the archive has cases.
 events is the change feed, documents the recognised texts, embeddings the vectors, pages the stored files.
 """
 
@@ -15,6 +15,7 @@ EPOCH = 1704067200
 SPECIAL = (
     "LOL", "lool!", "да", "https://host.example/a b", "/start", "", "Good morning team", "good mornign team", "O'Reilly can't wait", "x2y", "хахаха", "Why is it so?", "gg", "gg gg", "/stop now", "12345", "Лол", "good morning team!",
     "/start", "/start", "Good morning team", "good  morning team", "Good morning team", "zzyzx", "with", "lol", "Good morning team", "хохма",
+    "Straße nach Bonn", "ＡＢＣ price", "ﬁnal report", "cafe\u0301 au lait",
 )
 SLOTS = 41
 
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _PLACE = f"(conv_id * 13 + turn * 7) % {SLOTS}"
 _WHEN = f"{EPOCH} + conv_id * 86400 + turn * 60 + CASE WHEN turn >= 4 THEN 5400 ELSE 0 END + CASE WHEN turn >= 6 THEN 86400 ELSE 0 END"
-_TEXT = f"CASE {_PLACE} " + " ".join(f"WHEN {k} THEN '" + x.replace("'", "''") + "'" for k, x in enumerate(SPECIAL)) + " ELSE coalesce(text, '') END"
+_SPECIAL = f"CASE {_PLACE} " + " ".join(f"WHEN {k} THEN '" + x.replace("'", "''") + "'" for k, x in enumerate(SPECIAL)) + " END"
 #: Columns of a message, in words that both dialects have.
 _COLUMNS = {
     "chat_id": "CAST(floor(conv_id / 5) AS BIGINT)",
@@ -33,25 +34,35 @@ _COLUMNS = {
     "author_id": "CASE WHEN (conv_id + turn) % 13 <> 5 THEN role END",
     "author": "concat(role, CASE WHEN conv_id % 2 = 0 THEN '' ELSE ' II' END)",
     "kind": "CASE WHEN role = 'system' OR (conv_id + 3 * turn) % 17 = 4 THEN 'service' ELSE 'message' END",
-    "text": _TEXT,
+    "text": "coalesce(text, '')",
     "timestamp": _WHEN,
     "edited": f"CASE WHEN turn % 2 = 0 THEN {_WHEN} + 10 END",
     "has_photo": "CAST((conv_id + turn) % 5 = 0 AS INT)",
     "protected": "CAST((conv_id + 2 * turn) % 9 = 0 AS INT)",
-    "bot_command": f"CAST({_PLACE} IN (4, 18, 19) AS INT)",
+    "bot_command": "0",
     "deleted": "CAST((conv_id * 7 + turn) % 11 = 0 AS INT)",
     "reply_to": "CASE WHEN turn % 3 = 2 OR (turn % 3 = 1 AND conv_id % 2 = 0) THEN (conv_id % 5) * 8 + turn - 1 WHEN turn = 0 AND conv_id % 5 = 3 THEN 8 END",
     "forwarded_from": "CASE WHEN conv_id % 4 = 1 THEN concat('Feed ', CAST(conv_id % 3 AS STRING)) END",
 }
 
 
+#: What a further message has of its own.
+_FURTHER = _COLUMNS | {"message_id": f"{_COLUMNS['message_id']} + 40", "text": _SPECIAL, "timestamp": f"{_WHEN} + 30", "edited": f"CASE WHEN turn % 2 = 0 THEN {_WHEN} + 40 END", "bot_command": f"CAST({_PLACE} IN (4, 18, 19) AS INT)"}
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chat_id, message_id, author_id, author, kind, text, timestamp, edited, has_photo, protected, bot_command, deleted, reply_to, forwarded_from."""
-    return table(spark, sf_dir, "conversations").select(*(F.expr(x).alias(name) for name, x in _COLUMNS.items()))
+    turns = table(spark, sf_dir, "conversations")
+    own = turns.select(*(F.expr(x).alias(name) for name, x in _COLUMNS.items()))
+    return own.union(turns.where(f"{_PLACE} < {len(SPECIAL)}").select(*(F.expr(x).alias(name) for name, x in _FURTHER.items())))
+
+
+def _select_sql(columns: dict[str, str]) -> str:
+    return "SELECT " + ", ".join(f"{x} AS {name}" for name, x in columns.items()) + " FROM conversations"
 
 
 #: The same view for SQL: put before a query.
-MESSAGES_SQL = "messages AS (SELECT " + ", ".join(f"{x} AS {name}" for name, x in _COLUMNS.items()) + " FROM conversations)"
+MESSAGES_SQL = f"messages AS ({_select_sql(_COLUMNS)} UNION ALL {_select_sql(_FURTHER)} WHERE {_PLACE} < {len(SPECIAL)})"
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
