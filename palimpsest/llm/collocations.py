@@ -4,7 +4,8 @@ Texts are read in shards of some million word places. A shard counts its phrases
 table of its paths (one hash a word, zero beyond a node's depth) with counts, cut into ranges by the first two words of a path, and the ranges of all
 shards are merged in order. Three scans: words, pairs of words that are frequent by themselves, phrases of three to five words all of whose
 pairs are frequent (a phrase is never more frequent than a part of it). What is frequent goes to the next scan as a table of bits of fixed
-size: a bit too many costs time, never a result.
+size: a bit too many costs time, never a result. The first scan also counts pairs in a table of fixed size by their hash: a pair whose slot has too few
+occurrences of all pairs together is not frequent, and not counted again.
 
 A node's parent (the path without its last word) is the left part of its last cut, its suffix link (the path without its first word) the right part of its
 first. Counts of all left parts are collected along the walk down, those of all right parts along the suffix links, depth by depth.
@@ -35,6 +36,9 @@ HELD = 1 << 21
 #: Bits of the table of frequent paths (8 MB), and of one piece of it.
 FILTER_BITS, PIECE_BITS = 26, 19
 
+#: Slots of the table of pairs' counts (a byte each in a shard), and of one piece of it.
+PAIR_BITS, SLICE_BITS = 23, 18
+
 #: Pieces end at [.,;:!?\x0A-\x0D], words there and at blanks and tabs.
 PIECE_ENDS = np.zeros(256, bool)
 PIECE_ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -108,6 +112,10 @@ def slots(path: list[np.ndarray]) -> np.ndarray:
     return (code >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def pair_slots(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return (mix((one * _ODD) ^ two) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
 def marked(bits: np.ndarray, path: list[np.ndarray]) -> np.ndarray:
     at = slots(path)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
@@ -135,8 +143,8 @@ def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarr
 
 
 def cut(paths: list[np.ndarray], counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """A shard's trie as one serialised, sorted run a range. A range is told by the first two words."""
-    part = (mix((paths[0] * _ODD) ^ (paths[1] if len(paths) > 1 else np.uint64(0))) % np.uint64(parts)).astype(np.int32)
+    """A shard's trie as one serialised, sorted run a range. A range is told by the first word and, so that a frequent one is split, three bits of the second."""
+    part = (mix((paths[0] * _ODD) ^ (paths[1] >> np.uint64(61) if len(paths) > 1 else np.uint64(0))) % np.uint64(parts)).astype(np.int32)
     order = np.lexsort([*paths[::-1], part]) if len(paths) <= 2 else np.lexsort([*[x for x in paths[::-1] if x.any()], part])
     part = part[order]
     cuts = np.searchsorted(part, np.arange(parts + 1))
@@ -210,23 +218,50 @@ def table_of_bits(paths: DataFrame) -> Broadcast:
 
 
 def counted_words(docs: DataFrame, parts: int, salt: int) -> DataFrame:
-    """Runs of depth 1, and the number of words of each language."""
+    """Runs of depth 1, the number of words of each language (part -1), and the counts of pairs by slots (parts from -2 downwards)."""
 
     @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in shards(batches, salt):
-            hashes, _ = own.arrays()
-            words, n = np.unique(hashes, return_counts=True)
-            if len(words):
-                yield from cut([words], n, parts)
+            hashes, begins = own.arrays()
             for lang, n in own.words.items():
                 yield row(-1, lang=lang, n=n)
+            if not len(hashes):
+                continue
+            words, n = np.unique(hashes, return_counts=True)
+            yield from cut([words], n, parts)
+            at = np.flatnonzero(~begins[1:])
+            table = np.minimum(np.bincount(pair_slots(hashes[at], hashes[at + 1]), minlength=1 << PAIR_BITS), 255).astype(np.uint8)
+            for k, piece in enumerate(table.reshape(-1, 1 << SLICE_BITS)):
+                if piece.any():
+                    yield row(-2 - k, pa.compress(piece.tobytes(), codec="zstd", asbytes=True))
 
     return docs.mapInArrow(scan, RUN)
 
 
-def counted_pairs(docs: DataFrame, parts: int, salt: int, words: Broadcast) -> DataFrame:
-    """Runs of depth 2 over frequent words."""
+def heavy_pairs(runs: DataFrame, least: int) -> Broadcast:
+    """The slots of pairs with at least least occurrences (of 255, where shards stop counting), as a table of bits: 1 MB."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
+                piece = pa.decompress(data.as_buffer(), decompressed_size=1 << SLICE_BITS, codec="zstd")
+                sums[part] = sums.get(part, 0) + np.frombuffer(piece, np.uint8).astype(np.int64)
+        for part, n in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(n >= min(least, 255), bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    pieces = 1 << (PAIR_BITS - SLICE_BITS)
+    whole, step = np.zeros((1 << PAIR_BITS) // 8, np.uint8), (1 << SLICE_BITS) // 8
+    found = runs.where("part < -1").select("part", "data").repartition(pieces, "part").mapInArrow(add, "part int, bits binary")
+    for r in found.toLocalIterator():
+        k = -2 - r.part
+        whole[k * step : (k + 1) * step] = np.frombuffer(r.bits, np.uint8)
+    return runs.sparkSession.sparkContext.broadcast(whole)
+
+
+def counted_pairs(docs: DataFrame, parts: int, salt: int, words: Broadcast, heavy: Broadcast) -> DataFrame:
+    """Runs of depth 2 over frequent words, but for pairs that can't be frequent."""
 
     @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +269,8 @@ def counted_pairs(docs: DataFrame, parts: int, salt: int, words: Broadcast) -> D
             hashes, begins = own.arrays()
             alive = marked(words.value, [hashes])
             at = np.flatnonzero(alive[:-1] & alive[1:] & ~begins[1:])
+            slot = pair_slots(hashes[at], hashes[at + 1])
+            at = at[(heavy.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0]
             if not len(at):
                 continue
             _, number, _ = numbers(np.where(alive, hashes, np.uint64(0)))
@@ -321,8 +358,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
         root = scratch_root(spark)
         runs = staged(counted_words(given, parts, salt), "runs1", root)
         words = staged(frequent(runs, parts, least), "words", root)
-        totals = runs.where("part < 0").groupBy("lang").agg(F.sum("n").alias("total"))
-        two = staged(counted_pairs(given, parts, salt, table_of_bits(words)), "runs2", root)
+        totals = runs.where("part = -1").groupBy("lang").agg(F.sum("n").alias("total"))
+        two = staged(counted_pairs(given, parts, salt, table_of_bits(words), heavy_pairs(runs, least)), "runs2", root)
         pairs = staged(frequent(two, parts, least), "pairs", root)
         more = staged(counted_phrases(given, parts, salt, table_of_bits(pairs)), "runs3", root)
         phrases = staged(frequent(more, parts, least), "phrases", root)
