@@ -6,8 +6,9 @@ import json
 import re
 import unicodedata
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -212,31 +213,61 @@ def chat_id(scope: pd.Series, external: pd.Series) -> pd.Series:
     return pd.Series([str(uuid.uuid5(uuid.NAMESPACE_URL, f"{a}:{b}")) for a, b in zip(scope, external, strict=True)])
 
 
-def substring_edits(pattern: str, text: str, most: int) -> int | None:
-    """Least edits (an adjacent swap counts as one) between pattern and any substring of text, None beyond most.
+#: Characters of a text that are compared at once, and texts' pieces.
+STRETCH, AT_ONCE = 512, 4096
 
-    Bit vectors hold one column of the distance table: where it rises and falls, and where a letter swaps with the one before.
+
+def substring_edits(pattern: str, texts: Sequence[str], most: int) -> np.ndarray:
+    """For each text the least edits (an adjacent swap counts as one) between pattern (1 to 64 characters) and any substring of it; -1 beyond most.
+
+    Myers' bit vectors (1999), with Hyyro's term for adjacent swaps (2003): a column of the distance table is where it rises and where it falls. Texts are cut into
+    pieces of equal length that overlap by the longest match, and all pieces go on together, a character of each at a time.
     """
-    if not pattern:
-        return 0
     n = len(pattern)
-    full, top = (1 << n) - 1, 1 << (n - 1)
-    where: dict[str, int] = {}
+    full, top, one = np.uint64((1 << n) - 1), np.uint64(n - 1), np.uint64(1)
+    where = np.zeros(1 << 16, np.uint64)
+    rare: dict[int, np.uint64] = {}
     for i, c in enumerate(pattern):
-        where[c] = where.get(c, 0) | 1 << i
-    rises, falls, diagonal, before, score, best = full, 0, full, 0, n, n
-    for c in text:
-        here = where.get(c, 0)
-        swap = ((~diagonal & here) << 1) & before
-        diagonal = ((((here & rises) + rises) ^ rises) | here | falls | swap) & full
-        up, down = falls | ~(diagonal | rises) & full, diagonal & rises
-        score += bool(up & top) - bool(down & top)
-        best = min(best, score)
-        up, down = (up << 1) & full, (down << 1) & full
-        rises, falls, before = down | ~(diagonal | up) & full, diagonal & up, here
-    return best if best <= most else None
+        if ord(c) < len(where):
+            where[ord(c)] |= np.uint64(1 << i)
+        else:
+            rare[ord(c)] = rare.get(ord(c), np.uint64(0)) | np.uint64(1 << i)
+    overlap = n + most
+    step = max(STRETCH - overlap, overlap)
+    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
+    pieces = [(i, k) for i, t in enumerate(codes) for k in range(0, max(1, len(t) - overlap), step)]
+    best = np.full(len(texts), n, np.int64)
+    for a in range(0, len(pieces), AT_ONCE):
+        some = pieces[a : a + AT_ONCE]
+        width = max(min(len(codes[i]) - k, step + overlap) for i, k in some)
+        block = np.full((width, len(some)), 0xFFFF, np.uint32)  # no character: beyond the end of a piece
+        for j, (i, k) in enumerate(some):
+            own = codes[i][k : k + step + overlap]
+            block[: len(own), j] = own
+        zero = np.zeros(len(some), np.uint64)
+        rises, falls, diagonal, before = np.full(len(some), full), zero, zero, zero
+        score = np.full(len(some), n, np.int64)
+        least = score.copy()
+        for row in block:
+            here = where[np.minimum(row, 0xFFFF)]
+            for code, bits in rare.items():
+                here = np.where(row == code, bits, here)
+            swap = ((~diagonal & here) << one) & before
+            diagonal = ((((here & rises) + rises) ^ rises) | here | falls | swap) & full
+            up, down = falls | (~(diagonal | rises) & full), diagonal & rises
+            score += ((up >> top) & one).astype(np.int64) - ((down >> top) & one).astype(np.int64)
+            np.minimum(least, score, out=least)
+            up, down = (up << one) & full, (down << one) & full
+            rises, falls, before = down | (~(diagonal | up) & full), diagonal & up, here
+        np.minimum.at(best, [i for i, _ in some], least)
+    return np.where(best <= most, best, -1)
 
 
 @F.pandas_udf(IntegerType())
 def substring_distance(pattern: pd.Series, text: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else substring_edits(p, t, m) for p, t, m in zip(pattern, text, most, strict=True)], dtype="Int32")
+    """substring_edits of each row, null beyond most."""
+    out = pd.Series([None] * len(pattern), dtype="Int32")
+    for (p, m), own in pd.DataFrame({"p": pattern, "m": most, "t": text}).dropna().groupby(["p", "m"]):
+        found = substring_edits(p, list(own["t"]), int(m))
+        out[own.index] = pd.array([None if x < 0 else int(x) for x in found], dtype="Int32")
+    return out

@@ -1,15 +1,18 @@
-"""An index of words: postings of each term with its places, texts' lengths, and what changes add and take away."""
+"""Indexes of words and of letter grams as stored tables: immutable segments of postings with what changes add and take away, and grams for parts of words and typos."""
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Sequence
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import folded, query_terms, query_words, substring_distance, words
-from palimpsest.operators.store import Store
+from palimpsest.operators.store import Store, Version
 from palimpsest.session import ship
 
 #: Folders that terms are dealt to: a search reads only those of its terms.
@@ -21,57 +24,147 @@ def bucket_of(term: Column) -> Column:
 
 
 def postings(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """keys, term, tf, places (ascending, from 0), dl (words of the text) and bucket: a row for each text and term."""
-    placed = texts.select(*keys, words(F.col(text)).alias("_w")).select(*keys, F.size("_w").alias("dl"), F.posexplode("_w").alias("_at", "term"))
-    rows = placed.groupBy(*keys, "term", "dl").agg(F.array_sort(F.collect_list("_at")).alias("places"))
-    return rows.select(*keys, "term", F.size("places").alias("tf"), "places", "dl", bucket_of(F.col("term")).alias("bucket"))
+    """keys, term, tf, places (ascending, from 0), dl (words of the text) and bucket: a row for each text and term, made within the text's row."""
+    placed = texts.select(*keys, F.array_sort(F.transform(words(F.col(text)), lambda w, i: F.struct(w.alias("w"), i.alias("i")))).alias("_w"))
+    # in the order of words each first occurrence begins its word's run; the next one ends it
+    starts = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: (i == 1) | (F.element_at("_w", i)["w"] != F.element_at("_w", F.greatest(i - 1, F.lit(1)))["w"]))
+    cut = placed.where(F.size("_w") > 0).select(*keys, "_w", starts.alias("_s"))
+    runs = F.zip_with("_s", F.concat(F.slice("_s", 2, F.size("_s")), F.array(F.size("_w") + 1)), lambda a, b: F.struct(F.element_at("_w", a)["w"].alias("term"), (b - a).alias("tf"), F.slice("_w", a, b - a)["i"].alias("places")))
+    rows = cut.select(*keys, F.size("_w").alias("dl"), F.explode(runs).alias("x")).select(*keys, "x.term", "x.tf", "x.places", "dl")
+    return rows.withColumn("bucket", bucket_of(F.col("term")))
+
+
+def lengths(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """keys and dl; a null text is an empty one."""
+    return texts.select(*keys, F.coalesce(F.size(words(F.col(text))), F.lit(0)).alias("dl"))
 
 
 class WordIndex:
-    """Postings and lengths of texts as stored tables. Statistics cover all texts, those without words too."""
+    """A log-structured index of words: immutable segments, the newest of which speaks for a text.
 
-    def __init__(self, store: Store, sizes: Store, keys: Sequence[str]):
-        self.store, self.sizes, self.keys = store, sizes, list(keys)
+    A segment has postings by bucket, and mentions: the texts it speaks for with their length in words, null if the text is gone. An update writes one
+    segment, in proportion to the change. Segments of a size class (FAN times as many texts as the class below) are merged into one when
+    FAN of them stand together, so that a text is rewritten a logarithmic number of times; deletions go when the oldest segment takes part. What counts
+    is a version of the store: its parts are segments from old to new, its facts the number of texts and of their words.
+    """
 
-    def build(self, texts: DataFrame, text: str = "text") -> "WordIndex":
-        self.store.publish_by(postings(texts, self.keys, text), "bucket")
-        self.sizes.publish(texts.select(*self.keys, F.size(words(F.col(text))).alias("dl")))
-        return self
+    FAN = 4
+
+    def __init__(self, store: Store, keys: Sequence[str]):
+        self.store, self.keys = store, list(keys)
+        self.spark = store.spark
+
+    # segments
+
+    def _write(self, rows: DataFrame, mentions: DataFrame) -> str:
+        folder = f"data/{uuid.uuid4().hex}"
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.store.root}/{folder}/postings")
+        mentions.write.parquet(f"{self.store.root}/{folder}/mentions")
+        return folder
+
+    def _read(self, folder: str, kind: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.store.root}/{folder}/{kind}")
 
-    def update(self, changed: DataFrame, gone: DataFrame, text: str = "text") -> "WordIndex":
-        """Replace the postings of changed texts and drop those that are gone: other texts are not read again, only their postings are copied."""
-        stale = changed.select(*self.keys).union(gone.select(*self.keys)).distinct()
-        old, lengths = self.store.read(), self.sizes.read()
-        self.store.publish_by(old.join(stale, self.keys, "left_anti").unionByName(postings(changed, self.keys, text)), "bucket")
-        self.sizes.publish(lengths.join(stale, self.keys, "left_anti").unionByName(changed.select(*self.keys, F.size(words(F.col(text))).alias("dl"))))
+    def _mentions(self, folders: Sequence[str], after: int = 0) -> DataFrame:
+        """keys, dl and place of segments from after on."""
+        rows = [self._read(f, "mentions").withColumn("place", F.lit(i)) for i, f in enumerate(folders) if i >= after]
+        return reduce(DataFrame.unionByName, rows)
+
+    def _postings(self, folders: Sequence[str]) -> DataFrame:
+        """Postings of all segments but those of texts that a newer segment speaks for."""
+        rows = reduce(DataFrame.unionByName, (self._read(f, "postings").withColumn("place", F.lit(i)) for i, f in enumerate(folders)))
+        if len(folders) == 1:
+            return rows.drop("place")
+        newer = self._mentions(folders, 1).groupBy(*self.keys).agg(F.max("place").alias("_last"))
+        return rows.join(newer, self.keys, "left").where("_last is null or _last = place").drop("place", "_last")
+
+    def _latest(self, folders: Sequence[str]) -> DataFrame:
+        """keys and dl of what the newest segment says of each text."""
+        return self._mentions(folders).groupBy(*self.keys).agg(F.max_by("dl", "place").alias("dl"))
+
+    def _commit(self, number: int, parts: dict[str, str], facts: dict) -> None:
+        schema = self._read(next(iter(parts.values())), "mentions").schema
+        self.store.commit(parts, schema, number, facts)
+
+    # changes
+
+    def build(self, texts: DataFrame, text: str = "text") -> WordIndex:
+        """A new index of texts in the place of what was there."""
+        number = self.store._next(None)
+        folder = self._write(postings(texts, self.keys, text), lengths(texts, self.keys, text))
+        n, total = self._read(folder, "mentions").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        self._commit(number, {f"{uuid.uuid4().hex}:{n}": folder}, {"texts": n, "words": total})
         return self
 
+    def update(self, changed: DataFrame, gone: DataFrame, text: str = "text") -> WordIndex:
+        """Take in changed texts and drop those that are gone. Only these are indexed and written; their old lengths are looked up in the mentions."""
+        at = self._at()
+        old = list(at.parts.values())
+        dead = gone.select(*self.keys).join(changed.select(*self.keys), self.keys, "left_anti").distinct().withColumn("dl", F.lit(None).cast("int"))
+        folder = self._write(postings(changed, self.keys, text), lengths(changed, self.keys, text).unionByName(dead))
+        fresh = self._read(folder, "mentions")
+        before = self._latest(old).join(fresh.select(*self.keys), self.keys, "left_semi").where("dl is not null")
+        sums = lambda df: df.agg(F.count("dl"), F.coalesce(F.sum("dl"), F.lit(0)), F.count(F.lit(1))).first()
+        (n0, w0, _), (n1, w1, rows) = sums(before), sums(fresh)
+        facts = {"texts": at.facts["texts"] - n0 + n1, "words": at.facts["words"] - w0 + w1}
+        self._commit(at.number + 1, at.parts | {f"{uuid.uuid4().hex}:{rows}": folder}, facts)
+        return self.merge()
+
+    def merge(self, all_: bool = False) -> WordIndex:
+        """Merge the newest segments as long as FAN of a size class stand together (all_: into one)."""
+        while True:
+            at = self._at()
+            names = list(at.parts)
+            level = [int(math.log(max(1, int(x.split(":")[1])), self.FAN)) for x in names]
+            first = 0 if all_ else next((i for i in range(len(names)) if len(names) - i >= self.FAN and max(level[i:]) <= level[-1]), None)
+            if first is None or len(names) - first < 2:
+                return self
+            folders = [at.parts[x] for x in names[first:]]
+            latest = self._latest(folders)
+            # what is deleted has to be said as long as an older segment may hold it
+            latest = latest.where("dl is not null") if first == 0 else latest
+            folder = self._write(self._postings(folders), latest)
+            rows = self._read(folder, "mentions").count()
+            self._commit(at.number + 1, {x: at.parts[x] for x in names[:first]} | {f"{uuid.uuid4().hex}:{rows}": folder}, at.facts)
+
+    # searches
+
+    def _at(self) -> Version:
+        at = self.store.at()
+        if at is None:
+            raise ValueError("nothing was indexed yet")
+        return at
+
+    def none(self) -> DataFrame:
+        return self._read(next(iter(self._at().parts.values())), "mentions").limit(0).select(*self.keys)
+
     def of(self, terms: Sequence[str]) -> DataFrame:
         """Postings of terms: their folders alone are read."""
         wanted = list(dict.fromkeys(terms))
-        buckets = {r[0] for r in self.store.spark.createDataFrame([(t,) for t in wanted], "t string").select(bucket_of(F.col("t"))).collect()}
-        return self.store.read().where(F.col("bucket").isin(*buckets) & F.col("term").isin(*wanted))
+        buckets = {r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "t string").select(bucket_of(F.col("t"))).collect()}
+        return self._postings(list(self._at().parts.values())).where(F.col("bucket").isin(*buckets) & F.col("term").isin(*wanted))
 
     def bm25(self, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """keys and score of texts with all terms of query (the smaller the better); a term that the query repeats counts as often."""
         terms = query_terms(query)
         if not terms:
-            return self.sizes.read().limit(0).select(*self.keys, F.lit(0.0).alias("score"))
+            return self.none().select(*self.keys, F.lit(0.0).alias("score"))
+        facts = self._at().facts
+        n, average = facts["texts"], facts["words"] / max(1, facts["texts"])
         found = self.of(terms)
-        facts = self.sizes.read().agg(F.count(F.lit(1)).alias("_n"), F.avg("dl").alias("_avg"))
         df = found.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
         times = F.coalesce(*(F.when(F.col("term") == t, F.lit(terms.count(t))) for t in dict.fromkeys(terms)))
-        idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
-        part = times * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("_avg")))
+        idf = F.greatest(F.log((n - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
+        part = times * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
         # a row of statistics for each term of the query
-        scored = found.join(F.broadcast(df), "term").join(F.broadcast(facts), F.lit(True)).select(*self.keys, "term", part.alias("_part"))
+        scored = found.join(F.broadcast(df), "term").select(*self.keys, "term", part.alias("_part"))
         return scored.groupBy(*self.keys).agg((-F.sum("_part")).alias("score"), F.count(F.lit(1)).alias("_terms")).where(F.col("_terms") == len(set(terms))).drop("_terms")
 
     def phrase(self, query: str) -> DataFrame:
         """keys and tf of texts in which the words of query follow one another."""
         terms = query_words(query)
         if not terms:
-            return self.sizes.read().limit(0).select(*self.keys, F.lit(0).alias("tf"))
+            return self.none().select(*self.keys, F.lit(0).alias("tf"))
         each = self.of(terms).groupBy(*self.keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_p"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(set(terms)))
         # places of each term, shifted by its place in the phrase, have the phrase's starts in common
         starts = F.element_at("_p", F.lit(terms[0]))
@@ -84,44 +177,122 @@ def sub(k: int, x: Column) -> Column:
     return x - k
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct pairs of neighbouring letters of each word."""
-    long = F.filter(words(text), lambda w: F.length(w) >= 2)
-    return F.array_distinct(F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2))))))
+def pieces(term: str, n: int) -> list[str]:
+    """The n-grams of a term, repeated ones kept."""
+    return [term[i : i + n] for i in range(len(term) - n + 1)]
+
+
+def edits_of(term: str) -> int:
+    """Typos that a term may have: none below four letters, two from eight on."""
+    return 0 if not 4 <= len(term) <= 64 else 2 if len(term) >= 8 else 1
 
 
-def near_grams(term: str) -> set[str]:
-    """Pairs of letters of which a text with a typo of term has one; those of four letters after a swap too, which may share none with the term."""
-    if not 4 <= len(term) <= 64:
-        return set()
-    pairs = {term[i : i + 2] for i in range(len(term) - 1)}
-    swapped = [term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(3)] if len(term) == 4 else []
-    return pairs | {x[i : i + 2] for x in swapped for i in range(len(x) - 1)}
+def shared_pairs(term: str) -> tuple[dict[str, int], int]:
+    """Pairs of letters with weights, and the weight that a text with a typo of term has of them at least.
+
+    A typo takes at most three of the term's pairs away (an adjacent swap three, any other two). Where that leaves none, the swapped forms' pairs count as well.
+    """
+    weights: dict[str, int] = {}
+    for x in pieces(term, 2):
+        weights[x] = weights.get(x, 0) + 1
+    least = len(term) - 1 - 3 * edits_of(term)
+    if least < 1:
+        for i in range(len(term) - 1):
+            for x in pieces(term[:i] + term[i + 1] + term[i] + term[i + 2 :], 2):
+                weights.setdefault(x, 1)
+    return weights, max(1, least)
 
 
-def word_tiers(texts: DataFrame, query: str, key: str, text: str = "text", most: int = 100) -> DataFrame:
-    """key, kind and edits of texts that hold all terms of query: as words (exact), as parts of words (substring) or with typos (fuzzy).
+class GramIndex:
+    """Words, pairs and triples of letters of texts with the texts that hold them, and the texts: for whole words, parts of words and typos.
 
-    A term may have one typo (an adjacent swap counts as one), two from eight letters on, if the query has at most 12 terms of 160
-    letters together. Exact matches come in the order of their score, all others by edits. Typos are sought by a Python function, once, in the
-    texts that share letters with a term and don't hold it.
+    A gram's texts stand in arrays of bounded length: texts are dealt to blocks of about BLOCK by their key, so that a gram that all texts hold is many rows.
     """
-    terms = list(dict.fromkeys(query_terms(query)))
-    if not terms:
-        return texts.limit(0).select(key, F.lit("").alias("kind"), F.lit(0).alias("edits"))
-    broad = len(terms) <= 12 and sum(map(len, terms)) <= 160
-    every = lambda tests: reduce(lambda a, b: a & b, tests)
-    ship(texts.sparkSession)
-    held = texts.select(key, folded(F.col(text)).alias("_t"), words(F.col(text)).alias("_w"), bigrams(F.col(text)).alias("_g"))
-    literal = [F.col("_t").contains(t) for t in terms]
-    marked = held.select(key, "_t", "_g", every([F.array_contains("_w", t) for t in terms]).alias("_exact"), every(literal).alias("_literal"))
-    plain = marked.where("_exact or _literal").select(key, F.when(F.col("_exact"), "exact").otherwise("substring").alias("kind"), F.lit(0).alias("edits"))
-    # a term without its letters in the text can't be there with a typo
-    shares = every([c | F.arrays_overlap("_g", F.array(*map(F.lit, sorted(near_grams(t))))) if near_grams(t) else c for c, t in zip(literal, terms, strict=True)])
-    if not broad:
-        return plain.orderBy(F.when(F.col("kind") == "exact", 0).otherwise(1), "edits", key).limit(most)
-    rest = marked.where(~F.col("_exact") & ~F.col("_literal") & shares)
-    asked = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(2 if len(t) >= 8 else 1).alias("most")) for t in terms))
-    each = rest.select(key, "_t", F.explode(asked).alias("x")).withColumn("_d", substring_distance(F.col("x.t"), F.col("_t"), F.col("x.most")))
-    fuzzy = each.groupBy(key).agg(F.count("_d").alias("_n"), F.sum("_d").cast("int").alias("edits")).where(F.col("_n") == len(terms)).select(key, F.lit("fuzzy").alias("kind"), "edits")
-    return plain.union(fuzzy).orderBy(F.when(F.col("kind") == "exact", 0).otherwise(1), "edits", key).limit(most)
+
+    BLOCK = 1 << 14
+
+    def __init__(self, grams: Store, texts: Store, key: str):
+        self.grams, self.texts, self.key = grams, texts, key
+
+    def build(self, texts: DataFrame, text: str = "text") -> GramIndex:
+        """Index texts (null: empty). Keys are distinct; a text without letters or digits is found by nothing."""
+        held = texts.select(self.key, F.coalesce(folded(F.col(text)), F.lit("")).alias("t"))
+        self.texts.publish(held)
+        held = self.texts.read()
+        blocks = max(1, held.count() // self.BLOCK)
+        own = held.select(self.key, F.array_distinct(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("_w"))
+
+        def of(n: int) -> Column:
+            each = F.transform(F.filter("_w", lambda w: F.length(w) >= n), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n))))
+            return F.transform(F.array_distinct(F.flatten(each)), lambda x: F.concat(F.lit(f"{n}"), x))
+
+        names = F.concat(F.transform("_w", lambda w: F.concat(F.lit("="), w)), of(1), of(2), of(3))
+        rows = own.select(self.key, F.explode(names).alias("gram")).withColumn("block", F.pmod(F.xxhash64(self.key), F.lit(blocks)))
+        listed = rows.groupBy("gram", "block").agg(F.collect_list(self.key).alias("keys"))
+        self.grams.publish_by(listed.withColumn("bucket", bucket_of(F.col("gram"))), "bucket")
+        return self
+
+    def _held(self, wanted: Sequence[str]) -> DataFrame:
+        """key and gram, for the wanted grams."""
+        buckets = {r[0] for r in self.grams.spark.createDataFrame([(t,) for t in wanted], "t string").select(bucket_of(F.col("t"))).collect()}
+        found = self.grams.read().where(F.col("bucket").isin(*buckets) & F.col("gram").isin(*wanted))
+        return found.select("gram", F.explode("keys").alias(self.key))
+
+    def search(self, query: str, most: int | None = 100, budget: int | None = 1_000_000) -> DataFrame:
+        """key, kind, edits and incomplete of texts that hold all terms of query: as words (exact), as parts of words (substring) or with typos (fuzzy).
+
+        A term may have one typo (an adjacent swap counts as one), two from eight letters on, none below four, if the query has at most 12 terms of
+        160 letters together. Texts are chosen by grams: all triples of a term for a part of a word, enough of its pairs for a typo. Only those are compared,
+        the most promising first, up to budget characters together (null: all); incomplete says whether some were left out. The first most (null: all),
+        exact ones first, then by edits and key.
+        """
+        terms = list(dict.fromkeys(query_terms(query)))
+        spark = self.texts.spark
+        if not terms:
+            return self.texts.read().limit(0).select(self.key, F.lit("").alias("kind"), F.lit(0).alias("edits"), F.lit(False).alias("incomplete"))
+        ship(spark)
+        typos = len(terms) <= 12 and sum(map(len, terms)) <= 160
+        every = lambda tests: reduce(lambda a, b: a & b, tests)
+        asked, tests = set(), {}
+        for i, t in enumerate(terms):
+            n = min(3, len(t))
+            whole = [f"{n}{x}" for x in dict.fromkeys(pieces(t, n))]
+            weights, least = shared_pairs(t) if typos and edits_of(t) else ({}, 1)
+            asked |= {f"={t}", *whole, *(f"2{x}" for x in weights)}
+            tests[i] = (f"={t}", whole, {f"2{x}": w for x, w in weights.items()}, least)
+        sums = {}
+        for i, (word, whole, weights, _) in tests.items():
+            sums[f"w{i}"] = F.max(F.when(F.col("gram") == word, 1).otherwise(0))
+            sums[f"p{i}"] = F.count_if(F.col("gram").isin(*whole))
+            weight = F.coalesce(*(F.when(F.col("gram") == x, F.lit(w)) for x, w in weights.items()), F.lit(0)) if weights else F.lit(0)
+            sums[f"g{i}"] = F.sum(weight)
+        votes = self._held(sorted(asked)).groupBy(self.key).agg(*(v.alias(k) for k, v in sums.items()))
+        part = {i: F.col(f"p{i}") == len(x[1]) for i, x in tests.items()}
+        near = {i: F.col(f"g{i}") >= x[3] if x[2] else F.lit(False) for i, x in tests.items()}
+        chosen = votes.where(every([part[i] | near[i] for i in tests]))
+        met = chosen.join(self.texts.read(), self.key)
+        exact = every([F.col(f"w{i}") == 1 for i in tests])
+        literal = every([part[i] & F.col("t").contains(t) for i, t in enumerate(terms)])
+        marked = met.withColumns({"_exact": exact, "_literal": literal, "_votes": sum((F.col(f"g{i}") for i in tests), F.lit(0)), "_size": F.length("t")})
+        plain = marked.where("_exact or _literal").select(self.key, F.when(F.col("_exact"), "exact").otherwise("substring").alias("kind"), F.lit(0).alias("edits"), F.lit(False).alias("_left"))
+        found = plain
+        if typos:
+            rest = marked.where("not _exact and not _literal")
+            if budget is not None:
+                # a text that can hold a typo has at least three letters, so these many rows reach the budget
+                rest = rest.orderBy(F.col("_votes").desc(), self.key).limit(budget // 3 + 2)
+                rest = rest.withColumn("_used", F.sum("_size").over(W.orderBy(F.col("_votes").desc(), self.key).rowsBetween(W.unboundedPreceding, W.currentRow)))
+            else:
+                rest = rest.withColumn("_used", F.lit(0))
+            over = F.col("_used") > (budget if budget is not None else 0)
+            each = rest.select(self.key, over.alias("_left"), F.when(~over, F.col("t")).alias("t"), F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(edits_of(t)).alias("most")) for t in terms))).alias("x"))
+            each = each.withColumn("_d", F.when(F.col("t").contains(F.col("x.t")), 0).otherwise(substring_distance(F.col("x.t"), F.when(~F.col("t").contains(F.col("x.t")), F.col("t")), F.col("x.most"))))
+            fuzzy = each.groupBy(self.key).agg(F.count("_d").alias("_n"), F.sum("_d").cast("int").alias("edits"), F.max("_left").alias("_left"))
+            found = plain.union(fuzzy.where((F.col("_n") == len(terms)) | F.col("_left")).select(self.key, F.when(F.col("_n") == len(terms), "fuzzy").alias("kind"), "edits", "_left"))
+        if budget is not None:
+            # a row of what is left out, beside every row that is found
+            left = found.agg(F.coalesce(F.max("_left"), F.lit(False)).alias("incomplete"))
+            found = found.where("kind is not null").drop("_left").join(F.broadcast(left), F.lit(True))
+        else:
+            found = found.where("kind is not null").select(self.key, "kind", "edits", F.lit(False).alias("incomplete"))
+        return found if most is None else found.orderBy(F.when(F.col("kind") == "exact", 0).otherwise(1), "edits", self.key).limit(most)

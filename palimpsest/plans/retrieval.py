@@ -70,8 +70,7 @@ def ret03_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_index(spark: SparkSession, sf_dir: str) -> P.WordIndex:
-    root = scratch(spark, "words")
-    return P.WordIndex(Store(spark, f"{root}/postings"), Store(spark, f"{root}/sizes"), KEY)
+    return P.WordIndex(Store(spark, scratch(spark, "words")), KEY)
 
 
 @query(f"{WITH}, {bm25_sql(['er', 'th', 'er'])} SELECT chat_id, message_id, round(score, 6) AS score FROM scored")
@@ -101,6 +100,11 @@ def ret03_index_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 TIERS = "thernt erth"
 
 
+def gram_index(spark: SparkSession, sf_dir: str) -> P.GramIndex:
+    root = scratch(spark, "grams")
+    return P.GramIndex(Store(spark, f"{root}/grams"), Store(spark, f"{root}/texts"), "doc_id").build(table(spark, sf_dir, "documents"))
+
+
 def prefix_edits_sql(term: str) -> str:
     """Whether a text holds term with one typo: a letter more, fewer, other or swapped with the next."""
     wild = [f"{term[:i]}.{term[i:]}" for i in range(1, len(term))] + [term[:i] + term[i + 1 :] for i in range(len(term))] + [f"{term[:i]}.{term[i + 1:]}" for i in range(len(term))] + [term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(len(term) - 1)]
@@ -110,8 +114,8 @@ def prefix_edits_sql(term: str) -> str:
 @query(f"""WITH t AS (SELECT doc_id, {folded_sql("text")} AS t, {words_sql("text")} AS w FROM documents), d AS (SELECT *, {", ".join(f"CASE WHEN contains(t, '{x}') THEN 0 WHEN regexp_matches(t, '{prefix_edits_sql(x)}') THEN 1 END AS d{i}" for i, x in enumerate(TIERS.split()))} FROM t)
 SELECT doc_id, CASE WHEN {" AND ".join(f"list_contains(w, '{x}')" for x in TIERS.split())} THEN 'exact' WHEN d0 + d1 = 0 THEN 'substring' ELSE 'fuzzy' END AS kind, d0 + d1 AS edits FROM d WHERE d0 + d1 IS NOT NULL""")
 def ret04_word_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with two words: as they are, within others, or with one typo each."""
-    return P.word_tiers(table(spark, sf_dir, "documents"), TIERS, "doc_id", most=1 << 30)
+    """Texts with two words: as they are, within others, or with one typo each, from a stored index of letter grams."""
+    return gram_index(spark, sf_dir).search(TIERS, most=None, budget=None).select("doc_id", "kind", "edits")
 
 
 @query(f"WITH {NEIGHBOURS_SQL} SELECT id, round(distance, 6) AS distance FROM away ORDER BY away.distance, id DESC LIMIT 50")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import chat_id, normalize_text, query_terms, serialize, substring_edits
+from palimpsest.functions.text import chat_id, folded, query_terms, serialize
 from palimpsest.operators import chunking as C
 from palimpsest.operators import encode as E
 from palimpsest.operators import exports as X
@@ -37,26 +37,6 @@ def made(spark, rows):
     return spark.createDataFrame([tuple(r[c.split()[0]] for c in MESSAGE.split(", ")) for r in full], MESSAGE)
 
 
-def test_substring_edits_are_those_of_the_distance_table():
-    def table(pattern, text):
-        rows = [list(range(len(pattern) + 1))]
-        for j, c in enumerate(text):
-            row = [0]
-            for i, p in enumerate(pattern, 1):
-                cost = min(rows[-1][i] + 1, row[i - 1] + 1, rows[-1][i - 1] + (p != c))
-                if i > 1 and j and p == text[j - 1] and pattern[i - 2] == c:
-                    cost = min(cost, rows[-2][i - 2] + 1)
-                row.append(cost)
-            rows.append(row)
-        return min(r[-1] for r in rows)
-
-    rng = random.Random(42)
-    for _ in range(400):
-        pattern, text = ("".join(rng.choice("abcdef") for _ in range(n)) for n in (rng.randint(1, 20), rng.randint(0, 100)))
-        assert substring_edits(pattern, text, 99) == table(pattern, text)
-    assert substring_edits("abcd", "xx", 1) is None and substring_edits("", "x", 0) == 0
-
-
 def test_query_terms():
     assert query_terms("It's the BOOK, don’t he’s O'Reilly") == ["book", "don", "t", "o", "reilly"]
     assert query_terms("не нет без и или") == ["не", "нет", "без"]
@@ -64,7 +44,7 @@ def test_query_terms():
 
 def test_normal_forms(spark):
     rows = spark.createDataFrame([("Straße ﬁ Ёлка", "a"), (None, "b")], "text string, k string")
-    assert {r.k: r.n for r in rows.select("k", normalize_text("text").alias("n")).collect()} == {"a": "strasse fi елка", "b": None}
+    assert {r.k: r.n for r in rows.select("k", folded(F.col("text")).alias("n")).collect()} == {"a": "strasse fi елка", "b": None}
     one = rows.select(chat_id(F.lit("s"), F.lit("7")).alias("x")).first().x
     assert len(one) == 36 and one[14] == "5"
     assert serialize({"b": 1, "a": ["é", None]}) == '{"a":["é",null],"b":1}'
@@ -194,16 +174,6 @@ def test_empty_scope_and_query_find_nothing(spark):
     m = messages(spark, SMALL)
     assert m.where(SearchSpec(scope="selected").filters()).count() == 0
     assert H.R.phrase(m, "").count() == 0 and H.R.bm25(m, "the of").count() == 0
-    assert P.word_tiers(m.withColumn("k", F.monotonically_increasing_id()), "the", "k").count() == 0
-
-
-def test_word_tiers(spark):
-    texts = ["the red fox jumps", "redfoxes", "rde fox", "a fxo is redd", "blue fox", "abdc", "reed fix", None, ""]
-    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
-    found = {r.k: (r.kind, r.edits) for r in P.word_tiers(rows, "fox red", "k").collect()}
-    assert found == {0: ("exact", 0), 1: ("substring", 0)}
-    assert {r.k: (r.kind, r.edits) for r in P.word_tiers(rows, "abcd", "k").collect()} == {5: ("fuzzy", 1)}
-    assert {r.k: (r.kind, r.edits) for r in P.word_tiers(rows, "jumpz", "k").collect()} == {0: ("fuzzy", 1)}
 
 
 def test_feed_goes_on_where_it_ended(spark, tmp_path):
@@ -221,19 +191,6 @@ def test_feed_goes_on_where_it_ended(spark, tmp_path):
     assert rows(state) == rows(feed.folded(feed.received(events)))
 
 
-def test_stored_versions(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/table")
-    with pytest.raises(ValueError):
-        store.read()
-    store.publish(spark.range(5))
-    before = store.read()
-    store.publish(spark.range(9).repartition(4))
-    store.compact(1 << 20)
-    assert (before.count(), store.read().count(), store.current()[0]) == (5, 9, 2)
-    store.clean(1)
-    assert store.read().count() == 9
-
-
 def test_encoders():
     states = np.arange(12, dtype=float).reshape(1, 4, 3)
     mask = np.array([[1, 1, 0, 0]])
