@@ -30,7 +30,7 @@ from palimpsest.llm.words import bounds, lowered, mix, span_hashes, whole_hash
 #: Words of the longest phrase, least count of a phrase, ranks of a language.
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Word places of a shard, bytes of text for each range of paths and most ranges, paths that a merge holds before it sums them.
-SHARD = 1 << 22
+SHARD = 1 << 21
 RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 15
 HELD = 1 << 21
 #: Bits of the table of frequent paths (8 MB), and of one piece of it.
@@ -91,7 +91,10 @@ class Shard:
         raise IndexError(at)
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([*self.hashes, np.zeros(0, np.uint64)]), np.concatenate([*self.begins, np.zeros(0, bool)])
+        """Hashes and beginnings of all places. The shard lets go of its own."""
+        found = np.concatenate([*self.hashes, np.zeros(0, np.uint64)]), np.concatenate([*self.begins, np.zeros(0, bool)])
+        self.hashes, self.begins = [], []
+        return found
 
 
 def shards(batches: Iterator[pa.RecordBatch], salt: int, texts: bool = False) -> Iterator[Shard]:
@@ -231,7 +234,10 @@ def counted_words(docs: DataFrame, parts: int, salt: int) -> DataFrame:
             words, n = np.unique(hashes, return_counts=True)
             yield from cut([words], n, parts)
             at = np.flatnonzero(~begins[1:])
-            table = np.minimum(np.bincount(pair_slots(hashes[at], hashes[at + 1]), minlength=1 << PAIR_BITS), 255).astype(np.uint8)
+            slot = pair_slots(hashes[at], hashes[at + 1])
+            del hashes, words, n, at
+            table = np.minimum(np.bincount(slot, minlength=1 << PAIR_BITS), 255).astype(np.uint8)
+            del slot
             for k, piece in enumerate(table.reshape(-1, 1 << SLICE_BITS)):
                 if piece.any():
                     yield row(-2 - k, pa.compress(piece.tobytes(), codec="zstd", asbytes=True))
