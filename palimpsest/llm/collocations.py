@@ -236,8 +236,10 @@ def counted_words(docs: DataFrame, parts: int, salt: int) -> DataFrame:
             at = np.flatnonzero(~begins[1:])
             slot = pair_slots(hashes[at], hashes[at + 1])
             del hashes, words, n, at
-            table = np.minimum(np.bincount(slot, minlength=1 << PAIR_BITS), 255).astype(np.uint8)
-            del slot
+            slot, n = np.unique(slot, return_counts=True)
+            table = np.zeros(1 << PAIR_BITS, np.uint8)
+            table[slot] = np.minimum(n, 255)
+            del slot, n
             for k, piece in enumerate(table.reshape(-1, 1 << SLICE_BITS)):
                 if piece.any():
                     yield row(-2 - k, pa.compress(piece.tobytes(), codec="zstd", asbytes=True))
