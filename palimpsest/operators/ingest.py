@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import utc_day
+from palimpsest.operators.store import PartitionedStore
+from palimpsest.sources.exports import staged
 
 KEY = ["chat_id", "message_id"]
 
@@ -43,6 +45,31 @@ def apply(changes: DataFrame, stored: DataFrame) -> DataFrame:
     return kept.select(*stored.columns).unionByName(fresh)
 
 
+def merged_into(store: PartitionedStore, changes: DataFrame) -> set[tuple]:
+    """Merge a classified change-set into stored messages (content_hash, edited, forwarded_from, revision, day and more) by chat and day; returns the days rewritten.
+
+    Added messages begin at revision 1, updated ones go up by one. An unchanged one may bring a later edit time, or where a message was forwarded from if that was
+    not known; that is no new revision. Only messages that differ are written, with the rest of their days; the outbox says which days to index anew.
+    """
+    stored = store.read()
+    old = stored.select(*KEY, F.col("revision").alias("_revision"), F.col("edited").alias("_edited"), F.col("forwarded_from").alias("_from"), *(F.col(c).alias(f"_old_{c}") for c in stored.columns if c not in KEY))
+    both = changes.where("outcome in ('added', 'updated', 'unchanged')").join(old, KEY, "left").withColumn("day", utc_day(F.col("timestamp")))
+    fresh = F.col("outcome").isin("added", "updated")
+    later = F.coalesce(F.greatest("edited", "_edited"), "edited", "_edited")
+    origin = F.coalesce(F.col("_from"), F.col("forwarded_from"))
+    more = {
+        "edited": F.when(fresh, F.col("edited")).otherwise(later),
+        "forwarded_from": F.when(fresh, F.coalesce("forwarded_from", "_from")).otherwise(origin),
+        "revision": F.when(fresh, F.coalesce("_revision", F.lit(0)) + 1).otherwise(F.col("_revision")).cast(stored.schema["revision"].dataType),
+    }
+    kept = lambda c: F.col(c) if c in KEY else F.when(fresh, F.col(c)).otherwise(F.col(f"_old_{c}"))
+    rows = both.select(*((more[c] if c in more else kept(c)).alias(c) for c in stored.columns), fresh.alias("_fresh"), F.col("_edited"), F.col("_from"))
+    differs = F.col("_fresh") | ~F.col("edited").eqNullSafe(F.col("_edited")) | ~F.col("forwarded_from").eqNullSafe(F.col("_from"))
+    changed = staged(rows.where(differs).drop("_edited", "_from"), "changed")
+    days = changed.where("_fresh").select("chat_id", "day").union(stored.join(changed.where("_fresh").select(*KEY), KEY, "left_semi").select("chat_id", "day")).distinct()
+    return store.upsert(changed.drop("_fresh"), changed.limit(0).select(*KEY), KEY, outbox=days)
+
+
 def pruned(refs: DataFrame, incoming: DataFrame) -> DataFrame:
     """refs of messages in incoming without those that no incoming file of their kind fits: by digest, or by path where the incoming one has none."""
     new = incoming.select(*KEY, "ref_kind", F.col("sha256").alias("_sha"), F.col("path").alias("_path"))

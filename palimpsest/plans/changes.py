@@ -65,6 +65,38 @@ def ing02_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.apply(*classified(spark, sf_dir))
 
 
+#: Incoming messages say where they were forwarded from more often than stored ones.
+ORIGIN = "CASE WHEN message_id % 3 = 1 THEN 'Feed' END"
+KNOWN = "CASE WHEN message_id % 6 = 1 THEN 'Old feed' END"
+
+
+def partitioned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, V.PartitionedStore]:
+    """The classified change-set and the stored messages in folders by chat and day, after the change-set was merged into them."""
+    changes, stored = classified(spark, sf_dir)
+    store = V.PartitionedStore(spark, scratch(spark, "messages"), ["chat_id", "day"])
+    store.publish(stored.select("*", F.expr(KNOWN).alias("forwarded_from"), F.lit(1).cast("long").alias("revision"), I.utc_day(F.col("timestamp")).alias("day")))
+    changes = changes.withColumn("forwarded_from", F.expr(ORIGIN))
+    I.merged_into(store, changes)
+    return changes, store
+
+
+@query(f"""{CLASSIFIED_SQL}, old AS (SELECT *, {KNOWN} AS forwarded_from FROM stored), new AS (SELECT *, {ORIGIN} AS forwarded_from FROM classified WHERE outcome IN ('added', 'updated', 'unchanged'))
+SELECT chat_id, message_id, CASE WHEN n.outcome IN ('added', 'updated') THEN n.timestamp ELSE o.timestamp END AS timestamp, CASE WHEN n.outcome IN ('added', 'updated') THEN n.content_hash ELSE o.content_hash END AS content_hash,
+CASE WHEN n.outcome IN ('added', 'updated') THEN n.edited ELSE coalesce(greatest(n.edited, o.edited), n.edited, o.edited) END AS edited,
+CASE WHEN n.outcome IN ('added', 'updated') THEN coalesce(n.forwarded_from, o.forwarded_from) ELSE coalesce(o.forwarded_from, n.forwarded_from) END AS forwarded_from,
+CAST(CASE WHEN n.outcome = 'updated' THEN 2 ELSE 1 END AS BIGINT) AS revision FROM old o FULL JOIN new n USING (chat_id, message_id)""")
+def ing02_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages after a merge that rewrites only the days it touches: revisions, edit times and origins."""
+    return partitioned(spark, sf_dir)[1].read().select(*I.KEY, "timestamp", "content_hash", "edited", "forwarded_from", "revision")
+
+
+@query(f"""{CLASSIFIED_SQL}, fresh AS (SELECT * FROM classified WHERE outcome IN ('added', 'updated'))
+SELECT chat_id, {day_sql("timestamp")} AS day, CAST(1 AS BIGINT) AS version FROM fresh UNION SELECT s.chat_id, {day_sql("s.timestamp")}, CAST(1 AS BIGINT) FROM stored s SEMI JOIN fresh f USING (chat_id, message_id)""")
+def str04_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days that the merge's version told others to index anew: what its outbox holds, committed with its rows."""
+    return partitioned(spark, sf_dir)[1].told().select("chat_id", "day", "version")
+
+
 @query(f"{CLASSIFIED_SQL} SELECT chat_id, message_id, outcome, CASE WHEN outcome <> 'remote_deleted' THEN content_hash END AS content_hash FROM classified WHERE outcome NOT IN ('added', 'unchanged', 'updated')")
 def ing05_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conflicts; those with a deleted message keep no content."""

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import hybrid as H
+from palimpsest.operators import publish as B
+from palimpsest.operators import retrieval as R
 from palimpsest.operators import segments as G
+from palimpsest.operators.store import PartitionedStore, Store
 from palimpsest.plans.registry import bm25_sql, keywords_sql, query, words_sql
 from palimpsest.plans.retrieval import GOAL, GOAL_SQL
 from palimpsest.plans.spec import SearchSpec
+from palimpsest.sources.exports import scratch
 from palimpsest.sources.views import ARCHIVE_SQL, EPOCH, derived, messages, table
 
 KEY = ["chat_id", "message_id"]
@@ -213,3 +217,42 @@ def str08_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str09_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors that a published generation has superseded: they may go."""
     return G.superseded(*archive(spark, sf_dir, "chunks", "segments"))
+
+
+@query(f"""{ARCHIVE}, aims AS (SELECT chat_id, day, target_generation + 1 AS generation, chat_id % 3 = 1 AS moved FROM segments)
+SELECT chat_id, day, generation, CASE WHEN moved THEN 'superseded' ELSE 'published' END AS state, CAST(CASE WHEN moved THEN 0 ELSE (SELECT count(*) FROM owned o WHERE o.chat_id = a.chat_id AND o.day = a.day) END AS BIGINT) AS n FROM aims a""")
+def str08_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments built aside and published one by one: those whose target moved on while they were built are not."""
+    segments, owned = archive(spark, sf_dir, "segments", "owned")
+    root = scratch(spark, "segments")
+    targets, chunks = Store(spark, f"{root}/targets"), PartitionedStore(spark, f"{root}/chunks", B.SEGMENT)
+    aims = segments.select(*B.SEGMENT, (F.col("target_generation") + 1).alias("target_generation"))
+    targets.publish(aims)
+    parts = owned.select(*B.SEGMENT, "message_id")
+    chunks.publish(parts.join(segments, B.SEGMENT).where("message_id % 2 = 0").select(*parts.columns, F.col("target_generation").alias("generation")))
+
+    def make(due: DataFrame) -> DataFrame:
+        # while chunks are made, a third of the chats changes again
+        targets.publish(aims.withColumn("target_generation", F.col("target_generation") + F.when(F.col("chat_id") % 3 == 1, 1).otherwise(0)))
+        return parts.join(due, B.SEGMENT)
+
+    judged = B.build(targets, chunks, make)
+    held = chunks.read().groupBy(*B.SEGMENT, "generation").agg(F.count(F.lit(1)).alias("n"))
+    return judged.join(held, [*B.SEGMENT, "generation"], "left").select(*judged.columns, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"""{ARCHIVE}, {bm25_sql(["er", "th"], keys="chat_id, message_id")} SELECT chat_id, message_id, round(score, 6) AS score, true AS changed, CAST(0 AS BIGINT) AS revision FROM scored""")
+def ret20_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over the revision at which it began, while two others are published and old ones cleaned away; it says that something changed."""
+    m = messages(spark, sf_dir).select(*KEY, "text")
+    store = Store(spark, scratch(spark, "revisions"))
+    store.publish(m)
+
+    def search(frames: dict[str, DataFrame], eligible: DataFrame) -> DataFrame:
+        for k in (2, 3):
+            store.publish(m.where(F.col("message_id") % k == 0))
+        store.clean(1)
+        return R.bm25(eligible, "er th").select(*KEY, F.round("score", 6).alias("score"))
+
+    found = B.pinned_search({"messages": store}, lambda frames: frames["messages"], search)
+    return found.rows.withColumns({"changed": F.lit(bool(found.changed)), "revision": F.lit(found.revisions["messages"]).cast("long")})

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from palimpsest.operators.store import Store
-from palimpsest.sources.exports import scratch
+from palimpsest.operators.store import PartitionedStore
+from palimpsest.sources.exports import scratch, staged
 
 
 def op_of(kind: Column) -> Column:
@@ -26,23 +26,38 @@ def folded(changes: DataFrame) -> DataFrame:
     return changes.groupBy("user_id").agg(last, F.sum("n").alias("n")).select("user_id", "last.event_id", "last.ts", "last.op", "n")
 
 
-def run(spark: SparkSession, source: str, schema: StructType, root: str, files_per_batch: int = 1) -> Store:
+#: Folders that keys are dealt to. A micro-batch rewrites those of its keys.
+BUCKETS = 64
+
+
+def bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int"))
+
+
+def run(spark: SparkSession, source: str, schema: StructType, root: str, files_per_batch: int = 1) -> PartitionedStore:
     """Merge all events below source (a path or glob) that were not yet merged into the table below root; returns the table.
 
     Offsets are the stream's checkpoint, the state is the table: both lie below root, so a run goes on where the one before ended. A version
-    carries the number of its batch, and a batch that is run again after its version was named changes nothing: each event counts once.
+    carries the number of its batch, and a batch that is run again after its version was named changes nothing: each event counts once. A batch reads and
+    writes the buckets of its keys only; two runs of the same batch can't both name its version.
     """
-    store = Store(spark, f"{root}/state")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    store = PartitionedStore(spark, f"{root}/state", ["bucket"])
 
     def merge(batch: DataFrame, k: int) -> None:
-        at = store.current()
-        if at is not None and at[0] >= k:
+        at = store.at()
+        if at is not None and at.facts["batch"] >= k:
             return
         fresh = folded(received(batch))
-        store.publish(folded(store.read().unionByName(fresh)) if at else fresh, k)
+        if at is None:
+            store.publish(bucketed(fresh), facts={"batch": k})
+            return
+        fresh = staged(bucketed(fresh), "batch")
+        touched = [(r.bucket,) for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
+        old = store.only(at, store.named(touched, at))
+        store.replace(bucketed(folded(old.drop("bucket").unionByName(fresh.drop("bucket")))), touched, at, {"batch": k})
         store.clean()
 
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return store
 
@@ -53,4 +68,4 @@ def latest_by_key(spark: SparkSession, sf_dir: str, root: str | None = None) ->
     schema = spark.read.parquet(source).schema
     # a file source reads folders: the glob also fits a table of one file
     store = run(spark, f"{sf_dir}/events.parque[t]", schema, root or scratch(spark, "streams"))
-    return store.read() if store.current() else folded(received(spark.createDataFrame([], schema)))
+    return store.read().drop("bucket") if store.at() else folded(received(spark.createDataFrame([], schema)))
