@@ -232,6 +232,44 @@ def chunk_metrics(chunks: DataFrame, size: int = 32) -> DataFrame:
     return sums.withColumn("padding", F.col("slots") - F.col("tokens"))
 
 
+#: Limits that an analysis may meet, of its source and of its evidence.
+SOURCE_LIMITS = ("message_limit", "form_limit", "phrase_form_limit", "text_limit", "time_limit", "report_size_limit")
+EVIDENCE_LIMITS = ("candidate_limit", "payload_limit")
+
+
+def applicable(reports: DataFrame) -> DataFrame:
+    """reports (with limits, those an analysis met) with whether its source and its evidence are whole, and whether its exact rules may be applied: unless a limit is unknown."""
+    known = lambda names: F.array(*map(F.lit, names))
+    met = F.coalesce("limits", F.array().cast("array<string>"))
+    return reports.withColumns({
+        "source_complete": F.size(F.array_except(met, known(EVIDENCE_LIMITS))) == 0,
+        "evidence_complete": ~F.arrays_overlap(met, known(EVIDENCE_LIMITS)),
+        "applicable": F.size(F.array_except(met, known((*SOURCE_LIMITS, *EVIDENCE_LIMITS)))) == 0,
+    })
+
+
+def owned(chunks: DataFrame, role: str | None = None) -> DataFrame:
+    """policy, chat_id and message_id of what chunks own: not what they borrow; of one role, if it is given."""
+    part = chunks.select("policy", "chat_id", F.explode("parts").alias("p")).where("p.role <> 'borrowed_context'")
+    part = part.where(F.col("p.role") == role) if role else part
+    return part.select("policy", "chat_id", F.col("p.message_id").alias("message_id")).distinct()
+
+
+def dry_run(chunks: DataFrame, role: str | None = None) -> DataFrame:
+    """What the chunks of policy 0 own and those of policy 1 don't (removed), and the other way round (restored)."""
+    both = owned(chunks, role)
+    one, two = (both.where(F.col("policy") == k).drop("policy") for k in (0, 1))
+    return both_differences(one, two, "removed", "restored")
+
+
+def dry_run_totals(chunks: DataFrame) -> DataFrame:
+    """By chat for both policies (a, b): chunks, tokens, and core messages owned."""
+    side = lambda k, x: F.when(F.col("policy") == k, x)
+    made = chunks.groupBy("chat_id").agg(*(f.alias(f"{n}_{c}") for k, c in ((0, "a"), (1, "b")) for n, f in (("chunks", F.count(side(k, F.lit(1)))), ("tokens", F.coalesce(F.sum(side(k, F.col("n_tokens"))), F.lit(0))))))
+    held = owned(chunks, "core").groupBy("chat_id").agg(*(F.count(side(k, F.lit(1))).alias(f"owned_{c}") for k, c in ((0, "a"), (1, "b"))))
+    return made.join(held, "chat_id", "left").na.fill(0)
+
+
 def both_differences(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
     """Rows of a that b lacks and rows of b that a lacks, with which."""
     keys = a.columns

@@ -274,16 +274,16 @@ def chk01_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.classified(m.join(parents, ["chat_id", "reply_to"], "left")).select(*KEY, "role", "include", "counts")
 
 
-@query(f"""WITH {ARCHIVE_SQL}, {CLASS_SQL}, omitted AS (SELECT DISTINCT form FROM worded WHERE regexp_full_match(form, '[0-9]+') OR form = 'zzyzx')
-SELECT chat_id, message_id, form, form IN ({SEEDS_SQL}) OR form IN (FROM omitted) AS listed, (form IN ({SEEDS_SQL}) OR form IN (FROM omitted)) AND has_photo = 0 AND protected = 0 AND NOT coalesce(contains(parent_text, '?'), false) AS omitted FROM worded WHERE form IS NOT NULL""")
+@query(f"""WITH {ARCHIVE_SQL}, {CLASS_SQL}, omitted AS (SELECT DISTINCT form FROM worded WHERE form IN ('12345', 'zzyzx'))
+SELECT chat_id, message_id, form, form IN ({SEEDS_SQL}) OR form IN (FROM omitted) AS listed, (form IN ({SEEDS_SQL}) OR form = 'zzyzx') AND has_photo = 0 AND protected = 0 AND NOT coalesce(contains(parent_text, '?'), false) AS omitted FROM worded WHERE form IS NOT NULL""")
 def chk07_omitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which whole words a policy names, and which of them it omits: not those with an attachment, entities or a question before them."""
+    """Which whole words a policy names, and which of them it omits: not those with an attachment, entities or a question before them, nor a number."""
     m = messages(spark, sf_dir)
     policy = C.ChunkPolicy(omitted=("12345", "zzyzx"))
     parents = m.select("chat_id", F.col("message_id").alias("reply_to"), F.col("text").alias("parent_text"))
     w = m.join(parents, ["chat_id", "reply_to"], "left").withColumn("form", T.whole_word(F.col("text"))).where("form is not null")
     guarded = (F.col("has_photo") == 1) | (F.col("protected") == 1)
-    return w.select(*KEY, "form", F.col("form").isin(*policy.filler, *policy.omitted).alias("listed"), C.omits(F.col("form"), guarded, F.col("parent_text"), policy).alias("omitted"))
+    return w.select(*KEY, "form", F.col("form").isin(*policy.filler, *policy.omitted).alias("listed"), C.omits(F.col("text"), guarded, F.col("parent_text"), policy).alias("omitted"))
 
 
 @query(f"""WITH {ARCHIVE_SQL}, own AS (SELECT DISTINCT chat_id, 'policy-b' AS policy FROM messages WHERE chat_id % 2 = 1) SELECT s.chat_id, s.day, coalesce(o.policy, 'policy-a') AS policy, coalesce(o.policy, 'policy-a') <> 'policy-a' AS rebuild FROM segments s LEFT JOIN own o USING (chat_id)""")
@@ -292,3 +292,31 @@ def chk08_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = derived(spark, sf_dir, "segments").withColumn("built", F.lit("policy-a"))
     own = messages(spark, sf_dir).where("chat_id % 2 = 1").select("chat_id", F.lit("policy-b").alias("policy")).distinct()
     return C.resolved(segments, own, "policy-a").select("chat_id", "day", "policy", "rebuild")
+
+
+OTHER = C.ChunkPolicy(omitted=("zzyzx", "good morning team"))
+
+
+@query(f"""WITH {ARCHIVE_SQL}, {CLASS_SQL}, phrased AS (SELECT *, {form_sql("text")} AS phrase FROM roled)
+SELECT chat_id, message_id, 'removed' AS change FROM phrased WHERE role = 'core' AND phrase IN ('zzyzx', 'good morning team') AND has_photo = 0 AND protected = 0 AND NOT coalesce(contains(parent_text, '?'), false)""")
+def noi12_owned_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a policy that leaves out a word and a phrase would take from the chunks, and what it would bring back: both built in one pass."""
+    m = messages(spark, sf_dir).withColumn("content_hash", F.md5(F.col("text").cast("binary")))
+    return N.dry_run(C.built(m, [C.ChunkPolicy(), OTHER]), "core").select("chat_id", "message_id", "change")
+
+
+@query(f"""WITH {ARCHIVE_SQL}, {CLASS_SQL}, phrased AS (SELECT *, {form_sql("text")} AS phrase FROM roled),
+gone AS (SELECT *, coalesce(phrase IN ('zzyzx', 'good morning team') AND has_photo = 0 AND protected = 0 AND NOT coalesce(contains(parent_text, '?'), false), false) AS omitted FROM phrased WHERE role = 'core')
+SELECT chat_id, CAST(count(*) AS BIGINT) AS owned_a, CAST(count(*) FILTER (NOT omitted) AS BIGINT) AS owned_b FROM gone GROUP BY 1""")
+def noi12_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By chat the core messages that the chunks of either policy own."""
+    m = messages(spark, sf_dir).withColumn("content_hash", F.md5(F.col("text").cast("binary")))
+    return N.dry_run_totals(C.built(m, [C.ChunkPolicy(), OTHER])).select("chat_id", "owned_a", "owned_b")
+
+
+@query("""WITH r AS (SELECT doc_id, list_filter([CASE WHEN n_chars > 2000 THEN 'text_limit' END, CASE WHEN doc_id % 3 = 0 THEN 'candidate_limit' END, CASE WHEN doc_id % 7 = 0 THEN 'odd_limit' END], lambda x: x IS NOT NULL) AS l FROM documents)
+SELECT doc_id, NOT list_contains(l, 'text_limit') AND NOT list_contains(l, 'odd_limit') AS source_complete, NOT list_contains(l, 'candidate_limit') AS evidence_complete, NOT list_contains(l, 'odd_limit') AS applicable FROM r""")
+def noi09_applicable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether reports that met limits may still be applied."""
+    limits = F.array_compact(F.array(F.when(F.col("n_chars") > 2000, "text_limit"), F.when(F.col("doc_id") % 3 == 0, "candidate_limit"), F.when(F.col("doc_id") % 7 == 0, "odd_limit")))
+    return N.applicable(table(spark, sf_dir, "documents").select("doc_id", limits.alias("limits"))).drop("limits")

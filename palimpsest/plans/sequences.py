@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators import chunking as C
 from palimpsest.operators import sequences as S
+from palimpsest.plans.noise import CLASS_SQL
 from palimpsest.plans.registry import WITH, day_sql, query
-from palimpsest.sources.views import FEED_SQL, feed, messages, table
+from palimpsest.sources.views import ARCHIVE_SQL, FEED_SQL, MESSAGES_SQL, feed, messages, table
 
 KEY = ["chat_id", "message_id"]
 
@@ -55,6 +57,31 @@ def chk03_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chunk_id", "chat_id", "day", "ordinal", "n_tokens", F.transform("parts", lambda x: x["message_id"]).cast("string").alias("messages"))
 
 
+@query(f"""WITH {ARCHIVE_SQL}, {CLASS_SQL} SELECT chat_id, {day_sql("timestamp")} AS day, CAST(count(*) AS BIGINT) AS messages, CAST(sum(length(text)) AS BIGINT) AS chars FROM roled WHERE role = 'core' GROUP BY 1, 2""")
+def chk03_owned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By day the core messages that chunks own, and their characters: parts of long ones overlap, and are counted once."""
+    m = messages(spark, sf_dir).withColumn("content_hash", F.md5(F.col("text").cast("binary")))
+    part = C.chunks(m).select("chat_id", "day", F.explode("parts").alias("p")).where("p.role = 'core'").select("chat_id", "day", "p.*").distinct()
+    before = F.max("end").over(W.partitionBy("chat_id", "message_id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
+    fresh = part.withColumn("_n", F.col("end") - F.greatest("start", F.coalesce(before, F.col("start"))))
+    return fresh.groupBy("chat_id", "day").agg(F.countDistinct("message_id").alias("messages"), F.sum(F.greatest("_n", F.lit(0))).alias("chars"))
+
+
+@query(f"""WITH {MESSAGES_SQL}, held AS (SELECT chat_id, {day_sql("timestamp")} AS day, message_id FROM messages WHERE kind = 'message' AND (trim(text, ' ') <> '' OR has_photo = 1)) SELECT chat_id, day, CAST(count(*) AS BIGINT) AS messages FROM held GROUP BY 1, 2""")
+def chk02_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By day the messages that the plain windows of the first policy hold."""
+    m = messages(spark, sf_dir).withColumn("content_hash", F.md5(F.col("text").cast("binary")))
+    found = C.chunks(m, C.ChunkPolicy(version=C.WINDOWS))
+    return found.select("chat_id", "day", F.explode("parts.message_id").alias("message_id")).groupBy("chat_id", "day").agg(F.countDistinct("message_id").alias("messages"))
+
+
+@query("""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents) SELECT doc_id, CAST(ceil(n / 479.0) AS BIGINT) AS parts, CAST(n + ceil(n / 479.0) AS BIGINT) AS tokens FROM t WHERE n > 0""")
+def chk09_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised texts in parts of 480 tokens, one of which is the prefix."""
+    found = C.text_chunks(table(spark, sf_dir, "documents"), "doc_id")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("n_tokens").alias("tokens"))
+
+
 @query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CAST((l_linenumber - 1) // 3 AS BIGINT) AS batch FROM lineitem")
 def win10_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), F.floor((F.col("l_linenumber") - 1) / 3).alias("batch"))

@@ -114,7 +114,7 @@ def test_two_policies_side_by_side(spark):
     owned = lambda p: {(c.chat_id, x.message_id) for c in C.chunks(m, p).collect() for x in c.parts if x.role != "borrowed_context"}
     a, b = owned(C.ChunkPolicy()), owned(C.ChunkPolicy(omitted=("zzyzx", "12345")))
     texts = {(r.chat_id, r.message_id): r.text for r in m.collect()}
-    assert a - b and all(texts[k] in ("zzyzx", "12345") for k in a - b) and not b - a
+    assert a - b and all(texts[k] == "zzyzx" for k in a - b) and not b - a  # a number's looks protect it
 
 
 def test_approximate_vectors(spark):
