@@ -35,7 +35,7 @@ FEW = 1_000_000
 CACHE_SIZE = 1_000_000
 #: Re-Pair: least occurrences of a pair that becomes a rule, most rules of a round (there are as many rounds as it takes).
 LEAST = 8
-RULES = 4096
+RULES = 1 << 14
 #: Bits of the hash that bins pairs in a round.
 BINS = 18
 
@@ -163,66 +163,102 @@ def encoder(path: str, size: int) -> WordEncoder:
     return _workers[path, size]
 
 
-def frequent_pairs(seq: np.ndarray, code: np.ndarray, least: int, rules: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent pairs that occur least times, where they stand, and their rank there. code: each place's pair, -1 where none may be replaced.
+def frequent_pairs(seq: np.ndarray, places: np.ndarray, least: int, rules: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The most frequent pairs that begin at places and do so least times, where they stand, their rank there, and whether there were more than rules.
 
-    Pairs are counted exactly, but only at places whose bin of a hash holds least of them.
+    Pairs are counted exactly; where places are many, only at those whose bin of a hash holds least of them.
     """
-    bins = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BINS)).astype(np.int64)
-    free = code >= 0
-    own = np.flatnonzero(free & (np.bincount(bins[free], minlength=1 << BINS) >= least)[bins])
-    pairs, back, counts = np.unique(code[own], return_inverse=True, return_counts=True)
-    order = np.lexsort((pairs, -counts))[: int((counts >= least).sum())][:rules]
+    one, two = seq[places], seq[places + 1]
+    if len(places) > 1 << BINS - 4:
+        bins = ((one * np.uint32(0x9E3779B1) + two) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BINS)).astype(np.int64)
+        some = (np.bincount(bins, minlength=1 << BINS) >= least)[bins]
+        places, one, two = places[some], one[some], two[some]
+    pairs, back, counts = np.unique(one.astype(np.int64) << 32 | two, return_inverse=True, return_counts=True)
+    order = np.lexsort((pairs, -counts))[: int((counts >= least).sum())]
     rule_of = np.full(len(pairs), -1, np.int32)
-    rule_of[order] = np.arange(len(order), dtype=np.int32)
+    rule_of[order[:rules]] = np.arange(min(rules, len(order)), dtype=np.int32)
     rank = rule_of[back]
-    return pairs[order], own[rank >= 0], rank[rank >= 0]
+    return pairs[order[:rules]], places[rank >= 0], rank[rank >= 0], len(order) > rules
+
+
+def apart(hit: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hits without neighbours: of two the better-ranked stays, equal ones alternate from the start of their run. A hit beaten by one that goes too may return in the next round."""
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(64):
+        joined = np.diff(hit) == 1
+        # hits that stand alone are settled
+        alone = np.ones(len(hit), bool)
+        alone[:-1] &= ~joined
+        alone[1:] &= ~joined
+        done.append((hit[alone], rank[alone]))
+        hit, rank = hit[~alone], rank[~alone]
+        if not len(hit):
+            break
+        near = np.diff(hit) == 1
+        a, b = rank[:-1], rank[1:]
+        lose = np.zeros(len(hit), bool)
+        lose[:-1] = near & (b < a)
+        lose[1:] |= near & (a < b)
+        same = np.zeros(len(hit), bool)
+        same[1:] = near & (a == b)
+        if same.any():
+            index = np.arange(len(hit))
+            run = index - np.maximum.accumulate(np.where(same, -1, index))
+            lose |= same & (run % 2 == 1)
+        hit, rank = hit[~lose], rank[~lose]
+    hit, rank = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.argsort(hit)
+    return hit[order], rank[order]
+
+
+def touched(keep: np.ndarray, hit: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Where, among the places that are kept, pairs begin that a round has changed (beside a replaced hit) or left over (other hits)."""
+    gone, n = hit + 1, len(keep) - len(hit)
+    changed = np.concatenate([hits[keep[hits]], hit])
+    if len(hits) * 32 > len(keep):  # many: by a mark for each place
+        moved = np.cumsum(keep) - 1
+        near = np.zeros(n + 1, bool)
+        near[moved[changed]] = True
+        near[moved[hit] - 1] = True  # of the first place, the last entry
+        return np.flatnonzero(near[: n - 1])
+    places = np.concatenate([changed, hit - 1])
+    places = places - np.searchsorted(gone, places)
+    return np.unique(places[(places >= 0) & (places < n - 1)])
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST, rules: int = RULES) -> dict[str, np.ndarray]:
-    """Re-Pair over one shard, until no pair occurs least times; no rule spans one of starts. Symbols below base are ids, base + i is rule i. rules: most in a round."""
+    """Re-Pair over one shard, until no pair occurs least times; no rule spans one of starts. Symbols below base are ids, base + i is rule i. rules: most in a round.
+
+    A pair that was not frequent can only become so with a symbol of the round before, and one that was is left only where a better pair came first:
+    the next round looks at these places alone, unless there were more pairs than rules.
+    """
     base = int(ids.max()) + 1 if len(ids) else 1
     seq, first = ids.astype(np.uint32), np.zeros(len(ids) + 1, bool)
     first[starts] = True
     first = first[: len(ids)]
     left, right = [], []
-    top = base
+    top, open_ = base, None
     while len(seq) > 1:
-        code = seq[:-1].astype(np.int64) << 32 | seq[1:]
-        code[first[1:]] = -1
-        chosen, hit, rank = frequent_pairs(seq, code, least, rules)
+        places = np.arange(len(seq) - 1) if open_ is None else open_
+        chosen, hit, rank, more = frequent_pairs(seq, places[~first[places + 1]], least, rules)
         if not len(chosen):
             break
-        # of two neighbouring hits the better-ranked stays; equal neighbours alternate from the start of their run
-        for _ in range(64):
-            near = np.flatnonzero(np.diff(hit) == 1)
-            if not len(near):
-                break
-            a, b = rank[near], rank[near + 1]
-            lose = np.zeros(len(hit), bool)
-            lose[near[b < a]] = True
-            lose[near[a < b] + 1] = True
-            same = np.zeros(len(hit), bool)
-            same[near[a == b] + 1] = True
-            if same.any():
-                index = np.arange(len(hit))
-                run = index - np.maximum.accumulate(np.where(same, -1, index))
-                lose |= same & (run % 2 == 1)
-            # a hit beaten by one that goes too may return in the next round
-            hit, rank = hit[~lose], rank[~lose]
+        hits = hit
+        hit, rank = apart(hit, rank)
         seq[hit] = (top + rank).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
+        open_ = None if more else touched(keep, hit, hits)
         seq, first = seq[keep], first[keep]
         left.append(chosen >> 32)
         right.append(chosen & 0xFFFFFFFF)
         top += len(chosen)
     left = np.concatenate(left) if left else np.zeros(0, np.int64)
     right = np.concatenate(right) if right else np.zeros(0, np.int64)
-    size = np.ones(base + len(left), np.int64)
-    for i in range(len(left)):
-        size[base + i] = size[left[i]] + size[right[i]]
-    return {"sequence": seq.astype("<u4"), "left": left.astype("<u4"), "right": right.astype("<u4"), "expansion": size[base:].astype("<u4"), "places": np.flatnonzero(first).astype("<u4"), "base": base}
+    size: list[int] = []
+    for a, b in zip((left - base).tolist(), (right - base).tolist(), strict=True):
+        size.append((size[a] if a >= 0 else 1) + (size[b] if b >= 0 else 1))
+    return {"sequence": seq.astype("<u4"), "left": left.astype("<u4"), "right": right.astype("<u4"), "expansion": np.array(size, "<u4"), "places": np.flatnonzero(first).astype("<u4"), "base": base}
 
 
 def expand(symbols: np.ndarray, base: int, left: np.ndarray, right: np.ndarray, expansion: np.ndarray) -> np.ndarray:
@@ -258,7 +294,8 @@ def write_files(docs: DataFrame, path: str, out: str, end_id: int = 2, range_byt
     ship(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     _, size = text_bytes(narrow)
-    ranged = narrow.repartitionByRange(shards_for(size, range_bytes, 8), "doc_id").sortWithinPartitions("doc_id", "text")
+    # ranges go by the beginning of a text as well, so that rows of one doc_id, or without one, are split
+    ranged = narrow.repartitionByRange(shards_for(size, range_bytes, 8), F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 40).asc()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     @trimmed
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
