@@ -118,8 +118,16 @@ class Family:
         return covered, {k: v[same] for k, v in rest.items()}
 
 
+def count_type(length: int, gram: int) -> str:
+    """What holds the number of strings of length that share an anchor."""
+    if not 1 <= gram <= length:
+        raise ValueError("a gram is part of a string")
+    return "u1" if length - gram + 1 < 1 << 8 else "<u4"
+
+
 def indexed(texts: DataFrame, ranges: int, length: int, gram: int, batch_bytes: int) -> DataFrame:
     """Sorted arrays of each batch of documents, cut by ranges of the gram's hash."""
+    wide = count_type(length, gram)
 
     @trimmed
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +150,7 @@ def indexed(texts: DataFrame, ranges: int, length: int, gram: int, batch_bytes:
                 columns = {"range": pa.array(full, pa.int32()), "kind": pa.array(np.full(len(full), kind, np.int8))}
                 base = int(got["doc"].min()) if len(got["doc"]) else 0
                 narrow = not len(got["doc"]) or int(got["doc"].max()) - base < 1 << 32
-                values = {"start": got["start"].astype("<u4"), "many": got["many"].astype("u1"), "doc": (got["doc"] - base).astype("<u4") if narrow else got["doc"].astype("<i8")}
+                values = {"start": got["start"].astype("<u4"), "many": got["many"].astype(wide), "doc": (got["doc"] - base).astype("<u4") if narrow else got["doc"].astype("<i8")}
                 if kind:  # the range holds the upper bits of a head; equal lower ones only cost a comparison
                     values |= {"head": got["head"].astype("<u4"), "whole": got["whole"].astype("<u8")}
                 columns["base"] = pa.array([base if narrow else None] * len(full), pa.int64())
@@ -169,7 +177,7 @@ def docs_of(row: dict) -> np.ndarray:
     return np.frombuffer(row["doc"], "<i8") if row["base"] is None else np.frombuffer(row["doc"], "<u4").astype(np.int64) + row["base"]
 
 
-def matched(index: DataFrame, ranges: int, parts: int) -> DataFrame:
+def matched(index: DataFrame, ranges: int, parts: int, wide: str) -> DataFrame:
     """Covered runs (kind 0) and open ones (kind 1, with the range and the lower half of the gram's hash) of all families."""
 
     def found(kind: int, part: int, got: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -183,7 +191,7 @@ def matched(index: DataFrame, ranges: int, parts: int) -> DataFrame:
         families: dict[int, Family] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                array = {"doc": docs_of(row), "start": np.frombuffer(row["start"], "<u4").astype(np.int64), "many": np.frombuffer(row["many"], "u1").astype(np.int64)}
+                array = {"doc": docs_of(row), "start": np.frombuffer(row["start"], "<u4").astype(np.int64), "many": np.frombuffer(row["many"], wide).astype(np.int64)}
                 if row["kind"]:
                     families.setdefault(row["range"], Family()).add(array | {"head": np.frombuffer(row["head"], "<u4").astype(np.uint64), "whole": np.frombuffer(row["whole"], "<u8")})
                 else:
@@ -405,7 +413,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     copies = staged(keyed.join(first.where("n > 1").select("digest", F.col("row").alias("first")), "digest").where("row <> first").select("row"), "copies", root)
     map_bits = min(MAP_BITS, max(16, int(size * MAP_SHARE).bit_length()))
     own = narrow.select("row", "text").join(copies, "row", "left_anti")
-    runs = staged(matched(indexed(own, 4 * ranges, length, gram, batch_bytes), 4 * ranges, ranges), "runs", root)
+    runs = staged(matched(indexed(own, 4 * ranges, length, gram, batch_bytes), 4 * ranges, ranges, count_type(length, gram)), "runs", root)
     late = compared(own, runs.where("kind = 1"), length, gram, 4 * ranges, ranges, map_bits, root, batch_bytes)
     # a record for each row that loses something: with null for runs all of it goes
     lost = _packed(runs.where("kind = 0").select("row", "start", "many").union(late)).withColumn("whole", F.lit(False))
