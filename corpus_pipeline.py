@@ -10,7 +10,7 @@ gives an empty table. Columns beside those of documents pass through, whatever t
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import numbered, scratch_root, staged, table
@@ -25,22 +25,39 @@ from palimpsest.llm.token_files import token_files
 LEAST_SCORE = 0.3
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, whatever stands in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs but for the rows whose number is a doc_id of gone. docs: what by_row gives."""
     rest = docs.join(gone.select(F.col("doc_id").alias("row")), "row", "left_anti")
-    return rest.select(*(f"given.{c}" for c in rest.select("given.*").columns))
+    return rest.select(*(F.col("given").getField(c).alias(c) for c in rest.schema["given"].dataType.names))
 
 
 def by_row(docs: DataFrame) -> DataFrame:
     """Each row with a number of its own as row (in the order of doc_id, null last, and text), its text, and all of it as given."""
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("given"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(named(c) for c in docs.columns)).alias("given"))
     return numbered(whole, scratch_root(docs.sparkSession), nulls_first=False)
 
 
+def aside(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs with all columns but the needed ones under names of their number, which nothing that an operator adds has."""
+    return docs.select(*(named(c).alias(c if c in needed else f"given_{k}") for k, c in enumerate(docs.columns)))
+
+
+def back(found: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns of docs, as they came, from rows of aside(docs)."""
+    return found.select(*(F.col(c if c in needed else f"given_{k}").alias(c) for k, c in enumerate(docs.columns)))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter (null and empty texts too) or without a recognisable language. A null or repeated doc_id is no reason to drop a row; without a labelled row nothing is recognised, and all go."""
-    found = identify(docs, keep=docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    needed = ("doc_id", "text", "lang")
+    own = aside(docs, *needed)
+    found = identify(own, keep=own.columns)
+    return back(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs, *needed)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +74,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take documents to the target weights; one that is taken in two epochs stands twice. A null language or source is a leaf of its own; equal rows are taken together."""
-    found = mixture(docs, MIX).where("copies > 0")
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    needed = ("doc_id", "text", "lang", "source")
+    found = mixture(aside(docs, *needed), MIX).where("copies > 0")
+    return back(found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs, *needed)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
