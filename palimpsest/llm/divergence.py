@@ -230,12 +230,14 @@ def paired(found: DataFrame, groups: DataFrame, parts: int, root: str) -> DataFr
                 x = np.repeat(np.arange(i, j), mine[i:j])
                 y = np.arange(len(x)) - np.repeat(ends[i:j] - mine[i:j] - (ends[i - 1] if i else 0), mine[i:j]) + base[x]
                 x, y = x[x != y], y[x != y]
+                i = j
+                if not len(x):
+                    continue
                 f = lambda u, w: (u - w) ** 2 // w
                 more = f(p[x], p[y]) - f(p[x], p0[y]) - f(p0[x], p[y]) + f(p0[x], p0[y])
                 sums.append((group[x], group[y], more))
                 if sum(len(s[0]) for s in sums) > 4 * SUMS:
                     sums[:] = [total()]
-                i = j
 
         rest: list[pa.RecordBatch] = []
         for batch in batches:
