@@ -12,9 +12,9 @@ occurs often enough. Decoding is exact.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import fixed_workers, raw, scratch_root, shards_for, ship, slices, text_bytes, trimmed
-from palimpsest.llm.words import HashTable, bounds, span_hashes
+from palimpsest.llm.words import HashTable, bounds, lowered, span_hashes
 
 #: Bytes of text of a range partition, and tokens of a shard (a longer document is a shard by itself).
 RANGE_BYTES = 16 << 20
@@ -41,8 +41,13 @@ BINS = 18
 
 FILE = "shard_range long, part long, docs binary, nulls binary, lengths binary, places binary, sequence binary, left binary, right binary, expansion binary, base long, n_ids long"
 
-#: A word whose parts for the tokenizer are plain to see: letters that stay single when lower-cased and composed, then stops.
-SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,;:!?]*)")
+#: Bytes of letters that stay single when lower-cased and composed: ASCII, and those behind 0xC3 but for two signs; bytes of stops.
+LETTERS, STOPS = np.zeros(256, bool), np.zeros(256, bool)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+STOPS[[*b".,;:!?"]] = True
+LATIN = np.zeros(256, bool)
+LATIN[0x80:0xC0] = True
+LATIN[[0x97, 0xB7]] = False
 _workers: dict[tuple, "WordEncoder"] = {}
 
 
@@ -59,12 +64,22 @@ class WordEncoder:
         self.limit = size
         self.reset()
         self.words = self.drops_blanks()
+        self.fast = None
         if self.words:
             self.fast = Tokenizer.from_file(path)
             self.fast.normalizer = None
             self.fast.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.final[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
+            # another tokenizer may mark nothing, or keep case: then every word is encoded as it is
+            probe = "Az über, Éa ß. ... ,;! zebra? KÀ:".split()
+            data = np.frombuffer(" ".join(probe).encode(), np.uint8)
+            ends = np.cumsum([len(x.encode()) + 1 for x in probe]) - 1
+            got, sizes = self.encode_words(data, np.append(0, ends[:-1] + 1), ends)
+            want = [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
+            if got.tolist() != list(chain.from_iterable(want)) or sizes.tolist() != [len(x) for x in want]:
+                self.fast = None
+            self.reset()
 
     def drops_blanks(self) -> bool:
         """Whether a text's ids are those of its blank-separated words end to end: tried on a text that joins all kinds."""
@@ -77,52 +92,79 @@ class WordEncoder:
     def reset(self) -> None:
         self.table, self.pool, self.used = HashTable(20), np.zeros(1 << 16, np.uint32), 0
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.units: dict[str, int] = {}
+        self.units = HashTable(20)
         self.unit_ids, self.unit_size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words end to end, and how many each has.
+    def encode_each(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of spans of data end to end, and how many each has, each encoded by itself."""
+        blob = data.tobytes()
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([blob[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    def encode_units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for lower-cased units, many at a time and without the normalizer: a unit's last id is marked by the vocabulary."""
+        flat, sizes = [], []
+        for k in range(0, len(starts), 4096):
+            a, n = starts[k : k + 4096], ends[k : k + 4096] - starts[k : k + 4096]
+            at = np.cumsum(n + 1) - n - 1
+            spaced = np.full(int((n + 1).sum()), 0x20, np.uint8)
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            spaced[np.repeat(at, n) + inside] = data[np.repeat(a, n) + inside]
+            got = np.array(self.fast.encode_batch_fast([spaced.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.final[got]) + 1
+            if len(stops) != len(a):
+                got, own = self.encode_each(data, a, ends[k : k + 4096])
+            else:
+                own = np.diff(stops, prepend=0)
+            flat.append(got)
+            sizes.append(own)
+        return np.concatenate([*flat, np.zeros(0, np.uint32)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
+
+    def encode_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (spans of data) end to end, and how many each has.
 
-        Words of letters and stops are taken apart; their parts, in lower case, are encoded once each and many at a time, without the
-        normalizer: a part's last id is marked by the vocabulary. Other words are encoded as they are.
+        Words of letters and stops are taken apart; their units, in lower case, are encoded once each. Other words are encoded as they are.
         """
-        fit, places, units = SIMPLE.fullmatch, self.units, []
-        first, second = [], []
-        for x in words:
-            found = fit(x)
-            if found:
-                letters, stops = found.groups()
-                if letters:
-                    first.append(letters.lower())
-                    second.append(stops)
-                else:
-                    first.append(stops)
-                    second.append("")
-            else:
-                first.append(None)
-                second.append("")
-        fresh = [u for u in dict.fromkeys(first + second) if u and u not in places]
-        for k in range(0, len(fresh), 512):
-            some = fresh[k : k + 512]
-            got = np.array(self.fast.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            stops = np.flatnonzero(self.final[got]) + 1
-            assert len(stops) == len(some)
-            units.append((got, np.diff(stops, prepend=0)))
-        places.update(zip(fresh, range(len(self.unit_size), len(self.unit_size) + len(fresh)), strict=True))
-        at = len(self.unit_size) + len(fresh)
-        odd = [i for i, u in enumerate(first) if u is None]
-        for e in self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False):
-            units.append((np.array(e.ids, np.uint32), np.array([len(e.ids)])))
-        self.unit_ids = np.concatenate([self.unit_ids, *(x for x, _ in units)])
-        self.unit_size = np.concatenate([self.unit_size, *(n for _, n in units)]).astype(np.int64)
-        one = np.array([places[u] if u is not None else -1 for u in first], np.int64)
-        one[odd] = at + np.arange(len(odd))
-        both = np.stack([one, np.array([places[u] if u else -1 for u in second], np.int64)], axis=1).ravel()
-        ends = np.cumsum(self.unit_size)
-        sizes = np.where(both >= 0, self.unit_size[both], 0)
+        if self.fast is None:
+            return self.encode_each(data, starts, ends)
+        low = lowered(data)
+        behind = np.flatnonzero(data[:-1] == 0xC3) + 1
+        behind = behind[LATIN[data[behind]]]
+        letter, stop = LETTERS[data], STOPS[data]
+        letter[behind] = letter[behind - 1] = True
+        upper = behind[data[behind] < 0x9F]
+        low[upper] += 0x20
+        before = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+        letters, stops = before(letter), before(stop)
+        middle = starts + letters[ends] - letters[starts]
+        simple = (letters[middle] - letters[starts] == middle - starts) & (stops[ends] - stops[middle] == ends - middle)
+        one, two = np.flatnonzero(simple & (middle > starts)), np.flatnonzero(simple & (ends > middle))
+        a, b = np.concatenate([starts[one], middle[two]]), np.concatenate([middle[one], ends[two]])
+        order = np.argsort(a)  # spans in order, for their hashes
+        hashes = np.zeros(len(a), np.uint64)
+        hashes[order] = span_hashes(low, a[order], b[order])
+        place = self.units.get(hashes)
+        rest = np.flatnonzero(place < 0)
+        fresh, where, inverse = np.unique(hashes[rest], return_index=True, return_inverse=True)
+        where = rest[where]
+        unit_ids, unit_size = self.encode_units(low, a[where], b[where])
+        new = np.arange(len(self.unit_size), len(self.unit_size) + len(fresh))
+        self.units.put(fresh, new)
+        place = place.astype(np.int64)
+        place[rest] = new[inverse]
+        odd = np.flatnonzero(~simple)
+        odd_ids, odd_size = self.encode_each(data, starts[odd], ends[odd])
+        self.unit_ids, self.unit_size = np.concatenate([self.unit_ids, unit_ids]), np.concatenate([self.unit_size, unit_size])
+        pool, size = np.concatenate([self.unit_ids, odd_ids]), np.concatenate([self.unit_size, odd_size])
+        both = np.full((len(starts), 2), -1, np.int64)
+        both[one, 0], both[two, 1] = place[: len(one)], place[len(one) :]
+        both[odd, 0] = len(self.unit_size) + np.arange(len(odd))
+        both = both.ravel()
+        ends_at = np.cumsum(size)
+        sizes = np.where(both >= 0, size[both], 0) if len(size) else np.zeros(len(both), np.int64)
         total = np.cumsum(sizes)
-        source = np.repeat(ends[both] - self.unit_size[both] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
-        return self.unit_ids[source], sizes.reshape(-1, 2).sum(1)
+        source = np.repeat(ends_at[both] - size[both] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0) if len(size) else np.zeros(0, np.int64)
+        return pool[source], sizes.reshape(-1, 2).sum(1)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each text has."""
@@ -139,8 +181,8 @@ class WordEncoder:
                 self.reset()
                 rest, found = np.arange(len(hashes)), found
             fresh, where, back = np.unique(hashes[rest], return_index=True, return_inverse=True)
-            at, blob = rest[where], data.tobytes()
-            flat, sizes = self.encode_words([blob[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            at = rest[where]
+            flat, sizes = self.encode_words(data, starts[at], ends[at])
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
             self.pool[self.used : self.used + len(flat)] = flat
