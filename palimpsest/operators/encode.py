@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from palimpsest.session import ship
 
@@ -50,6 +52,17 @@ def mean_pooled(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return unit(sums / np.maximum(mask.sum(1, keepdims=True), 1e-9))
 
 
+def first_pooled(states: np.ndarray) -> np.ndarray:
+    """Unit vectors of the first tokens' states."""
+    return unit(states[:, 0])
+
+
+def sigmoid(scores: np.ndarray) -> np.ndarray:
+    """Probabilities of logits, without overflow at either end."""
+    small = np.exp(-np.abs(scores))
+    return np.where(scores >= 0, 1, small) / (1 + small)
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
@@ -60,3 +73,59 @@ def best_path(scores: np.ndarray, alphabet: str, blank: int = 0) -> tuple[str, f
     new = np.concatenate([[True], best[1:] != best[:-1]]) & (best != blank)
     text = "".join(alphabet[k - (k > blank)] for k in best[new])
     return text, float(scores[np.arange(len(best)), best][new].mean()) if new.any() else 0.0
+
+
+def word_errors(truth: Sequence[str], said: Sequence[str]) -> int:
+    """Least words to change, add or leave out to get from one list to the other.
+
+    A band of the distance table around its diagonal, row by row; as long as the distance may lie outside, the band is doubled.
+    """
+    names = {w: k for k, w in enumerate(dict.fromkeys([*truth, *said]))}
+    a, b = (np.array([names[w] for w in x], np.int64) for x in (truth, said))
+    n, m = len(a), len(b)
+    if not n or not m:
+        return n + m
+    width = max(4, abs(n - m) + 1)
+    while True:
+        # entry k of a row stands for column i + k - width; beyond the text nothing is cheap
+        far, steps = n + m + 1, np.arange(2 * width + 1)
+        row = np.where(steps >= width, steps - width, far)
+        row[steps - width > m] = far
+        for i in range(1, n + 1):
+            j = i + steps - width
+            inside = (j >= 1) & (j <= m)
+            change = np.full(len(steps), far)
+            change[inside] = row[inside] + (b[j[inside] - 1] != a[i - 1])
+            leave = np.append(row[1:], far) + 1
+            new = np.minimum(change, leave)
+            new[j == 0] = i
+            new[(j < 0) | (j > m)] = far
+            # words added follow one another within the row
+            row = np.minimum.accumulate(new - steps) + steps
+            row[(j < 0) | (j > m)] = far
+        found = int(row[m - n + width])
+        if found <= width or width > n + m:
+            return found
+        width *= 2
+
+
+@F.pandas_udf(LongType())
+def word_error_count(truth: pd.Series, said: pd.Series) -> pd.Series:
+    return pd.Series([word_errors(list(a), list(b)) for a, b in zip(truth, said, strict=True)])
+
+
+def recognition(pairs: DataFrame, group: str, control: str) -> DataFrame:
+    """By group the words of truth (array), those that said (array) gets wrong, their share, and the share of truth's control tokens (a pattern) that said holds.
+
+    Both are split before; null lists are empty. Shares are null where there is nothing to divide by.
+    """
+    ship(pairs.sparkSession)
+    empty = F.array().cast("array<string>")
+    own = pairs.select(group, F.coalesce("truth", empty).alias("truth"), F.coalesce("said", empty).alias("said"))
+    times = lambda found, w: F.size(F.filter(found, lambda x: x == w))
+    marked = lambda c: F.filter(c, lambda w: w.rlike(control))
+    kept = F.aggregate(F.array_distinct("_t"), F.lit(0), lambda s, w: s + F.least(times(F.col("_t"), w), times(F.col("_s"), w)))
+    counted = own.withColumns({"_e": word_error_count("truth", "said"), "_t": marked("truth"), "_s": marked("said")}).withColumn("_k", kept)
+    sums = counted.groupBy(group).agg(F.sum(F.size("truth")).alias("words"), F.sum("_e").alias("errors"), F.sum(F.size("_t")).alias("controls"), F.sum("_k").alias("_kept"))
+    share = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 6)
+    return sums.select(group, "words", "errors", share("errors", "words").alias("wer"), "controls", share("_kept", "controls").alias("recall"))

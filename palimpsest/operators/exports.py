@@ -131,8 +131,8 @@ def typed_peer(raw: Column, kind: Column) -> tuple[Column, Column]:
     return peer, F.when(raw <= -1_000_000_000_000, -raw - 1_000_000_000_000).otherwise(F.abs(raw))
 
 
-def invalid_page(rows: DataFrame, cursor: int, upper: int, ascending: bool = True) -> DataFrame:
-    """Rows (ordinal, message_id) of a page that break its order (strictly ascending, or descending) or leave (cursor, upper]."""
-    was = F.lag("message_id").over(W.orderBy("ordinal"))
+def invalid_page(rows: DataFrame, cursor: int, upper: int, ascending: bool = True, page: str = "page") -> DataFrame:
+    """Rows (page, ordinal, message_id) that break their page's order (strictly ascending, or descending) or leave (cursor, upper]."""
+    was = F.lag("message_id").over(W.partitionBy(page).orderBy("ordinal"))
     order = (F.col("message_id") <= was) if ascending else (F.col("message_id") >= was)
     return rows.withColumn("_bad", F.coalesce(order, F.lit(False)) | (F.col("message_id") <= cursor) | (F.col("message_id") > upper)).where("_bad").drop("_bad")

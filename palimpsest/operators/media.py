@@ -108,3 +108,12 @@ def inventory(vectors: DataFrame, refs: DataFrame) -> DataFrame:
     uses = refs.groupBy("blob_id").agg(F.count(F.lit(1)).alias("uses"))
     both = vectors.join(uses, "blob_id", "left")
     return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(4 * F.size("vector")).alias("bytes"), F.count_if(F.col("uses") > 1).alias("shared"), F.count_if(F.col("uses") == 1).alias("exclusive"), F.count_if(F.col("uses").isNull()).alias("unused"))
+
+
+def reading_order(boxes: DataFrame, page: str = "page") -> DataFrame:
+    """boxes (page, box, x0, y0, x1, y1) with line and place, both from 1: boxes whose heights overlap, directly or by way of others, are a line, and are read from the left; equal ones by box."""
+    down = W.partitionBy(page).orderBy("y0", "y1", "box")
+    above = F.max("y1").over(down.rowsBetween(W.unboundedPreceding, -1))
+    new = F.coalesce(F.col("y0") >= above, F.lit(True)).cast("int")
+    lines = boxes.withColumn("line", F.sum(new).over(down.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return lines.withColumn("place", F.row_number().over(W.partitionBy(page, "line").orderBy("x0", "y0", "box")).cast("long"))

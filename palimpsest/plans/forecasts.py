@@ -12,6 +12,7 @@ from palimpsest.operators import store as S
 from palimpsest.operators import vectors as V
 from palimpsest.plans.registry import WITH, bm25_sql, query
 from palimpsest.plans.retrieval import GOAL, GOAL_SQL, KEY
+from palimpsest.sources import live as L
 from palimpsest.sources.exports import scratch, staged
 from palimpsest.sources.views import ARCHIVE_SQL, FEED_SQL, derived, feed, messages, table
 
@@ -155,8 +156,9 @@ def src02_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{WITH}, o AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY message_id) - 1 AS ordinal FROM messages) SELECT chat_id AS external_id, CAST(ordinal AS INT) AS ordinal, message_id, timestamp, md5(text) AS text_md5 FROM o")
 def src03_account(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One export of all chats: messages with their flattened texts (FN-02) and times (FN-03)."""
-    chats = exported(spark, sf_dir).agg(F.array_join(F.collect_list("raw"), ",").alias("all"))
+    """Exports of accounts with up to 50 chats each: messages with their flattened texts (FN-02) and times (FN-03)."""
+    account = F.floor(F.get_json_object("raw", "$.id").cast("long") / 50)
+    chats = exported(spark, sf_dir).groupBy(account).agg(F.array_join(F.collect_list("raw"), ",").alias("all"))
     rows = X.account_rows(chats.select(F.concat(F.lit('{"chats":{"list":['), "all", F.lit("]}}")).alias("raw")))
     return rows.select("external_id", "ordinal", X.part("message", "$.id", "long").alias("message_id"), X.sent_at("message").alias("timestamp"), F.md5(X.flat_text(X.part("message", "$.text", "variant")).cast("binary")).alias("text_md5"))
 
@@ -172,13 +174,13 @@ def src10_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", peer.alias("peer_kind"), id_.alias("peer_id"))
 
 
-@query("""WITH o AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS ordinal, CASE WHEN event_id % 10 = 0 THEN event_id - 7 ELSE event_id END AS message_id FROM events), l AS (SELECT *, lag(message_id) OVER (ORDER BY ordinal) AS was FROM o)
-SELECT ordinal, message_id FROM l WHERE message_id <= was OR message_id <= 5 OR message_id > 990""")
+@query("""WITH o AS (SELECT user_id AS page, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordinal, CASE WHEN event_id % 10 = 0 THEN event_id - 70 ELSE event_id END AS message_id FROM events), l AS (SELECT *, lag(message_id) OVER (PARTITION BY page ORDER BY ordinal) AS was FROM o)
+SELECT page, ordinal, message_id FROM l WHERE message_id <= was OR message_id <= 5 OR message_id > 990""")
 def src09_invalid_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that break a page's order or leave its bounds."""
+    """Rows that break their page's order or leave its bounds."""
     e = table(spark, sf_dir, "events")
-    id_ = F.when(F.col("event_id") % 10 == 0, F.col("event_id") - 7).otherwise(F.col("event_id"))
-    rows = e.select(F.row_number().over(X.W.orderBy("ts", "event_id")).cast("long").alias("ordinal"), id_.alias("message_id"))
+    id_ = F.when(F.col("event_id") % 10 == 0, F.col("event_id") - 70).otherwise(F.col("event_id"))
+    rows = e.select(F.col("user_id").alias("page"), F.row_number().over(X.W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("ordinal"), id_.alias("message_id"))
     return X.invalid_page(rows, 5, 990)
 
 
@@ -236,3 +238,24 @@ def ses06_browse_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two pages appended, of which the last thirty rows stay."""
     placed = V.R.ranked(messages(spark, sf_dir).select("timestamp", *KEY), F.col("timestamp").desc(), F.col("chat_id").desc(), F.col("message_id").desc(), name="place").withColumn("place", F.col("place").cast("long"))
     return Y.appended(placed.where("place <= 25"), placed.where("place > 25 and place <= 45"), 30)
+
+
+@query(f"""{WITH} SELECT 'chat' AS peer_kind, chat_id AS peer_id, message_id, timestamp AS sent, edited, CASE WHEN author_id IS NOT NULL THEN concat('user:', author_id) END AS sender, forwarded_from, md5(text) AS text_md5,
+CASE WHEN text LIKE '/%' THEN 'bot_command' WHEN has_photo = 1 THEN 'Odd' ELSE 'bold' END AS entity, CASE WHEN has_photo = 1 THEN sha256(concat('photo:', CAST(chat_id * 1000 + message_id AS VARCHAR))) END AS media_id FROM messages""")
+def src06_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as a live source pages them, each page with the end of the one before: normalised, and taken in once."""
+    m, k = messages(spark, sf_dir), F.col("message_id")
+    kind = F.when(F.col("text").startswith("/"), "BotCommand").when(F.col("has_photo") == 1, "Odd").otherwise("Bold")
+    said = F.to_json(F.struct(
+        k.alias("id"), F.col("timestamp").alias("date"), "edited", F.when(F.col("author_id").isNotNull(), F.struct(F.lit("user").alias("kind"), F.col("author_id").alias("id"))).alias("from"), F.struct(F.col("forwarded_from").alias("name")).alias("forward"), "text",
+        F.array(F.struct(kind.alias("type"), F.lit(0).alias("offset"), F.lit(1).alias("length"))).alias("entities"), F.when(F.col("has_photo") == 1, F.struct(F.lit("photo").alias("kind"), (F.col("chat_id") * 1000 + k).cast("string").alias("id"), F.lit(7).alias("access_hash"))).alias("media"),
+    ))
+    # pages of 30 ids; ids of the last 20 of a page stand on the next one as well
+    each = m.select("chat_id", k.alias("i"), said.alias("j"), F.explode(F.array_distinct(F.array(F.floor(k / 30), F.floor((k + L.OVERLAP - 1) / 30)))).alias("page"))
+    pages = each.groupBy("chat_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "j"))), lambda x: x["j"]), ",").alias("all"))
+    text = F.concat(F.lit('{"peer":{"kind":"chat","id":'), F.col("chat_id"), F.lit('},"cursor":'), F.col("page") * 30 , F.lit(',"upper":'), F.col("page") * 30 + 29, F.lit(',"messages":['), F.col("all"), F.lit("]}"))
+    root = scratch(spark, "live")
+    # a line a file: a page is a document of its own
+    pages.select("chat_id", "page", text.alias("value")).repartition(8, "chat_id", "page").write.partitionBy("chat_id", "page").text(f"{root}/pages")
+    found = L.received(spark, f"{root}/pages/*/*", f"{root}/state")
+    return found.select("peer_kind", "peer_id", "message_id", "sent", "edited", "sender", "forwarded_from", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("entities")[0]["type"].alias("entity"), "media_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators import encode as E
 from palimpsest.operators import media as M
 from palimpsest.plans.registry import bm25_sql, query
 from palimpsest.plans.retrieval import GOAL, GOAL_SQL
@@ -133,3 +134,26 @@ def src19_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(4 * n) AS BIGINT) AS bytes, CAST(count(*) FILTER (uses > 1) AS BIGINT) AS shared, CAST(count(*) FILTER (uses = 1) AS BIGINT) AS exclusive, CAST(count(*) FILTER (uses IS NULL) AS BIGINT) AS unused FROM j GROUP BY kind""")
 def src18_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.inventory(vectors(spark, sf_dir), derived(spark, sf_dir, "refs"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS box, l_partkey % 100 AS x0, l_partkey % 100 + 20 AS x1, l_suppkey % 60 AS y0, l_suppkey % 60 + 5 + CAST(l_linenumber AS BIGINT) % 3 AS y1 FROM lineitem),
+l AS (SELECT *, CASE WHEN y0 < max(y1) OVER (PARTITION BY page ORDER BY y0, y1, box ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM b),
+g AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY y0, y1, box ROWS UNBOUNDED PRECEDING) AS line FROM l)
+SELECT page, box, CAST(line AS BIGINT) AS line, CAST(row_number() OVER (PARTITION BY page, line ORDER BY x0, y0, box) AS BIGINT) AS place FROM g""")
+def fn29_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of pages in the order in which they are read."""
+    e = table(spark, sf_dir, "lineitem")
+    part, supplier, number = F.col("l_partkey") % 100, F.col("l_suppkey") % 60, F.col("l_linenumber").cast("long")
+    boxes = e.select(F.col("l_orderkey").alias("page"), number.alias("box"), part.alias("x0"), (part + 20).alias("x1"), supplier.alias("y0"), (supplier + 5 + number % 3).alias("y1"))
+    return M.reading_order(boxes).select("page", "box", "line", "place")
+
+
+@query("""WITH w AS (SELECT lang, regexp_extract_all(coalesce(text, ''), '\\S+') AS w FROM documents), e AS (SELECT lang, w, range(1, len(w) + 1) AS i FROM w)
+SELECT lang, CAST(sum(len(w)) AS BIGINT) AS words, CAST(sum(len(list_filter(i, lambda k: k % 127 = 5 OR k % 101 = 3))) AS BIGINT) AS errors, round(sum(len(list_filter(i, lambda k: k % 127 = 5 OR k % 101 = 3))) / sum(len(w)), 6) AS wer,
+CAST(sum(len(list_filter(i, lambda k: regexp_matches(w[k], '[0-9]')))) AS BIGINT) AS controls,
+round(sum(len(list_filter(i, lambda k: regexp_matches(w[k], '[0-9]') AND NOT (k % 127 = 5 OR k % 101 = 3)))) / nullif(sum(len(list_filter(i, lambda k: regexp_matches(w[k], '[0-9]')))), 0), 6) AS recall FROM e GROUP BY lang""")
+def agg21_word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word error rates and the recall of tokens with digits, of texts from which every 127th word is lost and every 101st is read as another."""
+    found = table(spark, sf_dir, "documents").select("lang", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0)).alias("truth"))
+    placed = F.filter(F.transform("truth", lambda w, i: F.struct(F.when((i + 1) % 101 == 3, "\u0001").otherwise(w).alias("w"), (i + 1).alias("i"))), lambda x: x["i"] % 127 != 5)
+    return E.recognition(found.withColumn("said", placed["w"]), "lang", "[0-9]")

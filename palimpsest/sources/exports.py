@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -28,10 +27,22 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def placed(rows: DataFrame, *order: Column, name: str = "line") -> DataFrame:
+    """rows with their place from 1 in an order over all of them: sorted by ranges, numbered within each, shifted by the sizes of those before."""
+    spark = rows.sparkSession
+    own = staged(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "placed").withColumn("_range", F.shiftright("_at", 33))
+    before, starts = 0, []
+    for r in sorted(own.groupBy("_range").count().collect(), key=lambda r: r["_range"]):  # one row a range
+        starts.append((r["_range"], before))
+        before += r["count"]
+    shifts = spark.createDataFrame(starts, "_range long, _before long")
+    return own.join(shifts, "_range").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_range", "_before")
+
+
 def csv_sink(rows: DataFrame, *order: Column, path: str | None = None) -> DataFrame:
     """Write rows as CSV in an order, over all files, and return them as read back with their line."""
     spark = rows.sparkSession
     out = path or scratch(spark, "csv")
-    numbered = rows.withColumn("line", F.row_number().over(W.orderBy(*order)).cast("long"))
+    numbered = placed(rows, *order)
     numbered.write.option("header", True).csv(out)
     return spark.read.schema(numbered.schema).option("header", True).csv(out)

@@ -243,3 +243,67 @@ def test_texts_that_count_as_stable_are(spark):
     assert len(inside) > 500
     rows = spark.createDataFrame([(x + "a" + x,) for x in inside], "text string")
     assert all(r.f == normal(r.text) for r in rows.select("text", F.translate(F.lower("text"), "ё", "е").alias("f")).collect())
+
+
+def test_streams_of_revisions_and_bursts_resume(spark, tmp_path):
+    """Events in several files and two runs, against one pass over all of them."""
+    from palimpsest.streaming import keyed
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("event_id").limit(240)
+    rows = events.collect()
+    source, schema = f"{tmp_path}/source", events.schema
+    write = lambda a, b: spark.createDataFrame(rows[a:b], schema).coalesce(1).write.mode("append").parquet(source)
+    held, want = {}, {}
+    for r in rows:
+        when, gone = held.get(r.user_id, (None, False))
+        fate = "rejected" if gone else "accepted" if when is None or r.ts > when else "repeated" if r.ts == when else "late"
+        if fate == "accepted":
+            held[r.user_id] = (r.ts, r.event_type == "error")
+        want[r.event_id] = fate
+    write(0, 80)
+    keyed.fates(spark, source, schema, f"file://{tmp_path}/fates")
+    write(80, 160)
+    write(160, 240)
+    found = keyed.fates(spark, source, schema, f"file://{tmp_path}/fates")
+    assert {r.arrival: r.fate for r in found.collect()} == want
+    hour = 3_600_000
+    once = keyed.bursts(spark, source, schema, f"file://{tmp_path}/once", hour, 10 * hour, files_per_batch=9)
+    split = keyed.bursts(spark, source, schema, f"file://{tmp_path}/split", hour, 10 * hour, delay="40 days")
+    # a late watermark closes bursts by later changes alone; the timers only add the last ones
+    assert {tuple(r) for r in split.collect()} <= {tuple(r) for r in once.collect()}
+    assert sum(r.n for r in once.collect()) <= len(rows)
+
+
+def test_publication_is_fenced(spark, tmp_path):
+    from palimpsest.operators import publish as B
+
+    targets, chunks = Store(spark, f"file://{tmp_path}/t"), PartitionedStore(spark, f"file://{tmp_path}/c", ["chat_id", "day"])
+    aims = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "b", 1)], "chat_id long, day string, target_generation int")
+    targets.publish(aims)
+    chunks.publish(spark.createDataFrame([], "chat_id long, day string, text string, generation int"))
+    made = lambda due: due.withColumn("text", F.lit("x"))
+
+    def racing(due):
+        # another builder publishes chat 3 in the next generation, and chat 2 changes
+        targets.publish(spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "b", 2)], aims.schema))
+        if chunks.at().number == 0:
+            chunks.replace(spark.createDataFrame([(3, "b", "y", 2)], "chat_id long, day string, text string, generation int"), [(3, "b")], chunks.at())
+        return made(due)
+
+    state = {(r.chat_id, r.generation): r.state for r in B.build(targets, chunks, racing).collect()}
+    assert state == {(1, 1): "published", (2, 1): "superseded", (3, 1): "superseded"}
+    assert sorted((r.chat_id, r.text, r.generation) for r in chunks.read().collect()) == [(1, "x", 1), (3, "y", 2)]
+    assert [tuple(r) for r in chunks.told().select("chat_id", "generation").collect()] == [(1, 1)]
+    again = {(r.chat_id, r.generation): r.state for r in B.build(targets, chunks, made).collect()}
+    assert again == {(2, 2): "published"} and B.build(targets, chunks, made).count() == 0
+
+
+def test_pinned_search_of_an_empty_scope(spark, tmp_path):
+    from palimpsest.operators import publish as B
+
+    store = Store(spark, f"file://{tmp_path}/t")
+    store.publish(spark.range(5))
+    found = B.pinned_search({"t": store}, lambda f: f["t"].where("id > 9"), lambda f, rows: rows)
+    assert (found.scope, found.rows.count(), found.changed, found.revisions) == (0, 0, [], {"t": 0})
+    found = B.pinned_search({"t": store}, lambda f: f["t"], lambda f, rows: (store.publish(spark.range(9)), rows)[1])
+    assert (found.scope, found.rows.count(), found.changed) == (5, 5, ["t"])
