@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.text import query_terms, words
 from palimpsest.operators import retrieval as R
 from palimpsest.plans.spec import SearchSpec
+from palimpsest.sources.exports import staged
 
 KEY = ["chat_id", "message_id"]
 
@@ -65,8 +66,8 @@ def anchors(keys: DataFrame, lexical: DataFrame, parts: DataFrame, messages: Dat
     """
     order = F.struct((~has_term(F.col("text"), spec.query)).alias("a"), (F.col("role") != "core").alias("b"), F.col("ordinal").alias("c"))
     wanted = keys.join(lexical.select("key"), "key", "left_anti").select(F.col("key").alias("chunk_id"))
-    shown = owned(parts).join(wanted, "chunk_id", "left_semi").join(messages.where(spec.filters()).select(*KEY, "text"), KEY)
-    chosen = shown.groupBy(F.col("chunk_id").alias("key")).agg(F.min_by(F.struct(*KEY), order).alias("m")).select("key", "m.*")
+    shown = owned(parts).join(wanted, "chunk_id", "left_semi").join(messages.where(spec.filters()).select(*KEY, "text"), KEY).withColumn("_order", order)
+    chosen = shown.groupBy(F.col("chunk_id").alias("key")).agg(F.min_by(F.struct(*KEY), "_order").alias("m")).select("key", "m.*")
     found = keys.join(lexical.select("key", *KEY).unionByName(chosen), "key")
     first = F.row_number().over(W.partitionBy(*KEY).orderBy(F.col("score").desc(), "key"))
     return found.withColumn("_first", first).where("_first = 1").drop("_first")
@@ -112,7 +113,9 @@ def hybrid(messages: DataFrame, chunks: DataFrame, parts: DataFrame, segments: D
     lexical = lexical_keys(lexical_branch(messages, spec, most), parts, live)
     if mode == "meaning":
         lexical = lexical.limit(0)
-    dense = dense_branch(witnessed(live, parts, messages, spec), vectors, goal, most)
+    # both branches are pages of at most most rows, and are used several times
+    lexical = staged(lexical, "lexical")
+    dense = staged(dense_branch(witnessed(live, parts, messages, spec), vectors, goal, most), "dense")
     keys = R.fused({"words": (lexical, 1.0), "meaning": (dense, 1.0)}, ["key"], k)
     found = anchors(keys, lexical, parts, messages, spec)
     return found.orderBy(F.col("score").desc(), "key").limit(limit).select("key", "score", "matched_by", *KEY, F.lit(mode).alias("mode"))

@@ -102,8 +102,8 @@ RUNS_SQL = "list_filter(range(1, length({0}) + 1), lambda i: i = 1 OR {0}[i] <>
 
 
 @query(f"""WITH w AS (SELECT DISTINCT unnest({words_sql("text")}) AS w FROM documents), s AS (SELECT w, {RUNS_SQL.format("w")} AS s FROM w),
-r AS (SELECT w, list_transform(s, lambda i: w[i]) AS letters, list_transform(range(1, len(s) + 1), lambda k: coalesce(s[k + 1], length(w) + 1) - s[k]) AS n FROM s)
-SELECT a.w AS observed, b.w AS original FROM r a JOIN r b ON a.letters = b.letters AND a.w <> b.w WHERE len(list_filter(range(1, len(a.n) + 1), lambda i: a.n[i] < b.n[i])) = 0""")
+r AS MATERIALIZED (SELECT w, array_to_string(list_transform(s, lambda i: w[i]), '') AS letters, list_transform(range(1, len(s) + 1), lambda k: coalesce(s[k + 1], length(w) + 1) - s[k]) AS n FROM s)
+SELECT a.w AS observed, b.w AS original FROM (FROM r WHERE length(w) > length(letters)) a JOIN r b ON a.letters = b.letters AND a.w <> b.w WHERE len(list_filter(range(1, len(a.n) + 1), lambda i: a.n[i] < b.n[i])) = 0""")
 def fn17_lengthening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of words of which one is the other with longer runs, met by their run key."""
     w = table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("w")).distinct().withColumn("k", T.run_key(F.col("w")))

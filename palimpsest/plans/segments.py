@@ -13,7 +13,7 @@ from palimpsest.operators.store import PartitionedStore, Store
 from palimpsest.plans.registry import bm25_sql, keywords_sql, query, words_sql
 from palimpsest.plans.retrieval import GOAL, GOAL_SQL
 from palimpsest.plans.spec import SearchSpec
-from palimpsest.sources.exports import scratch
+from palimpsest.sources.exports import scratch, staged
 from palimpsest.sources.views import ARCHIVE_SQL, EPOCH, derived, messages, table
 
 KEY = ["chat_id", "message_id"]
@@ -30,6 +30,11 @@ def archive(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [messages(spark, sf_dir) if n == "messages" else derived(spark, sf_dir, n) for n in names]
 
 
+def written(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """As archive, but derived once: what a search uses several times is read, not made again."""
+    return [staged(x, name) for x, name in zip(archive(spark, sf_dir, *names), names, strict=True)]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
 
@@ -167,13 +172,13 @@ def ret12_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{HYBRID_SQL} SELECT key, round(score, 9) AS score, matched_by, chat_id, message_id, 'hybrid' AS mode FROM shown ORDER BY shown.score DESC, key LIMIT 20")
 def ret13_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, chunks, parts, segments = archive(spark, sf_dir, "messages", "chunks", "parts", "segments")
+    m, chunks, parts, segments = written(spark, sf_dir, "messages", "chunks", "parts", "segments")
     return H.hybrid(m, chunks, parts, segments, vectors(spark, sf_dir), SPEC, GOAL).withColumn("score", F.round("score", 9))
 
 
 @query(f"{HYBRID_SQL.replace(FUSED_SQL, FUSED_SQL.replace(chr(39) + 'words' + chr(39) + ' AS branch FROM lexical_keys', chr(39) + 'words' + chr(39) + ' AS branch FROM lexical_keys WHERE false')).replace('LEFT JOIN lexical_keys l USING (key)', 'LEFT JOIN (FROM lexical_keys WHERE false) l USING (key)')} SELECT key, round(score, 9) AS score, matched_by, chat_id, message_id, 'meaning' AS mode FROM shown ORDER BY shown.score DESC, key LIMIT 20")
 def ret13_meaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, chunks, parts, segments = archive(spark, sf_dir, "messages", "chunks", "parts", "segments")
+    m, chunks, parts, segments = written(spark, sf_dir, "messages", "chunks", "parts", "segments")
     spec = SearchSpec(**(vars(SPEC) | {"mode": "meaning"}))
     return H.hybrid(m, chunks, parts, segments, vectors(spark, sf_dir), spec, GOAL).withColumn("score", F.round("score", 9))
 
