@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators import retrieval as R
 from palimpsest.plans.spec import SearchSpec
+from palimpsest.sources.exports import staged
 
 KEY = ["chat_id", "message_id"]
 
@@ -74,6 +77,39 @@ def unified(branches: dict[str, DataFrame], limit: int = 20, k: int = 60) -> Dat
     return keys.join(first, KEY, "left").orderBy(F.col("score").desc(), *KEY).limit(limit)
 
 
+def attempted(branches: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Pages of those branches that can be had, written, and for each that fails its name with the first line of why. All failing is a failure."""
+    pages, failed = {}, {}
+    for name, make in branches.items():
+        try:
+            pages[name] = staged(make(), name)
+        except PySparkException as e:
+            failed[name] = str(e).splitlines()[0]
+    if not pages:
+        raise ValueError(f"no branch answered: {failed}")
+    return pages, failed
+
+
+def best_effort(branches: dict[str, Callable[[], DataFrame]], limit: int = 20, k: int = 60) -> DataFrame:
+    """unified over the branches that answer, with warnings, the names of those that didn't."""
+    pages, failed = attempted(branches)
+    return unified(pages, limit, k).withColumn("warnings", F.array(*map(F.lit, sorted(failed))).cast("array<string>"))
+
+
+def relinked(refs: DataFrame, found: DataFrame, source: str = "source_id") -> tuple[DataFrame, DataFrame]:
+    """What moving each source's files to where found lists them would do: a row a source, and the refs whose state changes.
+
+    Rows have the number of files by state (a corrupt one has changed, one at an unsafe path is missing) and whether the move is accepted: not if a file has changed or was never
+    verified. Of a refused source nothing changes. refs: source, path, digest and status as it is known.
+    """
+    state = F.when(F.col("_now") == "corrupt", "changed").when(F.col("_now") == "unsafe", "missing").otherwise(F.col("_now"))
+    now = probed(refs.withColumnRenamed("status", "_was"), found).withColumnRenamed("status", "_now").withColumn("status", state)
+    counts = now.groupBy(source).agg(*(F.count_if(F.col("status") == x).alias(x) for x in ("ready", "missing", "changed", "unverified")))
+    judged = counts.withColumn("accepted", (F.col("changed") == 0) & (F.col("unverified") == 0))
+    changes = now.where("status <> _was").join(judged.where("accepted").select(source), source, "left_semi")
+    return judged, changes.select(*(c for c in refs.columns))
+
+
 def of_messages(refs: DataFrame) -> DataFrame:
     """A message's files, one of each kind: a ready one before others, then the newest."""
     best = F.max_by(F.struct("blob_id", "status"), F.struct((F.col("status") == "ready").alias("a"), F.col("ref_id").alias("b"))).alias("file")

@@ -157,3 +157,40 @@ def agg21_word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("lang", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0)).alias("truth"))
     placed = F.filter(F.transform("truth", lambda w, i: F.struct(F.when((i + 1) % 101 == 3, "\u0001").otherwise(w).alias("w"), (i + 1).alias("i"))), lambda x: x["i"] % 127 != 5)
     return E.recognition(found.withColumn("said", placed["w"]), "lang", "[0-9]")
+
+
+MOVED_SQL = """moved AS (SELECT page_id % 40 AS source_id, page_id, concat('photos/', page_id) AS path, CASE WHEN page_id % 40 = 3 AND page_id % 5 = 3 THEN NULL WHEN page_id % 40 = 4 THEN 'old' ELSE md5(html) END AS digest, CASE WHEN page_id % 3 = 0 THEN 'missing' ELSE 'ready' END AS status, page_id % 9 <> 2 AS there FROM pages),
+judged AS (SELECT *, CASE WHEN NOT there THEN 'missing' WHEN digest IS NULL THEN 'unverified' WHEN digest = 'old' THEN 'changed' ELSE 'ready' END AS now FROM moved),
+sources AS (SELECT source_id, CAST(count(*) FILTER (now = 'ready') AS BIGINT) AS ready, CAST(count(*) FILTER (now = 'missing') AS BIGINT) AS missing, CAST(count(*) FILTER (now = 'changed') AS BIGINT) AS changed, CAST(count(*) FILTER (now = 'unverified') AS BIGINT) AS unverified FROM judged GROUP BY 1)"""
+
+
+def moved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What a move of every source's files would do; in two of them files have changed, or were never verified."""
+    p, k = table(spark, sf_dir, "pages"), F.col("page_id")
+    digest, path = F.md5(F.col("html").cast("binary")), F.concat(F.lit("photos/"), k)
+    refs = p.select((k % 40).alias("source_id"), "page_id", path.alias("path"), F.when((k % 40 == 3) & (k % 5 == 3), None).when(k % 40 == 4, "old").otherwise(digest).alias("digest"), F.when(k % 3 == 0, "missing").otherwise("ready").alias("status"))
+    found = p.where("page_id % 9 <> 2").select(path.alias("path"), digest.alias("digest"), F.length("html").alias("size"), F.lit(True).alias("opens"))
+    return M.relinked(refs, found)
+
+
+@query(f"WITH {MOVED_SQL} SELECT *, changed = 0 AND unverified = 0 AS accepted FROM sources")
+def src19_relink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sources may be moved: not those with changed or unverified files."""
+    return moved(spark, sf_dir)[0]
+
+
+@query(f"WITH {MOVED_SQL} SELECT page_id, now AS status FROM judged JOIN sources USING (source_id) WHERE changed = 0 AND unverified = 0 AND now <> status")
+def src19_relinked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose state changes with an accepted move."""
+    return moved(spark, sf_dir)[1].select("page_id", "status")
+
+
+@query(f"""{ARCHIVE}, {FIT_SQL}, {bm25_sql(["er"], name="texted")}, t AS (SELECT s.chat_id, s.message_id, row_number() OVER (ORDER BY -s.score DESC, s.chat_id, s.message_id) AS rank FROM (SELECT texted.* FROM texted JOIN fit USING (chat_id, message_id) ORDER BY texted.score, fit.timestamp, texted.message_id, texted.chat_id LIMIT 100) s)
+SELECT chat_id, message_id, round(1.0::DOUBLE / (60 + rank), 9) AS score, 'text' AS matched_by, 'images' AS warnings FROM t WHERE rank <= 20""")
+def ret15_best_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A modality that fails is told, and the others answer."""
+    m = messages(spark, sf_dir)
+    words = M.R.search(m, SPEC, 100).select(*KEY, (-F.col("score")).alias("score"), F.lit(None).cast("double").alias("similarity"))
+    broken = m.select(*KEY, F.raise_error(F.lit("the image model is away")).cast("double").alias("score"), F.lit(None).cast("double").alias("similarity"))
+    found = M.best_effort({"text": lambda: words, "images": lambda: broken})
+    return found.select(*KEY, F.round("score", 9).alias("score"), "matched_by", F.array_join("warnings", ",").alias("warnings"))
