@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -75,43 +78,68 @@ def best_path(scores: np.ndarray, alphabet: str, blank: int = 0) -> tuple[str, f
     return text, float(scores[np.arange(len(best)), best][new].mean()) if new.any() else 0.0
 
 
+#: Words that are compared at once along a diagonal.
+RUN = 32
+
+
 def word_errors(truth: Sequence[str], said: Sequence[str]) -> int:
-    """Least words to change, add or leave out to get from one list to the other.
+    """Least words to change, add or leave out to get from one list to the other."""
+    names = {w: k for k, w in enumerate(dict.fromkeys([*truth, *said]))}
+    return errors_between(*(np.array([*map(names.__getitem__, x)], np.int64) for x in (truth, said)))
 
-    A band of the distance table around its diagonal, row by row; as long as the distance may lie outside, the band is doubled.
+
+def errors_between(truth: np.ndarray, said: np.ndarray) -> int:
+    """word_errors of words by number, from 0; a word that truth doesn't have may have any other number, or -3.
+
+    For one error more after the other, how far every diagonal of the distance table gets: as many rounds as there are errors, each
+    over as many diagonals, whatever the length of the lists. Along a diagonal equal words cost nothing and are passed in runs.
     """
-    names = {w: k for k, w in enumerate(dict.fromkeys([*truth, *said]))}
-    a, b = (np.array([names[w] for w in x], np.int64) for x in (truth, said))
-    n, m = len(a), len(b)
+    n, m = len(truth), len(said)
     if not n or not m:
         return n + m
-    width = max(4, abs(n - m) + 1)
-    while True:
-        # entry k of a row stands for column i + k - width; beyond the text nothing is cheap
-        far, steps = n + m + 1, np.arange(2 * width + 1)
-        row = np.where(steps >= width, steps - width, far)
-        row[steps - width > m] = far
-        for i in range(1, n + 1):
-            j = i + steps - width
-            inside = (j >= 1) & (j <= m)
-            change = np.full(len(steps), far)
-            change[inside] = row[inside] + (b[j[inside] - 1] != a[i - 1])
-            leave = np.append(row[1:], far) + 1
-            new = np.minimum(change, leave)
-            new[j == 0] = i
-            new[(j < 0) | (j > m)] = far
-            # words added follow one another within the row
-            row = np.minimum.accumulate(new - steps) + steps
-            row[(j < 0) | (j > m)] = far
-        found = int(row[m - n + width])
-        if found <= width or width > n + m:
-            return found
-        width *= 2
+    # behind the ends stand names that equal nothing
+    a, b = (np.concatenate([x, np.full(RUN, end)]) for x, end in ((truth, -1), (said, -2)))
+    runs_a, runs_b = (np.lib.stride_tricks.as_strided(x, (len(x) - RUN + 1, RUN), x.strides * 2, writeable=False) for x in (a, b))
+
+    def passed(at: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
+        live = np.flatnonzero(a[at] == b[at + diagonals])
+        while len(live):
+            same = runs_a[at[live]] == runs_b[at[live] + diagonals[live]]
+            whole = same.all(1)
+            at[live] += np.where(whole, RUN, same.argmin(1))
+            live = live[whole]
+        return at
+
+    # at: words of truth that each diagonal (words of said less words of truth, from low on) has behind it
+    low, at, errors = 0, passed(np.zeros(1, np.int64), np.zeros(1, np.int64)), 0
+    while not (low <= m - n < low + len(at) and at[m - n - low] == n):
+        errors += 1
+        wide = np.concatenate([[-2, -2], at, [-2, -2]])
+        # a word changed, left out or added
+        at = np.maximum(np.maximum(wide[1:-1], wide[2:]) + 1, wide[:-2])
+        diagonals = np.arange(low - 1, low - 1 + len(at))
+        inside = (diagonals >= -n) & (diagonals <= m)
+        at, diagonals = at[inside], diagonals[inside]
+        low = int(diagonals[0])
+        at = passed(np.minimum(at, np.minimum(n, m - diagonals)), diagonals)
+    return errors
+
+
+@F.arrow_udf(LongType())
+def word_error_count(truth: pa.Array, said: pa.Array) -> pa.Array:
+    # words are numbered within the batch, without a Python string for any of them
+    told = truth.flatten().dictionary_encode()
+    own = pc.fill_null(told.indices, len(told.dictionary)).to_numpy().astype(np.int64)
+    words = pa.concat_arrays([told.dictionary, pa.nulls(1, told.dictionary.type)])
+    other = pc.fill_null(pc.index_in(said.flatten(), words), -3).to_numpy().astype(np.int64)
+    parts = zip(*(np.split(x, np.cumsum(pc.list_value_length(y).to_numpy())[:-1]) for x, y in ((own, truth), (other, said))), strict=True)
+    return pa.array([errors_between(a, b) for a, b in parts] if len(truth) else [], pa.int64())
 
 
 @F.pandas_udf(LongType())
-def word_error_count(truth: pd.Series, said: pd.Series) -> pd.Series:
-    return pd.Series([word_errors(list(a), list(b)) for a, b in zip(truth, said, strict=True)])
+def shared_count(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Words that two lists have in common, each as often as it stands in both."""
+    return pd.Series([(Counter(x) & Counter(y)).total() for x, y in zip(a, b, strict=True)])
 
 
 def recognition(pairs: DataFrame, group: str, control: str) -> DataFrame:
@@ -122,10 +150,8 @@ def recognition(pairs: DataFrame, group: str, control: str) -> DataFrame:
     ship(pairs.sparkSession)
     empty = F.array().cast("array<string>")
     own = pairs.select(group, F.coalesce("truth", empty).alias("truth"), F.coalesce("said", empty).alias("said"))
-    times = lambda found, w: F.size(F.filter(found, lambda x: x == w))
     marked = lambda c: F.filter(c, lambda w: w.rlike(control))
-    kept = F.aggregate(F.array_distinct("_t"), F.lit(0), lambda s, w: s + F.least(times(F.col("_t"), w), times(F.col("_s"), w)))
-    counted = own.withColumns({"_e": word_error_count("truth", "said"), "_t": marked("truth"), "_s": marked("said")}).withColumn("_k", kept)
+    counted = own.withColumns({"_e": word_error_count("truth", "said"), "_t": marked("truth"), "_s": marked("said")}).withColumn("_k", shared_count("_t", "_s"))
     sums = counted.groupBy(group).agg(F.sum(F.size("truth")).alias("words"), F.sum("_e").alias("errors"), F.sum(F.size("_t")).alias("controls"), F.sum("_k").alias("_kept"))
     share = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 6)
     return sums.select(group, "words", "errors", share("errors", "words").alias("wer"), "controls", share("_kept", "controls").alias("recall"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -34,6 +35,25 @@ def test_word_errors_are_those_of_the_whole_table():
     assert E.word_errors(a, b) == distance(a, b)
 
 
+def test_word_errors_of_long_texts_take_rounds_by_errors():
+    """A band that is doubled and filled row by row took a second and more for a text of these."""
+    rng = random.Random(9)
+    said = [str(rng.randrange(3000)) for _ in range(20_000)]
+    heard = ["" if i % 101 == 3 else w for i, w in enumerate(said, 1) if i % 127 != 5]
+    wrong = sum(i % 101 == 3 or i % 127 == 5 for i in range(1, 20_001))
+    began = time.process_time()
+    assert [E.word_errors(said, heard) for _ in range(5)] == [wrong] * 5
+    assert time.process_time() - began < 5
+
+
+def test_words_of_a_batch_by_number(spark):
+    """Nulls, words that truth lacks and lists without words, many rows in a batch."""
+    rng = random.Random(4)
+    rows = [tuple([rng.choice(["a", "b", "1", None, "ж"]) for _ in range(rng.choice([0, 1, 5, 40]))] for _ in range(2)) for _ in range(200)]
+    pairs = spark.createDataFrame(rows, "truth array<string>, said array<string>").coalesce(1)
+    assert [r.n for r in pairs.select(E.word_error_count("truth", "said").alias("n")).collect()] == [distance(a, b) for a, b in rows]
+
+
 def test_recognition_by_group(spark):
     rows = [("a", ["x", "1", "1", "2"], ["x", "1", "z"]), ("a", ["y"], None), ("b", [], []), ("c", None, ["q"])]
     found = {r.g: (r.words, r.errors, r.wer, r.controls, r.recall) for r in E.recognition(spark.createDataFrame(rows, "g string, truth array<string>, said array<string>"), "g", "[0-9]").collect()}
