@@ -250,12 +250,13 @@ def src06_live(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("id"), F.col("timestamp").alias("date"), "edited", F.when(F.col("author_id").isNotNull(), F.struct(F.lit("user").alias("kind"), F.col("author_id").alias("id"))).alias("from"), F.struct(F.col("forwarded_from").alias("name")).alias("forward"), "text",
         F.array(F.struct(kind.alias("type"), F.lit(0).alias("offset"), F.lit(1).alias("length"))).alias("entities"), F.when(F.col("has_photo") == 1, F.struct(F.lit("photo").alias("kind"), (F.col("chat_id") * 1000 + k).cast("string").alias("id"), F.lit(7).alias("access_hash"))).alias("media"),
     ))
-    # pages of 30 ids; ids of the last 20 of a page stand on the next one as well
-    each = m.select("chat_id", k.alias("i"), said.alias("j"), F.explode(F.array_distinct(F.array(F.floor(k / 30), F.floor((k + L.OVERLAP - 1) / 30)))).alias("page"))
-    pages = each.groupBy("chat_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "j"))), lambda x: x["j"]), ",").alias("all"))
+    # pages of 30 ids; ids of the last 20 of a page stand on the next one as well. Where conversations of a chat are long, ids occur again: these messages have pages of their own
+    again = F.row_number().over(X.W.partitionBy(*KEY).orderBy("timestamp", "text"))
+    each = m.select("chat_id", again.alias("again"), k.alias("i"), said.alias("j"), F.explode(F.array_distinct(F.array(F.floor(k / 30), F.floor((k + L.OVERLAP - 1) / 30)))).alias("page"))
+    pages = each.groupBy("chat_id", "again", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "j"))), lambda x: x["j"]), ",").alias("all"))
     text = F.concat(F.lit('{"peer":{"kind":"chat","id":'), F.col("chat_id"), F.lit('},"cursor":'), F.col("page") * 30 , F.lit(',"upper":'), F.col("page") * 30 + 29, F.lit(',"messages":['), F.col("all"), F.lit("]}"))
     root = scratch(spark, "live")
-    # a line a file: a page is a document of its own
-    pages.select("chat_id", "page", text.alias("value")).repartition(8, "chat_id", "page").write.partitionBy("chat_id", "page").text(f"{root}/pages")
-    found = L.received(spark, f"{root}/pages/*/*", f"{root}/state")
+    # a page a line: files grow with the archive, their number with its bytes alone
+    pages.select(text.alias("value")).write.text(f"{root}/pages", lineSep="\n")
+    found = L.received(spark, f"{root}/pages", f"{root}/state", lines=True)
     return found.select("peer_kind", "peer_id", "message_id", "sent", "edited", "sender", "forwarded_from", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("entities")[0]["type"].alias("entity"), "media_id")

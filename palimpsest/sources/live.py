@@ -46,11 +46,12 @@ def normalised(pages: DataFrame) -> DataFrame:
     )
 
 
-def received(spark: SparkSession, path: str, root: str, files_per_batch: int = 100) -> DataFrame:
+def received(spark: SparkSession, path: str, root: str, files_per_batch: int = 100, lines: bool = False) -> DataFrame:
     """All messages of the page files below path, each once; a run goes on where the one before ended (offsets and what was seen lie below root).
 
-    A message is known by its peer, id and time of edit: what a page repeats of the one before is dropped by the stream's state, an edit is taken in.
+    A message is known by its peer, id and the times at which it was sent and edited: what a page repeats of the one before is dropped by the stream's state, an edit is taken in.
+    A file is a page, or (lines) holds one in each line: pages are small, and a file apiece costs more than what is in it.
     """
-    pages = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch).option("wholetext", True).format("text").load(path).withColumnRenamed("value", "page")
-    once = normalised(pages).dropDuplicates(["peer_kind", "peer_id", "message_id", "edited"])
+    pages = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch).option("wholetext", not lines).format("text").load(path).withColumnRenamed("value", "page")
+    once = normalised(pages).dropDuplicates(["peer_kind", "peer_id", "message_id", "sent", "edited"])
     return run(spark, once, root, MESSAGES, empty_batches=True)

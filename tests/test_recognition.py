@@ -105,3 +105,13 @@ def test_live_pages_go_on_where_they_ended(spark, tmp_path):
     (folder / "c.json").write_text(page(40, 60, *map(said, range(21, 45)), said(46, edited=99)))
     again = L.received(spark, f"file://{folder}", f"file://{tmp_path}/state").collect()
     assert sorted(r.message_id for r in again) == [*range(1, 45), 46]
+
+
+def test_pages_in_lines_of_few_files(spark, tmp_path):
+    """Many pages in a file: they are taken in as pages in files of their own are."""
+    said = lambda i, **more: {"id": i, "date": i, "text": f"t{i}\n\u2028"} | more
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    (folder / "a.txt").write_text("\n".join(page(30 * k, 30 * k + 30, *map(said, range(max(1, 30 * k - 10), 30 * k + 31))) for k in range(5)) + "\n")
+    found = L.received(spark, f"file://{folder}", f"file://{tmp_path}/state", lines=True).collect()
+    assert sorted(r.message_id for r in found) == list(range(1, 151)) and found[0].text.endswith("\n\u2028")
