@@ -37,7 +37,7 @@ def build(targets: Store, chunks: PartitionedStore, make: Callable[[DataFrame],
         now = targets.read().select(*SEGMENT, F.col("target_generation").alias("_now"))
         fit = staged(aims.join(now, SEGMENT, "left").select(*aims.columns, F.when(F.col("_now") == F.col("generation"), "published").otherwise("superseded").alias("state")), "fit")
         good = fit.where("state = 'published'").drop("state")
-        touched = [tuple(r) for r in good.select(*SEGMENT).collect()]  # names of partitions, not rows
+        touched = chunks.touched(good)
         if not touched:
             return fit
         base = chunks.at()
@@ -47,9 +47,12 @@ def build(targets: Store, chunks: PartitionedStore, make: Callable[[DataFrame],
         if beyond.limit(1).count():
             fit = staged(fit.join(beyond.select(*SEGMENT, F.lit(True).alias("_beyond")), SEGMENT, "left").select(*aims.columns, F.when(F.col("_beyond"), "superseded").otherwise(F.col("state")).alias("state")), "fit")
             good = fit.where("state = 'published'").drop("state")
-            touched = [tuple(r) for r in good.select(*SEGMENT).collect()]
+            touched = chunks.touched(good)
+            old = chunks.only(base, chunks.named(touched, base))
         try:
-            chunks.replace(rows.join(good, [*SEGMENT, "generation"], "left_semi").select(*old.columns), touched, base, outbox=good)
+            # other segments of the same folders stay as they are
+            rest = old.join(good, SEGMENT, "left_anti")
+            chunks.replace(rest.unionByName(rows.join(good, [*SEGMENT, "generation"], "left_semi").select(*old.columns)), touched, base, outbox=good)
             return fit
         except Superseded:
             if k == times - 1:

@@ -9,7 +9,7 @@ from palimpsest.operators import hybrid as H
 from palimpsest.operators import publish as B
 from palimpsest.operators import retrieval as R
 from palimpsest.operators import segments as G
-from palimpsest.operators.store import PartitionedStore, Store
+from palimpsest.operators.store import BUCKETS, PartitionedStore, Store
 from palimpsest.plans.registry import bm25_sql, keywords_sql, query, words_sql
 from palimpsest.plans.retrieval import GOAL, GOAL_SQL
 from palimpsest.plans.spec import SearchSpec
@@ -230,7 +230,7 @@ def str08_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments built aside and published one by one: those whose target moved on while they were built are not."""
     segments, owned = archive(spark, sf_dir, "segments", "owned")
     root = scratch(spark, "segments")
-    targets, chunks = Store(spark, f"{root}/targets"), PartitionedStore(spark, f"{root}/chunks", B.SEGMENT)
+    targets, chunks = Store(spark, f"{root}/targets"), PartitionedStore(spark, f"{root}/chunks", B.SEGMENT, BUCKETS)
     aims = segments.select(*B.SEGMENT, (F.col("target_generation") + 1).alias("target_generation"))
     targets.publish(aims)
     parts = owned.select(*B.SEGMENT, "message_id")

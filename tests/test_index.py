@@ -104,6 +104,24 @@ def test_changes_write_only_the_partitions_they_touch(spark, tmp_path):
         store.replace(changed, [(0, "2024-01-01")], base)
 
 
+def test_small_partitions_share_folders(spark, tmp_path):
+    """Many days in few folders: what a change doesn't touch keeps its folder, and other days of the touched ones their rows."""
+    rows = [(c, m, f"2024-01-{1 + m % 28:02}", f"t{c}-{m}") for c in range(20) for m in range(28)]
+    schema = "chat_id long, message_id long, day string, text string"
+    store = PartitionedStore(spark, f"file://{tmp_path}/messages", ["chat_id", "day"], 8)
+    store.publish(spark.createDataFrame(rows, schema))
+    before = store.at().parts
+    assert len(before) == 8
+    changed = spark.createDataFrame([(0, 0, "2024-01-01", "new")], schema)
+    touched = store.upsert(changed, spark.createDataFrame([(2, 2)], "chat_id long, message_id long"), ["chat_id", "message_id"])
+    assert 1 <= len(touched) <= 2
+    after = store.at().parts
+    assert {k for k in before if after[k] != before[k]} == {f"_bucket={x}" for (x,) in touched}
+    want = {(c, m): t for c, m, _, t in rows} | {(0, 0): "new"}
+    want.pop((2, 2))
+    assert {(r.chat_id, r.message_id): r.text for r in store.read().collect()} == want
+
+
 def test_null_and_odd_partition_values(spark, tmp_path):
     rows = [(1, None, "a"), (2, "a/b=c %", "b"), (3, "", "c")]
     store = PartitionedStore(spark, f"file://{tmp_path}/t", ["day"])
@@ -298,6 +316,18 @@ def test_publication_is_fenced(spark, tmp_path):
     assert again == {(2, 2): "published"} and B.build(targets, chunks, made).count() == 0
 
 
+def test_publication_keeps_other_segments_of_a_folder(spark, tmp_path):
+    from palimpsest.operators import publish as B
+
+    targets, chunks = Store(spark, f"file://{tmp_path}/t"), PartitionedStore(spark, f"file://{tmp_path}/c", ["chat_id", "day"], 2)
+    held = [(k, "a", "old", 1) for k in range(9)]
+    chunks.publish(spark.createDataFrame(held, "chat_id long, day string, text string, generation int"))
+    targets.publish(spark.createDataFrame([(k, "a", 2 if k < 3 else 1) for k in range(9)], "chat_id long, day string, target_generation int"))
+    state = {r.chat_id: r.state for r in B.build(targets, chunks, lambda due: due.withColumn("text", F.lit("new"))).collect()}
+    assert state == dict.fromkeys(range(3), "published")
+    assert sorted((r.chat_id, r.text) for r in chunks.read().collect()) == [(k, "new" if k < 3 else "old") for k in range(9)]
+
+
 def test_pinned_search_of_an_empty_scope(spark, tmp_path):
     from palimpsest.operators import publish as B
 
