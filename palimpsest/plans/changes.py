@@ -71,9 +71,9 @@ KNOWN = "CASE WHEN message_id % 6 = 1 THEN 'Old feed' END"
 
 
 def partitioned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, V.PartitionedStore]:
-    """The classified change-set and the stored messages in folders by chat and day, after the change-set was merged into them."""
+    """The classified change-set and the stored messages in buckets of a chat's days, after the change-set was merged into them."""
     changes, stored = classified(spark, sf_dir)
-    store = V.PartitionedStore(spark, scratch(spark, "messages"), ["chat_id", "day"])
+    store = V.PartitionedStore(spark, scratch(spark, "messages"), ["chat_id", "day"], V.BUCKETS)
     store.publish(stored.select("*", F.expr(KNOWN).alias("forwarded_from"), F.lit(1).cast("long").alias("revision"), I.utc_day(F.col("timestamp")).alias("day")))
     changes = changes.withColumn("forwarded_from", F.expr(ORIGIN))
     I.merged_into(store, changes)
@@ -86,7 +86,7 @@ CASE WHEN n.outcome IN ('added', 'updated') THEN n.edited ELSE coalesce(greatest
 CASE WHEN n.outcome IN ('added', 'updated') THEN coalesce(n.forwarded_from, o.forwarded_from) ELSE coalesce(o.forwarded_from, n.forwarded_from) END AS forwarded_from,
 CAST(CASE WHEN n.outcome = 'updated' THEN 2 ELSE 1 END AS BIGINT) AS revision FROM old o FULL JOIN new n USING (chat_id, message_id)""")
 def ing02_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages after a merge that rewrites only the days it touches: revisions, edit times and origins."""
+    """Messages after a merge that rewrites only the buckets of days it touches: revisions, edit times and origins."""
     return partitioned(spark, sf_dir)[1].read().select(*I.KEY, "timestamp", "content_hash", "edited", "forwarded_from", "revision")
 
 
