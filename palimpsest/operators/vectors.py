@@ -12,8 +12,9 @@ from palimpsest.functions.vectors import dot, norm
 from palimpsest.operators import retrieval as R
 from palimpsest.operators.store import Store
 
-#: Fewer rows than this, or twice the results asked for, are scanned exactly.
-LEAST_ROWS = 1024
+#: Fewer rows than this, or twice the results asked for, are scanned exactly. So is a share of all rows up to SMALL_SHARE: probed cells hold few of them,
+#: and their exact distances are fewer than those of the cells' rows.
+LEAST_ROWS, SMALL_SHARE = 1024, 0.2
 PARTITIONS, PROBES, TRAIN_ROWS = 64, 32, 200_000
 
 
@@ -78,7 +79,7 @@ def search(index: DataFrame, centres: np.ndarray | None, goal: list[float], k: i
             reasons.append("no_index")
         elif len(centres[0]) != len(goal):
             reasons.append("incompatible")
-        elif (index if eligible is None else index.join(eligible.select("id"), "id", "left_semi")).limit(least).count() < least:
+        elif small(index, eligible, least):
             reasons.append("small_scope")
     if strategy == "ann" and not reasons:
         return nearest(index, centres, goal, k, eligible, probes), "ann", reasons
@@ -86,6 +87,14 @@ def search(index: DataFrame, centres: np.ndarray | None, goal: list[float], k: i
     return R.nearest(rows, goal, k), "exact", reasons
 
 
+def small(index: DataFrame, eligible: DataFrame | None, least: int) -> bool:
+    """Whether the rows that may be found are fewer than least, or no more than SMALL_SHARE of all."""
+    scope = index if eligible is None else index.select("id").join(eligible.select("id"), "id", "left_semi")
+    if scope.limit(least).count() < least:
+        return True
+    return eligible is not None and scope.count() <= SMALL_SHARE * index.count()
+
+
 def stale(index: DataFrame, partitions: int, wanted: int = PARTITIONS) -> DataFrame:
     """Rows, tail (those without a cell) and whether to build anew: another number of cells would be right, or the tail reaches a tenth and LEAST_ROWS."""
     counts = index.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cell").isNull()).alias("tail"))

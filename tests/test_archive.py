@@ -142,6 +142,19 @@ def test_approximate_vectors(spark):
         store.checked(17).where("vector is not null").collect()
 
 
+def test_small_shares_are_scanned_and_copies_tie(spark):
+    """A tenth of the rows is a small scope however large the table; equal vectors stand by id wherever they are."""
+    rng = np.random.default_rng(6)
+    same = rng.standard_normal(48).astype(np.float32)
+    rows = [(i, (same if i % 3 == 0 else rng.standard_normal(48)).astype(float).tolist()) for i in range(12_000)]
+    given = spark.createDataFrame(rows, "id long, vector array<float>")
+    goal = same.astype(float).tolist()
+    assert [r.id for r in V.R.nearest(given, goal, 50).collect()] == [i for i in range(11_999, 0, -1) if i % 3 == 0][:50]
+    index, centres = given.withColumn("cell", F.lit(0)), np.array([goal])
+    assert V.search(index, centres, goal, 5, given.where("id % 10 = 0").select("id"))[1:] == ("exact", ["small_scope"])
+    assert V.search(index, centres, goal, 5, given.where("id % 2 = 0").select("id"))[1:] == ("ann", [])
+
+
 def test_candidate_limit_is_told(spark):
     """More seeds than the limit share a signature: the rest is cut, and said to be."""
     seeds = spark.createDataFrame([(f"ab{c}",) for c in "cdefgh"], "form string")
