@@ -215,3 +215,19 @@ def test_encoders():
 def test_reconcile_bounds(spark):
     with pytest.raises(ValueError):
         I.reconcilable(spark.range(1), 31)
+
+
+def test_dry_runs_make_chunks_once(spark):
+    """Both sides of a comparison come from one pass, with the rows that two passes give."""
+    m = messages(spark, SMALL).withColumn("content_hash", F.md5(F.col("text").cast("binary")))
+    made_ = C.built(m, [C.ChunkPolicy(), C.ChunkPolicy(omitted=("zzyzx", "good morning team"))])
+    changes, totals = N.dry_run(made_, "core"), N.dry_run_totals(made_)
+    for found in (changes, totals):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    chunks = made_.collect()
+    held = {(c.policy, c.chat_id, p.message_id) for c in chunks for p in c.parts if p.role == "core"}
+    one, two = ({x[1:] for x in held if x[0] == k} for k in (0, 1))
+    assert sorted(map(tuple, changes.collect())) == sorted([(*x, "removed") for x in one - two] + [(*x, "restored") for x in two - one]) != []
+    sums = lambda k, chat: (sum(c.policy == k and c.chat_id == chat for c in chunks), sum(c.n_tokens for c in chunks if c.policy == k and c.chat_id == chat), sum(x[:2] == (k, chat) for x in held))
+    for r in totals.collect():
+        assert ((r.chunks_a, r.tokens_a, r.owned_a), (r.chunks_b, r.tokens_b, r.owned_b)) == (sums(0, r.chat_id), sums(1, r.chat_id))
