@@ -41,6 +41,13 @@ ROUNDS = 2
 #: Tokens of a gradient step and its rate.
 STEP = 8192
 RATE = 0.4
+#: Tokens whose logits are made at once.
+SLICE = 1024
+#: A class stands in a pair of classes as a multiple of PAIR; none is the class CLASSES.
+PAIR = 128
+PAIRS = (CLASSES + 1) * PAIR
+#: Lines of a group that are added beside those of other groups.
+SIDE = 8
 #: Weights are rounded to this share of one before they are summed.
 GRAIN = 1 << 14
 #: Batches of a learner in a round, at least.
@@ -213,71 +220,188 @@ def coded(batches: DataFrame, known: DataFrame, totals: Totals) -> DataFrame:
     return own.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(join, CODED)
 
 
+def row_of(x: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """Row of value x of feature k in a table of 2**bits rows."""
+    return ((x.astype(np.uint32) * np.uint32(8) + np.uint32(k + 1)) * np.uint32(0x9E3779B1) >> np.uint32(7) & np.uint32((1 << bits) - 1)).astype(np.int32)
+
+
 def features(classes: np.ndarray, hashed: np.ndarray, first: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of both weight tables for each token, a line a feature.
+    """What both weight tables know of each token's context, a line a kind.
 
-    Of the classes': bias, the word before, the class before that, both classes, a skip, and both sides of a skip. Of the cells', all
-    with the word's own class: bias, the word before, and the word before that (a skip).
+    Of the classes' features (bias, the word before, the class before that, both classes, a skip, and both sides of a skip): the word before's row,
+    and both pairs of classes, from which single_rows and pair_rows give the others. Of the cells' features, all with the word's own class (bias, the word before,
+    and the word before that, a skip): the rows of the words; bias_rows gives the first.
     """
-    n = len(classes)
-    place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
 
     def back(values: np.ndarray, k: int, none: int) -> np.ndarray:
-        out = np.full(n, none, np.int64)
-        out[k:] = values[: n - k]
-        out[place < k] = none
+        out = np.full(len(classes), none, np.int32)
+        out[k:] = values[: len(classes) - k]
+        for i in range(k):
+            at = first[:-1] + i
+            out[at[at < first[1:]]] = none
         return out
 
     c1, c2, c3 = (back(classes, k, CLASSES) for k in (1, 2, 3))
     w1, w2 = (back(hashed, k, 1 << 16) for k in (1, 2))
-    row = lambda x, k, size: ((x * 8 + k + 1) * 0x9E3779B1 >> 7) & ((1 << size) - 1)
-    outer = (np.zeros(n, np.int64), w1, c2, c1 * 128 + c2, c3, c1 * 128 + c3)
-    inner = (np.zeros(n, np.int64), w1, w2)
-    return np.stack([row(x, k, BITS) for k, x in enumerate(outer)]), np.stack([row(x * CLASSES + classes, k, bits) for k, x in enumerate(inner)])
+    outer = (row_of(w1, 1, BITS), c1 * PAIR + c2, c1 * PAIR + c3)
+    return np.stack(outer), np.stack([row_of(x * CLASSES + classes, k, bits) for k, x in ((1, w1), (2, w2))])
+
+
+def pair_rows(pairs: np.ndarray, skip: bool) -> np.ndarray:
+    """Rows of the feature of both classes of a pair."""
+    return row_of(pairs, 5 if skip else 3, BITS)
+
+
+def single_rows(pairs: np.ndarray, skip: bool) -> np.ndarray:
+    """Rows of the feature of a pair's farther class alone."""
+    return row_of(pairs % PAIR, 4 if skip else 2, BITS)
+
+
+def bias_rows(bits: int | None = None) -> np.ndarray:
+    """Row of the bias: one for classes, one a class for cells (in a table of 2**bits rows)."""
+    return row_of(np.zeros(1, np.int32), 0, BITS) if bits is None else row_of(np.arange(CLASSES), 0, bits)
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of places by key (below 2**32), and where each key begins in it, how often it stands there, and the key; frequent keys first."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")  # 16 bits are sorted by their digits
+    if len(keys) and keys.max() > 0xFFFF:
+        order = order[np.argsort((keys >> 16).astype(np.uint16)[order], kind="stable")]
+    own = keys[order]
+    cuts = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]]))
+    counts = np.diff(np.append(cuts, len(own)))
+    by = np.argsort(np.minimum(counts, 0xFFFF).astype(np.uint16), kind="stable")[::-1]
+    return order, cuts[by], counts[by], own[cuts[by]]
+
+
+def summed(values: np.ndarray, order: np.ndarray, cuts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sum of each group's lines: the first lines of all groups, the second lines and so on, then what frequent groups have beyond SIDE lines."""
+    out = np.take(values, order[cuts], axis=0)
+    for k in range(1, SIDE):
+        n = int(np.searchsorted(-counts, -k))  # groups with more than k lines come first
+        if not n:
+            break
+        out[:n] += np.take(values, order[cuts[:n] + k], axis=0)
+    n = int(np.searchsorted(-counts, -SIDE))
+    if n:
+        many = counts[:n] - SIDE
+        first = np.cumsum(many) - many
+        at = np.arange(many.sum()) + np.repeat(cuts[:n] + SIDE - first, many)
+        out[:n] += np.add.reduceat(np.take(values, order[at], axis=0), first, axis=0)
+    return out
 
 
-def logits(table: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """start: what stands before the rows are added, for all tokens or for each."""
-    out = table[rows[0]] + start
-    for r in rows[1:]:
-        out += table[r]
+def moved(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> None:
+    """One adaptive step of distinct rows, in place."""
+    grad = sums / np.sqrt(counts).astype(np.float32)[:, None]
+    own = np.take(squares, rows, axis=0)
+    own += grad * grad
+    squares[rows] = own
+    own += 1
+    np.sqrt(own, out=own)
+    grad *= np.float32(RATE)
+    grad /= own
+    table[rows] -= grad
+
+
+def merged(rows: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows with the sums and counts of all groups that have them."""
+    order, cuts, many, used = grouped(rows)
+    return used, summed(sums, order, cuts, many), summed(counts, order, cuts, many)
+
+
+def missed(parts: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> np.ndarray:
+    """Gradient of the loss of each line by its logits, the sum of lines of tables; SLICE lines at once stay in the processor's cache."""
+    error = np.empty((len(target), parts[0][0].shape[1]), np.float32)
+    for i in range(0, len(target), SLICE):
+        x = error[i : i + SLICE]
+        total(parts, slice(i, i + SLICE), x)
+        x -= x.max(1, keepdims=True)
+        np.exp(x, out=x)
+        x /= x.sum(1, keepdims=True)
+        x[np.arange(len(x)), target[i : i + SLICE]] -= 1
+    return error
+
+
+def total(parts: list[tuple[np.ndarray, np.ndarray]], some: slice | np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Sum of the lines that each table's rows name."""
+    table, rows = parts[0]
+    out = np.take(table, rows[some], axis=0, out=out, mode="clip")  # without a copy in between
+    for table, rows in parts[1:]:
+        out += np.take(table, rows[some], axis=0)
     return out
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
-
-
-def descend(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, start: np.ndarray, target: np.ndarray) -> None:
-    """One adaptive gradient step on the mean loss of some tokens, in place."""
-    error = softmax(logits(table, rows, start))
-    error[np.arange(len(target)), target] -= 1
-    for r in rows:
-        order = np.argsort(r, kind="stable")
-        own = r[order]
-        cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        used = own[cuts]
-        grad = np.add.reduceat(error[order], cuts, axis=0) if len(used) > 1 else error.sum(0, keepdims=True)
-        grad /= np.sqrt(np.diff(np.append(cuts, len(own))))[:, None]
-        squares[used] += grad * grad
-        table[used] -= RATE * grad / np.sqrt(squares[used] + 1.0)
-
-
-def log_share(table: np.ndarray, rows: np.ndarray, start: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log of the probability that the softmax gives each token's target."""
-    x = logits(table, rows, start)
+def pair_parts(table: np.ndarray, pairs: np.ndarray, skip: bool) -> np.ndarray:
+    """What the features of a pair of classes add to the logits of classes."""
+    return np.take(table, pair_rows(pairs, skip), axis=0) + np.take(table, single_rows(pairs, skip), axis=0)
+
+
+def descend_classes(table: np.ndarray, squares: np.ndarray, keys: np.ndarray, start: np.ndarray, target: np.ndarray) -> None:
+    """One adaptive gradient step of the table for classes on the mean loss of some tokens, in place.
+
+    Pairs of classes repeat within a step: their features are added up, and their gradients summed, once for each distinct pair.
+    """
+    groups, parts = [grouped(keys[i]) for i in (1, 2)], [(table, keys[0])]
+    for skip, (_, _, _, pairs) in enumerate(groups):
+        place = np.empty(PAIRS, np.int32)
+        place[pairs] = np.arange(len(pairs))
+        parts.append((pair_parts(table, pairs, skip), place[keys[1 + skip]]))
+    parts[1][0][:] += table[bias_rows()] + start
+    error = missed(parts, target)
+    order, cuts, counts, rows = grouped(keys[0])
+    moved(table, squares, rows, summed(error, order, cuts, counts), counts)
+    for skip, (order, cuts, counts, pairs) in enumerate(groups):
+        sums = summed(error, order, cuts, counts)
+        moved(table, squares, *merged(pair_rows(pairs, skip), sums, counts))
+        moved(table, squares, *merged(single_rows(pairs, skip), sums, counts))
+        if not skip:
+            moved(table, squares, bias_rows(), sums.sum(0, keepdims=True), counts.sum(keepdims=True))
+
+
+def descend_cells(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, start: np.ndarray, classes: np.ndarray, target: np.ndarray, bits: int) -> None:
+    """One such step of the table for cells. start: what stands before a class's rows are added."""
+    bias = bias_rows(bits)
+    error = missed([(start + table[bias], classes), *((table, r) for r in rows)], target)
+    for r in (bias[classes], *rows):
+        order, cuts, counts, used = grouped(r)
+        moved(table, squares, used, summed(error, order, cuts, counts), counts)
+
+
+def log_share(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log of the probability that the softmax of the logits x, which it takes over, gives each line's target."""
     x -= x[np.arange(len(x)), target][:, None]
     top = np.maximum(x.max(1), 0)
-    return -(top + np.log(np.exp(x - top[:, None]).sum(1, dtype=np.float64)))
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return -(top + np.log(x.sum(1, dtype=np.float64)))
+
+
+class Scorer:
+    """Log probabilities of tokens by trained tables. What a pair of classes, and a class's bias, add to the logits is added up once."""
+
+    def __init__(self, outer: np.ndarray, inner: np.ndarray, totals: Totals, bits: int):
+        pairs = np.arange(PAIRS, dtype=np.int32)
+        self.outer, self.inner = outer, inner
+        self.near, self.far = pair_parts(outer, pairs, False) + (outer[bias_rows()] + totals.outer), pair_parts(outer, pairs, True)
+        self.start = totals.inner + inner[bias_rows(bits)]
+
+    def logs(self, classes: np.ndarray, cells: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(classes))
+        for i in range(0, len(classes), SLICE):
+            some = slice(i, i + SLICE)
+            out[some] = log_share(total(list(zip((self.outer, self.near, self.far), keys, strict=True)), some), classes[some])
+        rest = np.flatnonzero(classes >= FREQUENT)
+        for i in range(0, len(rest), SLICE):
+            some = rest[i : i + SLICE]
+            out[some] += log_share(total([(self.start, classes), *((self.inner, r) for r in rows)], some), cells[some])
+        return out
 
 
 def opened(r: dict, bits: int) -> tuple[np.ndarray, ...]:
-    """A batch's first tokens, classes, cells and feature rows."""
-    first, classes, hashed = np.frombuffer(r["first"], "<i8"), np.frombuffer(r["classes"], "u1").astype(np.int64), np.frombuffer(r["hashed"], "<u2")
-    return first, classes, hashed.astype(np.int64) % CELLS, *features(classes, hashed, first, bits)
+    """A batch's first tokens, classes, cells, and what both tables know of each token."""
+    first, classes, hashed = np.frombuffer(r["first"], "<i8"), np.frombuffer(r["classes"], "u1").astype(np.int32), np.frombuffer(r["hashed"], "<u2")
+    return first, classes, hashed.astype(np.int32) % CELLS, *features(classes, hashed, first, bits)
 
 
 def trained(streams: DataFrame, totals: Totals, bits: int, learners: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -296,14 +420,14 @@ def trained(streams: DataFrame, totals: Totals, bits: int, learners: int, rounds
             for part in parts:
                 for i in range(part.num_rows):
                     r = part.slice(i, 1).to_pylist()[0]
-                    first, classes, cells, rows, more = opened(r, bits)
+                    first, classes, cells, keys, rows = opened(r, bits)
                     use = np.flatnonzero(np.repeat(np.frombuffer(r["held"], "u1") == 0, np.diff(first)))
                     for j in range(0, len(use), STEP):
                         some = use[j : j + STEP]
-                        descend(outer, outer2, rows[:, some], totals.outer, classes[some])
+                        descend_classes(outer, outer2, keys[:, some], totals.outer, classes[some])
                         some = some[classes[some] >= FREQUENT]
                         if len(some):
-                            descend(inner, inner2, more[:, some], totals.inner[classes[some]], cells[some])
+                            descend_cells(inner, inner2, rows[:, some], totals.inner, classes[some], cells[some], bits)
                     seen += len(use)
             if seen:
                 grains = np.round(own * GRAIN).astype("<i4")
@@ -355,22 +479,16 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
 
     @trimmed
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        outer, inner = model.value
+        scorer = Scorer(*model.value, totals, bits)
         for part in parts:
             for k in range(part.num_rows):
                 r = part.slice(k, 1).to_pylist()[0]
-                first, classes, cells, rows, more = opened(r, bits)
-                logs = np.zeros(len(classes))
-                for i in range(0, len(classes), STEP):
-                    logs[i : i + STEP] = log_share(outer, rows[:, i : i + STEP], totals.outer, classes[i : i + STEP])
-                rest = np.flatnonzero(classes >= FREQUENT)
-                for i in range(0, len(rest), STEP):
-                    some = rest[i : i + STEP]
-                    logs[some] += log_share(inner, more[:, some], totals.inner[classes[some]], cells[some])
-                total = np.add.reduceat(logs, first[:-1]) / np.log(10) + np.frombuffer(r["inner"], np.float64)
+                first, *tokens_of = opened(r, bits)
+                logs = scorer.logs(*tokens_of)
+                whole = np.add.reduceat(logs, first[:-1]) / np.log(10) + np.frombuffer(r["inner"], np.float64)
                 ids, n = np.frombuffer(r["doc_id"], "<i8"), len(first) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=np.frombuffer(r["null"], "u1") > 0), pa.array(np.frombuffer(r["held"], "u1") > 0), pa.array(np.diff(first)), pa.array(np.frombuffer(r["known"], np.int64)), pa.array(np.full(n, tokens, np.int64)), pa.array(np.frombuffer(r["base"], np.float64)), pa.array(total)],
+                    [pa.array(ids, mask=np.frombuffer(r["null"], "u1") > 0), pa.array(np.frombuffer(r["held"], "u1") > 0), pa.array(np.diff(first)), pa.array(np.frombuffer(r["known"], np.int64)), pa.array(np.full(n, tokens, np.int64)), pa.array(np.frombuffer(r["base"], np.float64)), pa.array(whole)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
+import types
 import zlib
 from collections import Counter
 
@@ -13,6 +15,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from palimpsest.llm import lm_scoring as LM
 from palimpsest.llm.decontamination import contamination
 from palimpsest.llm.fingerprints import SPAN, Prefixes, code_points, common_end, common_extension, equal_spans, fingerprints
 from palimpsest.llm.language_id import identify
@@ -244,6 +247,60 @@ def test_lm_scores_gain_and_repeat(spark):
     assert sum(r.score for r in held) / tokens > sum(r.base_score for r in held) / tokens + 0.1
 
 
+def plain_step(table, squares, rows, start, target):
+    """An adaptive step of a softmax over sums of rows, a feature at a time."""
+    x = start + sum(table[r] for r in rows)
+    x = np.exp(x - x.max(1, keepdims=True))
+    error = x / x.sum(1, keepdims=True)
+    error[np.arange(len(target)), target] -= 1
+    for r in rows:
+        order = np.argsort(r, kind="stable")
+        own = r[order]
+        cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        used = own[cuts]
+        grad = np.add.reduceat(error[order], cuts, axis=0) / np.sqrt(np.diff(np.append(cuts, len(own))).astype(np.float32))[:, None]
+        squares[used] += grad * grad
+        table[used] -= LM.RATE * grad / np.sqrt(squares[used] + 1)
+
+
+def test_lm_steps_are_those_of_single_features():
+    """Steps that sum pairs of classes once give what a feature at a time gives, in clearly less time."""
+    rng = np.random.default_rng(3)
+    n, bits = LM.STEP, 15
+    words = np.minimum(rng.zipf(1.2, n), 1 << 16) - 1
+    hashed, classes = (words * 40503 & 0xFFFF).astype(np.uint16), np.where(words < LM.FREQUENT, words, LM.FREQUENT + words % LM.SHAPES)
+    first = np.unique(np.concatenate([[0, n, 1, 2, 4], rng.integers(0, n, 30)]))
+    start = rng.standard_normal(LM.CLASSES).astype(np.float32), rng.standard_normal((LM.CLASSES, LM.CELLS)).astype(np.float32)
+    cells = hashed.astype(np.int64) % LM.CELLS
+    none = {"c": LM.CLASSES, "w": 1 << 16}
+    back = lambda x, k, kind: np.array([x[i - k] if i - k >= first[np.searchsorted(first, i, side="right") - 1] else none[kind] for i in range(n)], np.int64)
+    (c1, c2, c3), (w1, w2) = (back(classes, k, "c") for k in (1, 2, 3)), (back(hashed, k, "w") for k in (1, 2))
+    row = lambda x, k, size: ((x * 8 + k + 1) * 0x9E3779B1 >> 7) & ((1 << size) - 1)
+    zero = np.zeros(n, np.int64)
+    # in the order of the steps, which counts where rows of two features meet
+    single = [row(x, k, LM.BITS) for k, x in ((1, w1), (3, c1 * 128 + c2), (2, c2), (0, zero), (5, c1 * 128 + c3), (4, c3))]
+    inner = [row(x * LM.CLASSES + classes, k, bits) for k, x in ((0, zero), (1, w1), (2, w2))]
+    tables = lambda: [np.zeros((1 << size, width), np.float32) for size, width in ((LM.BITS, LM.CLASSES), (bits, LM.CELLS)) for _ in range(2)]
+    got, want, spent = tables(), tables(), [[], []]
+    keys, rows = LM.features(classes.astype(np.int32), hashed, first, bits)
+    for _ in range(8):
+        begun = time.process_time()
+        LM.descend_classes(*got[:2], keys, start[0], classes)
+        LM.descend_cells(*got[2:], rows, start[1], classes, cells, bits)
+        spent[0].append(time.process_time() - begun)
+        begun = time.process_time()
+        plain_step(*want[:2], single, start[0], classes)
+        plain_step(*want[2:], inner, start[1][classes], cells)
+        spent[1].append(time.process_time() - begun)
+    assert all(np.allclose(a, b, rtol=1e-3, atol=1e-3) and b.any() for a, b in zip(got, want, strict=True))
+    assert min(spent[0]) < 0.8 * min(spent[1])
+    totals = types.SimpleNamespace(outer=start[0], inner=start[1])
+    found = LM.Scorer(got[0], got[2], totals, bits).logs(classes, cells, keys, rows)
+    share = lambda x, target: (x - np.log(np.exp(x).sum(1, keepdims=True)))[np.arange(n), target]
+    plain = share(start[0] + sum(want[0][r] for r in single), classes) + np.where(classes >= LM.FREQUENT, share(start[1][classes] + sum(want[2][r] for r in inner), cells), 0)
+    assert np.allclose(found, plain, atol=1e-2)
+
+
 def brute_contamination(rows, items, window=13):
     rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: rx.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
