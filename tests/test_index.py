@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,30 @@ def grams(spark, texts):
     return P.GramIndex(Store(spark, f"{root}/g"), Store(spark, f"{root}/t"), "k").build(spark.createDataFrame(list(enumerate(texts)), "k long, text string"))
 
 
+def test_gram_lists_are_whole_and_bounded():
+    """Each gram's texts, as brute force finds them, listed for so many texts or words at a time; the shuffle gets lists, not a row for each text and gram."""
+    rng = random.Random(1)
+    texts = [list(dict.fromkeys("".join(rng.choice("abcé𝄞я1") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 30)))) for _ in range(300)]
+    texts[5] = texts[6] = []
+    given = pa.RecordBatch.from_arrays([pa.array(range(100, 400)), pa.array(texts, pa.list_(pa.string()))], names=["k", "words"])
+    want: dict[str, set[int]] = {}
+    for k, own in enumerate(texts, 100):
+        for x in own:
+            for gram in {f"={x}", *(f"{n}{y}" for n in (1, 2, 3) for y in P.pieces(x, n))}:
+                want.setdefault(gram, set()).add(k)
+    for most, words in ((1 << 14, 1 << 18), (7, 1 << 18), (1000, 50), (1, 1)):
+        for batches in ([given], [given.slice(0, 10), given.slice(10, 0), given.slice(10, 150), given.slice(160)]):
+            got: dict[str, set[int]] = {}
+            for part in P.gram_lists(iter(batches), most, words):
+                assert len(set(part.column(0).to_pylist())) == part.num_rows
+                for gram, keys in zip(*part.to_pydict().values(), strict=True):
+                    assert 0 < len(keys) <= most and len(set(keys)) == len(keys) and not got.setdefault(gram, set()) & set(keys)
+                    got[gram] |= set(keys)
+            assert got == want
+    assert sum(x.num_rows for x in P.gram_lists(iter([given]), 1 << 14, 1 << 18)) == len(want)
+    assert sum(x.num_rows for x in P.gram_lists(iter([given.slice(5, 2)]), 5, 5)) == 0
+
+
 def found(df):
     return {r.k: (r.kind, r.edits) for r in df.collect()}
 
